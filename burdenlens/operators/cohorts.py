@@ -20,8 +20,7 @@ def tag_groups(
     the scan as one OR, whose common conjuncts Spark pushes down. The result has ``variant_id,
     gene_symbol, sample_id, dose`` and the flags.
     """
-    in_case = _as_flag(case)
-    in_control = F.lit(False) if control is None else _as_flag(control)
+    in_case, in_control = group_flags(case, control)
     return calls.where((in_case | in_control) & F.col("sample_id").isNotNull()).select(
         variant_id().alias("variant_id"),
         F.col("gene_symbol"),
@@ -32,9 +31,13 @@ def tag_groups(
     )
 
 
-def _as_flag(predicate: str | Column) -> Column:
-    condition = as_predicate(predicate)
-    return F.lit(True) if condition is None else condition
+def group_flags(case: str | Column, control: str | Column | None) -> tuple[Column, Column]:
+    """Conditions for a row to be in the case and in the control group."""
+    in_case, in_control = as_predicate(case), as_predicate(control)
+    return (
+        F.lit(True) if in_case is None else in_case,
+        F.lit(control is not None) if in_control is None else in_control,
+    )
 
 
 def tag_by_list(
@@ -45,9 +48,8 @@ def tag_by_list(
     A row counts when it satisfies the predicate of the group its sample is listed in.
     """
     labelled = label_samples(calls, cohort)
-    in_case = F.col("is_case") & _as_flag(case)
-    in_control = ~F.col("is_case") & (F.lit(False) if control is None else _as_flag(control))
-    return tag_groups(labelled, in_case, in_control)
+    in_case, in_control = group_flags(case, control)
+    return tag_groups(labelled, F.col("is_case") & in_case, ~F.col("is_case") & in_control)
 
 
 def unique_calls(tagged: DataFrame) -> DataFrame:

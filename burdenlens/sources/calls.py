@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from burdenlens.schema import SCORING_SCHEMA, canonical_calls
 
@@ -66,3 +67,10 @@ def write_calls(calls: DataFrame, path: str, by_chromosome: bool = True) -> None
     """
     writer = calls.sortWithinPartitions("chr", "gene_symbol").write.mode("overwrite")
     (writer.partitionBy("chr") if by_chromosome else writer).parquet(path)
+
+
+def read_gene_list(spark: SparkSession, path: str) -> DataFrame:
+    """Gene symbols of a text file, one per line; use with
+    :func:`burdenlens.operators.filters.keep_listed`."""
+    lines = spark.read.text(path).select(F.trim("value").alias("gene_symbol"))
+    return lines.where(F.col("gene_symbol") != "").distinct()

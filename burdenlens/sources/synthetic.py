@@ -9,26 +9,30 @@ from pyspark.sql import functions as F
 CHROMOSOME, REFERENCE, ALTERNATIVE = "1", "A", "C"
 
 
+def numbered_samples(spark: SparkSession, samples: int) -> DataFrame:
+    """Sample ids 1 to n."""
+    return spark.range(1, samples + 1).select(F.col("id").cast("string").alias("sample_id"))
+
+
 def synthetic_calls(
-    spark: SparkSession, samples: int, variants_per_gene: int, genes: int, seed: int = 42
+    samples: DataFrame, variants_per_gene: int, genes: int, seed: int = 42
 ) -> DataFrame:
-    """Every sample carries every variant of every gene, with dose 1 or 2 at random.
+    """Every sample of a list carries every variant of every gene, with dose 1 or 2 at random.
 
-    One row number per call, from which sample, position and gene follow: no join, and Spark
-    splits the range over all tasks. The dose is a hash of the row number and the seed, so it does
-    not change when a task runs again.
+    Each sample row is expanded in place, so nothing is joined or shuffled. The dose is a hash of
+    sample, position and seed and so does not change when a task runs again.
     """
-    per_sample = variants_per_gene * genes
-    row = F.col("id")
-    index = F.pmod(row, F.lit(per_sample))
-    return spark.range(samples * per_sample).select(
-        (F.floor(row / per_sample) + 1).cast("string").alias("sample_id"),
+    positions = F.sequence(F.lit(1).cast("bigint"), F.lit(variants_per_gene * genes).cast("bigint"))
+    calls = samples.select("sample_id", F.explode(positions).alias("pos"))
+    dose = F.pmod(F.xxhash64("sample_id", "pos", F.lit(seed)), F.lit(2)) + 1
+    return calls.select(
+        "sample_id",
         F.lit(CHROMOSOME).alias("chr"),
-        (index + 1).alias("pos"),
+        "pos",
         F.lit(REFERENCE).alias("ref"),
         F.lit(ALTERNATIVE).alias("alt"),
-        (F.floor(index / variants_per_gene) + 1).cast("string").alias("gene_symbol"),
-        (F.pmod(F.xxhash64(row, F.lit(seed)), F.lit(2)) + 1).cast("int").alias("zygosity"),
+        (F.floor((F.col("pos") - 1) / variants_per_gene) + 1).cast("string").alias("gene_symbol"),
+        dose.cast("int").alias("zygosity"),
     )
 
 
