@@ -48,11 +48,3 @@ def carrier(dose) -> Column:
 def pair_key(a, b) -> list[Column]:
     """The two members of an unordered pair, smaller first."""
     return [F.least(a, b), F.greatest(a, b)]
-
-
-def sample_list_text(sample_id="sample_id", separator: str = " , ") -> Column:
-    """Aggregate: the distinct sample ids as one sorted text.
-
-    Meant for a filtered selection a person copies; the result is one value by definition.
-    """
-    return F.array_join(F.sort_array(F.collect_set(F.col(sample_id))), separator)

@@ -34,23 +34,30 @@ def carriers(rows: DataFrame, item: str) -> DataFrame:
     return carrying.where("in_case OR in_control")
 
 
+def carrier_columns(case: str = "sum_case", control: str = "sum_control") -> list[Column]:
+    """Aggregates over one row per (item, sample): carriers per group."""
+    return [F.count_if("in_case").alias(case), F.count_if("in_control").alias(control)]
+
+
 def carrier_counts(carrying: DataFrame, *item: str) -> DataFrame:
     """Carriers of each item per group, from one row per (item, sample)."""
-    return carrying.groupBy(*item).agg(
-        F.count_if("in_case").alias("sum_case"), F.count_if("in_control").alias("sum_control")
-    )
+    return carrying.groupBy(*item).agg(*carrier_columns())
 
 
-def value_moments(rows: DataFrame, value: Column, *item: str) -> DataFrame:
-    """Sum and sum of squares of a value per item and group, from one row per (item, sample)."""
-    square = value * value
+def moments(value: Column) -> list[Column]:
+    """Aggregates over one row per (item, sample): sum and sum of squares per group."""
 
     def total(v: Column, group: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col(group), v)), F.lit(0)).cast("bigint")
 
-    return rows.groupBy(*item).agg(
+    return [
         total(value, "in_case").alias("sum_case"),
         total(value, "in_control").alias("sum_control"),
-        total(square, "in_case").alias("sumsq_case"),
-        total(square, "in_control").alias("sumsq_control"),
-    )
+        total(value * value, "in_case").alias("sumsq_case"),
+        total(value * value, "in_control").alias("sumsq_control"),
+    ]
+
+
+def value_moments(rows: DataFrame, value: Column, *item: str) -> DataFrame:
+    """Sum and sum of squares of a value per item and group, from one row per (item, sample)."""
+    return rows.groupBy(*item).agg(*moments(value))

@@ -129,3 +129,21 @@ def label_samples(calls: DataFrame, samples: DataFrame) -> DataFrame:
 def calls_of_phenotype(calls: DataFrame, phenotypes: DataFrame, predicate) -> DataFrame:
     """Calls of the samples whose phenotype satisfies a predicate."""
     return keep_listed(calls, apply_predicate(phenotypes, predicate), "sample_id", "Sample_ID")
+
+
+def sample_list_text(
+    samples: DataFrame, by: list[str], column: str = "sample_id", per_text: int = 1000
+) -> DataFrame:
+    """The sample ids of each selection as text, ``' , '`` between them, to copy elsewhere.
+
+    A selection of up to about ``per_text`` samples is one text; a larger one is dealt, by a hash of
+    the id, into several numbered ones, so that no task ever holds a whole population.
+    """
+    distinct = samples.select(*by, F.col(column).alias("sample_id")).distinct()
+    sizes = distinct.groupBy(*by).agg(
+        F.ceil(F.count("*") / per_text).cast("bigint").alias("texts")
+    )
+    digest = F.conv(F.substring(F.md5("sample_id"), 1, 8), 16, 10).cast("bigint")
+    dealt = distinct.join(sizes, by).withColumn("part", F.pmod(digest, F.col("texts")))
+    listed = F.sort_array(F.collect_list("sample_id"))
+    return dealt.groupBy(*by, "part").agg(F.array_join(listed, " , ").alias("sample_ids"))

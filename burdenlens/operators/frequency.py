@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burdenlens.functions.keys import variant_id
+from burdenlens.operators.burden import carrier_counts
 
 VARIANT_KEY = ["gene_symbol", "variant_id"]
 
@@ -15,7 +16,9 @@ def ratio(total: Column, size: Column) -> Column:
     return F.coalesce(F.try_divide(total.cast("double"), size.cast("double")), F.lit(0.0))
 
 
-def with_ratios(counted: DataFrame, sizes: Column) -> DataFrame:
+def with_ratios(
+    counted: DataFrame, sizes: Column, case: str = "sum_case", control: str = "sum_control"
+) -> DataFrame:
     """Add the group sizes and the share of each group; ``sizes`` is a scalar struct."""
     sized = counted.withColumn("sizes", sizes)
     n_case, n_control = F.col("sizes.n_case"), F.col("sizes.n_control")
@@ -23,8 +26,8 @@ def with_ratios(counted: DataFrame, sizes: Column) -> DataFrame:
         *counted.columns,
         n_case.alias("n_case"),
         n_control.alias("n_control"),
-        ratio(F.col("sum_case"), n_case).alias("ratio_case"),
-        ratio(F.col("sum_control"), n_control).alias("ratio_control"),
+        ratio(F.col(case), n_case).alias("ratio_case"),
+        ratio(F.col(control), n_control).alias("ratio_control"),
     )
 
 
@@ -34,10 +37,7 @@ def variant_frequencies(genotypes: DataFrame, sizes: Column) -> DataFrame:
     ``genotypes`` holds one row per (gene, variant, sample), so plain conditional counts are
     distinct counts and combine map-side.
     """
-    counted = genotypes.groupBy(*VARIANT_KEY).agg(
-        F.count_if("in_case").alias("sum_case"), F.count_if("in_control").alias("sum_control")
-    )
-    return with_ratios(counted, sizes)
+    return with_ratios(carrier_counts(genotypes, *VARIANT_KEY), sizes)
 
 
 def too_frequent(max_case: float, max_control: float, strict: bool = False) -> Column:

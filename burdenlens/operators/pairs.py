@@ -2,62 +2,132 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A sample carrying more items than this is spread over several join keys.
+#: Samples of one group that share a row when samples are packed, 64 to a word.
+WORDS = 8
+CELL = 64 * WORDS
+#: A sample (or cell) with more items than this is spread over several join keys.
 SPLIT_ABOVE = 1024
-
-_SAMPLE = ["sample_id", "in_case", "in_control"]
+#: Samples are numbered within hash buckets of about this size, so no task numbers them all.
+_BUCKET = 16 * CELL
 
 
 def shared_carriers(
-    carrying: DataFrame, item: str, first: str, second: str, split_above: int = SPLIT_ABOVE
+    carrying: DataFrame,
+    item: str,
+    first: str,
+    second: str,
+    packed: bool | None = None,
+    split_above: int = SPLIT_ABOVE,
 ) -> DataFrame:
     """Number of samples per group that carry both members of a pair.
 
-    ``carrying`` holds one row per (item, sample). Every pair with at least one common carrier
-    comes out once, as ``first > second``, with ``sum_case`` and ``sum_control``.
+    ``carrying`` holds one row per (item, sample), each sample being in one group; it is read
+    several times and should be a stored table. Every pair with at least one common carrier comes
+    out once, as ``first > second``, with ``sum_case`` and ``sum_control``.
 
-    The pairs are found by an equi-join on the sample, so pairs nobody shares cost nothing, and
-    are counted map-side before they are shuffled. A sample with many items is cut into blocks of
-    at most ``split_above`` items and joined block by block: its keys are (sample, block of the
-    first, block of the second), so one sample that holds a large part of all rows is worked on by
-    many tasks and no pair is lost or counted twice.
+    Pairs are the result here, so they have to be formed; they are formed by an equi-join, so that
+    pairs nobody shares cost nothing, and are added up map-side before they are shuffled.
+
+    * Where samples carry a large part of all items, joining sample by sample would form each pair
+      once per common carrier. There, 512 samples of a group are packed into one cell, one bit
+      each: a pair is then formed once per cell and its common carriers are counted by
+      ``bit_count(a & b)``. Counts of the table tell which way forms fewer rows; ``packed`` forces
+      one.
+    * A sample or cell with many items is cut into blocks of about ``split_above`` items and
+      joined block by block, under the key (sample, block of the first, block of the second). One
+      sample holding a large part of all rows is thus worked on by many tasks, and no pair is lost
+      or counted twice.
     """
-    # Each reader below uses all columns, so that they share one shuffle of `carrying`.
-    many = (
-        carrying.groupBy(*_SAMPLE)
-        .agg(F.count("*").alias("n_items"))
-        .where(F.col("n_items") > split_above)
-        .select("sample_id", F.ceil(F.col("n_items") / split_above).cast("int").alias("blocks"))
-    )
-    blocked = (
-        carrying.withColumn(item, F.coalesce(F.col(item), F.lit("")))
-        .join(many, "sample_id", "left")
-        .withColumn("blocks", F.coalesce(F.col("blocks"), F.lit(1)))
-        .withColumn("block", F.pmod(F.xxhash64(item), F.col("blocks")).cast("int"))
+    carrying = carrying.select(
+        F.coalesce(F.col(item), F.lit("")).alias("item"), "sample_id", "in_case"
     )
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = blocked.select(
-        F.col(item).alias(first), *_SAMPLE, F.col("block").alias("block1"), other.alias("block2")
+    samples = carrying.groupBy("sample_id", "in_case").agg(F.count("*").alias("n_items"))
+    n_samples, by_sample, most = samples.agg(
+        F.count("*"),
+        F.coalesce(F.sum(F.col("n_items").cast("double") * F.col("n_items")), F.lit(0.0)),
+        F.coalesce(F.max("n_items"), F.lit(0)),
+    ).head()
+    n_items = carrying.select("item").distinct().count()
+    if packed is None:
+        packed = (n_samples / CELL + 2) * n_items**2 < by_sample
+    if packed:
+        unit = ["in_case", "bucket", "cell"]
+        words = [f"w{k}" for k in range(WORDS)]
+        rows = _packed(carrying, samples, n_samples, unit, words)
+        blocks = F.lit(max(1, math.ceil(n_items / split_above)))
+        common = F.expr(" + ".join(f"bit_count(a_{w} & b_{w})" for w in words))
+    else:
+        unit, words, rows = ["sample_id", "in_case"], [], carrying
+        blocks, common = F.lit(1), F.lit(1)
+        if most > split_above:
+            rows, blocks = _with_blocks(rows, samples, split_above), F.col("blocks")
+    block = F.pmod(F.xxhash64("item"), blocks).cast("int")
+    every = F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1))
+    left = rows.select(
+        F.col("item").alias(first),
+        *unit,
+        block.alias("block1"),
+        every.alias("block2"),
+        *[F.col(w).alias(f"a_{w}") for w in words],
     )
-    right = blocked.select(
-        F.col(item).alias(second), *_SAMPLE, other.alias("block1"), F.col("block").alias("block2")
+    right = rows.select(
+        F.col("item").alias(second),
+        *unit,
+        every.alias("block1"),
+        block.alias("block2"),
+        *[F.col(w).alias(f"b_{w}") for w in words],
     )
-    together = left.join(right, [*_SAMPLE, "block1", "block2"]).where(
-        F.col(first) > F.col(second)
+    together = (
+        left.join(right, [*unit, "block1", "block2"])
+        .where(F.col(first) > F.col(second))
+        .select(first, second, "in_case", common.cast("bigint").alias("n"))
+        .where("n > 0")
     )
     return (
         together.groupBy(first, second)
         .agg(
-            F.count_if("in_case").alias("sum_case"),
-            F.count_if("in_control").alias("sum_control"),
+            F.sum(F.when(F.col("in_case"), F.col("n")).otherwise(0)).alias("sum_case"),
+            F.sum(F.when(F.col("in_case"), 0).otherwise(F.col("n"))).alias("sum_control"),
         )
         .withColumn(second, F.nullif(F.col(second), F.lit("")))
     )
 
 
+def _with_blocks(rows: DataFrame, samples: DataFrame, split_above: int) -> DataFrame:
+    """Number of blocks of each sample, more than one where it has many items."""
+    many = samples.where(F.col("n_items") > split_above).select(
+        "sample_id", F.ceil(F.col("n_items") / split_above).cast("int").alias("blocks")
+    )
+    return rows.join(many, "sample_id", "left").withColumn(
+        "blocks", F.coalesce(F.col("blocks"), F.lit(1))
+    )
+
+
+def _packed(
+    carrying: DataFrame, samples: DataFrame, n_samples: int, unit: list[str], words: list[str]
+) -> DataFrame:
+    """One row per item and cell: the samples of the cell that carry the item, as bits."""
+    buckets = max(1, math.ceil(n_samples / _BUCKET))
+    in_bucket = Window.partitionBy("bucket", "in_case").orderBy("sample_id")
+    placed = (
+        samples.withColumn("bucket", F.pmod(F.xxhash64("sample_id"), F.lit(buckets)).cast("int"))
+        .withColumn("number", F.row_number().over(in_bucket) - 1)
+        .selectExpr("sample_id", "bucket", f"number div {CELL} AS cell", f"number % {CELL} AS place")
+    )
+
+    def word(k: int) -> Column:
+        bit = f"if(place div 64 = {k}, shiftleft(1L, place % 64), 0L)"
+        return F.bit_or(F.expr(bit)).alias(words[k])
+
+    cells = carrying.join(placed, "sample_id").groupBy("item", *unit)
+    return cells.agg(*[word(k) for k in range(len(words))])
+
+
 def pair_count(n: Column) -> Column:
     """Number of distinct pairs of n items."""
     return (n * (n - 1) / 2).cast("bigint")

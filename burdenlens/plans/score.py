@@ -1,19 +1,21 @@
 """Scoring: rank genes, variants or pairs of them by how they separate cases from controls.
 
-Each ranking is one lazy DataFrame plan. Group sizes and test counts are scalar subqueries over the
-same de-duplicated rows as the scores, so Spark scans and shuffles the calls once for all of them.
-P-values are computed after the ranking is cut: they do not decide the order, and only the rows
-that are returned need one.
+A ranking of genes or variants is one lazy DataFrame plan. Group sizes and test counts are scalar
+subqueries over the same de-duplicated rows as the scores, so Spark scans and shuffles the calls
+once for all of them. A ranking of pairs reads its rows several times more and stores them first,
+see :mod:`burdenlens.workspace`. P-values are computed after the ranking is cut: they do not decide
+the order, and only the rows that are returned need one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from burdenlens.functions import stats
 from burdenlens.operators import burden, cohorts, frequency, pairs
-from burdenlens.plans.spec import AnalysisSpec
+from burdenlens.plans.spec import DEFAULT_TOP, AnalysisSpec
+from burdenlens.workspace import stored
 
 
 def score(calls: DataFrame, spec: AnalysisSpec) -> DataFrame:
@@ -23,12 +25,7 @@ def score(calls: DataFrame, spec: AnalysisSpec) -> DataFrame:
     n_case, n_control, ntests`` and, for pairs, ``npairs``; best score first, ties by key.
     """
     rows, sizes = _prepare(calls, spec)
-    kept = rows
-    if _limited(spec):
-        kept = frequency.drop_frequent(
-            rows, sizes, spec.case_max_freq, spec.control_max_freq, spec.strict_freq
-        )
-    ranked = _rank(_count(kept, spec), sizes, spec)
+    ranked = _rank(_count(rows, sizes, spec), sizes, spec)
     tested = _with_pvalue(ranked, spec)
     tests = _tests(rows, spec)
     return tested.select(
@@ -63,6 +60,8 @@ def _prepare(calls: DataFrame, spec: AnalysisSpec) -> tuple[DataFrame, Column]:
         rows = burden.carriers(tagged, "gene_symbol")  # variants do not matter at all
     else:
         rows = cohorts.unique_calls(tagged)
+    if spec.scope == "digenic":
+        rows = stored(rows, "calls")
     if spec.cohort is None:
         roles = cohorts.sample_roles(rows)
     else:
@@ -72,70 +71,117 @@ def _prepare(calls: DataFrame, spec: AnalysisSpec) -> tuple[DataFrame, Column]:
     sizes = cohorts.group_sizes(roles, spec.on_overlap)
     if spec.on_overlap == "exclude":
         rows = cohorts.drop_overlap(rows, roles)
-    return rows, sizes.select(F.struct("n_case", "n_control")).scalar()
+    return rows, _one_value(sizes.select(F.struct("n_case", "n_control")), spec)
 
 
-def _count(rows: DataFrame, spec: AnalysisSpec) -> DataFrame:
-    """Totals per ranked item and group."""
+def _one_value(one: DataFrame, spec: AnalysisSpec) -> Column:
+    """The single value of a one-row table: a subquery of the ranking, or, where the rows are
+    stored and cheap to read, the value itself, which keeps the plan of a pair ranking small."""
+    if spec.scope == "monogenic":
+        return one.scalar()
+    (value,) = one.head()
+    if isinstance(value, Row):
+        return F.struct(*[F.lit(v).cast("bigint").alias(n) for n, v in value.asDict().items()])
+    return F.lit(value).cast("bigint")
+
+
+def _count(rows: DataFrame, sizes: Column, spec: AnalysisSpec) -> DataFrame:
+    """Totals per ranked item and group, of the variants within the frequency limits."""
+    limits = (spec.case_max_freq, spec.control_max_freq, spec.strict_freq)
+    if (spec.scope, spec.scale) == ("monogenic", "variant"):
+        return _count_variants(rows, sizes, spec, limits)
+    if _limited(spec):
+        rows = frequency.drop_frequent(rows, sizes, *limits)
     if spec.scope == "digenic":
         item = "gene_symbol" if spec.scale == "gene" else "variant_id"
         one, two = spec.key_columns
         if spec.scale == "variant":
             one, two = two, one  # pairs come larger first; variant pairs are reported smaller first
-        return pairs.shared_carriers(burden.carriers(rows, item), item, one, two)
-    if spec.scale == "variant":
-        if spec.effective_test == "ttest":
-            return burden.value_moments(rows, F.col("dose"), *spec.key_columns)
-        return burden.carrier_counts(rows, *spec.key_columns)
+        carrying = stored(burden.carriers(rows, item), "carriers")
+        return pairs.shared_carriers(carrying, item, one, two)
     if spec.effective_test == "ttest":
         burdens = burden.gene_burden(rows, spec.burden)
         return burden.value_moments(burdens, F.col("burden"), "gene_symbol")
     return burden.carrier_counts(burden.carriers(rows, "gene_symbol"), "gene_symbol")
 
 
+def _count_variants(
+    rows: DataFrame, sizes: Column, spec: AnalysisSpec, limits: tuple
+) -> DataFrame:
+    """A variant's frequency and its totals come from the same rows: one aggregation, no join."""
+    by_dose = spec.effective_test == "ttest"
+    moments = burden.moments(F.col("dose")) if by_dose else []
+    carrying = burden.carrier_columns("n_carriers_case", "n_carriers_control")
+    counted = rows.groupBy(*spec.key_columns).agg(*moments, *carrying)
+    if not by_dose:
+        counted = counted.withColumns(
+            {"sum_case": F.col("n_carriers_case"), "sum_control": F.col("n_carriers_control")}
+        )
+    if _limited(spec):
+        shares = frequency.with_ratios(
+            counted, sizes, "n_carriers_case", "n_carriers_control"
+        )
+        counted = shares.where(~frequency.too_frequent(*limits)).select(*counted.columns)
+    return counted
+
+
 def _rank(counted: DataFrame, sizes: Column, spec: AnalysisSpec) -> DataFrame:
     scored = frequency.with_ratios(counted, sizes).withColumn(
         "score", F.col("ratio_case") - F.col("ratio_control")
     )
     if spec.effective_min_score is not None:
         scored = scored.where(F.col("score") > spec.effective_min_score)
-    ordered = scored.orderBy(F.desc("score"), *spec.key_columns)
-    return ordered if spec.top_k is None else ordered.limit(spec.top_k)
+    if spec.top_k is None:
+        return scored
+    return scored.orderBy(F.desc("score"), *spec.key_columns).limit(spec.top_k)
 
 
 def _with_pvalue(ranked: DataFrame, spec: AnalysisSpec) -> DataFrame:
+    counts = ["sum_case", "n_case", "sum_control", "n_control"]
     if spec.effective_test == "ttest":
+        counts += ["sumsq_case", "sumsq_control"]
         tail = stats.t_halved if spec.t_tail == "halved" else stats.t_greater
-        with_t = ranked.withColumn("t", stats.pooled_t())
-        return with_t.withColumn("pvalue", tail("t", "n_case + n_control - 2"))
-    counts = ["sum_case", "n_case", "sum_control", "n_control"]
-    pvalue = stats.fisher_greater(*counts, table=spec.fisher_table)
-    if spec.top_k is not None or spec.scope == "monogenic":
-        return ranked.withColumn("pvalue", pvalue)
-    # An uncut list of pairs is long but repeats few combinations of counts: test each once.
-    tables = ranked.select(*counts).distinct().withColumn("pvalue", pvalue)
-    return ranked.join(tables, counts, "left").orderBy(F.desc("score"), *spec.key_columns)
+
+        def tested(df: DataFrame) -> DataFrame:
+            with_t = df.withColumn("t", stats.pooled_t())
+            return with_t.withColumn("pvalue", tail("t", "n_case + n_control - 2")).drop("t")
+    else:
+
+        def tested(df: DataFrame) -> DataFrame:
+            return df.withColumn(
+                "pvalue", stats.fisher_greater(*counts, table=spec.fisher_table)
+            )
+
+    if spec.top_k is not None:
+        return tested(ranked)
+    # An uncut list is long but repeats few combinations of counts: each is tested once, spread
+    # over all cores, as a test costs far more than its few bytes let adaptive execution expect.
+    cores = ranked.sparkSession.sparkContext.defaultParallelism
+    tables = tested(ranked.select(*counts).distinct().repartition(cores, *counts))
+    same = [F.col(c).eqNullSafe(F.col(f"tested_{c}")) for c in counts]
+    tables = tables.withColumnsRenamed({c: f"tested_{c}" for c in counts})
+    return ranked.join(tables, same, "left").orderBy(F.desc("score"), *spec.key_columns)
 
 
 def _tests(rows: DataFrame, spec: AnalysisSpec) -> dict[str, Column]:
     """Number of tests of the analysis, before any frequency limit."""
     if spec.scope == "monogenic":
-        return {"ntests": _distinct_count(rows, spec.key_columns)}
+        return {"ntests": _one_value(_distinct_count(rows, spec.key_columns), spec)}
     item = "gene_symbol" if spec.scale == "gene" else "variant_id"
-    n = _distinct_count(rows, [item])
+    n = _one_value(_distinct_count(rows, [item]), spec)
     return {"ntests": pairs.pair_tests(n), "npairs": pairs.pair_count(n)}
 
 
-def _distinct_count(rows: DataFrame, keys: list[str]) -> Column:
-    return rows.select(*keys).distinct().agg(F.count("*")).scalar()
+def _distinct_count(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.select(*keys).distinct().agg(F.count("*"))
 
 
 def number_of_tests(calls: DataFrame, spec: AnalysisSpec) -> DataFrame:
     """One row: group sizes and the number of tests of every mode over the same rows."""
     rows, sizes = _prepare(calls, spec)
-    genes = _distinct_count(rows, ["gene_symbol"])
-    variants = _distinct_count(rows, ["variant_id", "gene_symbol"])
-    ids = _distinct_count(rows, ["variant_id"])
+    genes = _distinct_count(rows, ["gene_symbol"]).scalar()
+    variants = _distinct_count(rows, ["variant_id", "gene_symbol"]).scalar()
+    ids = _distinct_count(rows, ["variant_id"]).scalar()
     return calls.sparkSession.range(1).select(
         sizes["n_case"].alias("n_case"),
         sizes["n_control"].alias("n_control"),
@@ -177,8 +223,8 @@ def count_difference(
     return ranked if top_k is None else ranked.limit(top_k)
 
 
-def with_rank(ranking: DataFrame, *keys: str) -> DataFrame:
-    """Position in a ranking that was cut to its top rows."""
-    return ranking.withColumn(
-        "rank", F.row_number().over(Window.orderBy(F.desc("score"), *keys))
-    )
+def with_rank(ranking: DataFrame, *keys: str, top_k: int = DEFAULT_TOP) -> DataFrame:
+    """The top rows of a ranking with their position. Numbering takes one task, hence the cut."""
+    order = [F.desc("score"), *keys]
+    top = ranking.orderBy(*order).limit(top_k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))

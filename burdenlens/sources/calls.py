@@ -60,13 +60,15 @@ def register(calls: DataFrame, name: str = "variants") -> DataFrame:
     return calls
 
 
-def write_calls(calls: DataFrame, path: str, by_chromosome: bool = True) -> None:
-    """Store a call table as Parquet, by default in one directory per chromosome.
+def write_calls(calls: DataFrame, path: str) -> None:
+    """Store a call table as Parquet in one directory per chromosome.
 
-    Rows are clustered by gene within a file, so a gene panel or a drill-down skips row groups.
+    Rows are rebalanced by chromosome, so adaptive execution writes files of even size however
+    unequal the chromosomes are, and sorted by gene within a file, so a gene panel or a drill-down
+    skips row groups.
     """
-    writer = calls.sortWithinPartitions("chr", "gene_symbol").write.mode("overwrite")
-    (writer.partitionBy("chr") if by_chromosome else writer).parquet(path)
+    balanced = calls.hint("rebalance", "chr").sortWithinPartitions("chr", "gene_symbol", "pos")
+    balanced.write.mode("overwrite").partitionBy("chr").parquet(path)
 
 
 def read_gene_list(spark: SparkSession, path: str) -> DataFrame:

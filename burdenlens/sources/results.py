@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from burdenlens.operators.cohorts import sample_roles, tag_groups
 from burdenlens.plans.spec import AnalysisSpec
 
+#: A document, being one text, lists at most so many samples.
+MAX_DOCUMENT_SAMPLES = 100_000
+
 STATISTICS = ["score", "pvalue", "ratio_case", "ratio_control", "sum_case", "sum_control"]
 
 
@@ -94,8 +97,9 @@ def document_text(
 ) -> DataFrame:
     """The document of an analysis, one row ``value``.
 
-    A document is one text by definition: the ranking must be cut to its top rows. Sample lists of
-    any length belong in :func:`write_analysis`.
+    A document is one text by definition, with all sample ids in it. So the ranking must be cut to
+    its top rows, and the query fails beyond ``MAX_DOCUMENT_SAMPLES`` samples;
+    :func:`write_analysis` saves analyses of any size.
     """
     if spec.top_k is None:
         raise ValueError("a document holds a ranking that was cut to its top rows")
@@ -120,8 +124,11 @@ def document_text(
         listed = F.sort_array(F.collect_list(F.when(wanted, F.col("sample_id"))))
         return F.to_json(listed)
 
-    lists = samples.agg(
-        ids(F.col("is_case")).alias("case_ids"), ids(~F.col("is_case")).alias("control_ids")
+    too_many = F.raise_error(F.lit("too many samples for a document, use write_analysis"))
+    fits = F.when(F.count("*") > MAX_DOCUMENT_SAMPLES, too_many.cast("string"))
+    lists = samples.limit(MAX_DOCUMENT_SAMPLES + 1).agg(
+        F.coalesce(fits, ids(F.col("is_case"))).alias("case_ids"),
+        ids(~F.col("is_case")).alias("control_ids"),
     )
 
     def quoted(value: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -21,3 +21,14 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
             raise ValueError(f"set {_SETTING} to a folder all executors share")
         shared = tempfile.mkdtemp(prefix="burdenlens-")
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows of a DataFrame as a table written below the shared folder.
+
+    Cuts the lineage: later steps read the table again instead of computing it again, also after
+    executors are lost.
+    """
+    path = new_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -384,9 +384,13 @@ ORACLE["sample_overlap"] = with_calls(
     f"""SELECT sample_id FROM calls WHERE {HIGH} INTERSECT SELECT sample_id FROM calls WHERE {LOW}"""
 )
 ORACLE["group_sizes"] = with_calls("SELECT * FROM size", *grouped(CASE, CONTROL))
-ORACLE["sample_list_text"] = f"""WITH {PHENOTYPES}
-SELECT "Pathology", string_agg("Sample_ID", ' , ' ORDER BY "Sample_ID") AS sample_ids
-FROM phenotypes GROUP BY "Pathology" """
+ORACLE["sample_list_text"] = f"""WITH {PHENOTYPES},
+dealt AS (
+  SELECT "Pathology", "Sample_ID", cast('0x' || substr(md5("Sample_ID"), 1, 8) AS bigint)
+    % cast(ceil(count(*) OVER (PARTITION BY "Pathology") / 100.0) AS bigint) AS part
+  FROM phenotypes)
+SELECT "Pathology", part, string_agg("Sample_ID", ' , ' ORDER BY "Sample_ID") AS sample_ids
+FROM dealt GROUP BY "Pathology", part"""
 ORACLE["stacked_groups"] = with_calls(
     f"""SELECT is_case, gene_symbol, count(*) AS n_calls FROM (
   SELECT *, true AS is_case FROM calls WHERE {CASE}
@@ -420,7 +424,7 @@ ORACLE["demo_cohort"] = f"""WITH {PHENOTYPES}
 SELECT "Data_Source", "Sample_ID", "Pathology", "Gender", "Super_Population" FROM (
   SELECT *, row_number() OVER (PARTITION BY "Super_Population" ORDER BY "Sample_ID") AS n
   FROM phenotypes
-  WHERE "Data_Source" = 'EUROPE' AND "Super_Population" IN ('FRANCE', 'GERMANY'))
+  WHERE "Data_Source" = 'EUROPE' AND "Super_Population" IN ('NATION_3', 'NATION_8'))
 WHERE n <= 25"""
 ORACLE["blanked_population"] = f"""WITH {PHENOTYPES}
 SELECT "Data_Source", "Sample_ID", "Pathology", "Gender",

@@ -166,8 +166,8 @@ def ntests(spark, sf_dir):
 
 @query
 def ranked_positions(spark, sf_dir):
-    spec = AnalysisSpec("ranked", CASE, CONTROL, top_k=50)
-    ranks = with_rank(score(order_calls(spark, sf_dir), spec), "gene_symbol")
+    spec = AnalysisSpec("ranked", CASE, CONTROL)
+    ranks = with_rank(score(order_calls(spark, sf_dir), spec), "gene_symbol", top_k=50)
     return ranks.select("rank", "gene_symbol", "score")
 
 
@@ -257,9 +257,7 @@ def group_sizes(spark, sf_dir):
 @query
 def sample_list_text(spark, sf_dir):
     phenotypes = customer_phenotypes(spark, sf_dir)
-    return phenotypes.groupBy("Pathology").agg(
-        keys.sample_list_text("Sample_ID").alias("sample_ids")
-    )
+    return cohorts.sample_list_text(phenotypes, ["Pathology"], "Sample_ID", per_text=100)
 
 
 @query
@@ -327,7 +325,7 @@ def facet_values(spark, sf_dir):
 @query
 def demo_cohort(spark, sf_dir):
     return phenotype_io.first_per_population(
-        customer_phenotypes(spark, sf_dir), "EUROPE", ["FRANCE", "GERMANY"], 25
+        customer_phenotypes(spark, sf_dir), "EUROPE", ["NATION_3", "NATION_8"], 25
     )
 
 
