@@ -17,23 +17,19 @@ ALL = ("All", "")
 _SCHEMA = "Name string, SQL string"
 
 
-def read_group_file(spark: SparkSession, path: str) -> DataFrame:
-    """A tab-separated file of groups with header ``Name``, ``SQL``, values quoted."""
-    return _text(spark.read.option("header", True).schema(_SCHEMA)).csv(path)
+def _format(io):
+    return io.option("sep", "\t").option("header", True).option("quote", '"').option("escape", "\\")
 
 
-def _text(io):
-    # an empty predicate is stored as "" and must come back as the empty text
-    return io.option("sep", "\t").option("quote", '"').option("escape", "\\").option(
-        "emptyValue", ""
-    )
+def read_group_file(spark: SparkSession, path: str) -> DataFrame:
+    """A tab-separated file of groups with header ``Name``, ``SQL``, values quoted."""
+    groups = _format(spark.read).schema(_SCHEMA).csv(path)
+    return groups.select("Name", F.coalesce("SQL", F.lit("")).alias("SQL"))
 
 
 def _write(groups: DataFrame, path: str, snapshot: int) -> None:
     one_file = groups.select("Name", "SQL").coalesce(1).write.mode("overwrite")
-    _text(one_file.option("header", True).option("quoteAll", True)).csv(
-        f"{path}/snapshot={snapshot}"
-    )
+    _format(one_file).option("quoteAll", True).csv(f"{path}/snapshot={snapshot}")
 
 
 def _latest(spark: SparkSession, path: str) -> int:
