@@ -39,9 +39,19 @@ def carrier_columns(case: str = "sum_case", control: str = "sum_control") -> lis
     return [F.count_if("in_case").alias(case), F.count_if("in_control").alias(control)]
 
 
+def counted(rows: DataFrame, aggregates: list[Column], *item: str) -> DataFrame:
+    """Aggregates of rows per item. Rows are in a group, so no item has only zeros.
+
+    The condition says just that. It names every aggregate, so that a count of the items and the
+    scores of the items share one shuffle.
+    """
+    out = rows.groupBy(*item).agg(*aggregates)
+    return out.where(" + ".join(c for c in out.columns if c not in item) + " > 0")
+
+
 def carrier_counts(carrying: DataFrame, *item: str) -> DataFrame:
     """Carriers of each item per group, from one row per (item, sample)."""
-    return carrying.groupBy(*item).agg(*carrier_columns())
+    return counted(carrying, carrier_columns(), *item)
 
 
 def moments(value: Column) -> list[Column]:
@@ -60,4 +70,4 @@ def moments(value: Column) -> list[Column]:
 
 def value_moments(rows: DataFrame, value: Column, *item: str) -> DataFrame:
     """Sum and sum of squares of a value per item and group, from one row per (item, sample)."""
-    return rows.groupBy(*item).agg(*moments(value))
+    return counted(rows, moments(value), *item)

@@ -55,22 +55,20 @@ def filters_anything(max_case: float, max_control: float, strict: bool = False)
 
 def drop_frequent(
     genotypes: DataFrame,
-    sizes: Column,
+    frequencies: DataFrame,
     max_case: float,
     max_control: float,
     strict: bool = False,
 ) -> DataFrame:
     """Genotypes without the variants that are too common in either group.
 
-    The join is against the *rejected* variants: each of them is carried by a fixed share of a
-    group, so there are at most (calls per sample) / (limit) of them, far fewer than variants.
-    Spark broadcasts them where they fit; otherwise adaptive execution splits the rows of a
-    variant that fills a partition.
+    ``frequencies`` comes from :func:`variant_frequencies`. The join is against the *rejected*
+    variants: each of them is carried by a fixed share of a group, so there are at most
+    (calls per sample) / (limit) of them, far fewer than variants. Spark broadcasts them where
+    they fit; otherwise adaptive execution splits the rows of a variant that fills a partition.
     """
-    rejected = (
-        variant_frequencies(genotypes, sizes)
-        .where(too_frequent(max_case, max_control, strict))
-        .select(*[F.col(k).alias(f"rejected_{k}") for k in VARIANT_KEY])
+    rejected = frequencies.where(too_frequent(max_case, max_control, strict)).select(
+        *[F.col(k).alias(f"rejected_{k}") for k in VARIANT_KEY]
     )
     same = [F.col(k).eqNullSafe(F.col(f"rejected_{k}")) for k in VARIANT_KEY]
     return genotypes.join(rejected, same, "left_anti")

@@ -25,9 +25,8 @@ def score(calls: DataFrame, spec: AnalysisSpec) -> DataFrame:
     n_case, n_control, ntests`` and, for pairs, ``npairs``; best score first, ties by key.
     """
     rows, sizes = _prepare(calls, spec)
-    ranked = _rank(_count(rows, sizes, spec), sizes, spec)
-    tested = _with_pvalue(ranked, spec)
-    tests = _tests(rows, spec)
+    counted, tests = _count(rows, sizes, spec)
+    tested = _with_pvalue(_rank(counted, sizes, spec), spec)
     return tested.select(
         *spec.key_columns,
         "score",
@@ -85,44 +84,51 @@ def _one_value(one: DataFrame, spec: AnalysisSpec) -> Column:
     return F.lit(value).cast("bigint")
 
 
-def _count(rows: DataFrame, sizes: Column, spec: AnalysisSpec) -> DataFrame:
-    """Totals per ranked item and group, of the variants within the frequency limits."""
+def _count(
+    rows: DataFrame, sizes: Column, spec: AnalysisSpec
+) -> tuple[DataFrame, dict[str, Column]]:
+    """Totals per ranked item and group, of the variants within the frequency limits; and the
+    number of tests, which counts the items before any limit."""
     limits = (spec.case_max_freq, spec.control_max_freq, spec.strict_freq)
     if (spec.scope, spec.scale) == ("monogenic", "variant"):
-        return _count_variants(rows, sizes, spec, limits)
+        counted = _count_variants(rows, spec)
+        tests = {"ntests": counted.agg(F.count("*")).scalar()}
+        if _limited(spec):
+            names = ("n_carriers_case", "n_carriers_control")
+            shares = frequency.with_ratios(counted, sizes, *names)
+            counted = shares.where(~frequency.too_frequent(*limits)).select(*counted.columns)
+        return counted, tests
+    kept = rows
     if _limited(spec):
-        rows = frequency.drop_frequent(rows, sizes, *limits)
+        frequencies = frequency.variant_frequencies(rows, sizes)
+        kept = frequency.drop_frequent(rows, frequencies, *limits)
     if spec.scope == "digenic":
         item = "gene_symbol" if spec.scale == "gene" else "variant_id"
         one, two = spec.key_columns
         if spec.scale == "variant":
             one, two = two, one  # pairs come larger first; variant pairs are reported smaller first
-        carrying = stored(burden.carriers(rows, item), "carriers")
-        return pairs.shared_carriers(carrying, item, one, two)
+        n = _one_value(_distinct_count(rows, item), spec)
+        carrying = stored(burden.carriers(kept, item), "carriers")
+        tests = {"ntests": pairs.pair_tests(n), "npairs": pairs.pair_count(n)}
+        return pairs.shared_carriers(carrying, item, one, two), tests
     if spec.effective_test == "ttest":
-        burdens = burden.gene_burden(rows, spec.burden)
-        return burden.value_moments(burdens, F.col("burden"), "gene_symbol")
-    return burden.carrier_counts(burden.carriers(rows, "gene_symbol"), "gene_symbol")
+        burdens = burden.gene_burden(kept, spec.burden)
+        counted = burden.value_moments(burdens, F.col("burden"), "gene_symbol")
+    else:
+        counted = burden.carrier_counts(burden.carriers(kept, "gene_symbol"), "gene_symbol")
+    # whichever is there already: one row per gene, or per variant of all genes
+    genes = _distinct_count(frequencies if _limited(spec) else counted, "gene_symbol")
+    return counted, {"ntests": genes.scalar()}
 
 
-def _count_variants(
-    rows: DataFrame, sizes: Column, spec: AnalysisSpec, limits: tuple
-) -> DataFrame:
+def _count_variants(rows: DataFrame, spec: AnalysisSpec) -> DataFrame:
     """A variant's frequency and its totals come from the same rows: one aggregation, no join."""
-    by_dose = spec.effective_test == "ttest"
-    moments = burden.moments(F.col("dose")) if by_dose else []
     carrying = burden.carrier_columns("n_carriers_case", "n_carriers_control")
-    counted = rows.groupBy(*spec.key_columns).agg(*moments, *carrying)
-    if not by_dose:
-        counted = counted.withColumns(
-            {"sum_case": F.col("n_carriers_case"), "sum_control": F.col("n_carriers_control")}
-        )
-    if _limited(spec):
-        shares = frequency.with_ratios(
-            counted, sizes, "n_carriers_case", "n_carriers_control"
-        )
-        counted = shares.where(~frequency.too_frequent(*limits)).select(*counted.columns)
-    return counted
+    if spec.effective_test == "ttest":
+        totals = burden.moments(F.col("dose"))
+    else:
+        totals = burden.carrier_columns()
+    return burden.counted(rows, totals + carrying, *spec.key_columns)
 
 
 def _rank(counted: DataFrame, sizes: Column, spec: AnalysisSpec) -> DataFrame:
@@ -163,25 +169,16 @@ def _with_pvalue(ranked: DataFrame, spec: AnalysisSpec) -> DataFrame:
     return ranked.join(tables, same, "left").orderBy(F.desc("score"), *spec.key_columns)
 
 
-def _tests(rows: DataFrame, spec: AnalysisSpec) -> dict[str, Column]:
-    """Number of tests of the analysis, before any frequency limit."""
-    if spec.scope == "monogenic":
-        return {"ntests": _one_value(_distinct_count(rows, spec.key_columns), spec)}
-    item = "gene_symbol" if spec.scale == "gene" else "variant_id"
-    n = _one_value(_distinct_count(rows, [item]), spec)
-    return {"ntests": pairs.pair_tests(n), "npairs": pairs.pair_count(n)}
-
-
-def _distinct_count(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _distinct_count(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys).distinct().agg(F.count("*"))
 
 
 def number_of_tests(calls: DataFrame, spec: AnalysisSpec) -> DataFrame:
     """One row: group sizes and the number of tests of every mode over the same rows."""
     rows, sizes = _prepare(calls, spec)
-    genes = _distinct_count(rows, ["gene_symbol"]).scalar()
-    variants = _distinct_count(rows, ["variant_id", "gene_symbol"]).scalar()
-    ids = _distinct_count(rows, ["variant_id"]).scalar()
+    genes = _distinct_count(rows, "gene_symbol").scalar()
+    variants = _distinct_count(rows, "variant_id", "gene_symbol").scalar()
+    ids = _distinct_count(rows, "variant_id").scalar()
     return calls.sparkSession.range(1).select(
         sizes["n_case"].alias("n_case"),
         sizes["n_control"].alias("n_control"),

@@ -80,7 +80,8 @@ def test_frequency_limits(calls):
     )
 
     def kept(strict):
-        left = frequency.drop_frequent(rows, sizes.scalar(), 0.5, 0.5, strict)
+        frequencies = frequency.variant_frequencies(rows, sizes.scalar())
+        left = frequency.drop_frequent(rows, frequencies, 0.5, 0.5, strict)
         return {r["variant_id"].split(":")[1] for r in left.select("variant_id").collect()}
 
     assert kept(False) == {"2", "3", "5", "6"}

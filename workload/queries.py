@@ -197,7 +197,8 @@ def variant_frequency(spark, sf_dir):
 @query
 def variant_frequency_filter(spark, sf_dir):
     rows = cohorts.unique_calls(tagged(spark, sf_dir, ALL_CASE, ALL_CONTROL))
-    kept = frequency.drop_frequent(rows, sizes_of(rows), 0.01, 0.01)
+    frequencies = frequency.variant_frequencies(rows, sizes_of(rows))
+    kept = frequency.drop_frequent(rows, frequencies, 0.01, 0.01)
     return kept.groupBy("variant_id", "gene_symbol").agg(F.count("*").alias("n_carriers"))
 
 
