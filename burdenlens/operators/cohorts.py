@@ -143,7 +143,7 @@ def sample_list_text(
     sizes = distinct.groupBy(*by).agg(
         F.ceil(F.count("*") / per_text).cast("bigint").alias("texts")
     )
-    digest = F.conv(F.substring(F.md5("sample_id"), 1, 8), 16, 10).cast("bigint")
-    dealt = distinct.join(sizes, by).withColumn("part", F.pmod(digest, F.col("texts")))
+    number = F.conv(F.substring(F.md5("sample_id"), 1, 8), 16, 10).cast("bigint")
+    dealt = distinct.join(sizes, by).withColumn("part", F.pmod(number, F.col("texts")))
     listed = F.sort_array(F.collect_list("sample_id"))
     return dealt.groupBy(*by, "part").agg(F.array_join(listed, " , ").alias("sample_ids"))

@@ -8,15 +8,24 @@ from pyspark.sql import functions as F
 from burdenlens.schema import SCORING_SCHEMA, canonical_calls
 
 
-def read_calls(spark: SparkSession, path: str, binary_as_string: bool = True) -> DataFrame:
-    """A call table in Parquet. Old files keep their text as plain binary; it is read as text."""
-    key = "spark.sql.parquet.binaryAsString"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(binary_as_string).lower())
+# Old files keep their text as plain binary; and a chromosome that is a directory name has to stay
+# text, so that 01 does not become 1.
+_OPENING = {
+    "spark.sql.parquet.binaryAsString": "true",
+    "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
+}
+
+
+def read_calls(spark: SparkSession, path: str) -> DataFrame:
+    """A call table in Parquet, its text being text whatever the writer made of it."""
+    before = {name: spark.conf.get(name) for name in _OPENING}
     try:
+        for name, value in _OPENING.items():
+            spark.conf.set(name, value)
         return canonical_calls(spark.read.parquet(path))
     finally:
-        spark.conf.set(key, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def read_calls_csv(

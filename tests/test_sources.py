@@ -1,5 +1,7 @@
 import json
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest import CASES, CONTROLS
 from pyspark.sql import functions as F
@@ -16,17 +18,25 @@ def test_parquet_round_trip(spark, calls, tmp_path):
     path = str(tmp_path / "calls")
     call_io.write_calls(calls, path)
     back = call_io.read_calls(spark, path)
-    assert back.where("chr = 1").count() == calls.count()
+    assert dict(back.dtypes)["chr"] == "string"
+    assert back.where("chr = '1'").count() == calls.count()
     assert call_io.register(back, "kept_calls").count() == spark.table("kept_calls").count()
 
 
-def test_binary_text_is_read_as_text(spark, calls, tmp_path):
-    path = str(tmp_path / "binary")
-    calls.withColumn("gene_symbol", F.col("gene_symbol").cast("binary")).write.parquet(path)
-    # files of old writers lack the annotation that marks text
-    back = call_io.read_calls(spark, path)
-    genes = {r[0] for r in back.select(F.col("gene_symbol").cast("string")).distinct().collect()}
-    assert genes == {"G1", "G2", "G3", "G4"}
+def test_chromosome_names_stay_text(spark, calls, tmp_path):
+    path = str(tmp_path / "calls")
+    call_io.write_calls(calls.withColumn("chr", F.lit("01")), path)
+    assert {r[0] for r in call_io.read_calls(spark, path).select("chr").collect()} == {"01"}
+    assert spark.conf.get("spark.sql.parquet.binaryAsString") == "false"
+
+
+def test_binary_text_is_read_as_text(spark, tmp_path):
+    """Files of old writers lack the annotation that marks text."""
+    table = pa.table({"Sample_ID": pa.array([b"S1", b"S2"]), "gene_symbol": pa.array([b"G1", None])})
+    pq.write_table(table, tmp_path / "old.parquet", store_schema=False)
+    back = call_io.read_calls(spark, str(tmp_path))
+    assert back.dtypes == [("sample_id", "string"), ("gene_symbol", "string")]
+    assert back.where("gene_symbol = 'G1'").head()["sample_id"] == "S1"
 
 
 def test_csv_without_header(spark, calls, tmp_path):
