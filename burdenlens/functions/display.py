@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from burdenlens.functions.keys import variant_parts
+
 # Fixed values of the results table.
 TIME_ZONE = "Europe/Brussels"
 MAX_SHOWN = 15
@@ -49,6 +51,42 @@ def local_time(epoch_seconds: Column, zone: str = TIME_ZONE) -> Column:
     return F.date_format(local, "yyyy-MM-dd HH:mm:ss")
 
 
+# Names of the statistics in the results table.
+SHOWN_AS = {
+    "score": "Ratio_Difference",
+    "pvalue": "P_Value",
+    "ratio_case": "Ratio_Case",
+    "ratio_control": "Ratio_Control",
+    "sum_case": "Score_Case",
+    "sum_control": "Score_Control",
+}
+_VARIANT_PARTS = {"chr": "Chr", "pos": "Position", "ref": "Reference", "alt": "Alternative"}
+
+
+def results_table(ranking: DataFrame, links: bool = True) -> DataFrame:
+    """A ranking as people read it: numbers to three digits, variants in their parts, genes linked.
+
+    The sums are shown as they are. Works for every key of a ranking.
+    """
+    shown = []
+    for name, label in SHOWN_AS.items():
+        value = F.col(name)
+        if name == "pvalue":
+            value = scientific(value)
+        elif not name.startswith("sum"):
+            value = significant(value)
+        shown.append(value.alias(label))
+    for name in ranking.columns:
+        number = name[-1] if name[-1].isdigit() else ""
+        if name.startswith("gene_symbol"):
+            gene = gene_link(F.col(name)) if links else F.col(name)
+            shown.append(gene.alias(f"Gene_Symbol{number}"))
+        elif name.startswith("variant_id"):
+            parts = variant_parts(name)
+            shown += [parts[p].alias(label + number) for p, label in _VARIANT_PARTS.items()]
+    return ranking.select(*shown)
+
+
 def blank_nulls(df: DataFrame) -> DataFrame:
     """Every column as text with NULL shown as the empty string."""
     return df.select(

@@ -6,26 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ID_PARTS = ["chr", "pos", "ref", "alt"]
-
-
 def variant_id(chrom="chr", pos="pos", ref="ref", alt="alt") -> Column:
     """``chr:pos:ref:alt``; NULL when any part is NULL, so a half-known variant never matches."""
     parts = [F.col(c).cast("string") for c in (chrom, pos, ref, alt)]
     return F.concat(parts[0], F.lit(":"), parts[1], F.lit(":"), parts[2], F.lit(":"), parts[3])
 
 
+def variant_parts(column: str = "variant_id") -> dict[str, Column]:
+    """The four parts of a variant id."""
+    parts = F.split(F.col(column), ":")
+    return {
+        "chr": F.get(parts, 0),
+        "pos": F.get(parts, 1).try_cast("bigint"),
+        "ref": F.get(parts, 2),
+        "alt": F.get(parts, 3),
+    }
+
+
 def split_variant_id(df: DataFrame, column: str = "variant_id") -> DataFrame:
     """Put the four parts of a variant id next to it."""
-    parts = F.split(F.col(column), ":")
-    return df.withColumns(
-        {
-            "chr": F.get(parts, 0),
-            "pos": F.get(parts, 1).try_cast("bigint"),
-            "ref": F.get(parts, 2),
-            "alt": F.get(parts, 3),
-        }
-    )
+    return df.withColumns(variant_parts(column))
 
 
 def genotype_dose(calls: DataFrame, column: str = "zygosity") -> Column:

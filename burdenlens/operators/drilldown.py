@@ -14,21 +14,25 @@ def drill_down(
     calls: DataFrame,
     case: str | Column,
     control: str | Column | None,
-    genes: list[str] | DataFrame,
+    selection: list[str] | Column | DataFrame,
     case_name: str = "case",
     control_name: str = "control",
 ) -> DataFrame:
-    """All calls of both groups in the given genes, labelled with the name of their group.
+    """All calls of both groups in what was selected, labelled with the name of their group.
 
-    ``genes`` are the names of a selected gene or pair, which reach the scan as a filter, or a
-    DataFrame with one gene per row. A call that both predicates select comes out under each name.
+    The selection is the names of a gene or of the genes of a pair, or a condition such as one
+    variant (:func:`burdenlens.operators.filters.exact_variant`), both of which reach the scan as a
+    filter; or a DataFrame with one gene per row. A call that both predicates select comes out
+    under each name.
     """
     in_case, in_control = group_flags(case, control)
     rows = calls.where(in_case | in_control)
-    if isinstance(genes, DataFrame):
-        rows = keep_listed(rows, genes, "gene_symbol")
+    if isinstance(selection, DataFrame):
+        rows = keep_listed(rows, selection, "gene_symbol")
+    elif isinstance(selection, Column):
+        rows = rows.where(selection)
     else:
-        rows = rows.where(in_genes(genes))
+        rows = rows.where(in_genes(selection))
     labels = F.array_compact(
         F.array(F.when(in_control, F.lit(control_name)), F.when(in_case, F.lit(case_name)))
     )
@@ -39,9 +43,7 @@ def drill_down(
 def ranked_genes(ranking: DataFrame) -> DataFrame:
     """The genes of a ranking of genes or gene pairs, one per row."""
     columns = [c for c in ranking.columns if c.startswith("gene_symbol")]
-    return (
-        ranking.select(F.explode(F.array(*columns)).alias("gene_symbol")).distinct()
-    )
+    return ranking.select(F.explode(F.array(*columns)).alias("gene_symbol")).distinct()
 
 
 def case_control_counts(calls: DataFrame, case, control, key: Column, name: str) -> DataFrame:

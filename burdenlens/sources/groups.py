@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from burdenlens.operators.drilldown import drill_down
 from burdenlens.operators.filters import as_predicate
+from burdenlens.plans.spec import AnalysisSpec
 
 # Every store starts with the group of all rows.
 ALL = ("All", "")
@@ -82,3 +84,28 @@ def rows_of_group(df: DataFrame, groups: DataFrame, name: str) -> DataFrame:
     """Rows of a table that a saved group selects."""
     condition: Column | None = as_predicate(group_named(groups, name))
     return df if condition is None else df.where(condition)
+
+
+def analysis_of_groups(
+    groups: DataFrame, name: str, case_name: str, control_name: str | None, **options
+) -> AnalysisSpec:
+    """The analysis that compares two saved groups; see :class:`AnalysisSpec` for the options."""
+    control = None if control_name is None else group_named(groups, control_name)
+    return AnalysisSpec(
+        name,
+        group_named(groups, case_name),
+        control,
+        case_name=case_name,
+        control_name=control_name or "NULL",
+        **options,
+    )
+
+
+def drill_down_groups(
+    calls: DataFrame, groups: DataFrame, case_name: str, control_name: str | None, selection
+) -> DataFrame:
+    """The calls of two saved groups behind a selected item of their ranking."""
+    spec = analysis_of_groups(groups, "drill-down", case_name, control_name)
+    return drill_down(
+        calls, spec.case, spec.control, selection, spec.case_name, spec.control_name
+    )

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burdenlens.operators.cohorts import sample_roles, tag_groups
+from burdenlens.plans.score import score
 from burdenlens.plans.spec import AnalysisSpec
 
 #: A document, being one text, lists at most so many samples.
@@ -51,21 +54,17 @@ def analysed_samples(calls: DataFrame, spec: AnalysisSpec) -> DataFrame:
     return roles.select("sample_id", F.col("in_case").alias("is_case"))
 
 
-def write_analysis(
-    path: str,
-    ranking: DataFrame,
-    spec: AnalysisSpec,
-    samples: DataFrame,
-    start_epoch: float,
-    end_epoch: float,
-) -> None:
-    """Save an analysis as three tables below ``path``: scores, samples and analysis."""
-    ranking.write.mode("overwrite").parquet(f"{path}/scores")
-    samples.write.mode("overwrite").parquet(f"{path}/samples")
-    saved = ranking.sparkSession.read.parquet(f"{path}/scores")  # do not score again
-    analysis_row(saved, spec, start_epoch, end_epoch).write.mode("overwrite").parquet(
-        f"{path}/analysis"
-    )
+def run_analysis(calls: DataFrame, spec: AnalysisSpec, path: str) -> None:
+    """Score and save an analysis as three tables below ``path``: scores, samples and analysis.
+
+    The times of the analysis are those of computing and writing its scores.
+    """
+    start = time.time()
+    score(calls, spec).write.mode("overwrite").parquet(f"{path}/scores")
+    end = time.time()
+    analysed_samples(calls, spec).write.mode("overwrite").parquet(f"{path}/samples")
+    saved = calls.sparkSession.read.parquet(f"{path}/scores")  # do not score again
+    analysis_row(saved, spec, start, end).write.mode("overwrite").parquet(f"{path}/analysis")
 
 
 def read_analysis(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -99,7 +98,7 @@ def document_text(
 
     A document is one text by definition, with all sample ids in it. So the ranking must be cut to
     its top rows, and the query fails beyond ``MAX_DOCUMENT_SAMPLES`` samples;
-    :func:`write_analysis` saves analyses of any size.
+    :func:`run_analysis` saves analyses of any size.
     """
     if spec.top_k is None:
         raise ValueError("a document holds a ranking that was cut to its top rows")
@@ -124,7 +123,7 @@ def document_text(
         listed = F.sort_array(F.collect_list(F.when(wanted, F.col("sample_id"))))
         return F.to_json(listed)
 
-    too_many = F.raise_error(F.lit("too many samples for a document, use write_analysis"))
+    too_many = F.raise_error(F.lit("too many samples for a document, use run_analysis"))
     fits = F.when(F.count("*") > MAX_DOCUMENT_SAMPLES, too_many.cast("string"))
     lists = samples.limit(MAX_DOCUMENT_SAMPLES + 1).agg(
         F.coalesce(fits, ids(F.col("is_case"))).alias("case_ids"),

@@ -63,3 +63,22 @@ def test_annotation_keeps_unmatched_rows(spark):
     rows = spark.createDataFrame([("v1",), ("v2",)], "variant_id string")
     known = spark.createDataFrame([("v1", "rs1")], "variant_id string, dbsnp_id string")
     assert {tuple(r) for r in annotate(rows, known).collect()} == {("v1", "rs1"), ("v2", None)}
+
+
+def test_results_table(spark):
+    pair = spark.sql(
+        "SELECT 'G2' AS gene_symbol1, 'G1' AS gene_symbol2, 0.66666D AS score, 0.14285D AS pvalue,"
+        " 0.66666D AS ratio_case, 0D AS ratio_control, 2L AS sum_case, 0L AS sum_control"
+    )
+    shown = display.results_table(pair, links=False).head().asDict()
+    assert shown == {
+        "Ratio_Difference": "0.667", "P_Value": "1.43e-01", "Ratio_Case": "0.667",
+        "Ratio_Control": "0", "Score_Case": 2, "Score_Control": 0, "Gene_Symbol1": "G2",
+        "Gene_Symbol2": "G1",
+    }
+    assert display.results_table(pair).head()["Gene_Symbol1"].startswith("<a href=")
+    variant = pair.selectExpr(
+        "'1:5:A:C' AS variant_id", "gene_symbol1 AS gene_symbol", "* except (gene_symbol1, gene_symbol2)"
+    )
+    row = display.results_table(variant, links=False).head()
+    assert (row["Chr"], row["Position"], row["Reference"], row["Gene_Symbol"]) == ("1", 5, "A", "G2")

@@ -140,16 +140,28 @@ def test_group_file(spark, tmp_path):
 def test_analysis_tables(spark, calls, tmp_path):
     spec = AnalysisSpec("mine", CASES, CONTROLS, case_name="ill", control_name="well", **FREE)
     path = str(tmp_path / "analysis")
-    results.write_analysis(
-        path, score(calls, spec), spec, results.analysed_samples(calls, spec), 100.0, 112.344)
+    results.run_analysis(calls, spec, path)
     analysis, scores, samples = results.read_analysis(spark, path)
     row = analysis.head()
     assert (row["analysis_name"], row["n_case"], row["n_control"], row["ntests"]) == ("mine", 3, 4, 4)
-    assert (row["run_time"], row["n_results"], row["case_name"]) == (12.34, 2, "ill")
+    assert (row["n_results"], row["case_name"], row["control_name"]) == (2, "ill", "well")
+    assert row["start_time"] <= row["end_time"] and row["run_time"] > 0
     assert [r["gene_symbol"] for r in scores.orderBy(F.desc("score")).collect()] == ["G1", "G3"]
     assert samples.where("is_case").count() == 3
 
 
+def test_analysis_of_saved_groups(spark, calls):
+    saved = spark.createDataFrame(
+        [("All", ""), ("ill", CASES), ("well", CONTROLS)], "Name string, SQL string")
+    spec = groups.analysis_of_groups(saved, "t", "ill", "well", **FREE)
+    assert (spec.case, spec.control, spec.control_name) == (CASES, CONTROLS, "well")
+    assert [r["gene_symbol"] for r in score(calls, spec).collect()] == ["G1", "G3"]
+    assert groups.analysis_of_groups(saved, "t", "ill", None).control is None
+    rows = groups.drill_down_groups(calls, saved, "ill", "well", F.col("pos") == 6)
+    assert sorted((r["Group"], r["sample_id"]) for r in rows.collect()) == [
+        ("ill", "A3"), ("well", "B3"), ("well", "B4")]
+
+
 # One document of each stored layout, with invented names.
 DOCUMENTS = {
     "first": ["other name", "gene", "monogenic", 1454251773.98, 1454252028.54, 254.558,

@@ -525,16 +525,21 @@ def three_digits(x: str) -> str:
     return f"regexp_replace(format('{{:.{{}}f}}', {x}, cast({places} AS int)), '\\.?0+$', '')"
 
 
-ORACLE["display_format"] = with_calls(
-    f"""SELECT gene_symbol, '<a href=''http://www.ncbi.nlm.nih.gov/omim/?term=' || gene_symbol
-    || ''' target=''_blank''>' || gene_symbol || '</a>' AS gene_link,
-  CASE WHEN length(gene_symbol) > 15 THEN substr(gene_symbol, 1, 11) || '...' ELSE gene_symbol END
-    AS short_name,
-  {three_digits('score')} AS ratio_difference, format('{{:.2e}}', pvalue) AS p_value,
-  {three_digits('ratio_case')} AS ratio_case
-FROM (SELECT *, {fisher()} FROM ranked WHERE score > 0 ORDER BY score DESC, gene_symbol LIMIT 1000)""",
-    *TOP_GENES,
-)
+def shown(pvalue: str = "pvalue") -> str:
+    return f"""{three_digits('score')} AS "Ratio_Difference", format('{{:.2e}}', {pvalue}) AS "P_Value",
+  {three_digits('ratio_case')} AS "Ratio_Case", {three_digits('ratio_control')} AS "Ratio_Control",
+  sum_case AS "Score_Case", sum_control AS "Score_Control" """
+
+
+LINK = """replace('<a href="http://www.ncbi.nlm.nih.gov/omim/?term=' || gene_symbol
+  || '" target="_blank">' || gene_symbol || '</a>', '"', chr(39))"""
+ORACLE["display_format"] = f"""SELECT {shown()}, link AS "Gene_Symbol",
+  CASE WHEN length(link) > 15 THEN substr(link, 1, 11) || '...' ELSE link END AS "Short_Link"
+FROM (SELECT *, {LINK} AS link FROM ({gene_fisher()}))"""
+ORACLE["display_variants"] = f"""SELECT {shown()}, split_part(variant_id, ':', 1) AS "Chr",
+  cast(split_part(variant_id, ':', 2) AS bigint) AS "Position",
+  split_part(variant_id, ':', 3) AS "Reference", split_part(variant_id, ':', 4) AS "Alternative",
+  gene_symbol AS "Gene_Symbol" FROM ({variant_t(CASE, CONTROL, "LIMIT 100")})"""
 ORACLE["local_times"] = """SELECT o_orderkey, strftime(timezone('Europe/Brussels', timezone('UTC',
   o_orderdate + to_hours(cast(o_orderkey % 24 AS int)))), '%Y-%m-%d %H:%M:%S') AS local_time
 FROM orders"""
@@ -542,14 +547,26 @@ FROM orders"""
 # --- drill-down ---------------------------------------------------------------------------------
 
 
-def drilled(condition: str, *ctes: str) -> str:
+def drilled(
+    condition: str,
+    *ctes: str,
+    case: str = CASE,
+    control: str = CONTROL,
+    names: tuple[str, str] = ("building", "machinery"),
+) -> str:
     return with_calls(
-        f"""SELECT 'machinery' AS "Group", {BROWSE} FROM calls WHERE ({CONTROL}) AND {condition}
-UNION ALL SELECT 'building' AS "Group", {BROWSE} FROM calls WHERE ({CASE}) AND {condition}""",
+        f"""SELECT '{names[1]}' AS "Group", {BROWSE} FROM calls WHERE ({control}) AND {condition}
+UNION ALL SELECT '{names[0]}' AS "Group", {BROWSE} FROM calls WHERE ({case}) AND {condition}""",
         *ctes,
     )
 
 
+ORACLE["drilldown_variant"] = drilled(
+    "chr = 'chr5' AND pos = 26 AND ref = 'G' AND alt = 'T'", case=ALL_CASE, control=ALL_CONTROL
+)
+ORACLE["drilldown_saved_groups"] = drilled(
+    "gene_symbol = 'Brand#12/SMALL'", names=("building_rare", "machinery_rare")
+)
 ORACLE["drilldown_gene"] = drilled("gene_symbol = 'Brand#12/SMALL'")
 ORACLE["drilldown_pair"] = drilled(
     "(gene_symbol = 'Brand#12/SMALL' OR gene_symbol = 'Brand#21/LARGE')"
@@ -586,9 +603,10 @@ ORACLE["group_store"] = with_calls(
 UNION ALL SELECT 'building_rare', count(*) FROM calls WHERE {CASE}
 UNION ALL SELECT 'samples', count(*) FROM calls WHERE {SAMPLE_TEXT_EXPANDED}"""
 )
+ORACLE["saved_group_ranking"] = gene_fisher()
 ORACLE["results_roundtrip"] = (
     "SELECT r.*, 'saved' AS analysis_name, 'building' AS case_name, 'machinery' AS control_name,"
-    " 12.34::double AS run_time, n_case AS listed_case, n_control AS listed_control"
+    " count(*) OVER () AS n_results, n_case AS listed_case, n_control AS listed_control"
     f" FROM ({gene_fisher()}) r"
 )
 

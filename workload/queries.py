@@ -509,17 +509,19 @@ def pair_keys(spark, sf_dir):
 @query
 def display_format(spark, sf_dir):
     spec = AnalysisSpec("display", CASE, CONTROL)
-    shown = score(order_calls(spark, sf_dir), spec)
-    return shown.select(
-        "gene_symbol",
-        display.gene_link(F.col("gene_symbol")).alias("gene_link"),
-        display.shorten(F.col("gene_symbol")).alias("short_name"),
-        display.significant(F.col("score")).alias("ratio_difference"),
-        display.scientific(F.round("pvalue", 6)).alias("p_value"),
-        display.significant(F.col("ratio_case")).alias("ratio_case"),
+    ranked = rounded(score(order_calls(spark, sf_dir), spec))
+    return display.results_table(ranked).withColumn(
+        "Short_Link", display.shorten(F.col("Gene_Symbol"))
     )
 
 
+@query
+def display_variants(spark, sf_dir):
+    spec = AnalysisSpec("display", CASE, CONTROL, scale="variant", top_k=100)
+    ranked = rounded(score(order_calls(spark, sf_dir), spec))
+    return display.results_table(ranked, links=False)
+
+
 @query
 def local_times(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -546,6 +548,26 @@ def drilldown_pair(spark, sf_dir):
     )
 
 
+@query
+def drilldown_variant(spark, sf_dir):
+    wanted = filters.exact_variant("chr5", 26, "G", "T")
+    return drilldown.drill_down(
+        order_calls(spark, sf_dir), ALL_CASE, ALL_CONTROL, wanted, "building", "machinery"
+    )
+
+
+@query
+def drilldown_saved_groups(spark, sf_dir):
+    """By the names of two saved groups, as a results explorer does it."""
+    return group_io.drill_down_groups(
+        order_calls(spark, sf_dir),
+        saved_groups(spark),
+        "building_rare",
+        "machinery_rare",
+        ["Brand#12/SMALL"],
+    )
+
+
 @query
 def drilldown_ranking(spark, sf_dir):
     """The calls behind the ten best genes."""
@@ -640,15 +662,30 @@ def group_store(spark, sf_dir):
     return out
 
 
+def saved_groups(spark) -> DataFrame:
+    path = new_folder(spark, "groups")
+    group_io.create_store(spark, path)
+    group_io.save_groups(spark, path, spark.createDataFrame(SAVED, "Name string, SQL string"))
+    return group_io.load_groups(spark, path)
+
+
+@query
+def saved_group_ranking(spark, sf_dir):
+    """The analysis of two saved groups."""
+    spec = group_io.analysis_of_groups(
+        saved_groups(spark), "saved", "building_rare", "machinery_rare"
+    )
+    return rounded(score(order_calls(spark, sf_dir), spec))
+
+
 @query
 def results_roundtrip(spark, sf_dir):
     calls = order_calls(spark, sf_dir)
     spec = AnalysisSpec("saved", CASE, CONTROL, case_name="building", control_name="machinery")
     path = new_folder(spark, "analysis")
-    samples = results.analysed_samples(calls, spec)
-    results.write_analysis(path, score(calls, spec), spec, samples, 1.5e9, 1.5e9 + 12.344)
+    results.run_analysis(calls, spec, path)
     analysis, scores, listed = results.read_analysis(spark, path)
-    about = F.struct("analysis_name", "case_name", "control_name", "run_time")
+    about = F.struct("analysis_name", "case_name", "control_name", "n_results")
     counts = F.struct(
         F.count_if("is_case").alias("listed_case"),
         F.count_if(~F.col("is_case")).alias("listed_control"),
