@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,37 @@ SPLIT_ABOVE = 1024
 _BUCKET = 16 * CELL
 
 
+class Extent(NamedTuple):
+    """Counts of a table of (item, sample) rows."""
+
+    samples: int
+    items: int
+    most: int  # items of one sample
+    by_sample: float  # rows a join sample by sample forms, twice that
+    by_cell: float  # the same, at most, for packed samples
+
+    @property
+    def to_form(self) -> float:
+        """Rows the cheaper way forms, about."""
+        return min(self.by_sample, self.by_cell) / 2
+
+
+def measure(carrying: DataFrame, item: str) -> Extent:
+    """The extent of a stored table, by two small aggregations."""
+    n_items = F.col("n_items")
+    samples, most, squares = (
+        _items_per_sample(carrying)
+        .agg(
+            F.count("*"),
+            F.coalesce(F.max(n_items), F.lit(0)),
+            F.coalesce(F.sum(n_items.cast("double") * n_items), F.lit(0.0)),
+        )
+        .head()
+    )
+    items = carrying.select(item).distinct().count()
+    return Extent(samples, items, most, squares, (samples / CELL + 2.0) * items * items)
+
+
 def shared_carriers(
     carrying: DataFrame,
     item: str,
@@ -23,6 +55,7 @@ def shared_carriers(
     second: str,
     packed: bool | None = None,
     split_above: int = SPLIT_ABOVE,
+    extent: Extent | None = None,
 ) -> DataFrame:
     """Number of samples per group that carry both members of a pair.
 
@@ -36,8 +69,8 @@ def shared_carriers(
     * Where samples carry a large part of all items, joining sample by sample would form each pair
       once per common carrier. There, 512 samples of a group are packed into one cell, one bit
       each: a pair is then formed once per cell and its common carriers are counted by
-      ``bit_count(a & b)``. Counts of the table tell which way forms fewer rows; ``packed`` forces
-      one.
+      ``bit_count(a & b)``. The extent of the table (see :func:`measure`) tells which way forms
+      fewer rows; ``packed`` forces one.
     * A sample or cell with many items is cut into blocks of about ``split_above`` items and
       joined block by block, under the key (sample, block of the first, block of the second). One
       sample holding a large part of all rows is thus worked on by many tasks, and no pair is lost
@@ -46,25 +79,20 @@ def shared_carriers(
     carrying = carrying.select(
         F.coalesce(F.col(item), F.lit("")).alias("item"), "sample_id", "in_case"
     )
-    samples = carrying.groupBy("sample_id", "in_case").agg(F.count("*").alias("n_items"))
-    n_samples, by_sample, most = samples.agg(
-        F.count("*"),
-        F.coalesce(F.sum(F.col("n_items").cast("double") * F.col("n_items")), F.lit(0.0)),
-        F.coalesce(F.max("n_items"), F.lit(0)),
-    ).head()
-    n_items = carrying.select("item").distinct().count()
+    samples = _items_per_sample(carrying)
+    extent = extent or measure(carrying, "item")
     if packed is None:
-        packed = (n_samples / CELL + 2) * n_items**2 < by_sample
+        packed = extent.by_cell < extent.by_sample
     if packed:
         unit = ["in_case", "bucket", "cell"]
         words = [f"w{k}" for k in range(WORDS)]
-        rows = _packed(carrying, samples, n_samples, unit, words)
-        blocks = F.lit(max(1, math.ceil(n_items / split_above)))
+        rows = _packed(carrying, samples, extent.samples, unit, words)
+        blocks = F.lit(max(1, math.ceil(extent.items / split_above)))
         common = F.expr(" + ".join(f"bit_count(a_{w} & b_{w})" for w in words))
     else:
         unit, words, rows = ["sample_id", "in_case"], [], carrying
         blocks, common = F.lit(1), F.lit(1)
-        if most > split_above:
+        if extent.most > split_above:
             rows, blocks = _with_blocks(rows, samples, split_above), F.col("blocks")
     block = F.pmod(F.xxhash64("item"), blocks).cast("int")
     every = F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1))
@@ -98,6 +126,10 @@ def shared_carriers(
     )
 
 
+def _items_per_sample(carrying: DataFrame) -> DataFrame:
+    return carrying.groupBy("sample_id", "in_case").agg(F.count("*").alias("n_items"))
+
+
 def _with_blocks(rows: DataFrame, samples: DataFrame, split_above: int) -> DataFrame:
     """Number of blocks of each sample, more than one where it has many items."""
     many = samples.where(F.col("n_items") > split_above).select(

@@ -14,9 +14,15 @@ from pyspark.sql import functions as F
 
 from burdenlens.functions import stats
 from burdenlens.operators import burden, cohorts, frequency, pairs
+from burdenlens.operators.filters import keep_listed
 from burdenlens.plans.spec import DEFAULT_TOP, AnalysisSpec
 from burdenlens.workspace import stored
 
+#: A ranking that would form more pairs than this first leaves out items that cannot be in it ...
+PRUNE_ABOVE = 1_000_000_000
+#: ... by what the pairs of so many leading items reach.
+LEADING = 1000
+
 
 def score(calls: DataFrame, spec: AnalysisSpec) -> DataFrame:
     """The ranking of an analysis.
@@ -108,9 +114,13 @@ def _count(
         if spec.scale == "variant":
             one, two = two, one  # pairs come larger first; variant pairs are reported smaller first
         n = _one_value(_distinct_count(rows, item), spec)
-        carrying = stored(burden.carriers(kept, item), "carriers")
         tests = {"ntests": pairs.pair_tests(n), "npairs": pairs.pair_count(n)}
-        return pairs.shared_carriers(carrying, item, one, two), tests
+        carrying = stored(burden.carriers(kept, item), "carriers")
+        extent = pairs.measure(carrying, item)
+        if spec.top_k is not None and extent.to_form > PRUNE_ABOVE:
+            carrying = stored(_hopeful(carrying, item, sizes, spec.top_k), "hopeful")
+            extent = pairs.measure(carrying, item)
+        return pairs.shared_carriers(carrying, item, one, two, extent=extent), tests
     if spec.effective_test == "ttest":
         burdens = burden.gene_burden(kept, spec.burden)
         counted = burden.value_moments(burdens, F.col("burden"), "gene_symbol")
@@ -121,6 +131,26 @@ def _count(
     return counted, {"ntests": genes.scalar()}
 
 
+def _hopeful(carrying: DataFrame, item: str, sizes: Column, top_k: int) -> DataFrame:
+    """Carriers of the items that can be part of one of the ``top_k`` best pairs.
+
+    No pair scores above the case share of either member: its case carriers carry both. The best
+    pairs among some leading items give a score that ``top_k`` pairs reach. An item with a smaller
+    case share than that is in none of the best pairs, so leaving it out changes no ranking.
+    """
+    alone = frequency.with_ratios(burden.carrier_counts(carrying, item), sizes)
+    by_score = F.desc(F.col("ratio_case") - F.col("ratio_control"))
+    leading = alone.orderBy(by_score, item).limit(LEADING).select(item)
+    few = stored(keep_listed(carrying, leading, item), "leading")
+    scored = _with_score(pairs.shared_carriers(few, item, "one", "two"), sizes)
+    best = scored.orderBy(F.desc("score")).limit(top_k).agg(F.count("*"), F.min("score"))
+    reached, least = best.head()
+    if reached < top_k:
+        return carrying
+    able = alone.where(F.col("ratio_case") >= least).select(F.col(item).alias("able"))
+    return carrying.join(able, F.col(item).eqNullSafe(F.col("able")), "left_semi")
+
+
 def _count_variants(rows: DataFrame, spec: AnalysisSpec) -> DataFrame:
     """A variant's frequency and its totals come from the same rows: one aggregation, no join."""
     carrying = burden.carrier_columns("n_carriers_case", "n_carriers_control")
@@ -131,10 +161,14 @@ def _count_variants(rows: DataFrame, spec: AnalysisSpec) -> DataFrame:
     return burden.counted(rows, totals + carrying, *spec.key_columns)
 
 
-def _rank(counted: DataFrame, sizes: Column, spec: AnalysisSpec) -> DataFrame:
-    scored = frequency.with_ratios(counted, sizes).withColumn(
+def _with_score(counted: DataFrame, sizes: Column) -> DataFrame:
+    return frequency.with_ratios(counted, sizes).withColumn(
         "score", F.col("ratio_case") - F.col("ratio_control")
     )
+
+
+def _rank(counted: DataFrame, sizes: Column, spec: AnalysisSpec) -> DataFrame:
+    scored = _with_score(counted, sizes)
     if spec.effective_min_score is not None:
         scored = scored.where(F.col("score") > spec.effective_min_score)
     if spec.top_k is None:

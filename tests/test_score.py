@@ -1,4 +1,5 @@
 import random
+import sys
 
 import brute
 import pytest
@@ -58,7 +59,7 @@ def test_genes(calls, table, p):
 @pytest.mark.parametrize("packed", [None, True, False])
 def test_gene_pairs(calls, packed, monkeypatch):
     shared = pairs.shared_carriers
-    monkeypatch.setattr(pairs, "shared_carriers", lambda *a: shared(*a, packed=packed))
+    monkeypatch.setattr(pairs, "shared_carriers", lambda *a, **k: shared(*a, packed=packed, **k))
     found = ranked(calls, scope="digenic", **FREE)
     keys = [(r["gene_symbol1"], r["gene_symbol2"]) for r in found]
     assert keys == [("G3", "G1"), ("G4", "G1"), ("G2", "G1"), ("G3", "G2")]
@@ -256,6 +257,34 @@ def test_packing_more_samples_than_a_cell_holds(spark):
     assert len(found) == 3
 
 
+@pytest.mark.parametrize("top_k", [1, 5, 40])
+@pytest.mark.parametrize("scale, part", [("gene", 0), ("variant", 1)])
+def test_leaving_out_hopeless_items_changes_no_ranking(spark, monkeypatch, top_k, scale, part):
+    plan = sys.modules["burdenlens.plans.score"]
+    monkeypatch.setattr(plan, "PRUNE_ABOVE", 0)
+    monkeypatch.setattr(plan, "LEADING", 7)
+    left = []
+    hopeful = plan._hopeful
+
+    def spied(*args):
+        left.append(hopeful(*args).count())
+        return hopeful(*args)
+
+    monkeypatch.setattr(plan, "_hopeful", spied)
+    rows = random_rows(11, samples=40, variants=60, genes=20, density=0.1)
+    found = ranked(
+        as_calls(spark, rows), scope="digenic", scale=scale, top_k=top_k, min_score=None, **FREE
+    )
+    # the brute-force order of pairs is by key, smaller member first where variants are paired
+    expected = as_brute(rows).pairs(part, 1.0, 1.0)[:top_k]
+    keys = [c for c in found[0].asDict() if c[-1] in "12"]
+    assert [(tuple(r[k] for k in keys), r["sum_case"], r["sum_control"]) for r in found] == [
+        (e[0], e[4], e[5]) for e in expected
+    ]
+    if top_k == 1:
+        assert left[0] < len({(g if part == 0 else v, s) for s, v, g, _ in rows})
+
+
 def test_uncut_pair_ranking(spark):
     rows = random_rows(6)
     found = ranked(as_calls(spark, rows), scope="digenic", scale="variant", top_k=None, **FREE)
