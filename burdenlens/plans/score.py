@@ -9,6 +9,8 @@ the order, and only the rows that are returned need one.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -209,7 +211,8 @@ def _distinct_count(rows: DataFrame, *keys: str) -> DataFrame:
 
 def number_of_tests(calls: DataFrame, spec: AnalysisSpec) -> DataFrame:
     """One row: group sizes and the number of tests of every mode over the same rows."""
-    rows, sizes = _prepare(calls, spec)
+    by_variant = replace(spec, scope="monogenic", scale="variant", test=None)
+    rows, sizes = _prepare(calls, by_variant)
     genes = _distinct_count(rows, "gene_symbol").scalar()
     variants = _distinct_count(rows, "variant_id", "gene_symbol").scalar()
     ids = _distinct_count(rows, "variant_id").scalar()

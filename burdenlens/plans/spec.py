@@ -32,7 +32,8 @@ class AnalysisSpec:
         Only scores above it are kept. ``'mode'`` (default): 0 for Fisher on genes and gene
         pairs, none otherwise. ``None``: keep all.
     top_k
-        Length of the ranking, ``None`` for all of it.
+        Length of the ranking, ``None`` for all of it. A cut ranking is merged in one task, as a
+        report is; ask for all of it rather than for millions of rows.
     on_overlap
         What to do about samples in both groups: ``'raise'`` or ``'exclude'``.
     cohort

@@ -113,8 +113,9 @@ def test_allele_t_test_on_genes(calls):
     assert g1["pvalue"] == pytest.approx(brute.t_halved([2, 2, 1], [1, 0, 0, 0]), rel=1e-11)
 
 
-def test_number_of_tests(calls):
-    row = number_of_tests(calls, AnalysisSpec("t", CASES, CONTROLS)).head().asDict()
+@pytest.mark.parametrize("options", [{}, FREE, {"scope": "digenic", **FREE}])
+def test_number_of_tests(calls, options):
+    row = number_of_tests(calls, AnalysisSpec("t", CASES, CONTROLS, **options)).head().asDict()
     assert row == {
         "n_case": 3, "n_control": 4, "tests_gene": 4, "tests_variant": 6, "tests_gene_pair": 10,
         "gene_pairs": 6, "tests_variant_pair": 21, "variant_pairs": 15,
@@ -336,7 +337,8 @@ def test_table_known_to_be_unique(spark, calls):
     unique = calls.groupBy("sample_id", "chr", "pos", "ref", "alt", "gene_symbol").agg(
         F.max("zygosity").alias("zygosity")
     )
-    assert ranked(unique, deduplicated=True) == ranked(calls)
+    for options in ({}, {"scale": "variant"}, {"scope": "digenic"}, {"test": "ttest"}):
+        assert ranked(unique, deduplicated=True, **options) == ranked(calls, **options)
 
 
 def test_scan_is_shared_and_pruned(spark, tmp_path):
