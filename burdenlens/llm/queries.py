@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from burdenlens.llm import shards
+from burdenlens.llm import bpe, shards
 from burdenlens.llm.common import documents
 
 
@@ -22,7 +24,22 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all texts and the bytes they stand for."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    coded = bpe.decode(bpe.encode(docs, ranks).select("doc_id", "ids"), ranks)
+    decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(decimal, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
+    "op9_bpe": op9_bpe,
     "op7_sharding": op7_sharding,
 }
 
