@@ -6,10 +6,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burdenlens.llm import bpe, shards
+from burdenlens.llm import bpe, pii, shards
 from burdenlens.llm.common import documents
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all texts."""
+    found = pii.detect(documents(spark, sf_dir).select("doc_id", "text"))
+
+    def joined(spans):
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+        )
+
+    base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE))
+    counts = [
+        F.size(F.filter("pii", lambda s, kind=kind: s["kind"] == kind))
+        .cast("long")
+        .alias(f"n_{kind}")
+        for kind in pii.BASE
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("pii")).alias("spans"),
+        F.coalesce(F.array_max("pii.score"), F.lit(0.0)).alias("top_score"),
+    )
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes."""
     placed = shards.shard(documents(spark, sf_dir), 24)
@@ -39,6 +64,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_pii": op4_pii,
     "op9_bpe": op9_bpe,
     "op7_sharding": op7_sharding,
 }
