@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tiktoken import Encoding
 
-from burdenlens.llm.common import pieces, utf8
+from burdenlens.llm.common import added, arrow, pieces, replaced, utf8
 
 #: Ranks of pairs sit above the position in a tree key.
 _SHIFT = 32
@@ -333,17 +333,6 @@ def _merger(ranks: dict[bytes, int]) -> Merger:
     return _mergers[key]
 
 
-def _with(frame: DataFrame, field: str) -> str:
-    """Schema of the frame with a field at the end; one of that name is replaced."""
-    name = field.split()[0]
-    return ", ".join([*(f"`{c}` {t}" for c, t in frame.dtypes if c.lower() != name), field])
-
-
-def _replaced(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
-    names = [n for n in batch.schema.names if n.lower() != name]
-    return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), column], [*names, name])
-
-
 def encode(frame: DataFrame, ranks: dict[bytes, int], text: str = "text") -> DataFrame:
     """The frame with ``ids array<int>``: the text's ids, without special tokens.
 
@@ -358,9 +347,9 @@ def encode(frame: DataFrame, ranks: dict[bytes, int], text: str = "text") -> Dat
             merger = merger or _merger(shared.value)
             ids, first = merger.encode(*utf8(piece.column(text)))
             column = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))
-            yield _replaced(piece, "ids", column)
+            yield replaced(piece, "ids", column)
 
-    return frame.mapInArrow(run, _with(frame, "ids array<int>"))
+    return arrow(frame, run, added(frame, "ids array<int>"))
 
 
 def decode(frame: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
@@ -400,6 +389,6 @@ def decode(frame: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataF
                     pa.py_buffer(blob[place].tobytes()),
                 ]
                 bytes_ = pa.Array.from_buffers(pa.binary(), part.num_rows, buffers)
-                yield _replaced(part, "decoded", bytes_)
+                yield replaced(part, "decoded", bytes_)
 
-    return frame.mapInArrow(run, _with(frame, "decoded binary"))
+    return arrow(frame, run, added(frame, "decoded binary"))

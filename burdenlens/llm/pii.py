@@ -14,8 +14,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from burdenlens.llm.bpe import _with
-from burdenlens.llm.common import pieces
+from burdenlens.llm.common import added, arrow, pieces
 
 #: Kinds of the base rule, in the order that breaks ties; the checksum kinds follow.
 BASE = ("email", "ip", "card", "phone")
@@ -137,7 +136,7 @@ def detect(frame: DataFrame, text: str = "text") -> DataFrame:
     replaced.
     """
     rest = [c for c in frame.columns if c.lower() not in (text.lower(), "pii")]
-    schema = _with(frame.select(*rest), FIELD)
+    schema = added(frame.select(*rest), FIELD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, text):
@@ -148,4 +147,4 @@ def detect(frame: DataFrame, text: str = "text") -> DataFrame:
             columns = [piece.column(c) for c in rest]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, _ARROW)], [*rest, "pii"])
 
-    return frame.select(*rest, text).mapInArrow(run, schema)
+    return arrow(frame.select(*rest, text), run, schema)

@@ -19,16 +19,14 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
         )
 
+    def count(kind):
+        own = F.filter("pii", lambda s: s["kind"] == kind)
+        return F.size(own).cast("long").alias(f"n_{kind}")
+
     base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE))
-    counts = [
-        F.size(F.filter("pii", lambda s, kind=kind: s["kind"] == kind))
-        .cast("long")
-        .alias(f"n_{kind}")
-        for kind in pii.BASE
-    ]
     return found.select(
         "doc_id",
-        *counts,
+        *map(count, pii.BASE),
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("pii")).alias("spans"),
         F.coalesce(F.array_max("pii.score"), F.lit(0.0)).alias("top_score"),
