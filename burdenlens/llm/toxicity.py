@@ -118,9 +118,9 @@ def _fit(rows: list[np.ndarray], label: np.ndarray, scale: np.ndarray, ridge: fl
     value = scale[column]
     wide = len(scale)
 
-    # either class weighs as much as the other, so that a score of 0.5 parts them evenly
-    share = max(label.mean(), 1e-9)
-    weight = np.where(label == 1, 0.5 / share, 0.5 / max(1 - share, 1e-9))
+    # the rarer class weighs more, by the root of its rarity
+    share = min(max(label.mean(), 1e-9), 1 - 1e-9) if len(label) else 0.5
+    weight = np.where(label == 1, (0.5 / share) ** 0.5, (0.5 / (1 - share)) ** 0.5)
 
     def times(w):
         return np.bincount(row, value * w[column], len(rows))
