@@ -135,3 +135,18 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             stop = min(max(fits, start + 1), batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
+
+
+def grams(words: Column, size: int = 5) -> Column:
+    """Hashes of all runs of ``size`` words in order; fewer words make one run, none make none.
+
+    ``words`` must be a plain column, as it is read for every run.
+    """
+
+    def run(start: Column) -> Column:
+        return F.xxhash64(*(F.get(words, start + k) for k in range(size)))
+
+    count = F.greatest(F.size(words) - size, F.lit(0))
+    return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), count), run)).otherwise(
+        F.array().cast("array<bigint>")
+    )

@@ -6,10 +6,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burdenlens.llm import bpe, chat, pii, shards, toxicity
+from burdenlens.llm import bpe, chat, decontaminate, pii, shards, toxicity, winnow
 from burdenlens.llm.common import documents
 
 
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and of their edited forms, with their likeness."""
+    printed = winnow.fingerprints(documents(spark, sf_dir))
+
+    def spelled(column):
+        return F.array_join(F.transform(column, lambda x: F.lower(F.hex(x))), " ")
+
+    return printed.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        spelled("print").alias("fingerprint"),
+        spelled("edited_print").alias("edited_fingerprint"),
+        winnow.likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
+        winnow.likeness(F.col("print"), F.col("next_print")).alias("near_next"),
+    )
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all texts."""
     found = pii.detect(documents(spark, sf_dir).select("doc_id", "text"))
@@ -47,6 +65,12 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(turns))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents contain."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.contained(documents(spark, sf_dir), items)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes."""
     placed = shards.shard(documents(spark, sf_dir), 24)
@@ -99,6 +123,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_winnowing": op3_winnowing,
+    "op6_decontamination": op6_decontamination,
     "op8_toxicity": op8_toxicity,
     "op5_chat": op5_chat,
     "op4_pii": op4_pii,
@@ -106,4 +132,19 @@ QUERIES = {
     "op7_sharding": op7_sharding,
 }
 
-ORACLE: dict[str, str] = {}
+#: Words of a text and its distinct runs of five words, as DuckDB says them.
+WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+ 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
+RUNS = """CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(
+ generate_series(1, greatest(len(w) - 4, 1)), i -> array_to_string(w[i:i+4], ' '))) END"""
+
+ORACLE: dict[str, str] = {
+    "op6_decontamination": f"""
+WITH d AS (SELECT doc_id, unnest({RUNS}) AS run FROM (SELECT doc_id, {WORDS} AS w FROM documents)),
+ b AS (SELECT item_id, len(runs) AS n_item, unnest(runs) AS run FROM
+  (SELECT item_id, {RUNS} AS runs FROM (SELECT item_id, {WORDS} AS w FROM benchmark)))
+SELECT doc_id, item_id, CAST(n_item AS BIGINT) AS n_item, count(*) AS n_shared,
+ count(*) / n_item AS containment
+FROM d JOIN b USING (run) GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 75 * n_item
+""",
+}
