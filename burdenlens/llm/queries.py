@@ -6,10 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burdenlens.llm import bpe, chat, decontaminate, pii, shards, toxicity, winnow
+from burdenlens.llm import bpe, chat, decontaminate, lines, pii, shards, toxicity, winnow
 from burdenlens.llm.common import documents
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later copies of runs of lines."""
+    kept = lines.dedup(documents(spark, sf_dir))
+    return kept.select("doc_id", "text", "n_lines", "n_deleted")
+
+
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all texts and of their edited forms, with their likeness."""
     printed = winnow.fingerprints(documents(spark, sf_dir))
@@ -123,6 +129,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_winnowing": op3_winnowing,
     "op6_decontamination": op6_decontamination,
     "op8_toxicity": op8_toxicity,
@@ -136,9 +143,30 @@ QUERIES = {
 WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
 RUNS = """CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(
- generate_series(1, greatest(len(w) - 4, 1)), i -> array_to_string(w[i:i+4], ' '))) END"""
+ generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i+4], ' '))) END"""
 
 ORACLE: dict[str, str] = {
+    "op2_line_dedup": r"""
+WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
+  generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+ c AS (SELECT doc_id, i, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
+ w AS (SELECT *, row_number() OVER d AS p, sum(n) OVER d AS upto, sum(n) OVER d - n AS before
+  FROM c WHERE n > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+ r AS (SELECT doc_id, p, count(*) OVER a AS m, list(line) OVER a AS run,
+   max(upto) OVER a - before AS words FROM w
+   WINDOW a AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+  UNION SELECT doc_id, min(p) OVER b, count(*) OVER b, list(line) OVER b, upto - min(before) OVER b
+   FROM w WINDOW b AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+ f AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, p) AS copy FROM r
+  WHERE words >= 50),
+ g AS (SELECT DISTINCT w.doc_id, w.i FROM f JOIN w ON w.doc_id = f.doc_id
+  AND w.p >= f.p AND w.p < f.p + f.m WHERE f.copy > 1),
+ s AS (SELECT c.doc_id, count(*) AS n_lines, count(g.i) AS n_deleted,
+  CASE WHEN count(g.i) = count(*) FILTER (c.n > 0) AND count(g.i) > 0 THEN ''
+   ELSE string_agg(c.line, chr(10) ORDER BY c.i) FILTER (g.i IS NULL) END AS text
+  FROM c LEFT JOIN g ON g.doc_id = c.doc_id AND g.i = c.i GROUP BY c.doc_id)
+SELECT doc_id, text, n_lines, n_deleted FROM s
+""",
     "op6_decontamination": f"""
 WITH d AS (SELECT doc_id, unnest({RUNS}) AS run FROM (SELECT doc_id, {WORDS} AS w FROM documents)),
  b AS (SELECT item_id, len(runs) AS n_item, unnest(runs) AS run FROM
