@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burdenlens.llm import bpe, chat, decontaminate, lines, pii, shards, toxicity, winnow
+from burdenlens.llm import bpe, chat, decontaminate, jaccard, lines, pii, shards, toxicity, winnow
 from burdenlens.llm.common import documents
 
 
@@ -128,7 +128,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of word runs link."""
+    grouped = jaccard.groups(documents(spark, sf_dir).select("doc_id", "text"))
+    return grouped.select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
+    "op10_jaccard_join": op10_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
     "op3_winnowing": op3_winnowing,
     "op6_decontamination": op6_decontamination,
@@ -146,6 +153,16 @@ RUNS = """CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(
  generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i+4], ' '))) END"""
 
 ORACLE: dict[str, str] = {
+    "op10_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {RUNS} AS runs FROM
+  (SELECT doc_id, {WORDS} AS w FROM documents)),
+ s AS (SELECT doc_id, len(runs) AS n, unnest(runs) AS run FROM d),
+ e AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.run = b.run AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+ r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id)
+SELECT doc_id, CAST(len(runs) AS BIGINT) AS n_shingles, min(c) AS component_id
+FROM d JOIN r USING (doc_id) GROUP BY doc_id, runs
+""",
     "op2_line_dedup": r"""
 WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
   generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
