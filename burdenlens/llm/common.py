@@ -17,7 +17,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BREAKS = "\t\n\x0b\x0c\r"
 
 #: Bytes of text that one numpy step takes on at a time; longer texts are taken alone.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,55 @@ def replaced(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), column], [*names, name])
 
 
+#: Counts in one block of a large array of counts.
+BLOCK = 1 << 15
+
+
+def blocks_of(counts: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``block`` and ``counts`` for an array of counts, without the blocks that are all 0."""
+    padded = np.zeros(-(-len(counts) // BLOCK) * BLOCK, np.int64)
+    padded[: len(counts)] = counts
+    some = [(k, c) for k, c in enumerate(padded.reshape(-1, BLOCK)) if c.any()]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([k for k, _ in some], pa.int32()),
+            pa.array([c.astype(np.int32).tobytes() for _, c in some], pa.binary()),
+        ],
+        ["block", "counts"],
+    )
+
+
+def summed(blocks: DataFrame, size: int) -> np.ndarray:
+    """The array of ``size`` counts that the blocks of all tasks add up to.
+
+    Blocks are added by their number in as many tasks as there are partitions, each holding one array
+    for a block; only the sums, of fixed size, come to the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            numbers = batch.column("block").to_pylist()
+            for block, counts in zip(numbers, batch.column("counts"), strict=True):
+                own = np.frombuffer(counts.as_buffer(), np.int32)
+                sums[block] = sums.get(block, 0) + own.astype(np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(list(sums), pa.int32()),
+                    pa.array([c.tobytes() for c in sums.values()], pa.binary()),
+                ],
+                ["block", "counts"],
+            )
+
+    added_up = arrow(blocks.repartition("block"), run, "block int, counts binary")
+    total = np.zeros(-(-size // BLOCK) * BLOCK, np.int64)
+    for row in added_up.toLocalIterator():
+        start = row["block"] * BLOCK
+        total[start : start + BLOCK] = np.frombuffer(row["counts"], np.int64)
+    return total[:size]
+
+
 def words(text: Column) -> Column:
     """Words of a text, A to Z in lower case; null and blank texts have none."""
     spaced = F.translate(F.coalesce(text, F.lit("")), UPPER + BREAKS, UPPER.lower() + " " * 5)

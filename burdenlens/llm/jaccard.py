@@ -25,13 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from burdenlens.llm.common import arrow, kept, pieces, utf8
+from burdenlens.llm.common import arrow, blocks_of, kept, pieces, summed, utf8
 from burdenlens.llm.shingles import mixed, runs
 
 PERCENT = 75
 #: Buckets of the counts that order the runs, and bits of the filter of wanted sets.
 BUCKETS, FILTER_BITS = 1 << 18, 1 << 23
-_BLOCK = 1 << 15
 #: Partners a trie holds at a time.
 TRIE = 256
 
@@ -80,15 +79,14 @@ def _described(documents: DataFrame) -> DataFrame:
                 names,
             )
         if counts.any():
-            blocks = [c.astype(np.int32).tobytes() for c in counts.reshape(-1, _BLOCK)]
-            rows = len(blocks)
+            blocks = blocks_of(counts)
+            rows = blocks.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.nulls(rows, key),
                     pa.nulls(rows, pa.int32()),
                     pa.nulls(rows, pa.int64()),
-                    pa.array(range(rows), pa.int32()),
-                    pa.array(blocks, pa.binary()),
+                    *blocks.columns,
                 ],
                 names,
             )
@@ -97,33 +95,8 @@ def _described(documents: DataFrame) -> DataFrame:
     return arrow(documents.select("doc_id", "text"), run, schema)
 
 
-def summed(blocks: DataFrame) -> dict[int, np.ndarray]:
-    """Counts by block, added up over all tasks; the tasks that add hold one array for each block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, counts in zip(
-                batch.column("block").to_pylist(), batch.column("counts"), strict=True
-            ):
-                own = np.frombuffer(counts.as_buffer(), np.int32)
-                sums[block] = sums.get(block, 0) + own.astype(np.int64)
-        if sums:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(list(sums), pa.int32()),
-                    pa.array([s.tobytes() for s in sums.values()], pa.binary()),
-                ],
-                ["block", "counts"],
-            )
-
-    added = arrow(blocks.repartition("block"), run, "block int, counts binary")
-    return {r["block"]: np.frombuffer(r["counts"], np.int64) for r in added.collect()}
-
-
-def _levels(counts: dict[int, np.ndarray]) -> np.ndarray:
+def _levels(every: np.ndarray) -> np.ndarray:
     """How common the runs of a bucket are: 0 up to twice the mean, then one more for each doubling."""
-    every = np.concatenate([counts.get(b, np.zeros(_BLOCK)) for b in range(BUCKETS // _BLOCK)])
     ratio = every / max(every.mean(), 1)
     return np.floor(np.log2(np.maximum(ratio, 1))).astype(np.uint8)
 
@@ -332,7 +305,7 @@ def groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     found = kept(_described(documents))
     rows = found.where("block IS NULL").select("doc_id", "n", "name")
-    levels = _levels(summed(found.where("block IS NOT NULL").select("block", "counts")))
+    levels = _levels(summed(found.where("block IS NOT NULL").select("block", "counts"), BUCKETS))
     heads = _heads(documents, levels, percent)
     meeting = Window.partitionBy("run").orderBy("n", "name")
     met = heads.select(

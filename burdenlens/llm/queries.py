@@ -6,10 +6,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burdenlens.llm import bpe, chat, decontaminate, jaccard, lines, pii, shards, toxicity, winnow
+from burdenlens.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    jaccard,
+    lines,
+    pii,
+    shards,
+    suffix_tree,
+    toxicity,
+    winnow,
+)
 from burdenlens.llm.common import documents
 
 
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all texts under a tree and a word model learned from those not held out."""
+    found = suffix_tree.scores(documents(spark, sf_dir), ~held_out(1))
+    return found.withColumn("held_out", ~F.col("train")).drop("train")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without later copies of runs of lines."""
     kept = lines.dedup(documents(spark, sf_dir))
@@ -135,6 +152,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_tree": op1_suffix_tree,
     "op10_jaccard_join": op10_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
     "op3_winnowing": op3_winnowing,

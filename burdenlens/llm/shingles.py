@@ -6,9 +6,9 @@ from functools import lru_cache
 
 import numpy as np
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_LOWER[9:14] = 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+LOWER[9:14] = 32
 _SIGNS = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -34,7 +34,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word (A to Z in lower case), and where each text's words begin."""
-    low = _LOWER[data]
+    low = LOWER[data]
     blank = low == 32
     start = ~blank
     start[1:] &= blank[:-1] | False

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burdenlens.llm.common import added, arrow, pieces, replaced, utf8
+from burdenlens.llm.common import added, arrow, blocks_of, pieces, replaced, summed, utf8
 
 BUCKETS = 1 << 20
 GRAMS = (3, 4, 5, 6)
@@ -88,26 +88,10 @@ def _counts(rows: DataFrame) -> np.ndarray:
                 found[own, f] += 1
             some = True
         if some:
-            wide = 1 << 15  # the array goes out in blocks, so that blocks are added up side by side
-            blocks = found.reshape(2, -1, wide)
-            for k in range(blocks.shape[1]):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([k] * wide, pa.int32()),
-                        pa.array(np.arange(wide), pa.int32()),
-                        pa.array(blocks[0, k], pa.int64()),
-                        pa.array(blocks[1, k], pa.int64()),
-                    ],
-                    ["block", "place", "clean", "marked"],
-                ).filter(pa.array((blocks[0, k] + blocks[1, k]) > 0))
-
-    parts = arrow(rows, count, "block int, place int, clean long, marked long")
-    sums = parts.groupBy("block", "place").agg(F.sum("clean").alias("c"), F.sum("marked").alias("m"))
-    table = sums.toArrow()  # at most BUCKETS rows
-    counts = np.zeros((2, BUCKETS), np.int64)
-    at = table["block"].to_numpy().astype(np.int64) * (1 << 15) + table["place"].to_numpy()
-    counts[0, at], counts[1, at] = table["c"].to_numpy(), table["m"].to_numpy()
-    return counts
+            yield blocks_of(found.ravel())
+
+    parts = arrow(rows, count, "block int, counts binary")
+    return summed(parts, 2 * BUCKETS).reshape(2, BUCKETS)
 
 
 def _fit(rows: list[np.ndarray], label: np.ndarray, scale: np.ndarray, ridge: float):
