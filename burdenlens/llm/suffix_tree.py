@@ -4,7 +4,8 @@ A text is its words in lower case with one space between them and an end sign. C
 preceding signs of any length up to ``depth``. A context is looked at if it makes up at least the share
 ``least`` of all contexts of the training texts, which bounds the tree by 1 / ``least`` contexts a
 length whatever the corpus. It is retained if the distribution of the next sign diverges from that of
-the next shorter retained suffix (Kullback-Leibler, in nats). A retained context's distribution is its
+the next shorter retained suffix (Kullback-Leibler, in nats), by itself and times its count, so that
+the more text there is, the more contexts are told apart from chance. A retained context's distribution is its
 counts smoothed by that of its parent, down to the root, which gives every byte a chance. Each sign is
 scored by the longest retained suffix of what precedes it.
 
@@ -29,7 +30,9 @@ from burdenlens.llm.common import arrow, blocks_of, kept, pieces, summed, utf8
 from burdenlens.llm.shingles import LOWER, words
 
 #: Longest context, least share of a context, least divergence in nats.
-DEPTH, LEAST, DIVERGENCE = 6, 2e-5, 0.005
+DEPTH, LEAST, DIVERGENCE = 8, 5e-6, 0.005
+#: Nats that a context must save over all its occurrences, for each kind of sign seen after it.
+EVIDENCE = 2
 #: Share of all tokens from which on a word's count goes to every task.
 COMMON = 1e-6
 #: Words a task counts before it hands them on.
@@ -180,9 +183,9 @@ def _retained(tree: Tree, counts: list, parents: list, divergence: float) -> Tre
         share = own / np.maximum(size, 1)
         with np.errstate(divide="ignore", invalid="ignore"):
             gain = np.where(share > 0, share * np.log(share / parent), 0).sum(1)
-        keep = gain >= divergence
-        keep[0] = False
         kinds = (own > 0).sum(1, keepdims=True)
+        keep = (gain >= divergence) & (gain * size[:, 0] >= EVIDENCE * kinds[:, 0])
+        keep[0] = False
         smooth = (own + kinds * parent) / np.maximum(size + kinds, 1)
         numbered = above.copy()
         numbered[keep] = number + np.arange(keep.sum())
