@@ -31,7 +31,7 @@ _NEVER = np.iinfo(np.int64).max
 #: Matches of at most this many bytes are merged in lockstep.
 _LOCKSTEP = 64
 #: Encoded matches a task remembers.
-_CACHE = 800_000
+_CACHE = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
