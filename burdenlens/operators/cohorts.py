@@ -121,9 +121,11 @@ def stack_groups(control: DataFrame, case: DataFrame) -> DataFrame:
 def label_samples(calls: DataFrame, samples: DataFrame) -> DataFrame:
     """Look the group of each call up in a sample list ``(sample_id, is_case)``; others drop out.
 
-    No hint: the list is broadcast when its size allows it and shuffled when not.
+    A sample listed several times counts once in each group it is listed in. No hint: the list is
+    broadcast when its size allows it and shuffled when not.
     """
-    return calls.join(samples.select("sample_id", "is_case"), "sample_id")
+    listed = samples.select("sample_id", "is_case").distinct()
+    return calls.join(listed, "sample_id")
 
 
 def calls_of_phenotype(calls: DataFrame, phenotypes: DataFrame, predicate) -> DataFrame:
@@ -132,18 +134,15 @@ def calls_of_phenotype(calls: DataFrame, phenotypes: DataFrame, predicate) -> Da
 
 
 def sample_list_text(
-    samples: DataFrame, by: list[str], column: str = "sample_id", per_text: int = 1000
+    samples: DataFrame, by: list[str], column: str = "sample_id", texts: int = 1
 ) -> DataFrame:
     """The sample ids of each selection as text, ``' , '`` between them, to copy elsewhere.
 
-    A selection of up to about ``per_text`` samples is one text; a larger one is dealt, by a hash of
-    the id, into several numbered ones, so that no task ever holds a whole population.
+    Every selection is dealt, by a hash of the id, into ``texts`` numbered texts, so that no task
+    holds more than that share of a population. Whoever asks says how many.
     """
     distinct = samples.select(*by, F.col(column).alias("sample_id")).distinct()
-    sizes = distinct.groupBy(*by).agg(
-        F.ceil(F.count("*") / per_text).cast("bigint").alias("texts")
-    )
     number = F.conv(F.substring(F.md5("sample_id"), 1, 8), 16, 10).cast("bigint")
-    dealt = distinct.join(sizes, by).withColumn("part", F.pmod(number, F.col("texts")))
+    dealt = distinct.withColumn("part", F.pmod(number, F.lit(texts)))
     listed = F.sort_array(F.collect_list("sample_id"))
     return dealt.groupBy(*by, "part").agg(F.array_join(listed, " , ").alias("sample_ids"))

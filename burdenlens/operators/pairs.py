@@ -72,13 +72,17 @@ def shared_carriers(
       ``bit_count(a & b)``. The extent of the table (see :func:`measure`) tells which way forms
       fewer rows; ``packed`` forces one.
     * A sample or cell with many items is cut into blocks of about ``split_above`` items and
-      joined block by block, under the key (sample, block of the first, block of the second). One
-      sample holding a large part of all rows is thus worked on by many tasks, and no pair is lost
-      or counted twice.
+      joined block by block, under the key (sample, higher block, lower block). One sample holding
+      a large part of all rows is thus worked on by many tasks, and no pair is lost or counted
+      twice. Blocks are only joined with themselves and with lower ones, so each pair of items of
+      different blocks is formed once.
+
+    An unknown item (NULL) is an item of its own, smaller than any other, the empty name included.
     """
-    carrying = carrying.select(
-        F.coalesce(F.col(item), F.lit("")).alias("item"), "sample_id", "in_case"
+    named = F.struct(
+        F.col(item).isNotNull().alias("known"), F.coalesce(F.col(item), F.lit("")).alias("name")
     )
+    carrying = carrying.select(named.alias("item"), "sample_id", "in_case")
     samples = _items_per_sample(carrying)
     extent = extent or measure(carrying, "item")
     if packed is None:
@@ -95,34 +99,40 @@ def shared_carriers(
         if extent.most > split_above:
             rows, blocks = _with_blocks(rows, samples, split_above), F.col("blocks")
     block = F.pmod(F.xxhash64("item"), blocks).cast("int")
-    every = F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1))
     left = rows.select(
-        F.col("item").alias(first),
+        F.col("item").alias("x"),
         *unit,
         block.alias("block1"),
-        every.alias("block2"),
+        F.explode(F.sequence(F.lit(0), block)).alias("block2"),
         *[F.col(w).alias(f"a_{w}") for w in words],
     )
     right = rows.select(
-        F.col("item").alias(second),
+        F.col("item").alias("y"),
         *unit,
-        every.alias("block1"),
+        F.explode(F.sequence(block, blocks.cast("int") - 1)).alias("block1"),
         block.alias("block2"),
         *[F.col(w).alias(f"b_{w}") for w in words],
     )
     together = (
         left.join(right, [*unit, "block1", "block2"])
-        .where(F.col(first) > F.col(second))
-        .select(first, second, "in_case", common.cast("bigint").alias("n"))
+        .where("block1 > block2 OR x > y")
+        .select(
+            F.greatest("x", "y").alias("x"),
+            F.least("x", "y").alias("y"),
+            "in_case",
+            common.cast("bigint").alias("n"),
+        )
         .where("n > 0")
     )
-    return (
-        together.groupBy(first, second)
-        .agg(
-            F.sum(F.when(F.col("in_case"), F.col("n")).otherwise(0)).alias("sum_case"),
-            F.sum(F.when(F.col("in_case"), 0).otherwise(F.col("n"))).alias("sum_control"),
-        )
-        .withColumn(second, F.nullif(F.col(second), F.lit("")))
+    summed = together.groupBy("x", "y").agg(
+        F.sum(F.when(F.col("in_case"), F.col("n")).otherwise(0)).alias("sum_case"),
+        F.sum(F.when(F.col("in_case"), 0).otherwise(F.col("n"))).alias("sum_control"),
+    )
+    return summed.select(
+        F.when(F.col("x.known"), F.col("x.name")).alias(first),
+        F.when(F.col("y.known"), F.col("y.name")).alias(second),
+        "sum_case",
+        "sum_control",
     )
 
 
@@ -162,9 +172,11 @@ def _packed(
 
 def pair_count(n: Column) -> Column:
     """Number of distinct pairs of n items."""
-    return (n * (n - 1) / 2).cast("bigint")
+    n = n.cast("bigint")
+    even = F.pmod(n, F.lit(2)) == 0
+    return F.when(even, F.shiftright(n, 1) * (n - 1)).otherwise(n * F.shiftright(n - 1, 1))
 
 
 def pair_tests(n: Column) -> Column:
     """Number of tests reported for pairs of n items, n (n + 1) / 2."""
-    return (n * (n + 1) / 2).cast("bigint")
+    return pair_count(n + 1)

@@ -17,12 +17,11 @@ from pyspark.sql import functions as F
 from burdenlens.functions import stats
 from burdenlens.operators import burden, cohorts, frequency, pairs
 from burdenlens.operators.filters import keep_listed
-from burdenlens.plans.spec import DEFAULT_TOP, AnalysisSpec
+from burdenlens.plans.spec import AnalysisSpec
 from burdenlens.workspace import stored
 
-#: A ranking that would form more pairs than this first leaves out items that cannot be in it ...
-PRUNE_ABOVE = 1_000_000_000
-#: ... by what the pairs of so many leading items reach.
+#: A cut ranking of variant pairs first leaves out items that cannot be in it, by what the pairs of
+#: so many leading items reach.
 LEADING = 1000
 
 
@@ -55,8 +54,8 @@ def _limited(spec: AnalysisSpec) -> bool:
     )
 
 
-def _prepare(calls: DataFrame, spec: AnalysisSpec) -> tuple[DataFrame, Column]:
-    """Rows to score, and the group sizes as a scalar struct."""
+def _roles(calls: DataFrame, spec: AnalysisSpec) -> tuple[DataFrame, DataFrame]:
+    """Rows of the groups, one per call, and the groups of every sample."""
     if spec.cohort is None:
         tagged = cohorts.tag_groups(calls, spec.case, spec.control)
     else:
@@ -70,17 +69,48 @@ def _prepare(calls: DataFrame, spec: AnalysisSpec) -> tuple[DataFrame, Column]:
     if spec.scope == "digenic":
         rows = stored(rows, "calls")
     if spec.cohort is None:
-        roles = cohorts.sample_roles(rows)
-    else:
-        roles = spec.cohort.groupBy("sample_id").agg(
-            F.bool_or("is_case").alias("in_case"), F.bool_or(~F.col("is_case")).alias("in_control")
-        )
+        return rows, cohorts.sample_roles(rows)
+    listed = spec.cohort.where("sample_id IS NOT NULL").groupBy("sample_id")
+    return rows, listed.agg(
+        F.bool_or("is_case").alias("in_case"), F.bool_or(~F.col("is_case")).alias("in_control")
+    )
+
+
+def _prepare(calls: DataFrame, spec: AnalysisSpec) -> tuple[DataFrame, Column]:
+    """Rows to score, and the group sizes as a scalar struct."""
+    rows, roles = _roles(calls, spec)
     sizes = cohorts.group_sizes(roles, spec.on_overlap)
     if spec.on_overlap == "exclude":
         rows = cohorts.drop_overlap(rows, roles)
     return rows, _one_value(sizes.select(F.struct("n_case", "n_control")), spec)
 
 
+def analysed_samples(calls: DataFrame, spec: AnalysisSpec) -> DataFrame:
+    """The samples behind an analysis, as its group sizes count them: ``sample_id, is_case``.
+
+    A sample in both groups is in neither with ``on_overlap='exclude'`` and fails otherwise.
+    """
+    _, roles = _roles(calls, replace(spec, scope="monogenic"))
+    both = F.col("in_case") & F.col("in_control")
+    if spec.on_overlap == "raise":
+        failed = F.raise_error(F.lit(cohorts.OVERLAP_MESSAGE)).cast("boolean")
+        both = F.when(both, failed).otherwise(F.lit(False))
+    counted = roles.where((F.col("in_case") | F.col("in_control")) & ~both)
+    return counted.select("sample_id", F.col("in_case").alias("is_case"))
+
+
+def analysis_totals(calls: DataFrame, spec: AnalysisSpec) -> DataFrame:
+    """One row, also where nothing is ranked: ``n_case, n_control, ntests`` of an analysis."""
+    tests = number_of_tests(calls, spec)
+    names = {
+        ("monogenic", "gene"): "tests_gene",
+        ("monogenic", "variant"): "tests_variant",
+        ("digenic", "gene"): "tests_gene_pair",
+        ("digenic", "variant"): "tests_variant_pair",
+    }
+    return tests.select("n_case", "n_control", F.col(names[spec.scope, spec.scale]).alias("ntests"))
+
+
 def _one_value(one: DataFrame, spec: AnalysisSpec) -> Column:
     """The single value of a one-row table: a subquery of the ranking, or, where the rows are
     stored and cheap to read, the value itself, which keeps the plan of a pair ranking small."""
@@ -118,10 +148,9 @@ def _count(
         n = _one_value(_distinct_count(rows, item), spec)
         tests = {"ntests": pairs.pair_tests(n), "npairs": pairs.pair_count(n)}
         carrying = stored(burden.carriers(kept, item), "carriers")
-        extent = pairs.measure(carrying, item)
-        if spec.top_k is not None and extent.to_form > PRUNE_ABOVE:
+        if spec.top_k is not None and spec.scale == "variant":
             carrying = stored(_hopeful(carrying, item, sizes, spec.top_k), "hopeful")
-            extent = pairs.measure(carrying, item)
+        extent = pairs.measure(carrying, item)
         return pairs.shared_carriers(carrying, item, one, two, extent=extent), tests
     if spec.effective_test == "ttest":
         burdens = burden.gene_burden(kept, spec.burden)
@@ -229,12 +258,16 @@ def number_of_tests(calls: DataFrame, spec: AnalysisSpec) -> DataFrame:
 
 
 def case_exclusive_variants(
-    calls: DataFrame, case, control, top_k: int | None = None
+    calls: DataFrame, case, control, top_k: int | None = None, on_overlap: str = "raise"
 ) -> DataFrame:
-    """Variants no control carries, by number of case carriers."""
-    rows = cohorts.unique_calls(cohorts.tag_groups(calls, case, control))
+    """Variants no control carries, by number of case carriers. Samples in both groups fail or are
+    left out, as in :class:`AnalysisSpec`."""
+    spec = AnalysisSpec("exclusive", case, control, scale="variant", on_overlap=on_overlap)
+    rows, sizes = _prepare(calls, spec)
     counted = burden.carrier_counts(rows, "variant_id", "gene_symbol")
-    scored = counted.where("sum_control = 0 AND sum_case > 0").select(
+    # reading the sizes is what makes a sample in both groups fail
+    exclusive = counted.where("sum_control = 0 AND sum_case > 0").where(sizes["n_case"] >= 0)
+    scored = exclusive.select(
         "variant_id", "gene_symbol", F.col("sum_case").alias("score"), "sum_case", "sum_control"
     )
     ranked = scored.orderBy(F.desc("score"), "variant_id", "gene_symbol")
@@ -242,12 +275,21 @@ def case_exclusive_variants(
 
 
 def count_difference(
-    calls: DataFrame, case, control, top_k: int | None = 1000, min_score: int = 1
+    calls: DataFrame,
+    case,
+    control,
+    top_k: int | None = 1000,
+    min_score: int = 1,
+    on_overlap: str = "raise",
 ) -> DataFrame:
-    """Genes by difference of carrier counts between the groups."""
-    carrying = burden.carriers(cohorts.tag_groups(calls, case, control), "gene_symbol")
-    counted = burden.carrier_counts(carrying, "gene_symbol")
-    scored = counted.select(
+    """Genes by difference of carrier counts between the groups. Samples in both groups fail or are
+    left out, as in :class:`AnalysisSpec`."""
+    spec = AnalysisSpec(
+        "difference", case, control, case_max_freq=1.0, control_max_freq=1.0, on_overlap=on_overlap
+    )
+    rows, sizes = _prepare(calls, spec)
+    counted = burden.carrier_counts(burden.carriers(rows, "gene_symbol"), "gene_symbol")
+    scored = counted.where(sizes["n_case"] >= 0).select(
         "gene_symbol",
         (F.col("sum_case") - F.col("sum_control")).alias("score"),
         "sum_case",
@@ -257,8 +299,25 @@ def count_difference(
     return ranked if top_k is None else ranked.limit(top_k)
 
 
-def with_rank(ranking: DataFrame, *keys: str, top_k: int = DEFAULT_TOP) -> DataFrame:
-    """The top rows of a ranking with their position. Numbering takes one task, hence the cut."""
+def with_rank(ranking: DataFrame, *keys: str, top_k: int | None = None) -> DataFrame:
+    """A ranking with ``rank``, the position of each row from 1 on, in that order.
+
+    All rows are numbered, or the best ``top_k``. The order is dealt out by range; each task numbers
+    its range, and the numbers of the ranges before it are added.
+    """
     order = [F.desc("score"), *keys]
-    top = ranking.orderBy(*order).limit(top_k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    rows = ranking if top_k is None else ranking.orderBy(*order).limit(top_k)
+    ranged = stored(
+        rows.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("part", F.spark_partition_id())
+        .withColumn("place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)),
+        "ranked",
+    )
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = ranged.groupBy("part").agg(F.count("*").alias("n")).select(
+        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
+    )
+    rank = F.col("start") + F.col("place") + 1
+    numbered = ranged.join(starts, "part").withColumn("rank", rank)
+    return numbered.drop("part", "place", "start").orderBy("rank")

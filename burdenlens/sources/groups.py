@@ -1,8 +1,7 @@
-"""Saved groups: named predicates in a small tab-separated table.
+"""Saved groups: named predicates in a small table, one row a name.
 
-Spark cannot overwrite a table it is reading, so each change writes the whole (small) list as a
-new snapshot folder and readers take the latest one. A change that fails half-way leaves the
-earlier snapshot in force.
+The store is a Parquet folder, so any text is kept as it is. A change reads the whole (small) list
+into the shared folder and writes it anew; the last of two writers wins.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from burdenlens.operators.drilldown import drill_down
 from burdenlens.operators.filters import as_predicate
 from burdenlens.plans.spec import AnalysisSpec
+from burdenlens.workspace import stored
 
 # Every store starts with the group of all rows.
 ALL = ("All", "")
@@ -20,56 +20,44 @@ _SCHEMA = "Name string, SQL string"
 
 
 def _format(io):
-    return io.option("sep", "\t").option("header", True).option("quote", '"').option("escape", "\\")
+    quoting = io.option("quote", '"').option("escape", "\\").option("multiLine", True)
+    return quoting.option("sep", "\t").option("header", True)
 
 
 def read_group_file(spark: SparkSession, path: str) -> DataFrame:
-    """A tab-separated file of groups with header ``Name``, ``SQL``, values quoted."""
+    """A tab-separated file of groups with header ``Name``, ``SQL``, values quoted; a predicate may
+    run over several lines."""
     groups = _format(spark.read).schema(_SCHEMA).csv(path)
     return groups.select("Name", F.coalesce("SQL", F.lit("")).alias("SQL"))
 
 
-def _write(groups: DataFrame, path: str, snapshot: int) -> None:
-    one_file = groups.select("Name", "SQL").coalesce(1).write.mode("overwrite")
-    _format(one_file).option("quoteAll", True).csv(f"{path}/snapshot={snapshot}")
-
-
-def _latest(spark: SparkSession, path: str) -> int:
-    """Number of the newest finished snapshot; only names are listed, no content is read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "part-*")
-        .load(path)
-    )
-    number = F.regexp_extract("path", r"/snapshot=(\d+)/", 1).cast("int")
-    return files.agg(F.max(number)).head()[0] or 0
-
-
 def create_store(spark: SparkSession, path: str) -> None:
     """A new store with the group of all rows."""
-    _write(spark.createDataFrame([ALL], _SCHEMA), path, 1)
+    spark.createDataFrame([ALL], _SCHEMA).write.parquet(path)
 
 
 def load_groups(spark: SparkSession, path: str) -> DataFrame:
     """The groups of a store."""
-    latest = _latest(spark, path)
-    if latest == 0:
-        raise FileNotFoundError(f"no group store at {path}")
-    return read_group_file(spark, f"{path}/snapshot={latest}")
+    return spark.read.schema(_SCHEMA).parquet(path)
+
+
+def _replace(groups: DataFrame, path: str) -> None:
+    stored(groups.select("Name", "SQL"), "groups").write.mode("overwrite").parquet(path)
 
 
 def save_groups(spark: SparkSession, path: str, groups: DataFrame) -> None:
-    """Append groups."""
-    grown = load_groups(spark, path).unionByName(groups.select("Name", "SQL"))
-    _write(grown, path, _latest(spark, path) + 1)
+    """Add groups; one of a name that is there takes its place. A name given twice is refused."""
+    twice = groups.groupBy("Name").count().where("count > 1").head()
+    if twice:
+        raise ValueError(f"two groups are named {twice['Name']!r}")
+    others = load_groups(spark, path).join(groups.select("Name"), "Name", "left_anti")
+    _replace(others.unionByName(groups.select("Name", "SQL")), path)
 
 
 def delete_groups(spark: SparkSession, path: str, names: list[str]) -> None:
     """Delete groups by name."""
     gone = spark.createDataFrame([(n,) for n in names], "Name string")
-    left = load_groups(spark, path).join(gone, "Name", "left_anti")
-    _write(left, path, _latest(spark, path) + 1)
+    _replace(load_groups(spark, path).join(gone, "Name", "left_anti"), path)
 
 
 def group_named(groups: DataFrame, name: str) -> str:

@@ -7,13 +7,10 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burdenlens.operators.cohorts import sample_roles, tag_groups
-from burdenlens.plans.score import score
+from burdenlens.functions.display import local_time
+from burdenlens.plans.score import analysed_samples, analysis_totals, score
 from burdenlens.plans.spec import AnalysisSpec
 
-#: A document, being one text, lists at most so many samples.
-MAX_DOCUMENT_SAMPLES = 100_000
-
 STATISTICS = ["score", "pvalue", "ratio_case", "ratio_control", "sum_case", "sum_control"]
 
 
@@ -21,16 +18,16 @@ STATISTICS = ["score", "pvalue", "ratio_case", "ratio_control", "sum_case", "sum
 
 
 def analysis_row(
-    ranking: DataFrame, spec: AnalysisSpec, start_epoch: float, end_epoch: float
+    ranking: DataFrame,
+    totals: DataFrame,
+    spec: AnalysisSpec,
+    start_epoch: float,
+    end_epoch: float,
 ) -> DataFrame:
-    """One row about a finished analysis. The ranking carries group sizes and number of tests."""
-    totals = ranking.agg(
-        F.max("n_case").alias("n_case"),
-        F.max("n_control").alias("n_control"),
-        F.max("ntests").alias("ntests"),
-        F.count("*").alias("n_results"),
-    )
-    return totals.select(
+    """One row about a finished analysis; ``totals`` has its group sizes and number of tests, which
+    a ranking without rows cannot tell."""
+    counted = totals.withColumn("n_results", ranking.agg(F.count("*")).scalar())
+    return counted.select(
         F.lit(spec.name).alias("analysis_name"),
         F.lit(spec.scale).alias("scale"),
         F.lit(spec.scope).alias("scope"),
@@ -46,14 +43,6 @@ def analysis_row(
     )
 
 
-def analysed_samples(calls: DataFrame, spec: AnalysisSpec) -> DataFrame:
-    """The samples behind an analysis: ``sample_id, is_case``, one row each, never one list."""
-    if spec.cohort is not None:
-        return spec.cohort.select("sample_id", "is_case").distinct()
-    roles = sample_roles(tag_groups(calls, spec.case, spec.control))
-    return roles.select("sample_id", F.col("in_case").alias("is_case"))
-
-
 def run_analysis(calls: DataFrame, spec: AnalysisSpec, path: str) -> None:
     """Score and save an analysis as three tables below ``path``: scores, samples and analysis.
 
@@ -64,7 +53,8 @@ def run_analysis(calls: DataFrame, spec: AnalysisSpec, path: str) -> None:
     end = time.time()
     analysed_samples(calls, spec).write.mode("overwrite").parquet(f"{path}/samples")
     saved = calls.sparkSession.read.parquet(f"{path}/scores")  # do not score again
-    analysis_row(saved, spec, start, end).write.mode("overwrite").parquet(f"{path}/analysis")
+    totals = analysis_totals(calls, spec)
+    analysis_row(saved, totals, spec, start, end).write.mode("overwrite").parquet(f"{path}/analysis")
 
 
 def read_analysis(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -87,74 +77,84 @@ def export_csv(df: DataFrame, path: str, quote_all: bool = True) -> None:
 # control ids, control name, case name and, in newer ones, number of tests.
 
 
-def document_text(
+def document_lines(
     ranking: DataFrame,
     samples: DataFrame,
+    totals: DataFrame,
     spec: AnalysisSpec,
     start_epoch: float,
     end_epoch: float,
 ) -> DataFrame:
-    """The document of an analysis, one row ``value``.
+    """The document of an analysis, line by line: ``section, position, key, value``.
 
-    A document is one text by definition, with all sample ids in it. So the ranking must be cut to
-    its top rows, and the query fails beyond ``MAX_DOCUMENT_SAMPLES`` samples;
-    :func:`run_analysis` saves analyses of any size.
+    Each ranked item and each sample is a line of its own, so no list is ever held in one row and a
+    document may be of any size. ``position`` and ``key`` order the lines of a section.
     """
-    if spec.top_k is None:
-        raise ValueError("a document holds a ranking that was cut to its top rows")
     keys = [F.col(c) for c in spec.key_columns]
     key = F.to_json(F.array(*keys))
     if spec.scope == "monogenic" and spec.scale == "gene":
-        key = F.to_json(F.array(keys[0])).substr(F.lit(2), F.length(F.to_json(F.array(keys[0]))) - 2)
+        key = _bare(F.to_json(F.array(keys[0])))
     numbers = F.concat_ws(
         ", ", *[F.coalesce(F.col(c).cast("double").cast("string"), F.lit("NaN")) for c in STATISTICS]
     )
     if spec.scope == "digenic":
         numbers = F.concat(F.to_json(F.array(*keys)), F.lit(", "), numbers)
     entry = F.concat(F.lit("["), key, F.lit(", ["), numbers, F.lit("]]"))
-    order = F.struct((-F.col("score")).alias("o"), *keys, entry.alias("entry"))
-    texts = F.transform(F.array_sort(F.collect_list(order)), lambda s: s["entry"])
-    scores = ranking.agg(
-        F.concat(F.lit("["), F.array_join(texts, ", "), F.lit("]")).alias("scores"),
-        F.coalesce(F.max("ntests"), F.lit(0)).alias("ntests"),
-    )
-
-    def ids(wanted: Column) -> Column:
-        listed = F.sort_array(F.collect_list(F.when(wanted, F.col("sample_id"))))
-        return F.to_json(listed)
-
-    too_many = F.raise_error(F.lit("too many samples for a document, use run_analysis"))
-    fits = F.when(F.count("*") > MAX_DOCUMENT_SAMPLES, too_many.cast("string"))
-    lists = samples.limit(MAX_DOCUMENT_SAMPLES + 1).agg(
-        F.coalesce(fits, ids(F.col("is_case"))).alias("case_ids"),
-        ids(~F.col("is_case")).alias("control_ids"),
-    )
+    entries = ranking.select((-F.col("score")).cast("double").alias("position"), F.array(*keys).alias("key"), entry.alias("value"))
+
+    def ids(wanted: Column) -> DataFrame:
+        name = F.col("sample_id")
+        return samples.where(wanted).select(
+            F.lit(0.0).alias("position"), F.array(name).alias("key"), _bare(F.to_json(F.array(name))).alias("value")
+        )
+
+    def separated(rows: DataFrame, section: int) -> DataFrame:
+        """A comma before every line but the first."""
+        first = rows.agg(F.min(F.struct("position", "key"))).scalar()
+        comma = F.when(F.struct("position", "key").eqNullSafe(first), F.lit("")).otherwise(F.lit(", "))
+        return rows.select(
+            F.lit(section).alias("section"), "position", "key", F.concat(comma, "value").alias("value")
+        )
 
     def quoted(value: str) -> Column:
-        whole = F.to_json(F.array(F.lit(value)))
-        return whole.substr(F.lit(2), F.length(whole) - 2)
+        return _bare(F.to_json(F.array(F.lit(value))))
+
+    def line(section: int, value: Column, table: DataFrame | None = None) -> DataFrame:
+        one = ranking.sparkSession.range(1) if table is None else table
+        empty = F.array().cast("array<string>")
+        return one.select(
+            F.lit(section).alias("section"),
+            F.lit(0.0).alias("position"),
+            empty.alias("key"),
+            value.alias("value"),
+        )
 
-    head = [quoted(spec.name), quoted(spec.scale), quoted(spec.scope)]
     times = [F.lit(repr(float(t))) for t in (start_epoch, end_epoch, end_epoch - start_epoch)]
-    both = scores.withColumn(
-        "lists", lists.select(F.struct("case_ids", "control_ids")).scalar()
+    head = F.concat_ws(", ", quoted(spec.name), quoted(spec.scale), quoted(spec.scope), *times)
+    tail = F.concat_ws(
+        ", ", quoted(spec.control_name), quoted(spec.case_name), F.col("ntests").cast("string")
     )
-    fields = [
-        *head,
-        *times,
-        F.col("scores"),
-        F.col("lists.case_ids"),
-        F.col("lists.control_ids"),
-        quoted(spec.control_name),
-        quoted(spec.case_name),
-        F.col("ntests").cast("string"),
-    ]
-    return both.select(F.concat(F.lit("["), F.concat_ws(", ", *fields), F.lit("]")).alias("value"))
+    return (
+        line(0, F.concat(F.lit("["), head, F.lit(", [")))
+        .unionByName(separated(entries, 1))
+        .unionByName(line(2, F.lit("], [")))
+        .unionByName(separated(ids(F.col("is_case")), 3))
+        .unionByName(line(4, F.lit("], [")))
+        .unionByName(separated(ids(~F.col("is_case")), 5))
+        .unionByName(line(6, F.concat(F.lit("], "), tail, F.lit("]")), totals))
+    )
+
 
+def _bare(array: Column) -> Column:
+    """The JSON of the only value of an array."""
+    return array.substr(F.lit(2), F.length(array) - 2)
 
-def write_document(document: DataFrame, path: str) -> None:
-    """Save a document as a text folder of one file."""
-    document.coalesce(1).write.mode("overwrite").text(path)
+
+def write_document(lines: DataFrame, path: str) -> None:
+    """Save a document as a text folder of one file. One task writes it, line by line: a file has
+    one writer; its sort goes to disk where it has to."""
+    ordered = lines.repartition(1).sortWithinPartitions("section", "position", "key")
+    ordered.select("value").write.mode("overwrite").text(path)
 
 
 def _document_name(path: Column) -> Column:
@@ -166,7 +166,10 @@ def _document_name(path: Column) -> Column:
 
 
 def read_documents(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
-    """Documents of a folder: ``file_name`` and the ``items`` of the outer array as texts."""
+    """Documents of a folder: ``file_name`` and the ``items`` of the outer array as texts.
+
+    A document is read as one text; analyses whose lists do not fit in one are saved by
+    :func:`run_analysis`."""
     files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
     return files.select(
         _document_name(F.col("_metadata.file_path")).alias("file_name"),
@@ -190,6 +193,8 @@ def document_analyses(documents: DataFrame) -> DataFrame:
         item(2).alias("scope"),
         F.timestamp_seconds(item(3).cast("double")).alias("start_time"),
         F.timestamp_seconds(item(4).cast("double")).alias("end_time"),
+        local_time(item(3).cast("double")).alias("start_local"),
+        local_time(item(4).cast("double")).alias("end_local"),
         F.round(item(5).cast("double"), 2).alias("run_time"),
         ids(7).alias("case_ids"),
         ids(8).alias("control_ids"),

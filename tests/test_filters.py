@@ -171,7 +171,8 @@ def test_sample_lists(spark, calls):
     texts = cohorts.sample_list_text(groups, ["g"]).collect()
     assert {r["g"]: r["sample_ids"] for r in texts} == {
         "A": "A1 , A2 , A3", "B": "B1 , B2 , B3 , B4"}
-    dealt = cohorts.sample_list_text(groups, ["g"], per_text=2).collect()
+    dealt = cohorts.sample_list_text(groups, ["g"], texts=2).collect()
+    assert len(dealt) > len(texts) and {r["part"] for r in dealt} == {0, 1}
     listed = sorted(s for r in dealt if r["g"] == "B" for s in r["sample_ids"].split(" , "))
     assert listed == ["B1", "B2", "B3", "B4"]
 

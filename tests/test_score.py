@@ -194,6 +194,65 @@ def test_rank_positions(calls):
     ]
 
 
+def test_all_rows_are_numbered(spark):
+    """Ties by key, over several ranges and beyond any default length."""
+    ranking = spark.range(5000).selectExpr("id % 7 / 10 AS score", "concat('g', id) AS gene_symbol")
+    found = [tuple(r) for r in with_rank(ranking.repartition(5), "gene_symbol").collect()]
+    expected = sorted(((k % 7 / 10, f"g{k}") for k in range(5000)), key=lambda r: (-r[0], r[1]))
+    assert found == [(*r, k + 1) for k, r in enumerate(expected)]
+    cut = with_rank(ranking, "gene_symbol", top_k=3).collect()
+    assert [tuple(r) for r in cut] == [(*r, k + 1) for k, r in enumerate(expected[:3])]
+
+
+@pytest.mark.parametrize("packed, split", [(True, 1024), (False, 1024), (False, 2)])
+def test_unknown_and_empty_genes_are_two_items(spark, packed, split):
+    rows = [("A1", "G1"), ("A1", ""), ("A1", None), ("A2", "G1"), ("A2", None), ("B1", ""), ("B1", None)]
+    frame = spark.createDataFrame(rows, "sample_id string, gene_symbol string")
+    in_case = F.col("sample_id").startswith("A")
+    carrying = frame.withColumn("in_case", in_case).withColumn("in_control", ~in_case)
+    found = pairs.shared_carriers(carrying, "gene_symbol", "x", "y", packed=packed, split_above=split)
+    assert {(r["x"], r["y"]): (r["sum_case"], r["sum_control"]) for r in found.collect()} == {
+        ("G1", ""): (1, 0),
+        ("G1", None): (2, 0),
+        ("", None): (1, 1),
+    }
+
+
+def test_pairs_of_different_blocks_are_formed_once(spark):
+    rows = spark.range(64).selectExpr("'A1' AS sample_id", "true AS in_case", "false AS in_control", "concat('g', id) AS g")
+    joined = pairs.shared_carriers(rows, "g", "x", "y", packed=False, split_above=8)
+    assert joined.count() == 64 * 63 // 2
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "block1" in plan and "Cartesian" not in joined._jdf.queryExecution().toString()
+
+
+def test_number_of_pairs_is_exact(spark):
+    n = 3_000_000_001
+    row = spark.range(1).select(pairs.pair_count(F.lit(n)).alias("p"), pairs.pair_tests(F.lit(n)).alias("t"))
+    assert tuple(row.head()) == (n * (n - 1) // 2, n * (n + 1) // 2)
+
+
+def test_overlap_in_the_other_rankings(calls):
+    shared = "sample_id IN ('A1', 'B1')"
+    for ranking_of in (case_exclusive_variants, count_difference):
+        with pytest.raises(Exception, match="in the case and in the control group"):
+            ranking_of(calls, CASES, shared).collect()
+        left_out = ranking_of(calls, CASES, shared, on_overlap="exclude").collect()
+        alone = ranking_of(calls.where("sample_id <> 'A1'"), CASES, shared).collect()
+        assert left_out == alone
+
+
+def test_a_sample_listed_twice_counts_once(spark, calls):
+    twice = [("A1", True), ("A1", True), ("A2", True), ("B1", False), ("B1", False)]
+    cohort = spark.createDataFrame(twice, "sample_id string, is_case boolean")
+    unique = cohorts.unique_calls(cohorts.tag_groups(calls, CASES, CONTROLS))
+    assert unique.count() < calls.count()
+    distinct = calls.dropDuplicates(["sample_id", "pos", "gene_symbol"])
+    for table, options in ((calls, {}), (distinct, {"deduplicated": True})):
+        found = ranked(table, cohort=cohort, min_score=None, **FREE, **options)
+        assert all(r["sum_case"] <= r["n_case"] == 2 and r["n_control"] == 1 for r in found)
+
+
 def test_bad_parameters_are_refused():
     with pytest.raises(ValueError):
         AnalysisSpec("t", "", "", scope="trigenic")
@@ -262,7 +321,6 @@ def test_packing_more_samples_than_a_cell_holds(spark):
 @pytest.mark.parametrize("scale, part", [("gene", 0), ("variant", 1)])
 def test_leaving_out_hopeless_items_changes_no_ranking(spark, monkeypatch, top_k, scale, part):
     plan = sys.modules["burdenlens.plans.score"]
-    monkeypatch.setattr(plan, "PRUNE_ABOVE", 0)
     monkeypatch.setattr(plan, "LEADING", 7)
     left = []
     hopeful = plan._hopeful
@@ -282,7 +340,8 @@ def test_leaving_out_hopeless_items_changes_no_ranking(spark, monkeypatch, top_k
     assert [(tuple(r[k] for k in keys), r["sum_case"], r["sum_control"]) for r in found] == [
         (e[0], e[4], e[5]) for e in expected
     ]
-    if top_k == 1:
+    assert bool(left) == (scale == "variant")
+    if left and top_k == 1:
         assert left[0] < len({(g if part == 0 else v, s) for s, v, g, _ in rows})
 
 

@@ -127,6 +127,26 @@ def test_group_store(spark, calls, tmp_path):
         groups.group_named(groups.load_groups(spark, path), "cases")
 
 
+def test_group_store_keeps_any_text_and_one_row_a_name(spark, calls, tmp_path):
+    path = str(tmp_path / "groups")
+    schema = "Name string, SQL string"
+    groups.create_store(spark, path)
+    for text in ("pos = 1", "pos = 2\n OR pos = 3\t"):
+        groups.save_groups(spark, path, spark.createDataFrame([("few", text)], schema))
+    found = groups.load_groups(spark, path)
+    assert sorted(map(tuple, found.collect())) == [("All", ""), ("few", "pos = 2\n OR pos = 3\t")]
+    assert groups.rows_of_group(calls, found, "few").count() == 5
+    with pytest.raises(ValueError):
+        groups.save_groups(spark, path, spark.createDataFrame([("x", ""), ("x", "a")], schema))
+
+
+def test_group_file_with_line_breaks(spark, tmp_path):
+    path = tmp_path / "saved.csv"
+    path.write_text('"Name"\t"SQL"\n"few"\t"pos = 1\n OR pos = 2"\n')
+    found = groups.read_group_file(spark, str(path))
+    assert [tuple(r) for r in found.collect()] == [("few", "pos = 1\n OR pos = 2")]
+
+
 def test_group_file(spark, tmp_path):
     path = tmp_path / "saved.csv"
     path.write_text('"Name"\t"SQL"\n"All"\t""\n"rare"\t"( x <= 0.01 OR x IS NULL )"\n')
@@ -207,15 +227,28 @@ def test_stored_documents(spark, tmp_path):
     assert (rows["variant_pairs", 1]["key1"], rows["variant_pairs", 1]["score"]) == ("1:5:A:C", 0.5)
 
 
+def written(calls, spec, path):
+    ranking = score(calls, spec)
+    lines = results.document_lines(
+        ranking,
+        results.analysed_samples(calls, spec),
+        results.analysis_totals(calls, spec),
+        spec,
+        1.0,
+        3.5,
+    )
+    results.write_document(lines, str(path))
+    return ranking
+
+
 def test_document_round_trip(spark, calls, tmp_path):
     spec = AnalysisSpec('my "name"', CASES, CONTROLS, scope="digenic", **FREE)
-    ranking = score(calls, spec)
-    samples = results.analysed_samples(calls, spec)
-    results.write_document(results.document_text(ranking, samples, spec, 1.0, 3.5), str(tmp_path / "d"))
+    ranking = written(calls, spec, tmp_path / "d")
     documents = results.read_documents(spark, str(tmp_path / "d"))
     head = results.document_analyses(documents).head()
     assert head["analysis_name"] == 'my "name"' and head["ntests"] == 10
     assert head["case_ids"] == ["A1", "A2", "A3"]
+    assert (head["start_local"], head["end_local"]) == ("1970-01-01 01:00:01", "1970-01-01 01:00:03")
     back = [tuple(r) for r in results.document_scores(documents).select(
         "key1", "key2", "score", "sum_case").orderBy("rank").collect()]
     assert back == [
@@ -223,17 +256,30 @@ def test_document_round_trip(spark, calls, tmp_path):
         for r in ranking.collect()]
     text = next((tmp_path / "d").glob("part-*")).read_text()
     assert len(json.loads(text)) == 12
-    with pytest.raises(ValueError):
-        results.document_text(ranking, samples, AnalysisSpec("x", "", "", top_k=None), 0.0, 1.0)
 
 
-def test_document_refuses_too_many_samples(spark, calls, monkeypatch):
-    monkeypatch.setattr(results, "MAX_DOCUMENT_SAMPLES", 6)
-    spec = AnalysisSpec("x", CASES, CONTROLS, **FREE)
-    document = results.document_text(
-        score(calls, spec), results.analysed_samples(calls, spec), spec, 0.0, 1.0)
-    with pytest.raises(Exception, match="too many samples"):
-        document.collect()
+def test_document_of_nothing_and_of_many_samples(spark, calls, tmp_path):
+    written(calls, AnalysisSpec("none", CASES, CONTROLS, min_score=2.0, **FREE), tmp_path / "n")
+    head = results.document_analyses(results.read_documents(spark, str(tmp_path / "n"))).head()
+    assert (head["n_case"], head["n_control"], head["ntests"]) == (3, 4, 4)
+    many = spark.range(120_000).selectExpr(
+        "concat(if(id % 2 = 0, 'A', 'B'), id) AS sample_id", "'1' AS chr", "id % 5 AS pos",
+        "'A' AS ref", "'C' AS alt", "concat('G', id % 7) AS gene_symbol", "1 AS zygosity")
+    spec = AnalysisSpec("many", CASES, CONTROLS, min_score=None, top_k=None, **FREE)
+    written(many, spec, tmp_path / "m")
+    content = json.loads(next((tmp_path / "m").glob("part-*")).read_text())
+    assert (len(content[6]), len(content[7]), len(content[8])) == (7, 60_000, 60_000)
+
+
+def test_samples_of_an_analysis(spark, calls, tmp_path):
+    both = AnalysisSpec("b", CASES, "sample_id IN ('A1', 'B1', 'B2')", on_overlap="exclude", **FREE)
+    found = {tuple(r) for r in results.analysed_samples(calls, both).collect()}
+    assert found == {("A2", True), ("A3", True), ("B1", False), ("B2", False)}
+    with pytest.raises(Exception, match="in the case and in the control group"):
+        results.analysed_samples(calls, AnalysisSpec("b", CASES, "sample_id = 'A1'", **FREE)).collect()
+    results.run_analysis(calls, AnalysisSpec("n", CASES, CONTROLS, min_score=2.0, **FREE), str(tmp_path / "a"))
+    row = results.read_analysis(spark, str(tmp_path / "a"))[0].head()
+    assert (row["n_case"], row["n_control"], row["ntests"], row["n_results"]) == (3, 4, 4, 0)
 
 
 def test_exports(spark, tmp_path):

@@ -131,7 +131,9 @@ def fisher(r2: str = "n_control") -> str:
         f" - {lf(f'{r2} - ({m} - x)')} - {lf(n)} + {lf(m)} + {lf(f'{n} - {m}')})"
     )
     total = f"list_sum(list_transform(range({a}, least({r1}, {m}) + 1), lambda x: {terms}))"
-    return f"CASE WHEN n_control > 0 THEN round(least({total}, 1.0), 6) END AS pvalue"
+    return (
+        f"CASE WHEN n_control > 0 THEN cast(printf('%.5e', least({total}, 1.0)) AS double) END AS pvalue"
+    )
 
 
 def t_statistic() -> str:
@@ -208,7 +210,7 @@ FROM ranked {where} ORDER BY score DESC, gene_symbol LIMIT {limit}""",
 
 ORACLE["gene_monogenic"] = gene_fisher()
 ORACLE["gene_monogenic_compat"] = gene_fisher(r2="(n_control + sum_control)")
-ORACLE["gene_monogenic_rare"] = gene_fisher(ALL_CASE, ALL_CONTROL, (0.01, 0.01))
+ORACLE["gene_monogenic_rare"] = gene_fisher(ALL_CASE, ALL_CONTROL, (0.005, 0.005))
 ORACLE["gene_monogenic_strict"] = gene_fisher(
     ALL_CASE, ALL_CONTROL, (0.012, 0.015), strict=True, where=""
 )
@@ -313,6 +315,42 @@ ORACLE["gene_digenic"] = pairs(*GENES, CASE, CONTROL, "WHERE score > 0", "LIMIT
 ORACLE["gene_digenic_dense"] = pairs(*GENES, ALL_CASE, ALL_CONTROL, "WHERE score > 0", "")
 ORACLE["variant_digenic"] = pairs(*VARIANTS, CASE, CONTROL, "", "LIMIT 1000")
 
+ORACLE["variant_digenic_dense"] = pairs(*VARIANTS, ALL_CASE, ALL_CONTROL, "", "LIMIT 1000")
+
+# '' stands for an unknown gene and ' ' for an empty name while pairs are formed
+BLANKED = """CASE WHEN p_brand LIKE 'Brand#1%' THEN ' ' WHEN p_brand LIKE 'Brand#2%' THEN ''
+      ELSE p_brand || '/' || p_type END AS gene_symbol"""
+BLANKED_PAIRS = pairs(*GENES, ALL_CASE, ALL_CONTROL, "", "").replace(
+    "p_brand || '/' || p_type AS gene_symbol", BLANKED
+)
+ORACLE["gene_digenic_unknown"] = f"""SELECT * REPLACE (
+  CASE gene_symbol1 WHEN ' ' THEN '' WHEN '' THEN NULL ELSE gene_symbol1 END AS gene_symbol1,
+  CASE gene_symbol2 WHEN ' ' THEN '' WHEN '' THEN NULL ELSE gene_symbol2 END AS gene_symbol2)
+FROM ({BLANKED_PAIRS})"""
+
+
+def without_overlap(case: str, control: str) -> list[str]:
+    tagged_, rows, size = grouped(case, control)
+    return [
+        tagged_,
+        rows.replace("g AS (", "g0 AS (", 1),
+        """g AS (SELECT * FROM g0 WHERE sample_id NOT IN (
+    SELECT sample_id FROM g0 GROUP BY sample_id HAVING bool_or(in_case) AND bool_or(in_control)))""",
+        size,
+    ]
+
+
+ORACLE["variant_exclusive_overlap"] = with_calls(
+    "SELECT * FROM exclusive", *without_overlap(HIGH, LOW), CASE_EXCLUSIVE
+)
+ORACLE["gene_difference_overlap"] = with_calls(
+    """SELECT gene_symbol, sum_case - sum_control AS score, sum_case, sum_control FROM counted
+WHERE sum_case - sum_control >= -1000""",
+    *without_overlap(HIGH, LOW),
+    "k AS (SELECT * FROM g)",
+    GENE_COUNTS,
+)
+
 ORACLE["ntests"] = with_calls(
     """SELECT n_case, n_control, genes AS tests_gene, variants AS tests_variant,
   genes * (genes + 1) // 2 AS tests_gene_pair, genes * (genes - 1) // 2 AS gene_pairs,
@@ -324,9 +362,12 @@ FROM size, (SELECT count(DISTINCT gene_symbol) AS genes, count(DISTINCT variant_
 
 TOP_GENES = [*grouped(CASE, CONTROL), kept(0.5, 0.5), GENE_COUNTS, scored("gene_symbol")]
 ORACLE["ranked_positions"] = with_calls(
-    """SELECT cast(row_number() OVER (ORDER BY score DESC, gene_symbol) AS int) AS rank, gene_symbol,
-  score FROM ranked WHERE score > 0 ORDER BY score DESC, gene_symbol LIMIT 50""",
-    *TOP_GENES,
+    """SELECT row_number() OVER (ORDER BY score DESC, gene_symbol) AS rank, gene_symbol, score
+FROM ranked""",
+    *grouped(ALL_CASE, ALL_CONTROL),
+    kept(0.5, 0.5),
+    GENE_COUNTS,
+    scored("gene_symbol"),
 )
 
 # --- steps of scoring ---------------------------------------------------------------------------
@@ -387,7 +428,7 @@ ORACLE["group_sizes"] = with_calls("SELECT * FROM size", *grouped(CASE, CONTROL)
 ORACLE["sample_list_text"] = f"""WITH {PHENOTYPES},
 dealt AS (
   SELECT "Pathology", "Sample_ID", cast('0x' || substr(md5("Sample_ID"), 1, 8) AS bigint)
-    % cast(ceil(count(*) OVER (PARTITION BY "Pathology") / 100.0) AS bigint) AS part
+    % 4 AS part
   FROM phenotypes)
 SELECT "Pathology", part, string_agg("Sample_ID", ' , ' ORDER BY "Sample_ID") AS sample_ids
 FROM dealt GROUP BY "Pathology", part"""
@@ -618,7 +659,8 @@ def document(name: str, scale: str, scope: str, keys: str, sql: str) -> str:
     )
     return (
         f"SELECT '{name}' AS file_name, '{name}' AS analysis_name, '{scale}' AS scale,"
-        f" '{scope}' AS scope, {keys}, {stats} FROM ({sql})"
+        f" '{scope}' AS scope, {keys}, {stats}, cast(row_number() OVER"
+        f" (ORDER BY score DESC, key1, key2) AS int) AS rank FROM ({sql})"
     )
 
 
@@ -630,29 +672,59 @@ ORACLE["document_scores"] = "\nUNION ALL\n".join(
             "gene",
             "digenic",
             "gene_symbol1 AS key1, gene_symbol2 AS key2",
-            pairs(*GENES, CASE, CONTROL, "WHERE score > 0", "LIMIT 100"),
+            pairs(*GENES, CASE, CONTROL, "WHERE score > 0", "LIMIT 1000"),
         ),
         document(
             "variants",
             "variant",
             "monogenic",
             "variant_id AS key1, gene_symbol AS key2",
-            variant_t(CASE, CONTROL, "LIMIT 100"),
+            variant_t(ALL_CASE, ALL_CONTROL, ""),
         ),
     ]
 )
-ORACLE["document_headers"] = with_calls(
-    """SELECT name AS file_name, name AS analysis_name, scale, scope, 12.34::double AS run_time,
-  cast(n_case AS int) AS n_case, cast(n_control AS int) AS n_control, 'machinery' AS control_name,
-  'building' AS case_name, cast(CASE name WHEN 'genes' THEN genes WHEN 'variants' THEN variants
-    ELSE genes * (genes + 1) // 2 END AS bigint) AS ntests, first_case,
-  cast(1500000000 AS bigint) AS start_epoch
-FROM size, (VALUES ('genes', 'gene', 'monogenic'), ('pairs', 'gene', 'digenic'),
-    ('variants', 'variant', 'monogenic')) v(name, scale, scope),
-  (SELECT count(DISTINCT gene_symbol) AS genes, min(CASE WHEN in_case THEN sample_id END) AS
-    first_case FROM g),
-  (SELECT count(*) AS variants FROM (SELECT DISTINCT variant_id, gene_symbol FROM g))""",
-    *grouped(CASE, CONTROL),
+
+
+def header(name: str, scale: str, scope: str, case: str, control: str, tests: str) -> str:
+    """The header of one document; its groups are named apart from those of the others."""
+    return with_calls(
+        f"""SELECT '{name}' AS file_name, '{name}' AS analysis_name, '{scale}' AS scale,
+  '{scope}' AS scope, 12.34::double AS run_time, cast(n_case AS int) AS n_case,
+  cast(n_control AS int) AS n_control, 'machinery' AS control_name, 'building' AS case_name,
+  cast({tests} AS bigint) AS ntests, cases, controls, cast(1500000000 AS bigint) AS start_epoch,
+  cast(1500000012 AS bigint) AS end_epoch, '2017-07-14 04:40:00' AS start_local
+FROM size, (SELECT string_agg(DISTINCT CASE WHEN in_case THEN sample_id END, ' '
+    ORDER BY CASE WHEN in_case THEN sample_id END) AS cases,
+  string_agg(DISTINCT CASE WHEN in_control THEN sample_id END, ' '
+    ORDER BY CASE WHEN in_control THEN sample_id END) AS controls FROM g)""",
+        *grouped(case, control),
+    )
+
+
+N_GENES = "(SELECT count(DISTINCT gene_symbol) FROM g)"
+ORACLE["document_headers"] = "\nUNION ALL\n".join(
+    f"SELECT * FROM ({sql})"
+    for sql in (
+        header("genes", "gene", "monogenic", CASE, CONTROL, N_GENES),
+        header("pairs", "gene", "digenic", CASE, CONTROL, f"{N_GENES} * ({N_GENES} + 1) // 2"),
+        header(
+            "variants",
+            "variant",
+            "monogenic",
+            ALL_CASE,
+            ALL_CONTROL,
+            "(SELECT count(*) FROM (SELECT DISTINCT variant_id, gene_symbol FROM g))",
+        ),
+    )
+)
+ORACLE["results_empty"] = with_calls(
+    f"""SELECT n_case, n_control, {N_GENES} AS ntests, 0 AS n_results, n_case + n_control AS n_listed
+FROM size""",
+    *grouped(ALL_CASE, ALL_CONTROL),
+)
+ORACLE["preview_unordered"] = with_calls(
+    f"""SELECT gene_symbol, count(*) AS n_calls, cast(sum(pos) AS bigint) AS pos
+FROM calls WHERE {ALL_CASE} GROUP BY gene_symbol"""
 )
 ORACLE["analysis_catalog"] = with_calls(
     """SELECT 'first' AS file_name, least(5, count(*)) AS n_results FROM ranked WHERE score > 0

@@ -46,14 +46,21 @@ def query(run: Query) -> Query:
     return run
 
 
-def rounded(ranking: DataFrame) -> DataFrame:
-    """P-values to six digits, so that two implementations can be compared exactly."""
-    return ranking.withColumn("pvalue", F.round("pvalue", 6))
+def digits(pvalue: Column) -> Column:
+    """Six significant digits of a p-value, so that two implementations can be compared exactly."""
+    return F.when(pvalue.isNotNull(), F.format_string("%.5e", pvalue).cast("double"))
+
+
+def rounded(ranking: DataFrame, test: str = "fisher") -> DataFrame:
+    """P-values to six significant digits, or, for the t-test, whose counterpart in SQL subtracts
+    from 1, to six decimals."""
+    shown = digits(F.col("pvalue")) if test == "fisher" else F.round("pvalue", 6)
+    return ranking.withColumn("pvalue", shown)
 
 
 def ranking(spark: SparkSession, sf_dir: str, case=CASE, control=CONTROL, **options) -> DataFrame:
     spec = AnalysisSpec("ranking", case, control, **options)
-    return rounded(score(order_calls(spark, sf_dir), spec))
+    return rounded(score(order_calls(spark, sf_dir), spec), spec.effective_test)
 
 
 def by_gene(calls: DataFrame) -> DataFrame:
@@ -84,7 +91,7 @@ def gene_monogenic_compat(spark, sf_dir):
 
 @query
 def gene_monogenic_rare(spark, sf_dir):
-    return ranking(spark, sf_dir, ALL_CASE, ALL_CONTROL, case_max_freq=0.01, control_max_freq=0.01)
+    return ranking(spark, sf_dir, ALL_CASE, ALL_CONTROL, case_max_freq=0.005, control_max_freq=0.005)
 
 
 @query
@@ -158,6 +165,33 @@ def variant_digenic(spark, sf_dir):
     return ranking(spark, sf_dir, scope="digenic", scale="variant")
 
 
+@query
+def variant_digenic_dense(spark, sf_dir):
+    return ranking(spark, sf_dir, ALL_CASE, ALL_CONTROL, scope="digenic", scale="variant")
+
+
+@query
+def gene_digenic_unknown(spark, sf_dir):
+    """Pairs where some calls have no gene and others an empty one."""
+    gene = F.col("gene_symbol")
+    blanked = F.when(gene.startswith("Brand#1"), F.lit("")).when(~gene.startswith("Brand#2"), gene)
+    calls = order_calls(spark, sf_dir).withColumn("gene_symbol", blanked)
+    spec = AnalysisSpec("unknown", ALL_CASE, ALL_CONTROL, scope="digenic", min_score=None, top_k=None)
+    return rounded(score(calls, spec))
+
+
+@query
+def variant_exclusive_overlap(spark, sf_dir):
+    """Samples in both groups are left out."""
+    return case_exclusive_variants(order_calls(spark, sf_dir), HIGH, LOW, on_overlap="exclude")
+
+
+@query
+def gene_difference_overlap(spark, sf_dir):
+    calls = order_calls(spark, sf_dir)
+    return count_difference(calls, HIGH, LOW, top_k=None, min_score=-1000, on_overlap="exclude")
+
+
 @query
 def ntests(spark, sf_dir):
     spec = AnalysisSpec("tests", CASE, CONTROL)
@@ -166,8 +200,9 @@ def ntests(spark, sf_dir):
 
 @query
 def ranked_positions(spark, sf_dir):
-    spec = AnalysisSpec("ranked", CASE, CONTROL)
-    ranks = with_rank(score(order_calls(spark, sf_dir), spec), "gene_symbol", top_k=50)
+    """Positions in an uncut ranking of whole groups."""
+    spec = AnalysisSpec("ranked", ALL_CASE, ALL_CONTROL, min_score=None, top_k=None)
+    ranks = with_rank(score(order_calls(spark, sf_dir), spec), "gene_symbol")
     return ranks.select("rank", "gene_symbol", "score")
 
 
@@ -258,7 +293,7 @@ def group_sizes(spark, sf_dir):
 @query
 def sample_list_text(spark, sf_dir):
     phenotypes = customer_phenotypes(spark, sf_dir)
-    return cohorts.sample_list_text(phenotypes, ["Pathology"], "Sample_ID", per_text=100)
+    return cohorts.sample_list_text(phenotypes, ["Pathology"], "Sample_ID", texts=4)
 
 
 @query
@@ -317,6 +352,13 @@ def phenotype_to_calls(spark, sf_dir):
     return by_gene(calls)
 
 
+@query
+def preview_unordered(spark, sf_dir):
+    """A preview that is not sorted and long enough for all rows."""
+    rows = b.browse(order_calls(spark, sf_dir), ALL_CASE, max_rows=100_000_000, ordered=False)
+    return rows.groupBy("gene_symbol").agg(F.count("*").alias("n_calls"), F.sum("pos").alias("pos"))
+
+
 @query
 def facet_values(spark, sf_dir):
     fields = ["Data_Source", "Pathology", "Gender", "Super_Population"]
@@ -696,17 +738,33 @@ def results_roundtrip(spark, sf_dir):
     return saved.select("*", "about.*", "listed.*").drop("about", "listed")
 
 
+@query
+def results_empty(spark, sf_dir):
+    """What is known of an analysis in which no gene scores high enough."""
+    calls, path = order_calls(spark, sf_dir), new_folder(spark, "empty")
+    spec = AnalysisSpec("empty", ALL_CASE, ALL_CONTROL, min_score=2.0)
+    results.run_analysis(calls, spec, path)
+    analysis, _, listed = results.read_analysis(spark, path)
+    counts = listed.agg(F.count("*").alias("n_listed"))
+    return analysis.select("n_case", "n_control", "ntests", "n_results").crossJoin(counts)
+
+
 def saved_documents(spark, sf_dir) -> DataFrame:
     calls = order_calls(spark, sf_dir)
     folder = new_folder(spark, "documents")
     names = {"case_name": "building", "control_name": "machinery"}
     for spec in (
         AnalysisSpec("genes", CASE, CONTROL, **names),
-        AnalysisSpec("pairs", CASE, CONTROL, scope="digenic", top_k=100, **names),
-        AnalysisSpec("variants", CASE, CONTROL, scale="variant", top_k=100, **names),
+        AnalysisSpec("pairs", CASE, CONTROL, scope="digenic", **names),
+        AnalysisSpec("variants", ALL_CASE, ALL_CONTROL, scale="variant", top_k=None, **names),
     ):
-        document = results.document_text(
-            score(calls, spec), results.analysed_samples(calls, spec), spec, 1.5e9, 1.5e9 + 12.344
+        document = results.document_lines(
+            score(calls, spec),
+            results.analysed_samples(calls, spec),
+            results.analysis_totals(calls, spec),
+            spec,
+            1.5e9,
+            1.5e9 + 12.344,
         )
         results.write_document(document, f"{folder}/{spec.name}")
     return results.read_documents(spark, f"{folder}/*", "*.txt")
@@ -715,7 +773,9 @@ def saved_documents(spark, sf_dir) -> DataFrame:
 @query
 def document_scores(spark, sf_dir):
     scores = results.document_scores(saved_documents(spark, sf_dir))
-    return rounded(scores.drop("rank"))
+    by_t = F.col("file_name") == "variants"
+    shown = F.when(by_t, F.round("pvalue", 6)).otherwise(digits(F.col("pvalue")))
+    return scores.withColumn("pvalue", shown)
 
 
 @query
@@ -724,8 +784,11 @@ def document_headers(spark, sf_dir):
     return headers.select(
         "file_name", "analysis_name", "scale", "scope", "run_time", "n_case", "n_control", "control_name",
         "case_name", "ntests",
-        F.element_at("case_ids", 1).alias("first_case"),
+        F.array_join("case_ids", " ").alias("cases"),
+        F.array_join("control_ids", " ").alias("controls"),
         F.unix_timestamp("start_time").alias("start_epoch"),
+        F.unix_timestamp("end_time").alias("end_epoch"),
+        "start_local",
     )
 
 
@@ -738,7 +801,8 @@ def analysis_catalog(spark, sf_dir):
         spec = AnalysisSpec(name, CASE, CONTROL, top_k=top)
         ranked = score(calls, spec)
         samples = results.analysed_samples(calls, spec)
-        document = results.document_text(ranked, samples, spec, 0.0, 1.0)
+        totals = results.analysis_totals(calls, spec)
+        document = results.document_lines(ranked, samples, totals, spec, 0.0, 1.0)
         results.write_document(document, f"{folder}/{name}")
     names = results.list_documents(spark, f"{folder}/*")
     documents = results.read_documents(spark, f"{folder}/*")
