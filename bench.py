@@ -26,7 +26,9 @@ HEADLINE = [
     "gene_digenic",
     "gene_digenic_dense",
     "variant_digenic",
+    "variant_digenic_dense",
     "ntests",
+    "ranked_positions",
     "variant_frequency",
     "recurrent_blacklist",
     "phenotype_to_calls",

@@ -8,19 +8,19 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_IN_LIST = re.compile(r"\bIN\s*\(\s*('[^']*'(?:\s*,\s*'[^']*')*)\s*\)", re.IGNORECASE)
-_QUOTED = re.compile(r"'([^']*)'")
+_IN_LIST = re.compile(r"\bIN\s*\(\s*'((?:[^']|'')*)'\s*\)", re.IGNORECASE)
 
 
 def normalise_in_lists(predicate: str) -> str:
     """Expand the shorthand ``IN('a , b')`` to ``IN('a','b')``.
 
-    Only text inside ``IN (...)`` is touched, spaces around the commas are trimmed, and a list
-    that is already quoted value by value stays as it is.
+    Only a single quoted text inside ``IN (...)`` is touched, and spaces around its commas are
+    trimmed; doubled quotes in it stay doubled. A list of several quoted values is quoted value by
+    value already and stays as it is, commas within a value included.
     """
 
     def expand(match: re.Match) -> str:
-        values = [v.strip() for text in _QUOTED.findall(match.group(1)) for v in text.split(",")]
+        values = [v.strip() for v in match.group(1).split(",")]
         return "IN(" + ",".join(f"'{v}'" for v in values) + ")"
 
     return _IN_LIST.sub(expand, predicate)

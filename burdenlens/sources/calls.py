@@ -4,28 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from burdenlens.schema import SCORING_SCHEMA, canonical_calls
 
 
-# Old files keep their text as plain binary; and a chromosome that is a directory name has to stay
-# text, so that 01 does not become 1.
-_OPENING = {
-    "spark.sql.parquet.binaryAsString": "true",
-    "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
-}
-
-
 def read_calls(spark: SparkSession, path: str) -> DataFrame:
-    """A call table in Parquet, its text being text whatever the writer made of it."""
-    before = {name: spark.conf.get(name) for name in _OPENING}
-    try:
-        for name, value in _OPENING.items():
-            spark.conf.set(name, value)
-        return canonical_calls(spark.read.parquet(path))
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
+    """A call table in Parquet, its text being text whatever the writer made of it.
+
+    Old files keep their text as plain binary, which is cast; and a chromosome that is a directory
+    name is read as text, so that 01 does not become 1. No setting of the session is touched.
+    """
+    found = spark.read.parquet(path).schema
+    in_files = spark.read.option("recursiveFileLookup", True).parquet(path).columns
+    fields = [
+        f if f.name in in_files else StructField(f.name, StringType()) for f in found.fields
+    ]
+    calls = spark.read.schema(StructType(fields)).parquet(path)
+    text = {
+        f.name: F.col(f"`{f.name}`").cast("string")
+        for f in fields
+        if isinstance(f.dataType, BinaryType)
+    }
+    return canonical_calls(calls.withColumns(text))
 
 
 def read_calls_csv(

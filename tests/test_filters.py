@@ -34,6 +34,8 @@ def who(df):
         ("sample_id IN('A , B')", "sample_id IN('A','B')"),
         ("sample_id in ('A,B ,C') AND x = 1", "sample_id IN('A','B','C') AND x = 1"),
         ("g IN('A','B') OR h IN ( 'C , D' )", "g IN('A','B') OR h IN('C','D')"),
+        ("n IN('A, B','C')", "n IN('A, B','C')"),
+        ("n IN('O''Brien , Z')", "n IN('O''Brien','Z')"),
         ("n IN(1, 2)", "n IN(1, 2)"),
         ("name = 'Smith, John'", "name = 'Smith, John'"),
         ("a NOT IN('x , y z')", "a NOT IN('x','y z')"),
