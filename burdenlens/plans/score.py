@@ -225,9 +225,13 @@ def _with_pvalue(ranked: DataFrame, spec: AnalysisSpec) -> DataFrame:
 
     if spec.top_k is not None:
         return tested(ranked)
-    # An uncut list is long but repeats few combinations of counts: each is tested once, spread
-    # over all cores, as a test costs far more than its few bytes let adaptive execution expect.
+    # A test costs far more than its few bytes let adaptive execution expect, so an uncut list is
+    # spread over all cores. Counts of carriers repeat a lot: each combination is tested once.
+    # Moments hardly repeat and are tested where they are.
     cores = ranked.sparkSession.sparkContext.defaultParallelism
+    if spec.effective_test == "ttest":
+        spread = ranked.repartition(cores, *spec.key_columns)
+        return tested(spread).orderBy(F.desc("score"), *spec.key_columns)
     tables = tested(ranked.select(*counts).distinct().repartition(cores, *counts))
     same = [F.col(c).eqNullSafe(F.col(f"tested_{c}")) for c in counts]
     tables = tables.withColumnsRenamed({c: f"tested_{c}" for c in counts})
