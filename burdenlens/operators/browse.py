@@ -9,6 +9,8 @@ from burdenlens.operators.filters import apply_predicate
 from burdenlens.schema import browse_projection, choose_columns
 
 MAX_ROWS = 1000
+# Fixed value: the notice users know.
+NOTICE = "Warning: Query returns %d records. First %d retrieved."
 _ORDER = ["chr", "pos", "ref", "alt", "gene_symbol", "sample_id"]
 
 
@@ -39,9 +41,7 @@ def count_rows(
 ) -> DataFrame:
     """One row: how many rows a group has, whether a preview cuts them, and the notice to show."""
     n = F.col("n_records")
-    notice = F.format_string(
-        f"Warning: Query returns %d records. First {max_rows} retrieved.", n
-    )
+    notice = F.format_string(NOTICE, n, F.lit(max_rows))
     return (
         apply_predicate(calls, predicate)
         .agg(F.count("*").alias("n_records"))

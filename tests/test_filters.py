@@ -181,11 +181,11 @@ def test_sample_lists(spark, calls):
 
 def test_phenotype_to_calls(spark, calls):
     phenotypes = spark.createDataFrame(
-        [("ULB", "A1", "NEURODEV"), ("ULB", "B1", "Control"), ("X", "B2", "NEURODEV")],
+        [("Clinic A", "A1", "NEURODEV"), ("Clinic A", "B1", "Control"), ("X", "B2", "NEURODEV")],
         "Data_Source string, Sample_ID string, Pathology string",
     )
     kept = cohorts.calls_of_phenotype(
-        calls, phenotypes, "Data_Source = 'ULB' AND Pathology = 'NEURODEV'"
+        calls, phenotypes, "Data_Source = 'Clinic A' AND Pathology = 'NEURODEV'"
     )
     assert set(who(kept)) == {"A1"}
 

@@ -74,8 +74,8 @@ def test_synthetic_table(spark):
 
 def test_phenotypes(spark, tmp_path):
     records = [
-        {"src": "ULB", "id": "S1", "path": "NEURODEV", "sex": "F", "pop": "EUR"},
-        {"src": "UZ Brussel", "id": "S2", "path": "Control", "sex": "M", "pop": "EUR"},
+        {"src": "Clinic A", "id": "S1", "path": "NEURODEV", "sex": "F", "pop": "EUR"},
+        {"src": phenotypes.EXCLUDED_SOURCES[0], "id": "S2", "path": "Control", "sex": "M", "pop": "EUR"},
         {"src": "", "id": "S3", "path": "Control", "sex": "M", "pop": None},
         {"src": "1000 Genomes", "id": "S4", "path": "Control", "pop": "EAS"},
     ]
