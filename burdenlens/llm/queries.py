@@ -111,7 +111,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
     """Learned from the labels of documents whose id is not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.train(toxicity.labelled(docs, labels).where(~held_out(0)))
+    return toxicity.train(docs, toxicity.marks(labels).where(~held_out(0)))
 
 
 def held_out(remainder: int):

@@ -66,14 +66,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.constant + np.array(sums), -500, 500)))
 
 
-def labelled(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    """``doc_id, text, label``: texts with a label of 0 or 1, one per id and text.
-
-    Of several labels of an id the largest counts; a null label or id is left out.
-    """
-    marks = labels.select("doc_id", F.col(label).cast("int").alias("label"))
-    marks = marks.where("label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
-    return documents.select("doc_id", "text").join(marks, "doc_id")
+def marks(labels: DataFrame, label: str = "toxic") -> DataFrame:
+    """``doc_id, label``: one label of 0 or 1 an id. Of several the largest counts; a null label or id
+    is left out."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label"))
+    known = known.where("label IN (0, 1) AND doc_id IS NOT NULL")
+    return known.groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
 def _counts(rows: DataFrame) -> np.ndarray:
@@ -97,9 +95,9 @@ def _counts(rows: DataFrame) -> np.ndarray:
 def _fit(rows: list[np.ndarray], label: np.ndarray, scale: np.ndarray, ridge: float):
     """Logistic regression on rows of feature numbers, each scaled; (weights, constant)."""
     sizes = np.array([len(r) for r in rows], np.int64)
-    column = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(rows)), sizes)
-    value = scale[column]
+    column = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+    value = scale[column].astype(np.float32)
     wide = len(scale)
 
     # the rarer class weighs more, by the root of its rarity
@@ -139,16 +137,23 @@ def _fit(rows: list[np.ndarray], label: np.ndarray, scale: np.ndarray, ridge: fl
 
 
 def train(
-    rows: DataFrame, chosen: int = 8192, fit_rows: int = 20_000, ridge: float = 2.0
+    documents: DataFrame,
+    marked: DataFrame,
+    chosen: int = 6144,
+    fit_rows: int = 12_000,
+    ridge: float = 2.0,
 ) -> Model:
-    """A model from ``doc_id, text, label``.
+    """A model from the texts of ``documents`` and the labels of ``marks``.
 
-    Log-count ratios are taken over all rows. The regression takes the ``chosen`` buckets whose ratio
-    is most certain and at most ``fit_rows`` rows. Without rows of both classes every score is the
-    share of marked rows, smoothed.
+    Log-count ratios are taken over all labelled rows; labels are not bounded, so texts meet them in a
+    merge join whatever the size. The regression takes the ``chosen`` buckets whose ratio is most
+    certain and about ``fit_rows`` labelled ids, which are few enough to be sent to every task.
+    Without rows of both classes every score is the share of marked rows, smoothed.
     """
+    texts = documents.select("doc_id", "text")
+    rows = texts.join(marked.hint("merge"), "doc_id").select("label", "text")
     counts = _counts(rows)
-    per_class = rows.groupBy("label").count().collect()
+    per_class = marked.groupBy("label").count().collect()
     total = np.zeros(2)
     for r in per_class:
         total[r["label"]] = r["count"]
@@ -174,14 +179,14 @@ def train(
             ids = pa.array([np.sort(n[n >= 0]) for n in own], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([piece.column("label"), ids], ["label", "ids"])
 
-    order = F.xxhash64("doc_id")
-    sample = rows.withColumn("o", order)
-    if total.sum() > fit_rows:  # a share of the hash range, so that no sort of texts is needed
+    few = marked
+    if total.sum() > fit_rows:  # a share of the hash range, so that no sort is needed
         bound = int(-(2**63) + 2**64 * fit_rows / total.sum())
-        sample = sample.where(F.col("o") < bound)
-    table = arrow(sample.select("label", "text"), reduce, "label int, ids array<int>").toArrow()
+        few = marked.where(F.xxhash64("doc_id") < bound)
+    sample = texts.join(F.broadcast(few), "doc_id").select("label", "text")
+    table = arrow(sample, reduce, "label int, ids array<int>").toArrow()
     label = table["label"].to_numpy().astype(float)
-    bound_ids = [np.asarray(x, np.int64) for x in table["ids"].to_numpy()] if len(table) else []
+    bound_ids = [np.asarray(x, np.int32) for x in table["ids"].to_numpy()] if len(table) else []
     fitted, constant = _fit(bound_ids, label, ratio[picked], ridge)
     weights[picked] = fitted * ratio[picked]
     return Model(weights, constant)

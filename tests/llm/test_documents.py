@@ -285,13 +285,13 @@ def test_toxicity_on_held_out_texts(spark):
         marks.append((k, int(bad)))
     docs = spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string")
     labels = spark.createDataFrame([*marks, (900, 1), (None, 1), (5, None)], "doc_id long, toxic int")
-    model = toxicity.train(toxicity.labelled(docs, labels).where("doc_id % 5 != 0"))
+    model = toxicity.train(docs, toxicity.marks(labels).where("doc_id % 5 != 0"))
     scored = toxicity.score(docs.withColumn("SCORE", F.lit(1)), model)
     assert scored.columns == ["doc_id", "text", "score"]
     got = {r["doc_id"]: r["score"] for r in scored.collect()}
     assert all((got[k] >= 0.5) == (k % 4 == 0) for k in range(0, 400, 5))
     assert 0 < got[900] < 0.5 and got[900] == got[901]
-    none = toxicity.train(toxicity.labelled(docs, labels.limit(0)))
+    none = toxicity.train(docs, toxicity.marks(labels.limit(0)))
     assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.5}
 
 
