@@ -88,8 +88,8 @@ def blocks_of(counts: np.ndarray) -> pa.RecordBatch:
 def summed(blocks: DataFrame, size: int) -> np.ndarray:
     """The array of ``size`` counts that the blocks of all tasks add up to.
 
-    Blocks are added by their number in as many tasks as there are partitions, each holding one array
-    for a block; only the sums, of fixed size, come to the driver.
+    Blocks are dealt by their number to as many tasks as there are blocks or cores for them, each of
+    which holds one array for a block; only the sums, of fixed size, come to the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +108,9 @@ def summed(blocks: DataFrame, size: int) -> np.ndarray:
                 ["block", "counts"],
             )
 
-    added_up = arrow(blocks.repartition("block"), run, "block int, counts binary")
+    cores = blocks.sparkSession.sparkContext.defaultParallelism
+    dealt = blocks.repartition("block").coalesce(min(-(-size // BLOCK), 2 * cores))
+    added_up = arrow(dealt, run, "block int, counts binary")
     total = np.zeros(-(-size // BLOCK) * BLOCK, np.int64)
     for row in added_up.toLocalIterator():
         start = row["block"] * BLOCK

@@ -148,59 +148,60 @@ def grow(
         tree.code = np.zeros(256, np.int32)
         tree.unseen, width, end = 256, 1, 0
     total = max(int(single.sum()), 1)
-    counts = [np.zeros((2, width), np.int64)]
-    counts[0][1, : len(seen)] = single[seen]
-    parents = [np.zeros(2, np.int64)]
+    counts = np.zeros((2, width), np.int64)
+    counts[1, : len(seen)] = single[seen]
+    root = counts[1] + 0.5
+    root[-1] = 0.5 * tree.unseen
+    parent, state = np.zeros(2, np.int64), [np.zeros(2, np.int64)]
+    chances, number = [(root / root.sum()).astype(np.float32)[None]], 1
     for length in range(depth):
-        common = counts[length] >= max(least * total, 2)
+        common = counts >= max(least * total, 2)
         common[0] = False
         if length:  # a context never reaches over the end of a text
             common[:, end] = False
         if not common.any():
             break
-        step = np.zeros(counts[length].shape, np.int32)
+        step = np.zeros(counts.shape, np.int32)
         step[common] = np.arange(1, common.sum() + 1)
-        tree.forward.append(step)
         before, sign = np.nonzero(common)
-        shorter = tree.forward[length - 1][parents[length][before], sign] if length else 1
-        parents.append(np.concatenate([[0], np.broadcast_to(shorter, len(sign))]).astype(np.int64))
-        counts.append(_count_next(texts, tree))
-    return _retained(tree, counts, parents, divergence)
-
-
-def _retained(tree: Tree, counts: list, parents: list, divergence: float) -> Tree:
-    """Divergence tests and smoothing, from short contexts to long ones."""
-    width = counts[0].shape[1]
-    root = counts[0][1].astype(float) + 0.5
-    root[-1] = 0.5 * tree.unseen
-    chances, number = [root / root.sum()], 1
-    state = [np.zeros(2, np.int64)]
-    for length in range(1, len(counts)):
-        above = state[length - 1][parents[length]]  # the nearest retained suffix
-        parent = np.array(chances)[above] if length == 1 else np.concatenate(parts)[above]
-        own = counts[length].astype(float)
-        size = own.sum(1, keepdims=True)
-        share = own / np.maximum(size, 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.where(share > 0, share * np.log(share / parent), 0).sum(1)
-        kinds = (own > 0).sum(1, keepdims=True)
-        keep = (gain >= divergence) & (gain * size[:, 0] >= EVIDENCE * kinds[:, 0])
-        keep[0] = False
-        smooth = (own + kinds * parent) / np.maximum(size + kinds, 1)
+        shorter = tree.forward[-1][parent[before], sign] if length else np.ones(len(sign), np.int64)
+        parent = np.concatenate([[0], shorter]).astype(np.int64)
+        tree.forward.append(step)
+        counts = _count_next(texts, tree)
+        above = state[-1][parent]  # the nearest retained suffix
+        keep, smooth = _tested(counts, np.concatenate(chances), above, divergence)
         numbered = above.copy()
         numbered[keep] = number + np.arange(keep.sum())
         number += int(keep.sum())
-        if length == 1:
-            parts = [np.array(chances)]
-        parts.append(smooth[keep])
+        chances.append(smooth)
         state.append(numbered)
-    every = np.concatenate(parts) if len(counts) > 1 else np.array(chances)
     tree.offset = list(np.cumsum([0, *(len(s) for s in state[:-1])]))
     tree.state = np.concatenate(state).astype(np.int32)
-    tree.chance = np.log10(every).astype(np.float32).reshape(-1, width)
+    tree.chance = np.log10(np.concatenate(chances))
     return tree
 
 
+def _tested(
+    counts: np.ndarray, chances: np.ndarray, above: np.ndarray, divergence: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Which contexts of a length are retained, and their smoothed distributions; a few thousand
+    contexts at a time."""
+    kept_, smoothed = [], []
+    for start in range(0, len(counts), 4096):
+        own = counts[start : start + 4096].astype(float)
+        parent = chances[above[start : start + 4096]].astype(float)
+        size = own.sum(1, keepdims=True)
+        share = own / np.maximum(size, 1)
+        gain = (share * np.log(np.maximum(share, 1e-300) / parent)).sum(1)
+        kinds = (own > 0).sum(1, keepdims=True)
+        keep = (gain >= divergence) & (gain * size[:, 0] >= EVIDENCE * kinds[:, 0])
+        keep[: 1 if start == 0 else 0] = False  # no context
+        smooth = (own + kinds * parent) / np.maximum(size + kinds, 1)
+        kept_.append(keep)
+        smoothed.append(smooth[keep].astype(np.float32))
+    return np.concatenate(kept_), np.concatenate(smoothed)
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """``word, c`` over the rows to train on; ``word`` is a hash, and 0 the end of a text."""
 
