@@ -229,7 +229,7 @@ def linked(sets: list[bytes], probe: bytes, percent: int) -> list[int]:
 def _links(pairs: DataFrame, documents: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
     """``a, b`` of the candidate pairs that link."""
     names = kept(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct())
-    sets = kept(_fetched(documents, names, levels))
+    sets = _fetched(documents, names, levels)
     full = pairs.join(sets.select(F.col("name").alias("a"), F.col("runs").alias("ra")), "a").join(
         sets.select(F.col("name").alias("b"), F.col("runs").alias("rb")), "b"
     )
@@ -295,6 +295,16 @@ def components(edges: DataFrame) -> DataFrame:
     return ends.union(tied.select("v", "v").distinct())
 
 
+def _met_at_least(percent: int) -> str:
+    """SQL: first runs that linked sets of ``na`` and ``nb`` runs share at least.
+
+    They share the needed overlap, of which no more can lie after the first runs of either set than
+    there are runs.
+    """
+    after = f"greatest(ceil({percent} * na / 100), ceil({percent} * nb / 100)) - 1"
+    return f"ceil({percent} * (na + nb) / {100 + percent}) - ({after})"
+
+
 def groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row, and ``name``, the hash of its set.
 
@@ -308,24 +318,25 @@ def groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     levels = _levels(summed(found.where("block IS NOT NULL").select("block", "counts"), BUCKETS))
     heads = _heads(documents, levels, percent)
     meeting = Window.partitionBy("run").orderBy("n", "name")
-    met = heads.select(
-        "run",
-        "name",
-        "n",
-        F.lag("name").over(meeting).alias("a"),
-        F.lag("n").over(meeting).alias("na"),
-        F.lead("name").over(meeting).alias("c"),
+    before, after = F.lag("name").over(meeting), F.lead("name").over(meeting)
+    common = kept(
+        heads.select("run", "name", "n", before.alias("a"), after.alias("c"))
+        .where("a <> name OR c <> name")
+        .select("run", "name", "n")
     )
-    common = kept(met.where("a <> name OR c <> name"))
-    near = (
-        common.where(f"a <> name AND 100 * na >= {percent} * n")
+    met = common.select("name", "n", before.alias("a"), F.lag("n").over(meeting).alias("na"))
+    near = kept(
+        met.where(f"a <> name AND 100 * na >= {percent} * n")
         .groupBy("a", F.col("name").alias("b"))
-        .agg(F.count("*").alias("met"), F.min("n").alias("n"))
-        # a pair met at few of its first runs is left to the second step
-        .where("met >= 1 + n div 100")
+        .agg(F.count("*").alias("met"), F.min("na").alias("na"), F.min("n").alias("nb"))
+        # neighbours that met at few of their first runs are left to the second step
+        .where(f"met >= greatest(1, ({_met_at_least(percent)}) / 2)")
+        # one neighbour a set, the one met most, is enough to tie a group together
+        .groupBy("b")
+        .agg(F.max_by("a", F.struct("met", "a")).alias("a"))
         .select("a", "b")
     )
-    links = kept(_links(kept(near), documents, levels, percent))
+    links = kept(_links(near, documents, levels, percent))
     tied = kept(components(links))
     own = (
         common.select("run", "name", "n")
@@ -343,9 +354,11 @@ def groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         .groupBy(F.col("p.name").alias("a"), F.col("q.name").alias("b"))
         .agg(F.count("*").alias("met"), F.min("p.n").alias("na"), F.min("q.n").alias("nb"))
     )
-    after = f"greatest(ceil({percent} * na / 100), ceil({percent} * nb / 100)) - 1"
-    least = f"ceil({percent} * (na + nb) / {100 + percent})"
-    hopeful = kept(crossing.where(f"met >= {least} - ({after})").select("a", "b"))
+    hopeful = kept(
+        crossing.where(f"met >= {_met_at_least(percent)}")
+        .select("a", "b")
+        .join(near, ["a", "b"], "left_anti")
+    )
     every = links.union(_links(hopeful, documents, levels, percent))
     roots = components(every)
     named = rows.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
