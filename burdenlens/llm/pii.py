@@ -26,9 +26,24 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})")
+_SIGNS = re.compile(r"(?:\x20?[A-Z0-9]){0,30}")
+_BOUNDARY = re.compile(r"(?<=[A-Z0-9])(?![A-Za-z0-9])")
 _DIGIT = re.compile(r"[0-9]")
 
+#: Signs of an account number by country, as registered (fixed values).
+LENGTH = {
+    code: length
+    for length, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+        21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+        27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for code in codes.split()
+}
+
 #: Words near a span that speak for its kind, and how far they may be (code points).
 CONTEXT = {
     "email": {"email", "e-mail", "mail", "contact", "write"},
@@ -78,6 +93,31 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, end))
 
 
+def _accounts(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers: every end of a word is tried, the registered length first, then from the
+    longest on; what follows a number does not hide it, nor does what fails hide what follows."""
+    last = 0
+    for m in _IBAN.finditer(text):
+        start = m.start()
+        if start < last:
+            continue
+        stop = _SIGNS.match(text, m.end()).end()
+        ends = {}
+        for boundary in _BOUNDARY.finditer(text, m.end(), min(stop + 1, len(text))):
+            end = boundary.start()
+            if end <= stop:
+                number = text[start:end].replace(" ", "")
+                if len(number) >= 15:
+                    ends[len(number)] = end, number
+        usual = LENGTH.get(text[start : start + 2])
+        for length in sorted(ends, key=lambda n: (n != usual, -n)):
+            end, number = ends[length]
+            if mod97(number):
+                last = end
+                yield start, end
+                break
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -99,9 +139,8 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 9 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
                 yield "phone", *m.span()
-    for m in _IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            yield "iban", *m.span()
+    for start, end in _accounts(text):
+        yield "iban", start, end
 
 
 def _score(text: str, kind: str, start: int, end: int) -> float:
@@ -131,7 +170,7 @@ def detect(frame: DataFrame, text: str = "text") -> DataFrame:
     """The frame without its text, with ``pii``: kind, start, end and score of every span found.
 
     Base kinds (email, ip, card, phone) are the leftmost, non-overlapping matches of each kind that
-    pass their check; account numbers by mod-97 come on top. A score never drops a span. Null and
+    pass their check; account numbers by mod-97 come on top, whatever words stand next to them. A score never drops a span. Null and
     empty texts have none; rows are kept one by one, repeated ones too; a column named pii is
     replaced.
     """

@@ -80,3 +80,35 @@ def test_frame(spark):
     spans = sorted((r["doc_id"] or 0, [tuple(s)[:3] for s in r["pii"]]) for r in got.collect())
     assert spans == [(0, []), (1, [("email", 0, 6)]), (1, [("email", 0, 6)]), (2, [])]
     assert pii.detect(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "numbers"),
+    [
+        ("IBAN DE89370400440532013000 EUR 50", ["DE89370400440532013000"]),
+        ("DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", ["DE89 3704 0044 0532 0130 00"]),
+        (
+            "GB82 WEST 1234 5698 7654 32 GB29 NWBK 6016 1331 9268 19",
+            ["GB82 WEST 1234 5698 7654 32", "GB29 NWBK 6016 1331 9268 19"],
+        ),
+        ("XY12 3456 REF 7 DE89370400440532013000", ["DE89370400440532013000"]),
+        ("NO93 8601 1117 947 NOK 1 000 000 000", ["NO93 8601 1117 947"]),
+        ("DE89370400440532013000x", []),
+        ("xDE89370400440532013000 A", []),
+    ],
+)
+def test_words_next_to_account_numbers(text, numbers):
+    assert [text[s.start : s.end] for s in pii.find(text) if s.kind == "iban"] == numbers
+
+
+def test_account_numbers_are_those_at_any_end_of_a_word():
+    rnd = random.Random(1)
+    for _ in range(3000):
+        words = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "EUR", "50", "a", "AB12"]
+        text = rnd.choice(" .x").join(rnd.choice(words) for _ in range(rnd.randrange(8)))
+        for s in (s for s in pii.find(text) if s.kind == "iban"):
+            assert pii.mod97(text[s.start : s.end].replace(" ", ""))
+        whole = re.findall(r"(?<![A-Za-z0-9])(?:DE89[0-9]{18}|GB82[A-Z0-9 ]{23})(?![A-Za-z0-9])", text)
+        assert [text[s.start : s.end] for s in pii.find(text) if s.kind == "iban"] == whole
+    for run in ("AB12 " * 60_000, "A" * 300_000, "AB12" + " A" * 150_000):
+        pii.find(run)
