@@ -1,18 +1,21 @@
 """LM scoring by a probabilistic suffix tree over the bytes of the words.
 
 A text is its words in lower case with one space between them and an end sign. Contexts are strings of
-preceding signs of any length up to ``depth``. A context is looked at if it makes up at least the share
-``least`` of all contexts of the training texts, which bounds the tree by 1 / ``least`` contexts a
-length whatever the corpus. It is retained if the distribution of the next sign diverges from that of
+preceding signs of any length up to ``depth``. Every context seen at least ``least`` times is looked at,
+whatever the size of the corpus. It is retained if the distribution of the next sign diverges from that of
 the next shorter retained suffix (Kullback-Leibler, in nats), by itself and times its count, so that
 the more text there is, the more contexts are told apart from chance. A retained context's distribution is its
 counts smoothed by that of its parent, down to the root, which gives every byte a chance. Each sign is
 scored by the longest retained suffix of what precedes it.
 
-Each length takes one pass: tasks follow the contexts of all texts of their part in numpy and count
-next signs; the counts are added up over tasks. Counts, and with them what is gathered, cover every
-training text. The base score of words needs the count of each word of each text: common words (a share
-of 1e-6 of all tokens at least, so a million at most) go to all tasks, all others are joined.
+The contexts of up to two signs, of which there are 65,793 at most, are counted in arrays and sent to
+all tasks. Longer ones never meet in one place. Texts are put together to units of ``UNIT`` signs. Each
+unit sends its distinct grams (longest context and next sign, with their counts in the training texts) to
+the bucket of the last three signs of the context. A bucket adds up the counts of all units, tests its
+contexts length by length against their suffixes and answers every unit with the chances of its grams;
+with these the unit scores its texts. Buckets grow in number with the corpus. The base score of words needs the count of
+each word of each text: common words (a share of 1e-6 of all tokens at least, so a million at most) go to
+all tasks, all others are joined.
 """
 
 from __future__ import annotations
@@ -24,13 +27,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.taskcontext import TaskContext
 
 from burdenlens.llm.common import arrow, blocks_of, kept, pieces, summed, utf8
 from burdenlens.llm.shingles import LOWER, words
 
-#: Longest context, least share of a context, least divergence in nats.
-DEPTH, LEAST, DIVERGENCE = 8, 5e-6, 0.005
+#: Longest context (8 at most), least count of a context, least divergence in nats.
+DEPTH, LEAST, DIVERGENCE = 8, 2, 0.005
+#: Length of the contexts that all tasks have.
+SHORT = 2
+#: Signs of a unit of texts, of one numpy step, and of the corpus for each bucket.
+UNIT, STEP, SPREAD = 8 << 20, 1 << 19, 1 << 19
 #: Nats that a context must save over all its occurrences, for each kind of sign seen after it.
 EVIDENCE = 2
 #: Share of all tokens from which on a word's count goes to every task.
@@ -74,6 +82,7 @@ class Tree:
     code: np.ndarray  # of each byte; the last code is all bytes not seen
     unseen: int
     forward: list[np.ndarray]
+    total: int = 0  # signs learned from
     offset: list[int] | None = None  # of each length's contexts among all
     state: np.ndarray | None = None  # the retained state of each context
     chance: np.ndarray | None = None  # log10 of each sign after each state
@@ -93,17 +102,19 @@ class Tree:
             now = longer
             yield now
 
-    def score(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        stream, first = signs(data, bounds)
-        x = self.code[stream]
-        deepest = np.zeros(len(x), np.int64)
-        for offset, now in zip(self.offset, self.contexts(x), strict=True):
-            deepest = np.where(now > 0, offset + now, deepest)
-        found = self.chance.ravel()[self.state[deepest].astype(np.int64) * self.width + x]
-        found = found.astype(np.float64) - np.log10(self.unseen) * (x == self.width - 1)
-        sums = np.zeros(len(x) + 1)
-        np.cumsum(found, out=sums[1:])
-        return sums[first[1:]] - sums[first[:-1]]
+    def logs(self, context: np.ndarray, sign: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the chance of signs after packed contexts (newest sign on top)."""
+        before, last = (self.code[((context >> np.uint64(n)) & np.uint64(255))] for n in (48, 56))
+        x, one = self.code[sign], np.ones(len(sign), np.int64)
+        deepest, now = one, one
+        if self.forward:
+            now = self.forward[0][one, last].astype(np.int64)
+            deepest = np.where(now > 0, self.offset[1] + now, deepest)
+        if len(self.forward) > 1:
+            now = self.forward[1][self.forward[0][one, before], last].astype(np.int64)
+            deepest = np.where(now > 0, self.offset[2] + now, deepest)
+        found = self.chance[self.state[deepest], x].astype(np.float64)
+        return np.log(10) * (found - np.log10(self.unseen) * (x == self.width - 1))
 
 
 def _train_rows(piece: pa.RecordBatch) -> pa.RecordBatch:
@@ -132,22 +143,21 @@ def _count_next(texts: DataFrame, tree: Tree) -> np.ndarray:
 
 
 def grow(
-    texts: DataFrame, depth: int = DEPTH, least: float = LEAST, divergence: float = DIVERGENCE
+    texts: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE
 ) -> Tree:
-    """The tree of the rows of ``text, train`` whose ``train`` is true."""
+    """The tree of the rows of ``text, train`` whose ``train`` is true, in arrays: for short contexts."""
     plain = Tree(np.arange(256, dtype=np.int32), 1, [])
     single = _count_next(texts, plain)[1]
     seen = np.flatnonzero(single)
     code = np.full(256, len(seen), np.int32)
     code[seen] = np.arange(len(seen))
     unseen = 256 - len(seen)
-    tree = Tree(code, max(unseen, 1), [])
+    tree = Tree(code, max(unseen, 1), [], int(single.sum()))
     width, end = len(seen) + 1, int(code[END])
     tree.code = code
     if not len(seen):
         tree.code = np.zeros(256, np.int32)
         tree.unseen, width, end = 256, 1, 0
-    total = max(int(single.sum()), 1)
     counts = np.zeros((2, width), np.int64)
     counts[1, : len(seen)] = single[seen]
     root = counts[1] + 0.5
@@ -155,7 +165,7 @@ def grow(
     parent, state = np.zeros(2, np.int64), [np.zeros(2, np.int64)]
     chances, number = [(root / root.sum()).astype(np.float32)[None]], 1
     for length in range(depth):
-        common = counts >= max(least * total, 2)
+        common = counts >= least
         common[0] = False
         if length:  # a context never reaches over the end of a text
             common[:, end] = False
@@ -202,6 +212,267 @@ def _tested(
     return np.concatenate(kept_), np.concatenate(smoothed)
 
 
+def _grams(stream: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Packed context (newest sign on top, end signs before the beginning) and sign of all but the
+    first eight places of a stream of texts."""
+    wide = stream.astype(np.uint64)
+    for n in (1, 2, 4):
+        wide[n:] = (wide[n:] << np.uint64(8 * n)) | wide[:-n]
+    context = wide[7:-1]
+    fill = np.uint64(int.from_bytes(bytes([END]) * 8, "big"))
+    ends = np.flatnonzero(stream == END)
+    following = np.append(ends[1:], len(stream) - 1)
+    for n in range(1, 8):
+        places = (ends + n)[ends + n <= following] - 8
+        places = places[places >= 0]
+        low = np.uint64((1 << (64 - 8 * n)) - 1)
+        context[places] = (context[places] & ~low) | (fill & low)
+    if depth < 8:
+        context &= ~np.uint64((1 << (64 - 8 * depth)) - 1)
+    return context, stream[8:]
+
+
+def _ranked(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order, and the number of each among them, in little memory."""
+    order = np.argsort(code)
+    code = code[order]
+    new = np.append(True, code[1:] != code[:-1])
+    inverse = np.empty(len(code), np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - 1
+    return code[new], inverse
+
+
+def _distinct(key: np.ndarray, old: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of a key and a byte in order, and the number of each pair among them."""
+    keys, place = _ranked(key)
+    both, inverse = _ranked((place.astype(np.int64) << 8) | old)
+    return keys[both >> 8], (both & 255).astype(np.uint8), inverse
+
+
+def _codes(padded: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the pairs of neighbouring signs of a stream by their packed two bytes, in order,
+    and the other way round."""
+    present = np.zeros((256, 256), bool)  # newer sign, older sign
+    present[padded[1:], padded[:-1]] = True
+    seen = present.any(1)
+    present[seen, END] = present[END, END] = True
+    if depth < 8:
+        present[seen, 0] = present[0, 0] = True
+    pairs = np.flatnonzero(present)
+    number = np.zeros(1 << 16, np.uint64)
+    number[pairs] = np.arange(len(pairs))
+    return number, pairs.astype(np.uint64)
+
+
+def _unit(stream: np.ndarray, train: np.ndarray, depth: int, limit: int = 1 << 14):
+    """The distinct grams of a unit as ``key`` (context but its oldest sign, and next sign) and
+    ``old`` (that oldest sign), their counts in training texts, and the gram at each place.
+
+    Up to ``limit`` kinds of pairs of signs, four numbers of pairs and the next sign fit 64 bits."""
+    padded = np.concatenate([np.full(8, END, np.uint8), stream])
+    number, pairs = _codes(padded, depth)
+    short = len(pairs) <= limit
+    learned = np.repeat(train, np.diff(np.flatnonzero(stream == END), prepend=-1))
+    parts, places = [], []
+    for start in range(0, len(stream), STEP):
+        context, sign = _grams(padded[start : start + STEP + 8], depth)
+        if short:
+            code = number[context >> np.uint64(48)]
+            for n in (32, 16, 0):
+                code <<= np.uint64(14)
+                code |= number[(context >> np.uint64(n)) & np.uint64(0xFFFF)]
+            *own, inverse = _ranked((code << np.uint64(8)) | sign)
+        else:
+            key = (context & ~np.uint64(255)) | sign
+            *own, inverse = _distinct(key, (context & np.uint64(255)).astype(np.int64))
+        times = inverse[learned[start : start + STEP]]
+        parts.append((*own, np.bincount(times, minlength=len(own[0])).astype(np.int32)))
+        places.append(inverse)
+        del context, sign, inverse, times
+    sizes = np.cumsum([0, *(len(p[0]) for p in parts)])
+    *own, count = (np.concatenate(c) for c in zip(*parts, strict=True))
+    del parts, learned
+    if len(places) > 1:
+        if short:
+            *own, inverse = _ranked(own[0])
+        else:
+            *own, inverse = _distinct(own[0], own[1].astype(np.int64))
+        count = np.bincount(inverse, count, len(own[0])).astype(np.int32)
+        places = [inverse[a:][p] for a, p in zip(sizes, places, strict=False)]
+    if not short:
+        return *own, count, places
+    context = np.zeros(len(own[0]), np.uint64)
+    for n in (50, 36, 22, 8):
+        context <<= np.uint64(16)
+        context |= pairs[(own[0] >> np.uint64(n)) & np.uint64((1 << 14) - 1)]
+    key = (context & ~np.uint64(255)) | (own[0] & np.uint64(255))
+    return key, (context & np.uint64(255)).astype(np.uint8), count, places
+
+
+def _dealt(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of grams by bucket, and where each bucket begins."""
+    mixed = (key >> np.uint64(40)) * np.uint64(0x9E3779B97F4A7C15)
+    bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """The first bytes of all numbers, the second bytes and so on, which compress well."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _numbers(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _packed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b""
+
+
+def _asked(units: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """``unit, bucket, grams``: the distinct grams of each unit with their counts, by bucket."""
+
+    def asks(row: dict) -> pa.RecordBatch:
+        key, old, count = _unit(*_opened(row), depth)[:3]
+        order, first = _dealt(key, buckets)
+        some = np.flatnonzero(np.diff(first))
+        blobs = []
+        for a, b in zip(first[some], first[some + 1], strict=True):
+            own = order[a:b]
+            context = (key[own] & ~np.uint64(255)) | old[own]
+            grams = _planes(np.diff(context, prepend=np.uint64(0)))
+            grams += key[own].astype(np.uint8).tobytes()
+            blobs.append(_packed(grams + _planes(count[own].astype(np.uint32))))
+        columns = [
+            pa.array(np.full(len(some), row["unit"]), pa.int64()),
+            pa.array(some, pa.int32()),
+            pa.array(blobs, pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["unit", "bucket", "grams"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # what one unit takes is given back before the next
+                yield asks(batch.slice(k, 1).to_pylist()[0])
+
+    return arrow(units, run, "unit long, bucket int, grams binary")
+
+
+def _opened(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    stream = np.frombuffer(_unpacked(row["stream"]), np.uint8)
+    return stream, np.frombuffer(row["learned"], np.uint8).astype(bool)
+
+
+def chances(
+    key: np.ndarray,
+    old: np.ndarray,
+    count: np.ndarray,
+    tree: Tree,
+    depth: int = DEPTH,
+    least: int = LEAST,
+    divergence: float = DIVERGENCE,
+) -> np.ndarray:
+    """Natural logarithms of the chances of distinct grams by their longest retained suffix.
+
+    The grams must be all those whose context has the same last ``SHORT`` + 1 signs, of any number of
+    such endings; grams with a count of 0 are scored and not learned from.
+    """
+    sign = (key & np.uint64(255)).astype(np.int64)
+    context = (key & ~np.uint64(255)) | old
+    found = tree.logs(context, sign)
+    inside = np.ones(len(key), bool)  # whether a context of the length is within the text
+    for length in range(2, depth + 1):
+        inside &= (context >> np.uint64(64 - 8 * (length - 1))) & np.uint64(255) != END
+        if length <= SHORT or not inside.any():
+            continue
+        own = context[inside] >> np.uint64(64 - 8 * length)
+        if length < 8:
+            pair, at, place = np.unique(
+                (own << np.uint64(8)) | key[inside] & np.uint64(255),
+                return_index=True,
+                return_inverse=True,
+            )
+            own, times = pair >> np.uint64(8), np.bincount(place, count[inside], len(pair))
+        else:  # every gram is one pair
+            at = np.argsort(own, kind="stable")
+            place = np.empty(len(at), np.int64)
+            place[at] = np.arange(len(at))
+            own, times = own[at], count[inside][at].astype(float)
+        above = found[inside][at]
+        start = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        often = np.diff(np.append(start, len(own)))
+        size = np.add.reduceat(times, start)
+        kinds = np.add.reduceat((times > 0).astype(float), start)
+        saved = np.add.reduceat(times * (np.log(np.maximum(times, 1)) - above), start)
+        saved -= size * np.log(np.maximum(size, 1))
+        keep = (size >= least) & (saved >= divergence * size) & (saved >= EVIDENCE * kinds)
+        kinds, size, keep = (np.repeat(c, often) for c in (kinds, size, keep))
+        smooth = above.copy()
+        own = (times + kinds * np.exp(above))[keep] / (size + kinds)[keep]
+        smooth[keep] = np.log(own)
+        found[inside] = smooth[place]
+    return found
+
+
+def _answered(asked: DataFrame, tree, depth: int, least: int) -> DataFrame:
+    """``unit, bucket, found``: log10 of the chances of the grams that each unit asked for."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, olds, counts = [], [], []
+        for blob in table.column("grams"):
+            data = _unpacked(blob.as_py())
+            n = len(data) // 13
+            context = np.cumsum(_numbers(data[: 8 * n], np.uint64), dtype=np.uint64)
+            sign = np.frombuffer(data, np.uint8, n, 8 * n)
+            keys.append((context & ~np.uint64(255)) | sign)
+            olds.append(context.astype(np.uint8))
+            counts.append(_numbers(data[9 * n :], np.uint32))
+        sizes = np.cumsum([0, *map(len, keys)])
+        key, old, place = _distinct(np.concatenate(keys), np.concatenate(olds).astype(np.int64))
+        count = np.bincount(place, np.concatenate(counts), len(key))
+        del keys, olds, counts
+        found = (chances(key, old, count, tree.value, depth, least) / np.log(10)).astype(np.float32)
+        blobs = [_packed(found[place[a:b]].tobytes()) for a, b in zip(sizes, sizes[1:], strict=False)]
+        columns = [table.column("unit"), table.column("bucket"), pa.array(blobs, pa.binary())]
+        return pa.Table.from_arrays(columns, ["unit", "bucket", "found"])
+
+    return asked.groupBy("bucket").applyInArrow(run, "unit long, bucket int, found binary")
+
+
+def _scored(units: DataFrame, answered: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """``row, score`` of every text of the units."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        (unit,) = left.to_pylist()
+        stream, learned = _opened(unit)
+        key, _, _, places = _unit(stream, learned, depth)
+        order, _ = _dealt(key, buckets)
+        blobs = right.sort_by("bucket").column("found")
+        found = np.empty(len(key), np.float32)
+        found[order] = np.concatenate([np.frombuffer(_unpacked(b.as_py()), np.float32) for b in blobs])
+        sums, total = np.zeros(len(stream) + 1), 0.0
+        for k, place in enumerate(places):
+            own = sums[k * STEP + 1 : k * STEP + 1 + len(place)]
+            np.cumsum(found[place], dtype=float, out=own)
+            own += total
+            total = own[-1]
+        ends = np.flatnonzero(stream == END) + 1
+        score = sums[ends] - sums[np.append(0, ends[:-1])]
+        columns = [pa.array(unit["unit"] + np.arange(len(ends)), pa.int64()), pa.array(score)]
+        return pa.Table.from_arrays(columns, ["row", "score"])
+
+    pairs = units.groupBy("unit").cogroup(answered.groupBy("unit"))
+    return pairs.applyInArrow(run, "row long, score double")
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """``word, c`` over the rows to train on; ``word`` is a hash, and 0 the end of a text."""
 
@@ -230,7 +501,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("c").alias("c")).where("c > 0")
 
 
-def scores(documents: DataFrame, train, depth: int = DEPTH) -> DataFrame:
+def scores(documents: DataFrame, train, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
     """``doc_id, train, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     ``train`` is a condition on the row that says whether the text is learned from. Tokens are the
@@ -241,7 +512,7 @@ def scores(documents: DataFrame, train, depth: int = DEPTH) -> DataFrame:
     """
     kind = dict(documents.dtypes)["doc_id"]
     texts = documents.select("doc_id", train.alias("train"), "text")
-    tree = grow(texts.select("train", "text"), depth)
+    tree = grow(texts.select("train", "text"), min(depth, SHORT), least)
     counts = kept(word_counts(texts.select("train", "text")))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     bound = max(total * COMMON, 1)
@@ -249,12 +520,22 @@ def scores(documents: DataFrame, train, depth: int = DEPTH) -> DataFrame:
     order = np.argsort(table["word"].to_numpy().view(np.uint64))
     common = table["word"].to_numpy().view(np.uint64)[order], table["c"].to_numpy()[order]
     context = documents.sparkSession.sparkContext
-    shared = context.broadcast((tree, *common))
+    shared = context.broadcast(common)
     divisor = total + 0.5 * (distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, known, times = shared.value
-        number = TaskContext.get().partitionId() << 36
+        known, times = shared.value
+        number = begun = TaskContext.get().partitionId() << 36
+        streams, learned = [], []
+
+        def unit():
+            none = pa.nulls(1)
+            stream = _packed(np.concatenate(streams).tobytes())
+            own = np.concatenate(learned).astype(np.uint8).tobytes()
+            filled = {"unit": begun, "stream": stream, "learned": own}
+            columns = [pa.array([filled[f.name]], f.type) if f.name in filled else none.cast(f.type) for f in fields]
+            return pa.RecordBatch.from_arrays(columns, names)
+
         for piece in pieces(batches, "text"):
             data, bounds = utf8(piece.column("text"))
             own, first = words(data, bounds)
@@ -280,19 +561,34 @@ def scores(documents: DataFrame, train, depth: int = DEPTH) -> DataFrame:
                 pa.array(np.bincount(text, minlength=rows), pa.int64()),
                 pa.array(some, pa.int64()),
                 pa.array(base, pa.float64()),
-                pa.array(tree.score(data, bounds), pa.float64()),
                 pa.ListArray.from_arrays(lists, pa.array(rare[at].view(np.int64), pa.int64())),
                 pa.ListArray.from_arrays(lists, pa.array(often, pa.int32())),
+                pa.nulls(rows, pa.int64()),
+                pa.nulls(rows, pa.binary()),
+                pa.nulls(rows, pa.binary()),
             ]
             number += rows
             yield pa.RecordBatch.from_arrays(columns, names)
+            streams.append(signs(data, bounds)[0][1:])
+            learned.append(np.asarray(piece.column("train").fill_null(False).to_pylist(), bool))
+            if sum(map(len, streams)) >= UNIT:
+                yield unit()
+                begun, streams, learned = number, [], []
+        if streams:
+            yield unit()
 
-    names = ["row", "doc_id", "train", "n", "known", "base", "score", "rare", "times"]
     schema = (
-        f"row long, doc_id {kind}, train boolean, n long, known long, base double, score double,"
-        " rare array<long>, times array<int>"
+        f"row long, doc_id {kind}, train boolean, n long, known long, base double,"
+        " rare array<long>, times array<int>, unit long, stream binary, learned binary"
     )
-    found = kept(arrow(texts, run, schema))
+    fields = to_arrow_schema(texts.sparkSession.createDataFrame([], schema).schema)
+    names = fields.names
+    made = kept(arrow(texts, run, schema))
+    found = made.where("unit IS NULL").drop("unit", "stream", "learned")
+    units = made.where("unit IS NOT NULL").select("unit", "stream", "learned")
+    buckets = int(min(max(tree.total // SPREAD, 16), 1 << 16))
+    asked = _asked(units, depth, buckets)
+    scored = _scored(units, _answered(asked, context.broadcast(tree), depth, least), depth, buckets)
     rare = found.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select(
         "row", F.col("w.rare").alias("word"), F.col("w.times").alias("t")
     )
@@ -306,7 +602,7 @@ def scores(documents: DataFrame, train, depth: int = DEPTH) -> DataFrame:
             F.sum(F.when(c > 0, F.col("t")).otherwise(0)).alias("more_known"),
         )
     )
-    return found.drop("rare", "times").join(summed_up, "row", "left").select(
+    return found.drop("rare", "times").join(scored, "row").join(summed_up, "row", "left").select(
         "doc_id",
         "train",
         F.col("n").alias("n_tokens"),

@@ -5,8 +5,10 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -319,3 +321,83 @@ def test_no_rows(spark):
     assert winnow.fingerprints(none).count() == shards.shard(none).count() == 0
     assert decontaminate.contained(none, items).count() == 0
     assert suffix_tree.scores(none, F.lit(True)).count() == 0
+
+
+def tree_scores(texts, learned, depth):
+    """Scores by the longest retained suffix, with all contexts in one dictionary."""
+    streams = ["\n" + " ".join(words(t)) + "\n" for t in texts]
+    streams = [s.encode() for s in streams]
+    counts = {}
+    for s, own in zip(streams, learned, strict=True):
+        for i in range(1, len(s)):
+            for n in range(min(depth, i) + 1):
+                if own:
+                    counts.setdefault(s[i - n : i], Counter())[s[i]] += 1
+    seen = counts.get(b"", Counter())
+
+    def chance(context, sign):
+        if not context:
+            return (seen[sign] + 0.5) / (sum(seen.values()) + 0.5 * 256)
+        above, own = chance(context[1:], sign), counts.get(context, {})
+        size = sum(own.values())
+        if size < 2 or not kept_(context):
+            return above
+        return (own.get(sign, 0) + len(own) * above) / (size + len(own))
+
+    @lru_cache(None)
+    def kept_(context):
+        own = counts[context]
+        size = sum(own.values())
+        saved = sum(c * math.log(c / size / chance(context[1:], x)) for x, c in own.items())
+        return saved >= 0.005 * size and saved >= 2 * len(own)
+
+    found = []
+    for s in streams:
+        places = range(1, len(s))
+        found.append(sum(math.log10(chance(s[max(0, i - depth) : i], s[i])) for i in places))
+    return found
+
+
+@pytest.mark.parametrize("depth", [1, 2, 5, 8])
+def test_suffix_tree_scores_as_in_one_dictionary(spark, depth, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "UNIT", 700)  # of the session's own tasks: several units
+    rnd = random.Random(depth)
+    some = ["ab", "abc", "Été", "x", "ba", "cab", "bacab", "\u4e2d\u6587"]
+    texts = [" ".join(rnd.choices(some, k=rnd.randrange(25))) for _ in range(120)]
+    texts[7], texts[8] = None, "new \x00 signs \u20ac"
+    rows = [(k, t) for k, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_tree.scores(frame, F.col("doc_id") % 4 != 0, depth=depth).collect()
+    want = tree_scores([t or "" for t in texts], [k % 4 != 0 for k in range(120)], depth)
+    assert len(got) == 120
+    for r in got:
+        assert math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-4, abs_tol=1e-4), r
+
+
+def test_contexts_are_looked_at_whatever_their_share(spark):
+    """A word seen 8 times in two million signs is learned."""
+    rnd = random.Random(4)
+    rows = [(k, " ".join(rnd.choices(["tic", "tac", "toe"], k=12_500))) for k in range(40)]
+    rows += [(100 + k, "qzjxvkwy") for k in range(8)]
+    rows += [(200, "qzjxvkwy"), (201, "yqzkxwvj")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_tree.scores(frame, F.col("doc_id") < 200).where("doc_id >= 200").collect()
+    score = {r["doc_id"]: r["score"] for r in got}
+    # the first sign must be dear, the seven others and the end are not
+    assert score[200] > -12 and score[201] < 2 * score[200]
+
+
+def test_grams_of_a_unit_by_pairs_and_by_keys(monkeypatch):
+    rnd = np.random.default_rng(3)
+    for depth in (1, 3, 8):
+        monkeypatch.setattr(suffix_tree, "STEP", int(rnd.integers(5, 60)))
+        stream = rnd.choice(np.array([10, 32, 97, 98], np.uint8), 500)
+        stream[-1] = 10
+        train = rnd.random((stream == 10).sum()) < 0.6
+        found = []
+        for limit in (0, 1 << 14):
+            key, old, count, places = suffix_tree._unit(stream, train, depth, limit)
+            at = np.concatenate(places)
+            assert len(set(zip(key, old, strict=True))) == len(key)
+            found.append([key[at], old[at], count[at]])
+        assert all((a == b).all() for a, b in zip(*found, strict=True))
