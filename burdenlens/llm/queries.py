@@ -12,6 +12,7 @@ from burdenlens.llm import (
     decontaminate,
     jaccard,
     lines,
+    merkle,
     pii,
     shards,
     suffix_tree,
@@ -151,6 +152,33 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", "n_shingles", "component_id")
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of all documents, a proof for each, and what the proof says of a tampered text."""
+    docs = documents(spark, sf_dir)
+
+    def leaf(text):
+        return merkle.digest(*map(F.col, ["doc_id", "source", "lang", "n_chars"]), text)
+
+    decimal = F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).cast("binary")
+    tampered = F.when(F.crc32(decimal) % 2 == 0, leaf(F.translate("text", "\n", "")))
+    leaves = docs.select(
+        F.col("source").alias("tree"),
+        F.col("doc_id").alias("id"),
+        leaf(F.col("text")).alias("leaf"),
+        tampered.alias("tampered"),
+    )
+    manifest = merkle.build(leaves)
+    shown = merkle.proofs(manifest).select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        manifest.root.alias("root"),
+        F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+        merkle.fold(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root"),
+    )
+    return shown.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_suffix_tree": op1_suffix_tree,
     "op10_jaccard_join": op10_jaccard_join,
@@ -162,6 +190,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op9_bpe": op9_bpe,
     "op7_sharding": op7_sharding,
+    "op13_merkle": op13_merkle,
 }
 
 #: Words of a text and its distinct runs of five words, as DuckDB says them.
@@ -170,6 +199,25 @@ WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQR
 RUNS = """CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(
  generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i+4], ' '))) END"""
 
+
+
+def _leaf(text: str) -> str:
+    """The leaf of a document in SQL."""
+    fields = [f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({x}) || ':' || {x}, '-')" for x in fields) + ")"
+
+
+def _crc(value: str) -> str:
+    """Unsigned CRC-32 of an ASCII text in SQL, which has no such function: eight halvings a byte."""
+    halved = (
+        "list_reduce(range(8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384)"
+        " ELSE a // 2 END, xor(c, x))"
+    )
+    codes = "list_transform(generate_series(1, len(v)), lambda i: CAST(ascii(v[i]) AS BIGINT))"
+    whole = f"xor(list_reduce({codes}, lambda c, x: {halved}, 4294967295::BIGINT), 4294967295::BIGINT)"
+    return f"(SELECT {whole} FROM (SELECT {value} AS v))"
+
+
 ORACLE: dict[str, str] = {
     "op10_jaccard_join": f"""
 WITH RECURSIVE d AS (SELECT doc_id, {RUNS} AS runs FROM
@@ -209,5 +257,42 @@ WITH d AS (SELECT doc_id, unnest({RUNS}) AS run FROM (SELECT doc_id, {WORDS} AS
 SELECT doc_id, item_id, CAST(n_item AS BIGINT) AS n_item, count(*) AS n_shared,
  count(*) / n_item AS containment
 FROM d JOIN b USING (run) GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 75 * n_item
+""",
+    "op13_merkle": f"""
+WITH RECURSIVE l AS (SELECT doc_id, source, {_leaf("text")} AS leaf,
+  CASE WHEN ({_crc("CAST(doc_id AS VARCHAR)")}) % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")}
+   END AS tampered FROM documents),
+ d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos,
+  count(*) OVER (PARTITION BY source) AS n FROM l),
+ t AS (SELECT source, 0 AS level, pos, leaf AS node, n FROM d
+  UNION ALL SELECT source, level + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (n + 2) // 3
+  FROM t WHERE n > 1 GROUP BY source, level, pos // 3, n),
+ s AS (SELECT source, level AS height, node AS subroot,
+  row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+  FROM t WHERE n = 1),
+ u AS (SELECT 0 AS level, pos, subroot AS node, n FROM s
+  UNION ALL SELECT level + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (n + 2) // 3
+  FROM u WHERE n > 1 GROUP BY level, pos // 3, n),
+ p AS (SELECT doc_id, d.source, leaf, tampered, d.pos, s.pos AS place, height, subroot
+  FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source),
+ b AS (SELECT p.doc_id, t.level,
+   string_agg(t.node, '' ORDER BY t.pos) FILTER (t.pos < p.pos // CAST(3 ** t.level AS BIGINT)) AS l,
+   string_agg(t.node, '' ORDER BY t.pos) FILTER (t.pos > p.pos // CAST(3 ** t.level AS BIGINT)) AS r
+  FROM p JOIN t ON t.source IS NOT DISTINCT FROM p.source AND t.n > 1
+   AND t.pos // 3 = p.pos // CAST(3 ** (t.level + 1) AS BIGINT) GROUP BY p.doc_id, t.level
+  UNION ALL SELECT p.doc_id, height + u.level,
+   string_agg(u.node, '' ORDER BY u.pos) FILTER (u.pos < p.place // CAST(3 ** u.level AS BIGINT)),
+   string_agg(u.node, '' ORDER BY u.pos) FILTER (u.pos > p.place // CAST(3 ** u.level AS BIGINT))
+  FROM p JOIN u ON u.n > 1 AND u.pos // 3 = p.place // CAST(3 ** (u.level + 1) AS BIGINT)
+  GROUP BY p.doc_id, p.height, u.level),
+ f AS (SELECT doc_id, 0 AS level, coalesce(tampered, leaf) AS node FROM p
+  UNION ALL SELECT f.doc_id, f.level + 1, sha256(coalesce(l, '') || node || coalesce(r, ''))
+  FROM f JOIN b ON b.doc_id = f.doc_id AND b.level = f.level),
+ e AS (SELECT doc_id, max_by(node, level) AS folded_root FROM f GROUP BY doc_id),
+ h AS (SELECT doc_id, string_agg(coalesce(l, '') || coalesce(r, ''), '' ORDER BY level) AS sides
+  FROM b GROUP BY doc_id)
+SELECT p.doc_id, leaf, subroot, u.node AS root, sha256(coalesce(sides, '')) AS proof_sha256, folded_root,
+ folded_root = u.node AS verified
+FROM p JOIN e USING (doc_id) LEFT JOIN h USING (doc_id) JOIN u ON u.n = 1
 """,
 }
