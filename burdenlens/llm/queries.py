@@ -14,6 +14,7 @@ from burdenlens.llm import (
     lines,
     merkle,
     pii,
+    repair,
     shards,
     suffix_tree,
     toxicity,
@@ -152,6 +153,45 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", "n_shingles", "component_id")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with turns dropped, emptied, cut, repeated or of another role, as a hash says."""
+    turns = turns.select(
+        "conv_id", "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")]
+    )
+    place = F.concat(
+        F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")),
+        F.lit(":"),
+        F.coalesce(F.col("turn").cast("string"), F.lit(" ")),
+    )
+    marked = turns.withColumn("_fault", F.crc32(place.cast("binary")) % 20).where("_fault <> 0")
+    fault, text = F.col("_fault"), F.col("text")
+    cut = F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    copies = F.explode(F.sequence(F.lit(1), F.when(fault == 3, 2).otherwise(1)))
+    return marked.select(
+        "conv_id", "turn", F.when(fault == 4, "user").otherwise(F.col("role")).alias("role"),
+        cut.alias("text"), copies.alias("_copy"),
+    ).drop("_copy")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repairs of all conversations after damage."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    mended = repair.repair(damaged(turns))
+    hashes = repair.checksums(mended.turns).select(F.col("conv_id").alias("_hashed"), "sha256")
+    report = mended.report.withColumnRenamed("conv_id", "_mended")
+    every = turns.select("conv_id").distinct()
+    found = every.join(report, F.col("conv_id").eqNullSafe(F.col("_mended")), "left").join(
+        hashes, F.col("conv_id").eqNullSafe(F.col("_hashed")), "left"
+    )
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return found.select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest of all documents, a proof for each, and what the proof says of a tampered text."""
     docs = documents(spark, sf_dir)
@@ -190,6 +230,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op9_bpe": op9_bpe,
     "op7_sharding": op7_sharding,
+    "op12_repair": op12_repair,
     "op13_merkle": op13_merkle,
 }
 
@@ -257,6 +298,57 @@ WITH d AS (SELECT doc_id, unnest({RUNS}) AS run FROM (SELECT doc_id, {WORDS} AS
 SELECT doc_id, item_id, CAST(n_item AS BIGINT) AS n_item, count(*) AS n_shared,
  count(*) / n_item AS containment
 FROM d JOIN b USING (run) GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 75 * n_item
+""",
+    "op12_repair": f"""
+WITH RECURSIVE h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {
+        _crc("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")
+    } % 20 AS fault FROM conversations),
+ m AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+  CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(generate_series(1, CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE fault <> 0),
+ o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
+  AS i FROM m),
+ w AS (SELECT *, left(role, 1) AS g, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+  regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS ended,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS earlier FROM o),
+ r AS (SELECT *, again AND NOT blank AS duplicate, NOT (blank OR again OR ended) AS truncated,
+  earlier IS NOT NULL AND earlier || g NOT IN ('su', 'ua', 'au') AS illegal FROM w),
+ ins(q, z, n) AS (VALUES (0, 0, 0), (0, 2, 1), (0, 3, 2), (1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 2, 0),
+  (2, 3, 1), (3, 3, 0), (3, 2, 1)),
+ act(q, g, e, z) AS (VALUES (0, 's', 'K', 1), (0, 'u', 'K', 2), (1, 'u', 'K', 2), (2, 'a', 'K', 3),
+  (3, 'u', 'K', 2), (0, NULL, 'R', 2), (1, NULL, 'R', 2), (2, NULL, 'R', 3), (3, NULL, 'R', 2),
+  (0, NULL, 'D', 0), (1, NULL, 'D', 1), (2, NULL, 'D', 2), (3, NULL, 'D', 3)),
+ f AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, 0 AS c, '' AS a FROM r
+  UNION ALL SELECT conv_id, i, z, x.c, x.a FROM (
+   SELECT f.conv_id, r.i, act.z, min({{'c': f.c + 3 * n + CASE e WHEN 'K' THEN 0 WHEN 'R' THEN 3 ELSE 4 END
+     + CASE WHEN truncated AND e <> 'D' THEN 3 ELSE 0 END, 'a': f.a || repeat('I', n) || e}}) AS x
+   FROM f JOIN r ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND r.i = f.i + 1
+    JOIN ins ON ins.q = f.q JOIN act ON act.q = ins.z AND (act.g IS NULL OR act.g = r.g)
+     AND (e = 'D' OR NOT (blank OR duplicate)) GROUP BY f.conv_id, r.i, act.z)),
+ n AS (SELECT conv_id, max(i) AS n_rows, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps,
+  count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+  count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal FROM r GROUP BY conv_id),
+ b AS (SELECT f.conv_id, min({{'c': c + 3 * ins.n, 'a': a || repeat('I', ins.n)}}) AS x
+  FROM f JOIN n ON n.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = n.n_rows
+   JOIN ins ON ins.q = f.q AND ins.z IN (0, 3) GROUP BY f.conv_id),
+ k AS (SELECT conv_id, x.a AS audit, unnest(generate_series(1, len(x.a))) AS p FROM b),
+ l AS (SELECT conv_id, p, audit[p] AS e,
+  len(regexp_replace(left(audit, p), 'I', '', 'g')) AS i FROM k),
+ g AS (SELECT l.*, r.role, r.text, row_number() OVER y - 1 AS j,
+   CASE WHEN first_value(CASE WHEN e = 'K' THEN r.g END) OVER y = 's' THEN 1 ELSE 0 END AS led
+  FROM l LEFT JOIN r ON e <> 'I' AND r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.i = l.i
+  WHERE e <> 'D' WINDOW y AS (PARTITION BY l.conv_id ORDER BY p)),
+ s AS (SELECT conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (j - led) % 2 = 0 THEN 'user'
+  ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY p)) AS hash FROM g GROUP BY conv_id)
+SELECT v.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank,
+ coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+ CAST(coalesce(x.c, 0) AS BIGINT) AS cost, coalesce(x.a, '') AS audit,
+ coalesce(hash, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) v
+ LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM v.conv_id
+ LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM v.conv_id
+ LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM v.conv_id
 """,
     "op13_merkle": f"""
 WITH RECURSIVE l AS (SELECT doc_id, source, {_leaf("text")} AS leaf,
