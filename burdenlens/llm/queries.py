@@ -11,6 +11,7 @@ from burdenlens.llm import (
     chat,
     decontaminate,
     jaccard,
+    language,
     lines,
     merkle,
     pii,
@@ -116,9 +117,10 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicit
     return toxicity.train(docs, toxicity.marks(labels).where(~held_out(0)))
 
 
-def held_out(remainder: int):
+def held_out(remainder: int, parts: int = 5):
     """Whether crc32 of the id as text leaves this remainder by 5; a null id is not held out."""
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == remainder, F.lit(False))
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    return F.coalesce(crc % parts == remainder, F.lit(False))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,6 +155,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", "n_shingles", "component_id")
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all texts."""
+    docs = documents(spark, sf_dir)
+    learned = docs.where(~held_out(2, 4)).select(F.col("doc_id").alias("id"), "text", "lang")
+    model = language.train(learned)
+    return language.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out(2, 4).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def damaged(turns: DataFrame) -> DataFrame:
     """Conversations with turns dropped, emptied, cut, repeated or of another role, as a hash says."""
     turns = turns.select(
@@ -230,6 +242,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op9_bpe": op9_bpe,
     "op7_sharding": op7_sharding,
+    "op11_language": op11_language,
     "op12_repair": op12_repair,
     "op13_merkle": op13_merkle,
 }
