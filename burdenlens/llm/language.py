@@ -6,9 +6,10 @@ are read, as windows of ``CORE`` positions that are labelled and ``MARGIN`` more
 only warm the states up; so texts of any length are read in bounded memory and side by side.
 
 The network is trained in numpy by backpropagation through time, on windows cut by Spark out of a
-bounded sample: ``fit_rows`` labelled rows of each language, chosen by a hash of their id, and
-``fit_windows`` windows at hashed places in each. Only these windows come to the driver. Languages take
-equal part in every step, whatever their share of the rows.
+bounded sample: at most ``fit_rows`` labelled rows of each language, chosen by a hash of their id, and
+``fit_windows`` windows at hashed places in each. The hash also deals a language into ``SHARES`` shares,
+each of which gives its part of the rows, so that no task ranks all rows of a common language. Only the
+windows come to the driver. Languages take equal part in every step, whatever their share of the rows.
 
 * A null text, a text without a letter, and all texts of a model without languages are ``und`` with
   score 0. A text of any other kind has a learned language; ties take the first by name.
@@ -35,6 +36,8 @@ CORE, MARGIN = 224, 16
 UNITS = 12
 #: Bytes of a window to learn from.
 LEARNED = 96
+#: Shares that the rows of a language are dealt into to choose some of them.
+SHARES = 64
 
 
 class Chain(NamedTuple):
@@ -70,14 +73,18 @@ def train(
     windows = F.transform(
         places, lambda p: F.substring(F.col("text").cast("binary"), p.cast("int") + 1, F.lit(LEARNED))
     )
+    order = F.xxhash64("id")
     rows = labelled.where(F.col("lang").isNotNull() & has_letter(F.col("text"))).select(
-        "lang", F.xxhash64("id").alias("_order"), windows.alias("windows")
+        "lang",
+        order.alias("_order"),
+        F.pmod(order, F.lit(SHARES)).alias("_share"),
+        windows.alias("windows"),
     )
     # the limit is applied in each task before rows are shuffled
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("_order", "windows"))
-    sample = rows.withColumn("_place", place).where(F.col("_place") <= fit_rows)
+    place = F.row_number().over(Window.partitionBy("lang", "_share").orderBy("_order", "windows"))
+    sample = rows.withColumn("_place", place).where(F.col("_place") <= max(1, fit_rows // SHARES))
     found: dict[str, list[bytes]] = {}
-    for row in sample.orderBy("lang", "_place").select("lang", "windows").toLocalIterator():
+    for row in sample.orderBy("lang", "_share", "_place").select("lang", "windows").toLocalIterator():
         found.setdefault(row["lang"], []).extend(bytes(w) for w in row["windows"])
     return fit(found, steps, batch, seed)
 
@@ -215,8 +222,9 @@ def _steps(chain: Chain, data: np.ndarray, reach: np.ndarray, backward: bool) ->
         state *= gates[units:]
         state += new
         yield t, n, old, gates, recalled, new, state
-        if backward:
-            h[:, :n] = state  # windows that begin later are still at rest
+        if backward and n < data.shape[1]:
+            h = h.copy()  # what was yielded stays as it is
+            h[:, :n] = state  # windows that end earlier are still at rest
         else:
             h = state
 

@@ -69,8 +69,19 @@ def tables(spark, docs, tmp_path_factory):
     spark.createDataFrame(items, "item_id long, text string").distinct().write.parquet(
         f"{folder}/benchmark.parquet"
     )
+    rnd = random.Random(2)
+    said = ["One.", "Two! ", "cut", "", " ", "Three?", None]
+    turns = [
+        (c, t, rnd.choice(["user", "assistant", "system", None]), rnd.choice(said))
+        for c in [*range(40), None]
+        for t in [*range(rnd.randrange(1, 7)), *([None] if c and c % 9 == 0 else [])]
+        if rnd.random() < 0.9
+    ]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(
+        f"{folder}/conversations.parquet"
+    )
     con = duckdb.connect()
-    for name in ("documents", "benchmark"):
+    for name in ("documents", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
     return folder, con
 
