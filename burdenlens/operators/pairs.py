@@ -8,6 +8,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from burdenlens.operators.frequency import ratio
+from burdenlens.workspace import stored
+
 #: Samples of one group that share a row when samples are packed, 64 to a word.
 WORDS = 8
 CELL = 64 * WORDS
@@ -15,6 +18,12 @@ CELL = 64 * WORDS
 SPLIT_ABOVE = 1024
 #: Samples are numbered within hash buckets of about this size, so no task numbers them all.
 _BUCKET = 16 * CELL
+#: Items of the first block of a cut ranking; each further block ends at so many times as many items.
+LEADING = 1000
+GROWTH = 4
+#: Rows that a core forms in about the time of a round; a cut ranking that forms an eighth of that from
+#: both groups looks at all pairs.
+FEW = 1 << 20
 
 
 class Extent(NamedTuple):
@@ -33,18 +42,18 @@ class Extent(NamedTuple):
 
 
 def measure(carrying: DataFrame, item: str) -> Extent:
-    """The extent of a stored table, by two small aggregations."""
+    """The extent of a stored table, by two small aggregations at once."""
     n_items = F.col("n_items")
-    samples, most, squares = (
-        _items_per_sample(carrying)
-        .agg(
+    by_sample = _items_per_sample(carrying).agg(
+        F.struct(
             F.count("*"),
             F.coalesce(F.max(n_items), F.lit(0)),
             F.coalesce(F.sum(n_items.cast("double") * n_items), F.lit(0.0)),
         )
-        .head()
     )
-    items = carrying.select(item).distinct().count()
+    by_item = carrying.select(item).distinct().agg(F.count("*"))
+    one = carrying.sparkSession.range(1)
+    (samples, most, squares), items = one.select(by_sample.scalar(), by_item.scalar()).head()
     return Extent(samples, items, most, squares, (samples / CELL + 2.0) * items * items)
 
 
@@ -90,7 +99,7 @@ def shared_carriers(
     if packed:
         unit = ["in_case", "bucket", "cell"]
         words = [f"w{k}" for k in range(WORDS)]
-        rows = _packed(carrying, samples, extent.samples, unit, words)
+        rows = _packed(carrying, samples, extent.samples, unit, words, ["item"])
         blocks = F.lit(max(1, math.ceil(extent.items / split_above)))
         common = F.expr(" + ".join(f"bit_count(a_{w} & b_{w})" for w in words))
     else:
@@ -136,6 +145,211 @@ def shared_carriers(
     )
 
 
+class _Bound(NamedTuple):
+    """The last item of a block, in the order of falling case carriers, then id."""
+
+    n_case: int
+    id: int
+
+    def holds(self, n_case: str = "n_case", id: str = "id") -> Column:
+        own, key = F.col(n_case), F.col(id)
+        return (own > self.n_case) | ((own == self.n_case) & (key <= self.id))
+
+
+def best_pairs(
+    carrying: DataFrame,
+    item: str,
+    first: str,
+    second: str,
+    n_case: int,
+    n_control: int,
+    top_k: int,
+    above: float | None = None,
+    packed: bool | None = None,
+    split_above: int = SPLIT_ABOVE,
+    leading: int | None = None,
+) -> DataFrame | None:
+    """The pairs that can be among the ``top_k`` by difference of shares, ties included.
+
+    As :func:`shared_carriers`, but only of pairs that score at least as the ``top_k``-th best does.
+    None if these cannot be told without forming all pairs: fewer score 0 or more, and those below 0
+    (``above`` is None or negative) are asked for as well.
+
+    No pair scores above its share of the cases, and that is no larger than the share of either member.
+    So items are dealt into blocks by falling case share, and pairs are formed block by block: those of
+    an item of the block with any before it. What the best pairs found so far score bounds what is left
+    to do, in three ways: pairs count their common controls only if their cases alone reach that score;
+    a block takes only items whose case share reaches it; and the rounds end when no item outside does.
+    A round costs a few jobs, so one round takes all items where case carriers form few pairs.
+
+    Items without a case carrier are in no pair that scores 0 or more, and are left out from the start.
+    Common controls are looked up pair by pair, or by joining control carriers of the block where that
+    forms fewer rows.
+    """
+    spark = carrying.sparkSession
+    positive = above is not None and above >= 0
+    if top_k < 1:
+        return None
+    named = F.struct(
+        F.col(item).isNotNull().alias("known"), F.coalesce(F.col(item), F.lit("")).alias("name")
+    )
+    rows = carrying.select(named.alias("item"), "sample_id", "in_case")
+    counted = rows.groupBy("item").agg(F.count_if("in_case").alias("n_case"))
+    items = stored(
+        counted.where("n_case > 0").withColumn("id", F.monotonically_increasing_id()), "items"
+    )
+    placed = stored(
+        rows.join(items, "item").select("id", "n_case", "sample_id", "in_case"), "placed"
+    )
+    cases, controls = _units(placed, items.count(), packed, split_above)
+    shares = ratio(F.col("sum_case"), F.lit(n_case))
+    score = shares - ratio(F.col("sum_control"), F.lit(n_control))
+
+    def scored(pairs: DataFrame, n: int) -> DataFrame:
+        out = controls.counted(pairs, n, done, bound).withColumn("score", score)
+        return out if above is None else out.where(F.col("score") > above)
+
+    def kth(pairs: DataFrame) -> float:
+        """What the ``top_k``-th best scores; -infinity where there are fewer."""
+        best = pairs.select("score").orderBy(F.desc("score")).limit(top_k)
+        reached, worst = best.agg(F.count("*"), F.min("score")).head()
+        return worst if reached == top_k else -math.inf
+
+    found, done, least = None, None, -math.inf  # the last item taken so far, the score to reach
+    at_once = FEW * spark.sparkContext.defaultParallelism
+    size = leading or (LEADING if cases.extent.to_form > at_once else None)
+    while True:
+        bound = _next_bound(items, done, size, ratio(F.col("n_case"), F.lit(n_case)) >= least)
+        if bound is None:
+            break
+        new = cases.pairs(done, bound).withColumnRenamed("n", "sum_case").where(shares >= least)
+        new = stored(new, "case-pairs")
+        if least == -math.inf:  # bound it by the pairs with most cases
+            least = kth(stored(scored(new.orderBy(F.desc("sum_case")).limit(top_k), top_k), "scored"))
+            new = new.where(shares >= least)
+        found_now = scored(new, new.count())
+        found = found_now if found is None else found.unionByName(found_now)
+        if size is None:
+            break
+        found = stored(found, "scored")
+        least = max(least, kth(found))
+        found = found.where(F.col("score") >= least)
+        done, size = bound, size * GROWTH
+    if not positive and least < 0:
+        return None
+    if found is None:
+        found = spark.createDataFrame([], "x bigint, y bigint, sum_case bigint, sum_control bigint")
+    for end in ("x", "y"):
+        names = items.select(F.col("id").alias(end), F.col("item").alias(f"{end}_item"))
+        found = found.join(names, end)
+    upper, lower = F.greatest("x_item", "y_item"), F.least("x_item", "y_item")
+    return found.select(upper.alias("a"), lower.alias("b"), "sum_case", "sum_control").select(
+        F.when(F.col("a.known"), F.col("a.name")).alias(first),
+        F.when(F.col("b.known"), F.col("b.name")).alias(second),
+        "sum_case",
+        "sum_control",
+    )
+
+
+class _Units(NamedTuple):
+    """Carriers of one group: a row for each item and sample, or for each item and cell of samples."""
+
+    rows: DataFrame  # id, n_case, unit columns, blocks and words
+    unit: list[str]
+    words: list[str]
+    extent: Extent
+    carriers: int
+
+    def _common(self) -> Column:
+        if not self.words:
+            return F.lit(1).cast("bigint")
+        return F.expr(" + ".join(f"bit_count(a_{w} & b_{w})" for w in self.words)).cast("bigint")
+
+    def pairs(self, done: _Bound | None, bound: _Bound) -> DataFrame:
+        """``x, y, n``: common carriers of the items of a block with each other and those before."""
+        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
+        rows = self.rows.where(bound.holds())
+        left = rows if done is None else rows.where(~done.holds())
+        x = left.select(
+            F.col("id").alias("x"), F.col("n_case").alias("x_case"), *self.unit,
+            own.alias("block1"), every.alias("block2"), *[F.col(w).alias(f"a_{w}") for w in self.words],
+        )
+        y = rows.select(
+            F.col("id").alias("y"), F.col("n_case").alias("y_case"), *self.unit,
+            every.alias("block1"), own.alias("block2"), *[F.col(w).alias(f"b_{w}") for w in self.words],
+        )
+        met = x.join(y, [*self.unit, "block1", "block2"]).where(
+            "y_case > x_case OR (y_case = x_case AND y < x)"
+        )
+        common = met.select("x", "y", self._common().alias("n")).where("n > 0")
+        return common.groupBy("x", "y").agg(F.sum("n").alias("n"))
+
+    def counted(
+        self, pairs: DataFrame, n_pairs: int, done: _Bound | None, bound: _Bound
+    ) -> DataFrame:
+        """Adds ``sum_control``, the common carriers of this group, to pairs of a block."""
+        if self.words:
+            rows_of_item = self.extent.samples / CELL + 1
+        else:
+            rows_of_item = self.carriers / max(self.extent.items, 1)
+        if n_pairs * rows_of_item > self.extent.to_form:
+            common = self.pairs(done, bound)
+        else:
+            a, b = ([F.col(w).alias(f"{c}_{w}") for w in self.words] for c in "ab")
+            x = self.rows.select(F.col("id").alias("x"), *self.unit, *a)
+            y = self.rows.select(F.col("id").alias("y"), *self.unit, *b)
+            met = pairs.select("x", "y").join(x, "x").join(y, ["y", *self.unit])
+            common = met.groupBy("x", "y").agg(F.sum(self._common()).alias("n"))
+        both = pairs.join(common, ["x", "y"], "left")
+        return both.select("x", "y", "sum_case", F.coalesce("n", F.lit(0)).alias("sum_control"))
+
+
+def _units(
+    placed: DataFrame, items: int, packed: bool | None, split_above: int
+) -> tuple[_Units, _Units]:
+    """Carriers of the cases and of the controls; one look at the samples decides how both are kept."""
+    samples = _items_per_sample(placed)
+    n_items = F.col("n_items")
+    looked = samples.groupBy("in_case").agg(
+        F.count("*").alias("samples"),
+        F.max(n_items).alias("most"),
+        F.sum(n_items.cast("double") * n_items).alias("squares"),
+        F.sum(n_items).alias("carriers"),
+    )
+    extents = {r.in_case: r for r in looked.collect()}  # two rows
+
+    def of(in_case: bool) -> _Units:
+        own, own_samples = placed.where(F.col("in_case") == in_case), samples.where(F.col("in_case") == in_case)
+        if in_case not in extents:
+            return _Units(own.withColumn("blocks", F.lit(1)), ["sample_id"], [], Extent(0, 0, 0, 0.0, 0.0), 0)
+        e = extents[in_case]
+        extent = Extent(e.samples, items, e.most, e.squares, (e.samples / CELL + 1.0) * items * items)
+        if extent.by_cell < extent.by_sample if packed is None else packed:
+            unit, words = ["in_case", "bucket", "cell"], [f"w{k}" for k in range(WORDS)]
+            cells = _packed(own, own_samples, e.samples, unit, words, ["id", "n_case"])
+            rows = stored(cells.withColumn("blocks", F.lit(max(1, math.ceil(items / split_above)))), "cells")
+        else:
+            unit, words, rows = ["sample_id"], [], own.withColumn("blocks", F.lit(1))
+            if e.most > split_above:
+                rows = _with_blocks(own, own_samples, split_above)
+        return _Units(rows.select("id", "n_case", *unit, "blocks", *words), unit, words, extent, e.carriers)
+
+    return of(True), of(False)
+
+
+def _next_bound(
+    items: DataFrame, done: _Bound | None, size: int | None, able: Column
+) -> _Bound | None:
+    """The last of the next ``size`` items that are able to be in the ranking (None: of all)."""
+    if size is None:
+        return _Bound(0, 0)
+    left = items.where(able) if done is None else items.where(able & ~done.holds())
+    order = F.struct(-F.col("n_case"), F.col("id"))
+    (last,) = left.orderBy(F.desc("n_case"), "id").limit(size).agg(F.max(order)).head()
+    return None if last is None else _Bound(-last[0], last[1])
+
+
 def _items_per_sample(carrying: DataFrame) -> DataFrame:
     return carrying.groupBy("sample_id", "in_case").agg(F.count("*").alias("n_items"))
 
@@ -151,7 +365,12 @@ def _with_blocks(rows: DataFrame, samples: DataFrame, split_above: int) -> DataF
 
 
 def _packed(
-    carrying: DataFrame, samples: DataFrame, n_samples: int, unit: list[str], words: list[str]
+    carrying: DataFrame,
+    samples: DataFrame,
+    n_samples: int,
+    unit: list[str],
+    words: list[str],
+    item: list[str],
 ) -> DataFrame:
     """One row per item and cell: the samples of the cell that carry the item, as bits."""
     buckets = max(1, math.ceil(n_samples / _BUCKET))
@@ -166,7 +385,7 @@ def _packed(
         bit = f"if(place div 64 = {k}, shiftleft(1L, place % 64), 0L)"
         return F.bit_or(F.expr(bit)).alias(words[k])
 
-    cells = carrying.join(placed, "sample_id").groupBy("item", *unit)
+    cells = carrying.join(placed, "sample_id").groupBy(*item, *unit)
     return cells.agg(*[word(k) for k in range(len(words))])
 
 

@@ -16,14 +16,9 @@ from pyspark.sql import functions as F
 
 from burdenlens.functions import stats
 from burdenlens.operators import burden, cohorts, frequency, pairs
-from burdenlens.operators.filters import keep_listed
 from burdenlens.plans.spec import AnalysisSpec
 from burdenlens.workspace import stored
 
-#: A cut ranking of variant pairs first leaves out items that cannot be in it, by what the pairs of
-#: so many leading items reach.
-LEADING = 1000
-
 
 def score(calls: DataFrame, spec: AnalysisSpec) -> DataFrame:
     """The ranking of an analysis.
@@ -32,7 +27,11 @@ def score(calls: DataFrame, spec: AnalysisSpec) -> DataFrame:
     n_case, n_control, ntests`` and, for pairs, ``npairs``; best score first, ties by key.
     """
     rows, sizes = _prepare(calls, spec)
-    counted, tests = _count(rows, sizes, spec)
+    known = None
+    if spec.scope == "digenic":
+        known = _known(rows, sizes, spec)
+        sizes = F.struct(*[F.lit(v).cast("bigint").alias(n) for n, v in known[0].asDict().items()])
+    counted, tests = _count(rows, sizes, spec, known)
     tested = _with_pvalue(_rank(counted, sizes, spec), spec)
     return tested.select(
         *spec.key_columns,
@@ -82,7 +81,7 @@ def _prepare(calls: DataFrame, spec: AnalysisSpec) -> tuple[DataFrame, Column]:
     sizes = cohorts.group_sizes(roles, spec.on_overlap)
     if spec.on_overlap == "exclude":
         rows = cohorts.drop_overlap(rows, roles)
-    return rows, _one_value(sizes.select(F.struct("n_case", "n_control")), spec)
+    return rows, sizes.select(F.struct("n_case", "n_control")).scalar()
 
 
 def analysed_samples(calls: DataFrame, spec: AnalysisSpec) -> DataFrame:
@@ -111,19 +110,20 @@ def analysis_totals(calls: DataFrame, spec: AnalysisSpec) -> DataFrame:
     return tests.select("n_case", "n_control", F.col(names[spec.scope, spec.scale]).alias("ntests"))
 
 
-def _one_value(one: DataFrame, spec: AnalysisSpec) -> Column:
-    """The single value of a one-row table: a subquery of the ranking, or, where the rows are
-    stored and cheap to read, the value itself, which keeps the plan of a pair ranking small."""
-    if spec.scope == "monogenic":
-        return one.scalar()
-    (value,) = one.head()
-    if isinstance(value, Row):
-        return F.struct(*[F.lit(v).cast("bigint").alias(n) for n, v in value.asDict().items()])
-    return F.lit(value).cast("bigint")
+def _paired_item(spec: AnalysisSpec) -> str:
+    return "gene_symbol" if spec.scale == "gene" else "variant_id"
+
+
+def _known(rows: DataFrame, sizes: Column, spec: AnalysisSpec) -> tuple[Row, Column]:
+    """Group sizes and number of items of a pair ranking, looked up now: its rows are stored and cheap
+    to read, and values keep its plan small."""
+    items = _distinct_count(rows, _paired_item(spec)).scalar()
+    group, n = rows.sparkSession.range(1).select(sizes, items).head()
+    return group, F.lit(n).cast("bigint")
 
 
 def _count(
-    rows: DataFrame, sizes: Column, spec: AnalysisSpec
+    rows: DataFrame, sizes: Column, spec: AnalysisSpec, known: tuple[Row, Column] | None
 ) -> tuple[DataFrame, dict[str, Column]]:
     """Totals per ranked item and group, of the variants within the frequency limits; and the
     number of tests, which counts the items before any limit."""
@@ -141,16 +141,21 @@ def _count(
         frequencies = frequency.variant_frequencies(rows, sizes)
         kept = frequency.drop_frequent(rows, frequencies, *limits)
     if spec.scope == "digenic":
-        item = "gene_symbol" if spec.scale == "gene" else "variant_id"
+        item = _paired_item(spec)
         one, two = spec.key_columns
         if spec.scale == "variant":
             one, two = two, one  # pairs come larger first; variant pairs are reported smaller first
-        n = _one_value(_distinct_count(rows, item), spec)
-        tests = {"ntests": pairs.pair_tests(n), "npairs": pairs.pair_count(n)}
+        tests = {"ntests": pairs.pair_tests(known[1]), "npairs": pairs.pair_count(known[1])}
         carrying = stored(burden.carriers(kept, item), "carriers")
-        if spec.top_k is not None and spec.scale == "variant":
-            carrying = stored(_hopeful(carrying, item, sizes, spec.top_k), "hopeful")
         extent = pairs.measure(carrying, item)
+        cores = rows.sparkSession.sparkContext.defaultParallelism
+        if spec.top_k is not None and extent.to_form * 8 > pairs.FEW * cores:
+            n_case, n_control = known[0]
+            best = pairs.best_pairs(
+                carrying, item, one, two, n_case, n_control, spec.top_k, spec.effective_min_score
+            )
+            if best is not None:
+                return best, tests
         return pairs.shared_carriers(carrying, item, one, two, extent=extent), tests
     if spec.effective_test == "ttest":
         burdens = burden.gene_burden(kept, spec.burden)
@@ -162,26 +167,6 @@ def _count(
     return counted, {"ntests": genes.scalar()}
 
 
-def _hopeful(carrying: DataFrame, item: str, sizes: Column, top_k: int) -> DataFrame:
-    """Carriers of the items that can be part of one of the ``top_k`` best pairs.
-
-    No pair scores above the case share of either member: its case carriers carry both. The best
-    pairs among some leading items give a score that ``top_k`` pairs reach. An item with a smaller
-    case share than that is in none of the best pairs, so leaving it out changes no ranking.
-    """
-    alone = frequency.with_ratios(burden.carrier_counts(carrying, item), sizes)
-    by_score = F.desc(F.col("ratio_case") - F.col("ratio_control"))
-    leading = alone.orderBy(by_score, item).limit(LEADING).select(item)
-    few = stored(keep_listed(carrying, leading, item), "leading")
-    scored = _with_score(pairs.shared_carriers(few, item, "one", "two"), sizes)
-    best = scored.orderBy(F.desc("score")).limit(top_k).agg(F.count("*"), F.min("score"))
-    reached, least = best.head()
-    if reached < top_k:
-        return carrying
-    able = alone.where(F.col("ratio_case") >= least).select(F.col(item).alias("able"))
-    return carrying.join(able, F.col(item).eqNullSafe(F.col("able")), "left_semi")
-
-
 def _count_variants(rows: DataFrame, spec: AnalysisSpec) -> DataFrame:
     """A variant's frequency and its totals come from the same rows: one aggregation, no join."""
     carrying = burden.carrier_columns("n_carriers_case", "n_carriers_control")

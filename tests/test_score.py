@@ -1,5 +1,4 @@
 import random
-import sys
 
 import brute
 import pytest
@@ -317,34 +316,81 @@ def test_packing_more_samples_than_a_cell_holds(spark):
     assert len(found) == 3
 
 
-@pytest.mark.parametrize("top_k", [1, 5, 40])
-@pytest.mark.parametrize("scale, part", [("gene", 0), ("variant", 1)])
-def test_leaving_out_hopeless_items_changes_no_ranking(spark, monkeypatch, top_k, scale, part):
-    plan = sys.modules["burdenlens.plans.score"]
-    monkeypatch.setattr(plan, "LEADING", 7)
-    left = []
-    hopeful = plan._hopeful
-
-    def spied(*args):
-        left.append(hopeful(*args).count())
-        return hopeful(*args)
-
-    monkeypatch.setattr(plan, "_hopeful", spied)
+@pytest.mark.parametrize(
+    "top_k, scale, part, leading, min_score",
+    [
+        (5, "gene", 0, 3, 0.0),
+        (40, "variant", 1, 3, None),
+        (40, "variant", 1, 1000, 0.0),
+        (5000, "variant", 1, 7, None),
+    ],
+)
+def test_rounds_of_a_cut_ranking_change_no_ranking(spark, monkeypatch, top_k, scale, part, leading, min_score):
+    """Blocks of items by case share, ties included; also where too few pairs can be told by shares."""
+    monkeypatch.setattr(pairs, "FEW", 0)
+    monkeypatch.setattr(pairs, "LEADING", leading)
     rows = random_rows(11, samples=40, variants=60, genes=20, density=0.1)
     found = ranked(
-        as_calls(spark, rows), scope="digenic", scale=scale, top_k=top_k, min_score=None, **FREE
+        as_calls(spark, rows), scope="digenic", scale=scale, top_k=top_k, min_score=min_score, **FREE
     )
     # the brute-force order of pairs is by key, smaller member first where variants are paired
-    expected = as_brute(rows).pairs(part, 1.0, 1.0)[:top_k]
+    expected = [
+        e for e in as_brute(rows).pairs(part, 1.0, 1.0) if min_score is None or e[1] > min_score
+    ][:top_k]
     keys = [c for c in found[0].asDict() if c[-1] in "12"]
     assert [(tuple(r[k] for k in keys), r["sum_case"], r["sum_control"]) for r in found] == [
         (e[0], e[4], e[5]) for e in expected
     ]
-    assert bool(left) == (scale == "variant")
-    if left and top_k == 1:
-        assert left[0] < len({(g if part == 0 else v, s) for s, v, g, _ in rows})
 
 
+@pytest.mark.parametrize("packed, split", [(True, 2), (False, 1024), (False, 2)])
+def test_rounds_with_both_kinds_of_units(spark, packed, split):
+    rows = random_rows(4, samples=80)
+    tagged = cohorts.tag_groups(as_calls(spark, rows), CASES, CONTROLS)
+    carrying = burden.carriers(cohorts.unique_calls(tagged), "variant_id")
+    b = as_brute(rows)
+    found = pairs.best_pairs(
+        carrying, "variant_id", "x", "y", len(b.cases), len(b.controls), 30, 0.0,
+        packed=packed, split_above=split, leading=5,
+    )
+    got = {(r["x"], r["y"]): (r["sum_case"], r["sum_control"]) for r in found.collect()}
+    expected = [e for e in b.pairs(1, 1.0, 1.0) if e[1] > 0]
+    least = expected[29][1]
+    assert got == {
+        (max(e[0]), min(e[0])): (e[4], e[5]) for e in expected if e[1] >= least
+    }
+
+
+def test_rounds_form_few_pairs_and_end_early(spark, monkeypatch):
+    """Twenty items that cases share and many that single samples carry: what is formed is counted."""
+    n = 60
+    common = spark.range(20).crossJoin(spark.range(n).withColumnRenamed("id", "s")).selectExpr(
+        "'c' || id AS gene_symbol", "'A' || s AS sample_id", "(s + id) % 3 > 0 AS in_case"
+    ).where("in_case")
+    rare = spark.range(n).crossJoin(spark.range(50).withColumnRenamed("id", "k")).selectExpr(
+        "'r' || (k * 7 + id * 3) % 900 AS gene_symbol", "'A' || id AS sample_id", "true AS in_case"
+    ).distinct()
+    controls = spark.range(900).selectExpr(
+        "'r' || id AS gene_symbol", "'B' || id % 30 AS sample_id", "false AS in_case"
+    )
+    carrying = common.unionByName(rare).unionByName(controls).cache()
+    formed = []
+    real = pairs._Units.pairs
+
+    def spied(self, done, bound):
+        out = real(self, done, bound)
+        formed.append(out.agg(F.sum("n")).head()[0] or 0)
+        return out
+
+    monkeypatch.setattr(pairs._Units, "pairs", spied)
+    found = pairs.best_pairs(carrying, "gene_symbol", "x", "y", n, 30, 10, 0.0, packed=False, leading=30)
+    everything = pairs.shared_carriers(carrying, "gene_symbol", "x", "y", packed=False)
+    total = everything.agg(F.sum(F.col("sum_case") + F.col("sum_control"))).head()[0]
+    assert sum(formed) * 10 <= total
+    score = F.col("sum_case") / n - F.col("sum_control") / 30
+    best = [tuple(r) for r in everything.orderBy(F.desc(score), "x", "y").limit(10).collect()]
+    assert [tuple(r) for r in found.orderBy(F.desc(score), "x", "y").limit(10).collect()] == best
+
 def test_uncut_pair_ranking(spark):
     rows = random_rows(6)
     found = ranked(as_calls(spark, rows), scope="digenic", scale="variant", top_k=None, **FREE)
