@@ -19,7 +19,6 @@ _LOG_GAMMA_SERIES = [1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360
 _HALF_STEP_SERIES = [-1 / 8, 1 / 192, -1 / 640, 17 / 14336, -31 / 18432, 691 / 180224]
 
 _SHIFT = 10  # arguments are moved up this far, where the series is exact in double precision
-_T_TERMS = 100  # the continued fraction settles in at most about 65 terms for any df
 _TAIL_EXPONENT = 42  # terms below exp(-42) of the first cannot change a double
 
 
@@ -152,7 +151,21 @@ def pooled_t(
     return F.expr(f"CASE WHEN {n1} > 0 AND {n2} > 0 AND {n1} + {n2} > 2 THEN {t} END")
 
 
-def _beta_fraction(a: str, b: str, x: str) -> str:
+def _fraction_terms(root: str, large: str | None = None) -> str:
+    """Double steps after which the continued fraction at x is exact, given sqrt(1 - x).
+
+    Every double step shrinks the error at least by ((1 - r) / (1 + r))^2, the rate of a fraction whose
+    coefficients are all -x / 4, except for the first ones where b is the large parameter; those are
+    exact within seven. Where a is large, the fraction nears that of the normal tail first, whose error
+    after n steps is exp(-4 t sqrt(n / 2)), so ``large``, 162 / t^2 steps, are enough as well.
+    """
+    fall = f"greatest(ln((1D + {root}) / greatest(1D - {root}, 1e-16D)), 1e-9D)"
+    if large is None:
+        return f"cast(ceil(18D / {fall}) as int) + 7"
+    return f"cast(ceil(least(18D / {fall}, {large})) as int) + 2"
+
+
+def _beta_fraction(a: str, b: str, x: str, terms: str) -> str:
     """Continued fraction of the incomplete beta function, evaluated by the modified Lentz rule."""
     first = f"1D / (1D - ({a} + {b}) * {x} / ({a} + 1D))"
     start = _let("w", first, "named_struct('c', 1D, 'd', w, 'h', w)")
@@ -167,7 +180,7 @@ def _beta_fraction(a: str, b: str, x: str) -> str:
     even = f"m * ({b} - m) * {x} / (({end} - 1D) * {end})"
     odd = f"-({a} + m) * ({a} + {b} + m) * {x} / ({end} * ({end} + 1D))"
     step = _let("half", advance("state", even), advance("half", odd))
-    return f"aggregate(sequence(1, {_T_TERMS}), {start}, (state, m) -> {step}, state -> state.h)"
+    return f"aggregate(sequence(1, {terms}), {start}, (state, m) -> {step}, state -> state.h)"
 
 
 def _t_two_sided(t: str, df: str) -> str:
@@ -178,11 +191,12 @@ def _t_two_sided(t: str, df: str) -> str:
     )
     # each side of this point one of the two symmetric fractions converges fast
     direct = "(v.x < (v.a + 1D) / (v.a + 2.5D))"
+    near = _fraction_terms("sqrt(v.y)", "81D * v.x / (v.a * v.y)")
     arguments = (
-        f"if({direct}, named_struct('a', v.a, 'b', 0.5D, 'x', v.x),"
-        " named_struct('a', 0.5D, 'b', v.a, 'x', v.y))"
+        f"if({direct}, named_struct('a', v.a, 'b', 0.5D, 'x', v.x, 'n', {near}),"
+        f" named_struct('a', 0.5D, 'b', v.a, 'x', v.y, 'n', {_fraction_terms('sqrt(v.x)')}))"
     )
-    part = _let("q", arguments, f"{front} * {_beta_fraction('q.a', 'q.b', 'q.x')} / q.a")
+    part = _let("q", arguments, f"{front} * {_beta_fraction('q.a', 'q.b', 'q.x', 'q.n')} / q.a")
     p = _let("p", part, f"greatest(least(if({direct}, p, 1D - p), 1D), 0D)")
     known = (
         f"named_struct('a', cast({df} as double) / 2D, 'x', {df} / ({df} + {t} * {t}),"

@@ -84,6 +84,20 @@ def test_t_tail_against_finite_series(spark):
         assert r["g"] == pytest.approx(half if r["t"] >= 0 else 1 - half, abs=1e-11)
 
 
+def test_terms_of_the_t_tail(spark):
+    """Few steps where t is small, at most 60 anywhere, and no more than the tail needs."""
+    near, far = stats._fraction_terms("sqrt(y)", "81D * x / (df / 2 * y)"), stats._fraction_terms("sqrt(x)")
+    rows = [(float(t), df) for df in (1, 9, 500, 6000, 10**8) for t in (0.01, 0.4, 1.2, 1.74, 1.9, 4.0, 30.0)]
+    found = (
+        spark.createDataFrame(rows, "t double, df long")
+        .selectExpr("t", "df", "df / (df + t * t) AS x", "t * t / (df + t * t) AS y")
+        .selectExpr("t", "df", f"IF(x < (df / 2 + 1) / (df / 2 + 2.5D), {near}, {far}) AS n")
+        .collect()
+    )
+    assert all(3 <= r.n <= 60 for r in found)
+    assert all(r.n <= 12 for r in found if r.df >= 500 and r.t <= 1.2)
+
+
 # Halved t-test p-values of a published ranking, from sums and sums of squares.
 def test_stored_t_test(spark):
     rows = [(32, 1, 1, 115, 1, 1, 0.16667901874253), (32, 0, 0, 115, 4, 8, 0.22800432742152)]
