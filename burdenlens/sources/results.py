@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from burdenlens.functions.display import local_time
 from burdenlens.plans.score import analysed_samples, analysis_totals, score
 from burdenlens.plans.spec import AnalysisSpec
+from burdenlens.workspace import stored
 
 STATISTICS = ["score", "pvalue", "ratio_case", "ratio_control", "sum_case", "sum_control"]
 
@@ -88,7 +89,8 @@ def document_lines(
     """The document of an analysis, line by line: ``section, position, key, value``.
 
     Each ranked item and each sample is a line of its own, so no list is ever held in one row and a
-    document may be of any size. ``position`` and ``key`` order the lines of a section.
+    document may be of any size. ``position`` and ``key`` order the lines of a section. A line tells by
+    itself what it is, see :func:`read_lines`; controls begin with a space, which JSON does not mind.
     """
     keys = [F.col(c) for c in spec.key_columns]
     key = F.to_json(F.array(*keys))
@@ -112,8 +114,9 @@ def document_lines(
         """A comma before every line but the first."""
         first = rows.agg(F.min(F.struct("position", "key"))).scalar()
         comma = F.when(F.struct("position", "key").eqNullSafe(first), F.lit("")).otherwise(F.lit(", "))
+        lead = F.lit(" " if section == 5 else "")
         return rows.select(
-            F.lit(section).alias("section"), "position", "key", F.concat(comma, "value").alias("value")
+            F.lit(section).alias("section"), "position", "key", F.concat(lead, comma, "value").alias("value")
         )
 
     def quoted(value: str) -> Column:
@@ -151,12 +154,93 @@ def _bare(array: Column) -> Column:
 
 
 def write_document(lines: DataFrame, path: str) -> None:
-    """Save a document as a text folder of one file. One task writes it, line by line: a file has
-    one writer; its sort goes to disk where it has to."""
-    ordered = lines.repartition(1).sortWithinPartitions("section", "position", "key")
+    """Save a document as a text folder. Lines are dealt out by range and sorted within it, so many
+    tasks write, and the files in the order of their names are the document from end to end."""
+    order = ["section", "position", "key"]
+    ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.select("value").write.mode("overwrite").text(path)
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of the documents that :func:`write_document` saved in folders: ``file_name, kind, value``
+    and the place ``file, block, line`` of a line within its folder, file and split of a file.
+
+    A line is a ``head``, an ``entry``, a ``case``, a ``control``, a ``tail`` or a ``mark`` between
+    them, and says so by its first and last signs; so no task needs to see more than its lines.
+    """
+    text = spark.read.text(path)
+    value = F.col("value")
+    bare = F.regexp_replace(value, "^ ?(, )?", "")
+    kind = (
+        F.when(bare == "], [", "mark")
+        .when(bare.startswith("["), F.when(bare.endswith(", ["), "head").otherwise("entry"))
+        .when(bare.startswith('"'), F.when(value.startswith(" "), "control").otherwise("case"))
+        .otherwise("tail")
+    )
+    place = F.col("_metadata.file_path")
+    return text.select(
+        _document_name(place).alias("file_name"),
+        kind.alias("kind"),
+        bare.alias("value"),
+        place.alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+
+
+def line_analyses(lines: DataFrame) -> DataFrame:
+    """What :func:`document_analyses` says of documents, without the lists of samples."""
+
+    def only(kind: str) -> Column:
+        return F.max(F.when(F.col("kind") == kind, F.col("value")))
+
+    counted = lines.groupBy("file_name").agg(
+        only("head").alias("head"),
+        only("tail").alias("tail"),
+        F.count_if(F.col("kind") == "case").alias("n_case"),
+        F.count_if(F.col("kind") == "control").alias("n_control"),
+        F.count_if(F.col("kind") == "entry").alias("n_results"),
+    )
+    head = F.from_json(F.concat("head", F.lit("]]")), "array<string>")
+    tail = F.from_json(F.concat(F.lit("["), F.col("tail").substr(F.lit(4), F.length("tail"))), "array<string>")
+    items = F.concat(F.slice(head, 1, 6), F.array_repeat(F.lit(None).cast("string"), 3), tail)
+    known = counted.withColumn("items", items)
+    return known.select(*_header(known, F.col("n_case").cast("int"), F.col("n_control").cast("int")), "n_results")
+
+
+def line_samples(lines: DataFrame) -> DataFrame:
+    """The samples of documents, a row each: ``file_name, sample_id, is_case``."""
+    listed = lines.where(F.col("kind").isin("case", "control"))
+    name = F.get(F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<string>"), F.lit(0))
+    return listed.select("file_name", name.alias("sample_id"), (F.col("kind") == "case").alias("is_case"))
+
+
+def line_scores(lines: DataFrame) -> DataFrame:
+    """What :func:`document_scores` says of documents.
+
+    Ranks are numbers of entries: each split of a file is numbered by itself, and what the splits
+    before it hold, of which there is one row each, is added.
+    """
+    about = line_analyses(lines).select(
+        F.col("file_name").alias("document"), "analysis_name", "scale", "scope"
+    )
+    entries = lines.where("kind = 'entry'").select(
+        "file_name", "file", "block", "line", F.from_json("value", "array<string>").alias("entry")
+    )
+    entries = stored(entries, "entries")  # numbers of lines hold for one reading only
+    split = ["file_name", "file", "block"]
+    counted = entries.groupBy(*split).agg(F.min("line").alias("first"), F.count("*").alias("n"))
+    # a row for each split of a document
+    before = Window.partitionBy("file_name").orderBy("file", "block").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    starts = counted.select(
+        *split, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("start")
+    )
+    placed = entries.join(starts, split).join(about, F.col("file_name") == F.col("document"))
+    return _decoded(placed.withColumn("position", F.col("line") + F.col("start")))
+
+
 def _document_name(path: Column) -> Column:
     """File name without ending; for a folder Spark wrote, the name of the folder."""
     parts = F.split(path, "/")
@@ -168,8 +252,8 @@ def _document_name(path: Column) -> Column:
 def read_documents(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """Documents of a folder: ``file_name`` and the ``items`` of the outer array as texts.
 
-    A document is read as one text; analyses whose lists do not fit in one are saved by
-    :func:`run_analysis`."""
+    For documents of earlier tools, which are one file and one line; such a document is read as one
+    text. What :func:`write_document` saved is read by :func:`read_lines`."""
     files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
     return files.select(
         _document_name(F.col("_metadata.file_path")).alias("file_name"),
@@ -180,14 +264,21 @@ def read_documents(spark: SparkSession, path: str, pattern: str = "*.txt") -> Da
 def document_analyses(documents: DataFrame) -> DataFrame:
     """One row per document: what the header says, and the sizes of the two groups."""
 
-    def item(i: int) -> Column:
-        return F.get(F.col("items"), i)
-
     def ids(i: int) -> Column:
-        return F.from_json(item(i), "array<string>")
+        return F.from_json(F.get(F.col("items"), F.lit(i)), "array<string>")
 
-    return documents.select(
-        "file_name",
+    listed = documents.withColumns({"case_ids": ids(7), "control_ids": ids(8)})
+    return listed.select(
+        *_header(listed, F.size("case_ids"), F.size("control_ids")), "case_ids", "control_ids"
+    )
+
+
+def _header(documents: DataFrame, n_case: Column, n_control: Column) -> list[Column]:
+    def item(i: int) -> Column:
+        return F.get(documents["items"], F.lit(i))
+
+    return [
+        documents["file_name"],
         item(0).alias("analysis_name"),
         item(1).alias("scale"),
         item(2).alias("scope"),
@@ -196,14 +287,12 @@ def document_analyses(documents: DataFrame) -> DataFrame:
         local_time(item(3).cast("double")).alias("start_local"),
         local_time(item(4).cast("double")).alias("end_local"),
         F.round(item(5).cast("double"), 2).alias("run_time"),
-        ids(7).alias("case_ids"),
-        ids(8).alias("control_ids"),
-        F.size(ids(7)).alias("n_case"),
-        F.size(ids(8)).alias("n_control"),
+        n_case.alias("n_case"),
+        n_control.alias("n_control"),
         item(9).alias("control_name"),
         item(10).alias("case_name"),
         item(11).cast("bigint").alias("ntests"),
-    )
+    ]
 
 
 def document_scores(documents: DataFrame) -> DataFrame:
@@ -218,6 +307,11 @@ def document_scores(documents: DataFrame) -> DataFrame:
         F.get("items", 2).alias("scope"),
         F.posexplode(F.from_json(F.get("items", 6), "array<string>")).alias("position", "entry"),
     ).withColumn("entry", F.from_json("entry", "array<string>"))
+    return _decoded(entries)
+
+
+def _decoded(entries: DataFrame) -> DataFrame:
+    """Keys and statistics of entries, whatever their layout; ``position`` counts from 0."""
     parts = entries.select(
         *[c for c in entries.columns if c != "entry"],
         F.get("entry", 0).alias("key"),
@@ -246,7 +340,7 @@ def document_scores(documents: DataFrame) -> DataFrame:
         "analysis_name",
         "scale",
         "scope",
-        (F.col("position") + 1).alias("rank"),
+        (F.col("position") + 1).cast("long").alias("rank"),
         F.get("keys", 0).alias("key1"),
         F.get("keys", 1).alias("key2"),
         *[statistic(name).alias(name) for name in STATISTICS],
@@ -256,4 +350,4 @@ def document_scores(documents: DataFrame) -> DataFrame:
 def list_documents(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """Names of the analyses stored in a folder; file contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.select(_document_name(F.col("path")).alias("file_name"))
+    return files.select(_document_name(F.col("path")).alias("file_name")).distinct()

@@ -241,36 +241,81 @@ def written(calls, spec, path):
     return ranking
 
 
+def whole(path):
+    """All files of a saved document on end."""
+    return "".join(p.read_text() for p in sorted(path.glob("part-*")))
+
+
 def test_document_round_trip(spark, calls, tmp_path):
     spec = AnalysisSpec('my "name"', CASES, CONTROLS, scope="digenic", **FREE)
     ranking = written(calls, spec, tmp_path / "d")
-    documents = results.read_documents(spark, str(tmp_path / "d"))
-    head = results.document_analyses(documents).head()
+    lines = results.read_lines(spark, str(tmp_path / "d"))
+    head = results.line_analyses(lines).head()
     assert head["analysis_name"] == 'my "name"' and head["ntests"] == 10
-    assert head["case_ids"] == ["A1", "A2", "A3"]
     assert (head["start_local"], head["end_local"]) == ("1970-01-01 01:00:01", "1970-01-01 01:00:03")
-    back = [tuple(r) for r in results.document_scores(documents).select(
+    listed = sorted(tuple(r) for r in results.line_samples(lines).collect())
+    assert listed == [("d", f"A{k}", True) for k in (1, 2, 3)] + [("d", f"B{k}", False) for k in (1, 2, 3, 4)]
+    back = [tuple(r) for r in results.line_scores(lines).select(
         "key1", "key2", "score", "sum_case").orderBy("rank").collect()]
     assert back == [
         (r["gene_symbol1"], r["gene_symbol2"], r["score"], float(r["sum_case"]))
         for r in ranking.collect()]
-    text = next((tmp_path / "d").glob("part-*")).read_text()
-    assert len(json.loads(text)) == 12
+    content = json.loads(whole(tmp_path / "d"))
+    assert len(content) == 12 and content[7] == ["A1", "A2", "A3"]
 
 
 def test_document_of_nothing_and_of_many_samples(spark, calls, tmp_path):
     written(calls, AnalysisSpec("none", CASES, CONTROLS, min_score=2.0, **FREE), tmp_path / "n")
-    head = results.document_analyses(results.read_documents(spark, str(tmp_path / "n"))).head()
-    assert (head["n_case"], head["n_control"], head["ntests"]) == (3, 4, 4)
+    lines = results.read_lines(spark, str(tmp_path / "n"))
+    head = results.line_analyses(lines).head()
+    assert (head["n_case"], head["n_control"], head["ntests"], head["n_results"]) == (3, 4, 4, 0)
+    assert results.line_scores(lines).collect() == []
     many = spark.range(120_000).selectExpr(
         "concat(if(id % 2 = 0, 'A', 'B'), id) AS sample_id", "'1' AS chr", "id % 5 AS pos",
         "'A' AS ref", "'C' AS alt", "concat('G', id % 7) AS gene_symbol", "1 AS zygosity")
     spec = AnalysisSpec("many", CASES, CONTROLS, min_score=None, top_k=None, **FREE)
     written(many, spec, tmp_path / "m")
-    content = json.loads(next((tmp_path / "m").glob("part-*")).read_text())
+    content = json.loads(whole(tmp_path / "m"))
     assert (len(content[6]), len(content[7]), len(content[8])) == (7, 60_000, 60_000)
 
 
+def test_document_in_many_files(spark, tmp_path):
+    """Ranges are written by many tasks; ranks run on over files and over splits of a file."""
+    n = 3000
+    odd = {5: 'a, ["x", [', 6: "], [", 7: None, 8: " ,"}
+    ranking = spark.createDataFrame(
+        [(odd.get(k, f"g{k:04}"), float(n - k // 3), 0.5, 0.1, 0.2, k, 1) for k in range(n)],
+        "gene_symbol string, score double, pvalue double, ratio_case double, ratio_control double,"
+        " sum_case long, sum_control long",
+    )
+    samples = spark.createDataFrame([(f'"s{k}, [', k % 2 == 0) for k in range(500)], "sample_id string, is_case boolean")
+    totals = spark.createDataFrame([(250, 250, n)], "n_case long, n_control long, ntests long")
+    spec = AnalysisSpec("big", CASES, CONTROLS, top_k=None, **FREE)
+    lines = results.document_lines(ranking, samples, totals, spec, 1.0, 2.0)
+    settings = {
+        "spark.sql.shuffle.partitions": "9",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.files.maxPartitionBytes": "4k",
+        "spark.sql.files.openCostInBytes": "0",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        results.write_document(lines, str(tmp_path / "big"))
+        assert len(list((tmp_path / "big").glob("part-*"))) > 4
+        content = json.loads(whole(tmp_path / "big"))
+        assert len(content[6]) == n and len(content[7]) == len(content[8]) == 250
+        read = results.read_lines(spark, str(tmp_path / "big"))
+        found = results.line_scores(read).select("rank", "key1", "sum_case").orderBy("rank").collect()
+        assert [r["rank"] for r in found] == list(range(1, n + 1))
+        assert [r["key1"] for r in found] == [e[0] for e in content[6]]
+        assert results.line_samples(read).where("is_case").count() == 250
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_samples_of_an_analysis(spark, calls, tmp_path):
     both = AnalysisSpec("b", CASES, "sample_id IN ('A1', 'B1', 'B2')", on_overlap="exclude", **FREE)
     found = {tuple(r) for r in results.analysed_samples(calls, both).collect()}

@@ -660,7 +660,7 @@ def document(name: str, scale: str, scope: str, keys: str, sql: str) -> str:
     return (
         f"SELECT '{name}' AS file_name, '{name}' AS analysis_name, '{scale}' AS scale,"
         f" '{scope}' AS scope, {keys}, {stats}, cast(row_number() OVER"
-        f" (ORDER BY score DESC, key1, key2) AS int) AS rank FROM ({sql})"
+        f" (ORDER BY score DESC, key1, key2) AS bigint) AS rank FROM ({sql})"
     )
 
 
@@ -685,18 +685,15 @@ ORACLE["document_scores"] = "\nUNION ALL\n".join(
 )
 
 
-def header(name: str, scale: str, scope: str, case: str, control: str, tests: str) -> str:
+def header(name: str, scale: str, scope: str, case: str, control: str, tests: str, results: str) -> str:
     """The header of one document; its groups are named apart from those of the others."""
     return with_calls(
         f"""SELECT '{name}' AS file_name, '{name}' AS analysis_name, '{scale}' AS scale,
   '{scope}' AS scope, 12.34::double AS run_time, cast(n_case AS int) AS n_case,
   cast(n_control AS int) AS n_control, 'machinery' AS control_name, 'building' AS case_name,
-  cast({tests} AS bigint) AS ntests, cases, controls, cast(1500000000 AS bigint) AS start_epoch,
-  cast(1500000012 AS bigint) AS end_epoch, '2017-07-14 04:40:00' AS start_local
-FROM size, (SELECT string_agg(DISTINCT CASE WHEN in_case THEN sample_id END, ' '
-    ORDER BY CASE WHEN in_case THEN sample_id END) AS cases,
-  string_agg(DISTINCT CASE WHEN in_control THEN sample_id END, ' '
-    ORDER BY CASE WHEN in_control THEN sample_id END) AS controls FROM g)""",
+  cast({tests} AS bigint) AS ntests, (SELECT count(*) FROM ({results})) AS n_results,
+  cast(1500000000 AS bigint) AS start_epoch, cast(1500000012 AS bigint) AS end_epoch,
+  '2017-07-14 04:40:00' AS start_local FROM size""",
         *grouped(case, control),
     )
 
@@ -705,8 +702,16 @@ N_GENES = "(SELECT count(DISTINCT gene_symbol) FROM g)"
 ORACLE["document_headers"] = "\nUNION ALL\n".join(
     f"SELECT * FROM ({sql})"
     for sql in (
-        header("genes", "gene", "monogenic", CASE, CONTROL, N_GENES),
-        header("pairs", "gene", "digenic", CASE, CONTROL, f"{N_GENES} * ({N_GENES} + 1) // 2"),
+        header("genes", "gene", "monogenic", CASE, CONTROL, N_GENES, gene_fisher()),
+        header(
+            "pairs",
+            "gene",
+            "digenic",
+            CASE,
+            CONTROL,
+            f"{N_GENES} * ({N_GENES} + 1) // 2",
+            pairs(*GENES, CASE, CONTROL, "WHERE score > 0", "LIMIT 1000"),
+        ),
         header(
             "variants",
             "variant",
@@ -714,9 +719,23 @@ ORACLE["document_headers"] = "\nUNION ALL\n".join(
             ALL_CASE,
             ALL_CONTROL,
             "(SELECT count(*) FROM (SELECT DISTINCT variant_id, gene_symbol FROM g))",
+            variant_t(ALL_CASE, ALL_CONTROL, ""),
         ),
     )
 )
+ORACLE["document_samples"] = "\nUNION ALL\n".join(
+    "SELECT * FROM ("
+    + with_calls(
+        f"SELECT DISTINCT '{name}' AS file_name, sample_id, in_case AS is_case FROM g",
+        *grouped(case, control),
+    )
+    + ")"
+    for name, case, control in (
+        ("genes", CASE, CONTROL),
+        ("pairs", CASE, CONTROL),
+        ("variants", ALL_CASE, ALL_CONTROL),
+    )
+)
 ORACLE["results_empty"] = with_calls(
     f"""SELECT n_case, n_control, {N_GENES} AS ntests, 0 AS n_results, n_case + n_control AS n_listed
 FROM size""",
@@ -727,9 +746,12 @@ ORACLE["preview_unordered"] = with_calls(
 FROM calls WHERE {ALL_CASE} GROUP BY gene_symbol"""
 )
 ORACLE["analysis_catalog"] = with_calls(
-    """SELECT 'first' AS file_name, least(5, count(*)) AS n_results FROM ranked WHERE score > 0
-UNION ALL SELECT 'second', least(20, count(*)) FROM ranked WHERE score > 0""",
-    *TOP_GENES,
+    """SELECT 'first' AS file_name, count(*) AS n_results FROM ranked WHERE score > 0
+UNION ALL SELECT 'second', count(*) FROM ranked WHERE score > -1""",
+    *grouped(ALL_CASE, ALL_CONTROL),
+    kept(0.5, 0.5),
+    GENE_COUNTS,
+    scored("gene_symbol"),
 )
 ORACLE["export_scores"] = f"SELECT gene_symbol, score, pvalue FROM ({gene_fisher()})"
 ORACLE["synthetic_table"] = """SELECT cast((p - 1) // 4 + 1 AS varchar) AS gene_symbol, '1' AS chr,

@@ -767,12 +767,12 @@ def saved_documents(spark, sf_dir) -> DataFrame:
             1.5e9 + 12.344,
         )
         results.write_document(document, f"{folder}/{spec.name}")
-    return results.read_documents(spark, f"{folder}/*", "*.txt")
+    return results.read_lines(spark, f"{folder}/*")
 
 
 @query
 def document_scores(spark, sf_dir):
-    scores = results.document_scores(saved_documents(spark, sf_dir))
+    scores = results.line_scores(saved_documents(spark, sf_dir))
     by_t = F.col("file_name") == "variants"
     shown = F.when(by_t, F.round("pvalue", 6)).otherwise(digits(F.col("pvalue")))
     return scores.withColumn("pvalue", shown)
@@ -780,36 +780,37 @@ def document_scores(spark, sf_dir):
 
 @query
 def document_headers(spark, sf_dir):
-    headers = results.document_analyses(saved_documents(spark, sf_dir))
+    headers = results.line_analyses(saved_documents(spark, sf_dir))
     return headers.select(
         "file_name", "analysis_name", "scale", "scope", "run_time", "n_case", "n_control", "control_name",
-        "case_name", "ntests",
-        F.array_join("case_ids", " ").alias("cases"),
-        F.array_join("control_ids", " ").alias("controls"),
+        "case_name", "ntests", "n_results",
         F.unix_timestamp("start_time").alias("start_epoch"),
         F.unix_timestamp("end_time").alias("end_epoch"),
         "start_local",
     )
 
 
+@query
+def document_samples(spark, sf_dir):
+    """The samples listed in stored documents."""
+    return results.line_samples(saved_documents(spark, sf_dir))
+
+
 @query
 def analysis_catalog(spark, sf_dir):
     """Names of the stored analyses, with the size of the ranking each was saved with."""
     calls = order_calls(spark, sf_dir)
     folder = new_folder(spark, "catalogue")
-    for name, top in (("first", 5), ("second", 20)):
-        spec = AnalysisSpec(name, CASE, CONTROL, top_k=top)
+    for name, least in (("first", 0.0), ("second", -1.0)):
+        spec = AnalysisSpec(name, ALL_CASE, ALL_CONTROL, top_k=None, min_score=least)
         ranked = score(calls, spec)
         samples = results.analysed_samples(calls, spec)
         totals = results.analysis_totals(calls, spec)
         document = results.document_lines(ranked, samples, totals, spec, 0.0, 1.0)
         results.write_document(document, f"{folder}/{name}")
     names = results.list_documents(spark, f"{folder}/*")
-    documents = results.read_documents(spark, f"{folder}/*")
-    sizes = results.document_scores(documents).groupBy("file_name").agg(
-        F.count("*").alias("n_results")
-    )
-    return names.join(sizes, "file_name")
+    sizes = results.line_analyses(results.read_lines(spark, f"{folder}/*"))
+    return names.join(sizes.select("file_name", "n_results"), "file_name")
 
 
 @query
