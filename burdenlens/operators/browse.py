@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from burdenlens.operators.filters import apply_predicate
 from burdenlens.schema import browse_projection, choose_columns
 
 MAX_ROWS = 1000
+MAX_TAKEN = 10_000
 # Fixed value: the notice users know.
 NOTICE = "Warning: Query returns %d records. First %d retrieved."
 _ORDER = ["chr", "pos", "ref", "alt", "gene_symbol", "sample_id"]
@@ -23,16 +26,19 @@ def browse(
 ) -> DataFrame:
     """Browse columns of the rows of a group, at most ``max_rows`` of them (None: all).
 
-    ``ordered`` makes the preview the same every time, by a top-k over the matching rows; without
-    it Spark stops reading as soon as it has enough.
+    ``ordered`` makes the preview the same every time, by a top-k over the matching rows. Without it
+    the rows are taken now, and Spark reads one partition, then a few more, until it has enough; they
+    pass through the driver, so no more than ``MAX_TAKEN`` can be asked for.
     """
     rows = browse_projection(apply_predicate(calls, predicate))
-    if max_rows is not None:
-        if ordered:
-            # total order over the shown columns, position first
-            first = [c for c in _ORDER if c in rows.columns]
-            rows = rows.orderBy(*first, *[c for c in rows.columns if c not in first])
-        rows = rows.limit(max_rows)
+    if max_rows is not None and not ordered:
+        if max_rows > MAX_TAKEN:
+            raise ValueError(f"an unordered preview has at most {MAX_TAKEN} rows")
+        rows = rows.sparkSession.createDataFrame(rows.take(max_rows), rows.schema)
+    elif max_rows is not None:
+        # total order over the shown columns, position first
+        first = [c for c in _ORDER if c in rows.columns]
+        rows = rows.orderBy(*first, *[c for c in rows.columns if c not in first]).limit(max_rows)
     return rows if columns is None else choose_columns(rows, columns)
 
 
@@ -76,6 +82,22 @@ def totals(df: DataFrame, dimensions: list[str], measure: Column) -> DataFrame:
     return df.cube(*dimensions).agg(measure, F.grouping_id().alias("level"))
 
 
+def cross_table(
+    df: DataFrame, rows: list[str], column: str, values: list, measure: Callable[[Column], Column]
+) -> DataFrame:
+    """Cross table with margins, in one aggregation.
+
+    A column for each of the given values of ``column`` and ``total`` over all values, given or not; a
+    row for each combination of ``rows``, its subtotals from the left, and the grand total. ``level``
+    tells a margin from a NULL, as in :func:`totals`. ``measure`` makes the aggregate over the rows that
+    a condition selects.
+    """
+    cells = [measure(F.col(column).eqNullSafe(F.lit(v))).alias(str(v)) for v in values]
+    return df.rollup(*rows).agg(
+        *cells, measure(F.lit(True)).alias("total"), F.grouping_id().alias("level")
+    )
+
+
 def annotate(rows: DataFrame, annotations: DataFrame, on: str = "variant_id") -> DataFrame:
     """Add the columns of an annotation table with one row per key; unmatched rows get NULL."""
     return rows.join(annotations, on, "left")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burdenlens.functions.keys import genotype_dose, variant_id
 from burdenlens.operators.filters import apply_predicate, as_predicate, keep_listed
+from burdenlens.workspace import in_ranges
 
+_BETWEEN = " , "
 OVERLAP_MESSAGE = "a sample is in the case and in the control group"
 
 
@@ -134,15 +136,37 @@ def calls_of_phenotype(calls: DataFrame, phenotypes: DataFrame, predicate) -> Da
 
 
 def sample_list_text(
-    samples: DataFrame, by: list[str], column: str = "sample_id", texts: int = 1
+    samples: DataFrame, by: list[str], column: str = "sample_id", max_bytes: int = 1 << 20
 ) -> DataFrame:
-    """The sample ids of each selection as text, ``' , '`` between them, to copy elsewhere.
+    """The sample ids of each selection as texts, ``' , '`` between them, to copy elsewhere.
 
-    Every selection is dealt, by a hash of the id, into ``texts`` numbered texts, so that no task
-    holds more than that share of a population. Whoever asks says how many.
+    Ids are in order over the numbered texts of a selection, and no text is above ``max_bytes``, however
+    large a selection is: sums of the sizes before an id, over ranges of the order, choose its text.
     """
-    distinct = samples.select(*by, F.col(column).alias("sample_id")).distinct()
-    number = F.conv(F.substring(F.md5("sample_id"), 1, 8), 16, 10).cast("bigint")
-    dealt = distinct.withColumn("part", F.pmod(number, F.lit(texts)))
-    listed = F.sort_array(F.collect_list("sample_id"))
-    return dealt.groupBy(*by, "part").agg(F.array_join(listed, " , ").alias("sample_ids"))
+    selection = [f"by{k}" for k in range(len(by))]
+    distinct = samples.where(F.col(column).isNotNull()).select(
+        *[F.col(c).alias(n) for c, n in zip(by, selection)], F.col(column).alias("sample_id")
+    ).distinct()
+    sized = distinct.withColumn("size", F.octet_length("sample_id") + len(_BETWEEN))
+    ranged = in_ranges(sized, [*selection, "sample_id"], "sample-list")
+    so_far = Window.partitionBy("part", *selection).orderBy("place").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    # a row for each range and selection in it
+    sums = ranged.groupBy("part", *selection).agg(F.sum("size").alias("in_part"))
+    earlier = Window.partitionBy(*selection).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(
+        F.coalesce(F.sum("in_part").over(earlier), F.lit(0)).alias("start"),
+        *[F.col(c).alias(f"_{c}") for c in ("part", *selection)],
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("part", *selection)]
+    local = F.coalesce(F.sum("size").over(so_far), F.lit(0))
+    room = max_bytes - ranged.agg(F.max("size") - len(_BETWEEN)).scalar()
+    small = F.raise_error(F.lit("max_bytes leaves no room beside the longest id")).cast("long")
+    room = F.when(room < 1, small).otherwise(room)
+    placed = ranged.withColumn("local", local).join(starts, same)
+    dealt = placed.withColumn("text", F.floor((F.col("start") + F.col("local")) / room))
+    listed = F.array_join(F.sort_array(F.collect_list("sample_id")), _BETWEEN)
+    return dealt.groupBy(*selection, "text").agg(listed.alias("sample_ids")).select(
+        *[F.col(n).alias(c) for c, n in zip(by, selection)], F.col("text").alias("part"), "sample_ids"
+    )

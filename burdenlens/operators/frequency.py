@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burdenlens.functions.keys import variant_id
@@ -90,6 +90,38 @@ def drop_variants(calls: DataFrame, listed: DataFrame) -> DataFrame:
     return keyed.join(listed.select("variant_id"), "variant_id", "left_anti")
 
 
+def drop_recurrent(
+    calls: DataFrame, more_than: int = 40, state: str = "PASS", shares: int = 8
+) -> DataFrame:
+    """Calls of the variants with at most so many calls in a filter state, from one scan.
+
+    Calls are shuffled once, by variant and share, a hash of the sample; so a variant with a third of
+    all calls is dealt to ``shares`` tasks. Each counts its part, the parts are added up by variant, one
+    row each, and the shares of recurrent variants meet the calls where these already are. Where the
+    list of recurrent variants is small, :func:`recurrent_variants` and :func:`drop_variants` scan
+    twice but shuffle no calls; this is for long lists and costly sources.
+    """
+    share = F.pmod(F.xxhash64("sample_id"), F.lit(shares)).cast("int")
+    keyed = calls.withColumn("variant_id", variant_id())
+    dealt = keyed.withColumns(
+        {"_variant": F.coalesce("variant_id", F.lit("")), "_share": share}
+    ).repartition("_variant", "_share")
+    # The largest hash decides nothing, as every long is at least the least one. It names all columns,
+    # so that counting reads the same shuffle as the calls; and an outer join on keys that are never
+    # null, unlike an anti-join, moves nothing below the shuffle.
+    found = (F.col("filters") == state) & F.col("variant_id").isNotNull()
+    counted = dealt.groupBy("_variant", "_share").agg(
+        F.count_if(found).alias("_n"), F.max(F.xxhash64(*dealt.columns)).alias("_any")
+    )
+    total = F.sum("_n").over(Window.partitionBy("_variant"))
+    recurrent = counted.withColumn("_total", total).where(
+        (F.col("_total") > more_than) & (F.col("_any") >= F.lit(-(2**63)))
+    )
+    listed = recurrent.select("_variant", "_share", F.lit(True).alias("_listed"))
+    kept = dealt.join(listed, ["_variant", "_share"], "left").where("_listed IS NULL")
+    return kept.drop("_variant", "_share", "_listed")
+
+
 def position_counts(calls: DataFrame) -> DataFrame:
     """Number of calls per chromosome position."""
     return calls.groupBy("chr", "pos").agg(F.count("*").alias("n_calls"))

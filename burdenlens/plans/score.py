@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from burdenlens.functions import stats
 from burdenlens.operators import burden, cohorts, frequency, pairs
 from burdenlens.plans.spec import AnalysisSpec
-from burdenlens.workspace import stored
+from burdenlens.workspace import in_ranges, stored
 
 
 def score(calls: DataFrame, spec: AnalysisSpec) -> DataFrame:
@@ -296,13 +296,7 @@ def with_rank(ranking: DataFrame, *keys: str, top_k: int | None = None) -> DataF
     """
     order = [F.desc("score"), *keys]
     rows = ranking if top_k is None else ranking.orderBy(*order).limit(top_k)
-    ranged = stored(
-        rows.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("part", F.spark_partition_id())
-        .withColumn("place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)),
-        "ranked",
-    )
+    ranged = in_ranges(rows, order, "ranked")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     starts = ranged.groupBy("part").agg(F.count("*").alias("n")).select(
         "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")

@@ -42,6 +42,18 @@ def read_calls_table(spark: SparkSession, name: str) -> DataFrame:
     return canonical_calls(spark.table(name))
 
 
+def write_calls_table(calls: DataFrame, name: str, path: str, buckets: int) -> None:
+    """Store a call table in the catalog, laid out for repeated analyses: rows of a gene and sample are
+    in one of so many buckets, sorted.
+
+    Rankings, burdens and frequencies group by gene and sample first, and find rows where they need
+    them. A gene with a third of all calls is spread over all buckets by its samples.
+    """
+    dealt = calls.repartition(buckets, "gene_symbol", "sample_id")  # one file a bucket
+    writer = dealt.write.mode("overwrite").bucketBy(buckets, "gene_symbol", "sample_id")
+    writer.sortBy("gene_symbol", "sample_id").option("path", path).saveAsTable(name)
+
+
 def read_calls_jdbc(
     spark: SparkSession,
     url: str,

@@ -1,22 +1,27 @@
 """Saved groups: named predicates in a small table, one row a name.
 
-The store is a Parquet folder, so any text is kept as it is. A change reads the whole (small) list
-into the shared folder and writes it anew; the last of two writers wins.
+The store is a Parquet folder, so any text is kept as it is. A change adds one file of new versions and
+touches no other: a name is what its latest version says, and a deleted name has a version that says so.
+A file becomes visible as a whole, so a reader during a change sees the old or the new groups, and a
+crash leaves the old ones; the last of two writers wins, and neither loses what the other says of
+another name.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burdenlens.operators.drilldown import drill_down
 from burdenlens.operators.filters import as_predicate
 from burdenlens.plans.spec import AnalysisSpec
-from burdenlens.workspace import stored
 
 # Every store starts with the group of all rows.
 ALL = ("All", "")
 _SCHEMA = "Name string, SQL string"
+_VERSIONS = f"{_SCHEMA}, version bigint, deleted boolean"
 
 
 def _format(io):
@@ -33,16 +38,14 @@ def read_group_file(spark: SparkSession, path: str) -> DataFrame:
 
 def create_store(spark: SparkSession, path: str) -> None:
     """A new store with the group of all rows."""
-    spark.createDataFrame([ALL], _SCHEMA).write.parquet(path)
+    _versions(spark.createDataFrame([ALL], _SCHEMA), 0).write.parquet(path)
 
 
 def load_groups(spark: SparkSession, path: str) -> DataFrame:
     """The groups of a store."""
-    return spark.read.schema(_SCHEMA).parquet(path)
-
-
-def _replace(groups: DataFrame, path: str) -> None:
-    stored(groups.select("Name", "SQL"), "groups").write.mode("overwrite").parquet(path)
+    latest = F.max_by(F.struct("SQL", "deleted"), F.coalesce("version", F.lit(0)))
+    known = spark.read.schema(_VERSIONS).parquet(path).groupBy("Name").agg(latest.alias("latest"))
+    return known.where("NOT coalesce(latest.deleted, false)").select("Name", "latest.SQL")
 
 
 def save_groups(spark: SparkSession, path: str, groups: DataFrame) -> None:
@@ -50,14 +53,29 @@ def save_groups(spark: SparkSession, path: str, groups: DataFrame) -> None:
     twice = groups.groupBy("Name").count().where("count > 1").head()
     if twice:
         raise ValueError(f"two groups are named {twice['Name']!r}")
-    others = load_groups(spark, path).join(groups.select("Name"), "Name", "left_anti")
-    _replace(others.unionByName(groups.select("Name", "SQL")), path)
+    _add(groups.select("Name", "SQL"), path)
 
 
 def delete_groups(spark: SparkSession, path: str, names: list[str]) -> None:
     """Delete groups by name."""
-    gone = spark.createDataFrame([(n,) for n in names], "Name string")
-    _replace(load_groups(spark, path).join(gone, "Name", "left_anti"), path)
+    _add(spark.createDataFrame([(n, None) for n in names], _SCHEMA), path, deleted=True)
+
+
+def compact_store(spark: SparkSession, path: str, to: str) -> None:
+    """The groups of a store as a new store of one file."""
+    _versions(load_groups(spark, path), 0).write.parquet(to)
+
+
+def _versions(groups: DataFrame, version: int, deleted: bool = False) -> DataFrame:
+    """Rows to add to a store; one file, as a change is seen as a whole."""
+    said = groups.withColumns({"version": F.lit(version).cast("long"), "deleted": F.lit(deleted)})
+    return said.coalesce(1)
+
+
+def _add(groups: DataFrame, path: str, deleted: bool = False) -> None:
+    spark = groups.sparkSession
+    (last,) = spark.read.schema(_VERSIONS).parquet(path).agg(F.max("version")).head()
+    _versions(groups, max(time.time_ns(), (last or 0) + 1), deleted).write.mode("append").parquet(path)
 
 
 def group_named(groups: DataFrame, name: str) -> str:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -32,3 +33,11 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     path = new_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_ranges(df: DataFrame, order: list[str | Column], purpose: str) -> DataFrame:
+    """The rows dealt out by ranges of an order and sorted, as a stored table with ``part``, the number
+    of the range, and ``place``, a number that grows within it."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return stored(ranged.withColumns({"part": F.spark_partition_id(), "place": place}), purpose)

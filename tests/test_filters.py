@@ -166,6 +166,71 @@ def test_recurrent_variants(wide):
     assert who(frequency.drop_variants(wide, listed)) == ["S 4", "S3", "S5"]
 
 
+def executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_recurrent_variants_in_one_scan(spark, wide, tmp_path):
+    """One variant has half of all calls; calls without a variant id stay."""
+    rows = spark.range(4000).selectExpr(
+        "'S' || id % 977 AS sample_id", "IF(id % 100 = 3, NULL, '1') AS chr",
+        "IF(id % 2 = 0, 0, id % 700) AS pos", "'A' AS ref", "'C' AS alt",
+        "IF(id % 5 = 0, 'PASS', 'other') AS filters", "id AS n",
+    )
+    rows.repartition(6).write.parquet(str(tmp_path / "calls"))
+    calls = spark.read.parquet(str(tmp_path / "calls"))
+    expected = frequency.drop_variants(calls, frequency.recurrent_variants(calls, more_than=2))
+    found = frequency.drop_recurrent(calls, more_than=2)
+    both = (sorted(map(str, df.select(*found.columns).collect())) for df in (found, expected))
+    assert next(both) == next(both)
+    assert 0 < found.count() < 2000
+    plan = executed(found)
+    assert plan.count("FileScan parquet") == 1 and plan.count("ReusedExchange") == 1
+    assert who(frequency.drop_recurrent(wide, more_than=1)) == ["S 4", "S3", "S5"]
+
+
+def test_unordered_preview_reads_until_it_has_enough(spark, wide):
+    """Later partitions would fail if they were read."""
+    fails = F.when(F.col("pos") > 60_000, F.raise_error(F.lit("read"))).otherwise(F.lit("G"))
+    rows = spark.range(0, 100_000, 1, 50).withColumnRenamed("id", "pos").withColumn("gene_symbol", fails)
+    few = browse.browse(rows, ordered=False, max_rows=30)
+    assert few.count() == 30
+    assert "SinglePartition" not in executed(few.select("pos"))
+    with pytest.raises(ValueError, match="at most"):
+        browse.browse(rows, ordered=False, max_rows=browse.MAX_TAKEN + 1)
+    assert browse.browse(wide, "read_depth > 9", ordered=False).count() == 3
+    assert browse.browse(wide.limit(0), ordered=False).count() == 0
+
+
+def test_cross_table_with_margins(spark):
+    rows = [("a", "x", "p", 1), ("a", "x", "q", 2), ("a", None, "p", 4), (None, "x", None, 8), ("b", "x", "z", 16)]
+    df = spark.createDataFrame(rows, "r1 string, r2 string, c string, n long")
+    found = browse.cross_table(df, ["r1", "r2"], "c", ["p", "q", None], lambda w: F.sum(F.when(w, F.col("n"))))
+    assert {(r["r1"], r["r2"], r["level"]): tuple(r)[2:6] for r in found.collect()} == {
+        ("a", "x", 0): (1, 2, None, 3), ("a", None, 0): (4, None, None, 4),
+        (None, "x", 0): (None, None, 8, 8), ("b", "x", 0): (None, None, None, 16),
+        ("a", None, 1): (5, 2, None, 7), (None, None, 1): (None, None, 8, 8),
+        ("b", None, 1): (None, None, None, 16), (None, None, 3): (5, 2, 8, 31),
+    }
+    assert executed(found).count(" Exchange ") == 1
+
+
+def test_sample_texts_of_bounded_size(spark):
+    n = 3000
+    ids = spark.range(n).selectExpr("IF(id % 3 = 0, NULL, 'g' || id % 2) AS g", "repeat('é', id % 7) || id AS s")
+    found = cohorts.sample_list_text(ids.unionByName(ids), ["g"], "s", max_bytes=200).collect()
+    assert all(len(r["sample_ids"].encode()) <= 200 for r in found)
+    for g in (None, "g0", "g1"):
+        texts = sorted((r["part"], r["sample_ids"]) for r in found if r["g"] == g)
+        joined = [s for _, text in texts for s in text.split(" , ")]
+        assert joined == sorted(joined, key=str.encode) and len(joined) == n // 3
+        assert [part for part, _ in texts] == list(range(len(texts)))
+    with pytest.raises(Exception, match="no room"):
+        cohorts.sample_list_text(ids, ["g"], "s", max_bytes=10).collect()
+    assert cohorts.sample_list_text(ids.limit(0), ["g"], "s").collect() == []
+
+
 def test_sample_lists(spark, calls):
     ids = [r[0] for r in cohorts.sample_ids(calls.where(CASES)).collect()]
     assert ids == ["A1", "A2", "A3"]
@@ -173,10 +238,9 @@ def test_sample_lists(spark, calls):
     texts = cohorts.sample_list_text(groups, ["g"]).collect()
     assert {r["g"]: r["sample_ids"] for r in texts} == {
         "A": "A1 , A2 , A3", "B": "B1 , B2 , B3 , B4"}
-    dealt = cohorts.sample_list_text(groups, ["g"], texts=2).collect()
-    assert len(dealt) > len(texts) and {r["part"] for r in dealt} == {0, 1}
-    listed = sorted(s for r in dealt if r["g"] == "B" for s in r["sample_ids"].split(" , "))
-    assert listed == ["B1", "B2", "B3", "B4"]
+    dealt = cohorts.sample_list_text(groups, ["g"], max_bytes=8).collect()
+    assert {(r["g"], r["part"]): r["sample_ids"] for r in dealt} == {
+        ("A", 0): "A1 , A2", ("A", 1): "A3", ("B", 0): "B1 , B2", ("B", 1): "B3", ("B", 2): "B4"}
 
 
 def test_phenotype_to_calls(spark, calls):

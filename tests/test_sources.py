@@ -1,4 +1,6 @@
 import json
+import re
+import threading
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -140,6 +142,70 @@ def test_group_store_keeps_any_text_and_one_row_a_name(spark, calls, tmp_path):
         groups.save_groups(spark, path, spark.createDataFrame([("x", ""), ("x", "a")], schema))
 
 
+def test_group_store_during_changes(spark, tmp_path):
+    """A reader at any time sees the old or the new text of a name; other names are not touched."""
+    path = str(tmp_path / "groups")
+    schema = "Name string, SQL string"
+    groups.create_store(spark, path)
+    groups.save_groups(spark, path, spark.createDataFrame([("few", "pos = 0"), ("other", "pos = 9")], schema))
+    seen, stop = [], threading.Event()
+
+    def read():
+        while not stop.is_set():
+            found = dict(map(tuple, groups.load_groups(spark, path).collect()))
+            seen.append((found.get("few"), found.get("other")))
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    texts = [f"pos = {k}" for k in range(6)]
+    early = groups.load_groups(spark, path)
+    try:
+        for text in texts[1:]:
+            groups.save_groups(spark, path, spark.createDataFrame([("few", text)], schema))
+    finally:
+        stop.set()
+        reader.join()
+    assert seen and all(other == "pos = 9" for _, other in seen)
+    numbers = [texts.index(few) for few, _ in seen]  # fails for a name that is gone
+    assert numbers == sorted(numbers)
+    assert dict(map(tuple, early.collect()))["few"] == "pos = 0"
+    again = str(tmp_path / "compact")
+    groups.delete_groups(spark, path, ["other"])
+    groups.compact_store(spark, path, again)
+    for folder in (path, again):
+        found = dict(map(tuple, groups.load_groups(spark, folder).collect()))
+        assert found == {"All": "", "few": texts[-1]}
+
+
+def test_store_of_an_earlier_version(spark, tmp_path):
+    """Rows without version are the oldest."""
+    path = str(tmp_path / "old")
+    spark.createDataFrame([("All", ""), ("few", "pos = 1")], "Name string, SQL string").write.parquet(path)
+    groups.save_groups(spark, path, spark.createDataFrame([("few", "pos = 2")], "Name string, SQL string"))
+    assert dict(map(tuple, groups.load_groups(spark, path).collect())) == {"All": "", "few": "pos = 2"}
+
+
+def test_ranking_over_a_table_in_buckets(spark, tmp_path):
+    """The calls are grouped where they lie: no exchange of call size; one gene has half of all calls."""
+    calls = spark.range(6000).selectExpr(
+        "IF(id % 2 = 0, 'A', 'B') || id % 501 AS sample_id", "'1' AS chr", "id % 97 AS pos",
+        "'A' AS ref", "'C' AS alt", "IF(id % 4 < 2, 'G', 'g' || id % 30) AS gene_symbol", "1 AS zygosity",
+    )
+    call_io.write_calls_table(calls, "calls_in_buckets", str(tmp_path / "t"), 4)
+    spec = AnalysisSpec("b", CASES, CONTROLS, min_score=None, top_k=None, on_overlap="exclude", case_max_freq=0.9)
+    found = score(call_io.read_calls_table(spark, "calls_in_buckets"), spec)
+    expected = score(calls, spec)
+    assert found.collect() == expected.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    other = expected._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    key = r"hashpartitioning\(gene_symbol#\d+L?, variant_id#\d+, sample_id#\d+"
+    assert re.search(key, other) and not re.search(key, plan)
+    assert not re.search(r"hashpartitioning\(gene_symbol#\d+, sample_id#\d+", plan)
+    files = spark.table("calls_in_buckets").selectExpr("_metadata.file_path AS f").groupBy("f").count().collect()
+    assert len(files) == 4 and max(r["count"] for r in files) < 3000
+    spark.sql("DROP TABLE calls_in_buckets")
+
+
 def test_group_file_with_line_breaks(spark, tmp_path):
     path = tmp_path / "saved.csv"
     path.write_text('"Name"\t"SQL"\n"few"\t"pos = 1\n OR pos = 2"\n')

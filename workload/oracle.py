@@ -409,6 +409,7 @@ ORACLE["recurrent_blacklist"] = with_calls(
     """kept AS (SELECT * FROM keyed WHERE variant_id NOT IN (
   SELECT variant_id FROM keyed WHERE filters = 'PASS' GROUP BY variant_id HAVING count(*) > 12))""",
 )
+ORACLE["recurrent_one_scan"] = ORACLE["recurrent_blacklist"]
 ORACLE["position_counts"] = with_calls(
     "SELECT chr, pos, count(*) AS n_calls FROM calls GROUP BY chr, pos"
 )
@@ -426,10 +427,11 @@ ORACLE["sample_overlap"] = with_calls(
 )
 ORACLE["group_sizes"] = with_calls("SELECT * FROM size", *grouped(CASE, CONTROL))
 ORACLE["sample_list_text"] = f"""WITH {PHENOTYPES},
+sized AS (SELECT DISTINCT "Pathology", "Sample_ID", strlen("Sample_ID") AS size FROM phenotypes),
 dealt AS (
-  SELECT "Pathology", "Sample_ID", cast('0x' || substr(md5("Sample_ID"), 1, 8) AS bigint)
-    % 4 AS part
-  FROM phenotypes)
+  SELECT "Pathology", "Sample_ID", cast((sum(size + 3) OVER (PARTITION BY "Pathology" ORDER BY "Sample_ID")
+    - size - 3) // (900 - (SELECT max(size) FROM sized)) AS bigint) AS part
+  FROM sized)
 SELECT "Pathology", part, string_agg("Sample_ID", ' , ' ORDER BY "Sample_ID") AS sample_ids
 FROM dealt GROUP BY "Pathology", part"""
 ORACLE["stacked_groups"] = with_calls(
@@ -531,6 +533,16 @@ ORACLE["pivot_impact_by_group"] = with_calls(
     )
     + " FROM calls GROUP BY pathology"
 )
+ORACLE["cross_totals"] = with_calls(
+    "SELECT pathology, filters, "
+    + ", ".join(
+        f"cast(sum(CASE WHEN snpeff_impact = '{v}' THEN read_depth END) AS bigint) AS \"{v}\""
+        for v in ("HIGH", "MODERATE", "LOW")
+    )
+    + """, cast(sum(read_depth) AS bigint) AS total,
+  cast(grouping(pathology) * 2 + grouping(filters) AS bigint) AS level
+FROM calls GROUP BY ROLLUP (pathology, filters)"""
+)
 ORACLE["pivot_totals"] = with_calls(
     """SELECT pathology, filters, cast(sum(read_depth) AS bigint) AS depth,
   cast(grouping(pathology) * 2 + grouping(filters) AS bigint) AS level
@@ -632,6 +644,7 @@ ORACLE["calls_csv"] = with_calls(by_gene("calls"))
 ORACLE["calls_sql_view"] = with_calls(
     "SELECT filters, count(*) AS n_table, count(*) AS n_sql FROM calls GROUP BY filters"
 )
+ORACLE["calls_bucketed"] = ORACLE["gene_monogenic_rare"]
 ORACLE["column_generations"] = with_calls(
     by_gene("calls")
     + "\nUNION ALL\n"
@@ -742,8 +755,7 @@ FROM size""",
     *grouped(ALL_CASE, ALL_CONTROL),
 )
 ORACLE["preview_unordered"] = with_calls(
-    f"""SELECT gene_symbol, count(*) AS n_calls, cast(sum(pos) AS bigint) AS pos
-FROM calls WHERE {ALL_CASE} GROUP BY gene_symbol"""
+    f"SELECT least(count(*), 1000) AS n_shown, least(count(*), 1000) AS n_found FROM calls WHERE {ALL_CASE}"
 )
 ORACLE["analysis_catalog"] = with_calls(
     """SELECT 'first' AS file_name, count(*) AS n_results FROM ranked WHERE score > 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -260,6 +261,12 @@ def recurrent_blacklist(spark, sf_dir):
     return by_gene(frequency.drop_variants(calls, listed))
 
 
+@query
+def recurrent_one_scan(spark, sf_dir):
+    """The same from one scan and one shuffle of the calls."""
+    return by_gene(frequency.drop_recurrent(order_calls(spark, sf_dir), more_than=12))
+
+
 @query
 def position_counts(spark, sf_dir):
     return frequency.position_counts(order_calls(spark, sf_dir))
@@ -293,7 +300,7 @@ def group_sizes(spark, sf_dir):
 @query
 def sample_list_text(spark, sf_dir):
     phenotypes = customer_phenotypes(spark, sf_dir)
-    return cohorts.sample_list_text(phenotypes, ["Pathology"], "Sample_ID", texts=4)
+    return cohorts.sample_list_text(phenotypes, ["Pathology"], "Sample_ID", max_bytes=900)
 
 
 @query
@@ -354,9 +361,12 @@ def phenotype_to_calls(spark, sf_dir):
 
 @query
 def preview_unordered(spark, sf_dir):
-    """A preview that is not sorted and long enough for all rows."""
-    rows = b.browse(order_calls(spark, sf_dir), ALL_CASE, max_rows=100_000_000, ordered=False)
-    return rows.groupBy("gene_symbol").agg(F.count("*").alias("n_calls"), F.sum("pos").alias("pos"))
+    """How many rows a preview that is not sorted shows, and how many of them are rows of the group."""
+    calls, place = order_calls(spark, sf_dir), ["sample_id", "chr", "pos", "ref", "alt"]
+    shown = b.browse(calls, ALL_CASE, ordered=False)
+    group = filters.apply_predicate(calls, ALL_CASE).select(*place)
+    found = shown.select(*place).join(group, place, "left_semi").agg(F.count("*"))
+    return shown.agg(F.count("*").alias("n_shown")).select("n_shown", found.scalar().alias("n_found"))
 
 
 @query
@@ -492,6 +502,19 @@ def pivot_impact_by_group(spark, sf_dir):
     return b.pivot(rows, ["pathology"], "snpeff_impact", F.count(F.lit(1)), levels)
 
 
+@query
+def cross_totals(spark, sf_dir):
+    """Depths by group and filter state against impact, with all margins."""
+    depth = F.col("read_depth")
+    return b.cross_table(
+        order_calls(spark, sf_dir),
+        ["pathology", "filters"],
+        "snpeff_impact",
+        ["HIGH", "MODERATE", "LOW"],
+        lambda where: F.sum(F.when(where, depth)),
+    )
+
+
 @query
 def pivot_totals(spark, sf_dir):
     rows = order_calls(spark, sf_dir)
@@ -642,6 +665,16 @@ def calls_parquet(spark, sf_dir):
     return by_gene(call_io.read_calls(spark, path))
 
 
+@query
+def calls_bucketed(spark, sf_dir):
+    """A ranking over a call table that is laid out by gene and sample."""
+    name = f"calls_{uuid.uuid4().hex}"
+    calls = order_calls(spark, sf_dir)
+    call_io.write_calls_table(calls, name, new_folder(spark, "bucketed"), 8)
+    spec = AnalysisSpec("bucketed", ALL_CASE, ALL_CONTROL, case_max_freq=0.005, control_max_freq=0.005)
+    return rounded(score(call_io.read_calls_table(spark, name), spec))
+
+
 @query
 def calls_csv(spark, sf_dir):
     path = new_folder(spark, "calls-csv")
@@ -745,8 +778,8 @@ def results_empty(spark, sf_dir):
     spec = AnalysisSpec("empty", ALL_CASE, ALL_CONTROL, min_score=2.0)
     results.run_analysis(calls, spec, path)
     analysis, _, listed = results.read_analysis(spark, path)
-    counts = listed.agg(F.count("*").alias("n_listed"))
-    return analysis.select("n_case", "n_control", "ntests", "n_results").crossJoin(counts)
+    listed_count = listed.agg(F.count("*")).scalar().alias("n_listed")
+    return analysis.select("n_case", "n_control", "ntests", "n_results", listed_count)
 
 
 def saved_documents(spark, sf_dir) -> DataFrame:
