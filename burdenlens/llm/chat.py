@@ -162,13 +162,13 @@ class _Stretch:
         return out
 
     def _open(self, row: dict) -> None:
-        """The system turn and history, as far as they leave room for the first target."""
+        """The system turn, and history as far as these and the first target leave room for it."""
         room = self.budget - row["tokens"]
         self.before: list[str] = []
-        if row["system"] is not None and not row["is_system"] and row["system_tokens"] <= room:
+        if row["system"] is not None and not row["is_system"]:
             self.before.append(row["system"])
             room -= row["system_tokens"]
-        limit = min(self.history, room)
+        limit = min(self.history, max(room, 0))
         kept: list[dict] = []
         for turn in reversed(self.past):
             if turn["is_system"] or turn["tokens"] > limit:
@@ -217,11 +217,11 @@ def read_back(text: str) -> list[tuple[str, str]]:
     return turns
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """Per conversation, what its windows say when read back: turns, their digest, the masked text.
+def read_back_sums(formatted: DataFrame) -> DataFrame:
+    """Per conversation, what its windows say when read back: turns, their hash, the masked text.
 
-    A digest runs over a conversation from end to end, so its windows pass through one task, one
-    after another; nothing but the running digest is held.
+    A hash runs over a conversation from end to end, so its windows pass through one task, one
+    after another; nothing but the running hash is held.
     """
     keys = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "part", "window")
     names = [

@@ -7,7 +7,7 @@ from burdenlens.llm import chat
 
 
 def expected(rows):
-    """conv -> (turns, digest, masked characters, digest) as the rows say it."""
+    """conv -> (turns, hash, masked characters, hash) as the rows say it."""
     found = {}
     for conv, turn, role, text in sorted(rows, key=lambda r: (r[0], r[1])):
         found.setdefault(conv, []).append((role or "", text or ""))
@@ -15,8 +15,8 @@ def expected(rows):
     for conv, turns in found.items():
         said = "".join(f"{r}\n{t}\n" for r, t in turns)
         loss = "".join(t for r, t in turns if r == "assistant")
-        digest = [hashlib.sha256(x.encode()).hexdigest() for x in (said, loss)]
-        out[conv] = (len(turns), digest[0], len(loss), digest[1])
+        sums = [hashlib.sha256(x.encode()).hexdigest() for x in (said, loss)]
+        out[conv] = (len(turns), sums[0], len(loss), sums[1])
     return out
 
 
@@ -39,11 +39,12 @@ def test_read_back(spark, seed):
     made = chat.windows(frame, budget=60, history=20, stretch=300).collect()
     for w in made:
         turns = chat.read_back(w["text"])
-        assert w["tokens"] <= 60 or len(turns) == 1
+        alone = len(turns) == 1 or (len(turns) == 2 and turns[0][0] == "system")
+        assert w["tokens"] <= 60 or alone
         assert all(w["repeated"] <= s["start"] for s in w["mask"])
         assert "".join(f"<|im_start|>" for _ in turns).count("<") == w["text"].count("<|im_start|>")
     assert len(made) > 6 and any(w["part"] for w in made) and any(w["repeated"] for w in made)
-    got = chat.digests(chat.windows(frame, budget=60, history=20, stretch=300)).collect()
+    got = chat.read_back_sums(chat.windows(frame, budget=60, history=20, stretch=300)).collect()
     assert {r["conv_id"]: tuple(r)[1:5] for r in got} == expected(rows)
 
 
@@ -61,6 +62,22 @@ def test_system_turn_is_retained(spark):
     assert len(chat.read_back(second["text"][: second["repeated"]])) == 2
 
 
+def test_long_system_turn_and_long_target(spark):
+    """The system turn stays where it leaves no room, history goes first, and no turn is cut."""
+    rows = [(1, 0, "system", "rule " * 80)] + [
+        (1, t, ["assistant", "user"][t % 2], f"w{t} " * (70 if t == 4 else 6)) for t in range(1, 7)
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat.windows(frame, budget=50, history=20).orderBy("part", "window").collect()
+    assert len(made) > 3
+    for w in made:
+        turns = chat.read_back(w["text"])
+        assert turns[0][0] == "system" and turns[0][1] == "rule " * 80
+        assert len(turns) <= 2  # there is no room for history
+    got = chat.read_back_sums(chat.windows(frame, budget=50, history=20)).head()
+    assert tuple(got)[1:5] == expected(rows)[1]
+
+
 def test_nulls_ties_repeats_and_no_rows(spark):
     schema = "conv_id long, turn long, role string, text string, PART string"
     rows = [
@@ -71,10 +88,10 @@ def test_nulls_ties_repeats_and_no_rows(spark):
         (1, 1, "assistant", None, "y"),
     ]
     frame = spark.createDataFrame(rows, schema)
-    got = {r["conv_id"]: r for r in chat.digests(chat.windows(frame)).collect()}
+    got = {r["conv_id"]: r for r in chat.read_back_sums(chat.windows(frame)).collect()}
     assert got[1]["n_turns"] == 4 and got[None]["n_turns"] == 1
     assert got[1]["loss_chars"] == 0
     assert got[1]["turns_sha256"] == hashlib.sha256(
         b"user\na\nuser\na\nuser\nb\nassistant\n\n"
     ).hexdigest()
-    assert chat.digests(chat.windows(frame.limit(0))).count() == 0
+    assert chat.read_back_sums(chat.windows(frame.limit(0))).count() == 0
