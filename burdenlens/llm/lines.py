@@ -144,14 +144,23 @@ def later_copies(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     interval = ["m", "head", "tail"]
     place = F.struct(*_DOC, "p")
     firsts = named.groupBy(*interval).agg(F.min(place).alias("first"))
-    return named.join(firsts, interval).where(~F.col("first").eqNullSafe(place)).select(*_DOC, "p", "m")
+    copies = named.join(firsts, interval).where(~F.col("first").eqNullSafe(place))
+    # a copy that overlaps the first one leaves it its lines
+    own = F.lit(True)
+    for c in _DOC:
+        own = own & F.col(c).eqNullSafe(F.col(f"first.{c}"))
+    over = F.when(own, F.greatest(F.col("first.p") + F.col("m") - F.col("p"), F.lit(0))).otherwise(0)
+    return copies.withColumn("_over", over.cast("int")).select(
+        *_DOC, (F.col("p") + F.col("_over")).alias("p"), (F.col("m") - F.col("_over")).alias("m")
+    )
 
 
 def dedup(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of the documents, the text without later copies, and ``n_lines, n_deleted``.
 
     A run of lines with at least ``min_words`` words that also occurs before, by id, then a hash of
-    the text, then position, is deleted. Lines without words are no part of runs; they stay, except in a
+    the text, then position, is deleted; of a run that overlaps its first copy, only the lines beyond
+    that one. Lines without words are no part of runs; they stay, except in a
     text of which nothing else is left, which becomes empty. A null text stays null and has no
     lines; an empty one has one line without words. Rows that agree in id and text are one document
     and get the same result, one by one. Columns named n_lines or n_deleted are replaced.

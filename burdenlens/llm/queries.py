@@ -88,7 +88,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         tricky,
     )
     turns = turns.select("conv_id", "turn", "role", "text").unionByName(own)
-    return chat.digests(chat.windows(turns))
+    return chat.read_back_sums(chat.windows(turns))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +209,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
 
     def leaf(text):
-        return merkle.digest(*map(F.col, ["doc_id", "source", "lang", "n_chars"]), text)
+        return merkle.leaf_hash(*map(F.col, ["doc_id", "source", "lang", "n_chars"]), text)
 
     decimal = F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).cast("binary")
     tampered = F.when(F.crc32(decimal) % 2 == 0, leaf(F.translate("text", "\n", "")))
@@ -294,10 +294,11 @@ WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
    WINDOW a AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
   UNION SELECT doc_id, min(p) OVER b, count(*) OVER b, list(line) OVER b, upto - min(before) OVER b
    FROM w WINDOW b AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
- f AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, p) AS copy FROM r
-  WHERE words >= 50),
- g AS (SELECT DISTINCT w.doc_id, w.i FROM f JOIN w ON w.doc_id = f.doc_id
-  AND w.p >= f.p AND w.p < f.p + f.m WHERE f.copy > 1),
+ f AS (SELECT *, row_number() OVER o AS copy, first_value(doc_id) OVER o AS first_doc,
+   first_value(p) OVER o + m AS first_end FROM r
+  WHERE words >= 50 WINDOW o AS (PARTITION BY run ORDER BY doc_id, p)),
+ g AS (SELECT DISTINCT w.doc_id, w.i FROM f JOIN w ON w.doc_id = f.doc_id AND w.p < f.p + f.m
+  AND w.p >= CASE WHEN first_doc = f.doc_id THEN greatest(f.p, first_end) ELSE f.p END WHERE f.copy > 1),
  s AS (SELECT c.doc_id, count(*) AS n_lines, count(g.i) AS n_deleted,
   CASE WHEN count(g.i) = count(*) FILTER (c.n > 0) AND count(g.i) > 0 THEN ''
    ELSE string_agg(c.line, chr(10) ORDER BY c.i) FILTER (g.i IS NULL) END AS text

@@ -100,6 +100,25 @@ def test_query_and_sql(spark, tables, name):
     assert own == given
 
 
+def test_copies_that_overlap_their_first_one(spark):
+    """A line on end: the first run of 50 words stays whole. The same for two lines in turn."""
+    line, other = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(1, "\n".join([line] * 6)), (2, "\n".join([line, other] * 6)), (3, "\n".join([line] * 4))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lines.dedup(frame).collect()}
+    assert (got[1]["n_deleted"], got[1]["text"]) == (1, "\n".join([line] * 5))
+    # runs from the first and from the second line are there again two lines further on
+    assert (got[2]["n_deleted"], got[2]["text"]) == (7, "\n".join([line, other] * 2 + [line]))
+    assert got[3]["n_deleted"] == 0
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    found = con.execute(ORACLE["op2_line_dedup"]).fetchall()
+    assert {r[0]: tuple(r[1:]) for r in found} == {
+        k: (r["text"], r["n_lines"], r["n_deleted"]) for k, r in got.items()
+    }
+
+
 def test_some_lines_go(docs):
     got = {r["doc_id"]: r for r in lines.dedup(docs).collect()}
     texts = dict(corpus(1))
