@@ -11,11 +11,11 @@ siblings, and forgets it. So a manifest costs little more than its leaves, a pro
 subtree is stored, and what goes down from level to level is one row for each subtree.
 
 Places in a tree come from a sort by range, so a tree with a third of all rows is shared out evenly.
-Texts are read once, by the digests; only digests and ids are shuffled.
+Texts are read once, by the hashes; only hashes and ids are shuffled.
 
 * A null is a value of its own in every field, so also in the column that deals rows into trees, where
   it comes first. Empty text differs from null.
-* Rows with equal ids are leaves of their own, in the order of their digests.
+* Rows with equal ids are leaves of their own, in the order of their hashes.
 * No rows make an empty manifest: no subroots, no root, no proofs.
 """
 
@@ -48,7 +48,7 @@ class Manifest(NamedTuple):
         return _finished(self.subroots).agg(F.max("node")).scalar()
 
 
-def digest(*fields: Column) -> Column:
+def leaf_hash(*fields: Column) -> Column:
     """Hex SHA-256 of the fields: each is its length in bytes, a colon and the value, or ``-``."""
 
     def spelled(field: Column) -> Column:
@@ -61,7 +61,7 @@ def digest(*fields: Column) -> Column:
 def build(leaves: DataFrame, folder: str | None = None) -> Manifest:
     """The manifest of ``tree, id, leaf`` and columns that travel along, written below a folder.
 
-    ``tree`` and ``id`` may have any type that sorts, ``leaf`` is a digest in hex. Without a folder
+    ``tree`` and ``id`` may have any type that sorts, ``leaf`` is a hash in hex. Without a folder
     one below the shared folder of the session is taken.
     """
     spark = leaves.sparkSession

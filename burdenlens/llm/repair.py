@@ -18,9 +18,9 @@ Only positions, flags and edits take part in this. Texts are stored in order onc
 by position.
 
 * A null in role or text counts as one space, a null turn comes first, a null conversation is one.
-* Equal turns are ordered by role and digest of the text; rows that are repeated wholly are turns of
+* Equal turns are ordered by role and hash of the text; rows that are repeated wholly are turns of
   their own, all but the first duplicates.
-* Empty and blank texts are faults; texts of any length are only looked at by their end and digest.
+* Empty and blank texts are faults; texts of any length are only looked at by their end and hash.
 * No rows give no report and no turns. Columns besides the four are left out.
 """
 

@@ -120,7 +120,7 @@ def shard(documents: DataFrame, shards: int = 24) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` for every row; equal texts share a shard.
 
     A size is the bytes of the text plus 8. Groups are ordered by their smallest id (a group without
-    any id first), then by the digest of the text. Slots count from 0 in each shard by id and digest.
+    any id first), then by the hash of the text. Slots count from 0 in each shard by id and hash.
 
     A null text counts as empty and shares the group of empty texts. A null id is kept. Repeated rows
     each get a slot. Other columns are left out, whatever their names. No rows give no rows.
@@ -130,18 +130,18 @@ def shard(documents: DataFrame, shards: int = 24) -> DataFrame:
         "doc_id",
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
+        F.unhex(F.sha2(text.cast("binary"), 256)).alias("text_hash"),
     )
-    groups = rows.groupBy("digest").agg(
+    groups = rows.groupBy("text_hash").agg(
         F.min("doc_id").alias("first"), F.sum("size").alias("bytes")
     )
-    sums = running_sum(groups, "bytes", "end", "first", "digest")
+    sums = running_sum(groups, "bytes", "end", "first", "text_hash")
     _, cuts = minimax_cuts(sums, "end", "bytes", shards)
     number = F.lit(0)
     for cut in cuts[:-1]:
         number = number + (F.col("end") > cut).cast("int")
-    dealt = rows.join(sums.select("digest", number.alias("shard")), "digest")
-    placed = numbered(dealt, "shard", "doc_id", "digest")
+    dealt = rows.join(sums.select("text_hash", number.alias("shard")), "text_hash")
+    placed = numbered(dealt, "shard", "doc_id", "text_hash")
     firsts = placed.groupBy("shard").agg(F.min("_number").alias("first_number"))
     return placed.join(F.broadcast(firsts), "shard").select(
         "doc_id",

@@ -89,13 +89,13 @@ def test_odd_rows(spark):
     """Nulls, repeated ids and rows, long text, and a change of any field."""
     rows = [(None, None, None), (None, None, None), (1, "", "s"), (1, None, "s"), (1, "x" * 300_000, "s"), (2, "é", "")]
     frame = spark.createDataFrame(rows, "id long, text string, tree string")
-    leaves = frame.select("tree", "id", merkle.digest(F.col("id"), F.col("tree"), F.col("text")).alias("leaf"))
+    leaves = frame.select("tree", "id", merkle.leaf_hash(F.col("id"), F.col("tree"), F.col("text")).alias("leaf"))
 
     def spelled(*values):
         return sha(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in values])
 
-    digests = [(t, k, spelled(k, t, x)) for k, x, t in rows]
-    expected, root = brute(digests)
+    hashes = [(t, k, spelled(k, t, x)) for k, x, t in rows]
+    expected, root = brute(hashes)
     manifest = merkle.build(leaves)
     found = merkle.proofs(manifest).withColumn("root", manifest.root).collect()
     assert comparable(
