@@ -9,11 +9,16 @@ meet there. Equal sets are one set from the start.
    alike share the overlap counted so far, and a subtree is left as soon as what remains cannot reach
    the overlap that is needed. Links make components; a group of near copies is one component after
    this, without all its pairs.
-2. Runs that still join different components give all pairs across them, counted: linked sets share
-   at least the needed overlap less what can follow the first runs. Pairs that do are compared in the
+2. While runs that join different components would still give many more pairs than there are rows,
+   components are dealt anew in a random order of each round, and each is compared with the ones next
+   to it that it meets most. In a group of near copies most pairs link, so a round leaves a fraction of
+   its components; the rounds end when they no longer help.
+3. Runs that then join different components give the pairs across them, counted: linked sets share
+   at least the needed overlap less what can follow the first runs, and a set with fewer such runs
+   left than that gives no pair. Pairs that meet as often are compared in the
    same way. What shares a component already needs no comparison, so every link is found or implied.
 
-Pairs carry ids and sizes; the sets themselves are fetched for candidates only.
+Pairs carry ids and sizes; the sets themselves are fetched once, for candidates only.
 """
 
 from __future__ import annotations
@@ -30,9 +35,13 @@ from burdenlens.llm.shingles import mixed, runs
 
 PERCENT = 75
 #: Buckets of the counts that order the runs, and bits of the filter of wanted sets.
-BUCKETS, FILTER_BITS = 1 << 18, 1 << 23
+BITS, FILTER_BITS = 20, 1 << 23
+BUCKETS = 1 << BITS
 #: Partners a trie holds at a time.
 TRIE = 256
+#: Pairs across components for each of their rows up to which all are formed at once, the share of them
+#: that a round may leave for another to follow, and the neighbours each component meets in a round.
+PAIRS, HELPED, MEETS = 2, 0.8, 3
 
 
 def needed(a: int, b: int, percent: int = PERCENT) -> int:
@@ -66,7 +75,7 @@ def _described(documents: DataFrame) -> DataFrame:
         key = pa.int64()
         for piece in pieces(batches, "text"):
             flat, first = _sets(piece)
-            counts += np.bincount(flat >> np.uint64(64 - 18), minlength=BUCKETS)
+            counts += np.bincount(_bucket(flat), minlength=BUCKETS)
             rows, key = piece.num_rows, piece.column("doc_id").type
             yield pa.RecordBatch.from_arrays(
                 [
@@ -95,16 +104,26 @@ def _described(documents: DataFrame) -> DataFrame:
     return arrow(documents.select("doc_id", "text"), run, schema)
 
 
+def _bucket(flat: np.ndarray) -> np.ndarray:
+    return flat >> np.uint64(64 - BITS)
+
+
 def _levels(every: np.ndarray) -> np.ndarray:
-    """How common the runs of a bucket are: 0 up to twice the mean, then one more for each doubling."""
-    ratio = every / max(every.mean(), 1)
-    return np.floor(np.log2(np.maximum(ratio, 1))).astype(np.uint8)
+    """How common the runs of a bucket are, in steps of equal numbers of buckets, then of a quarter of a
+    doubling.
+
+    A run in many sets stands out from the chance differences of buckets, which grow with the root of
+    the corpus only.
+    """
+    steps = np.quantile(every, np.arange(1, 128) / 128)
+    over = np.floor(4 * np.log2(np.maximum(every / max(steps[-1], 1), 1)))
+    return (np.searchsorted(steps, every) + np.minimum(over, 127)).astype(np.uint8)
 
 
 def _in_order(flat: np.ndarray, first: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The runs of every set, rare ones first."""
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    return flat[np.lexsort((flat, levels[flat >> np.uint64(64 - 18)], text))]
+    return flat[np.lexsort((flat, levels[_bucket(flat)], text))]
 
 
 def _heads(documents: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
@@ -226,10 +245,8 @@ def linked(sets: list[bytes], probe: bytes, percent: int) -> list[int]:
     return found
 
 
-def _links(pairs: DataFrame, documents: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
-    """``a, b`` of the candidate pairs that link."""
-    names = kept(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct())
-    sets = _fetched(documents, names, levels)
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` of the candidate pairs that link, by the sets that ``_fetched`` gives."""
     full = pairs.join(sets.select(F.col("name").alias("a"), F.col("runs").alias("ra")), "a").join(
         sets.select(F.col("name").alias("b"), F.col("runs").alias("rb")), "b"
     )
@@ -305,6 +322,66 @@ def _met_at_least(percent: int) -> str:
     return f"ceil({percent} * (na + nb) / {100 + percent}) - ({after})"
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+
+
+def _across(rows: DataFrame, tied: DataFrame) -> DataFrame:
+    """``run, name, n, root`` of the runs that join different components."""
+    own = rows.select("run", "name", "n").join(tied, "name", "left").select(
+        "run", "name", "n", F.coalesce("root", "name").alias("root")
+    )
+    ends = own.groupBy("run").agg(F.min("root").alias("x"), F.max("root").alias("y"))
+    return own.join(ends.where("x <> y").select("run"), "run", "left_semi")
+
+
+def _crossing(across: DataFrame) -> tuple[float, int]:
+    """Pairs of rows of a run and different components, and rows."""
+    of_root = across.groupBy("run", "root").agg(F.count("*").cast("double").alias("c"))
+    of_run = of_root.groupBy("run").agg(F.sum("c").alias("s"), F.sum(F.col("c") ** 2).alias("q"))
+    pairs, rows = of_run.agg(F.sum(F.expr("(s * s - q) / 2")), F.sum("s")).first()
+    return pairs or 0.0, int(rows or 0)
+
+
+def _next_to(across: DataFrame, turn: int, percent: int) -> DataFrame:
+    """``a, b``: for each component a few pairs with others that lie next to it in this turn's order."""
+    place = [F.xxhash64("root", F.lit(turn)), F.col("root"), F.xxhash64("name", F.lit(turn)), F.col("name")]
+    meeting = Window.partitionBy("run").orderBy(*place)
+    before = F.array(
+        *(
+            F.struct(*(F.lag(c, k).over(meeting).alias(to) for c, to in (("name", "a"), ("n", "na"), ("root", "ra"))))
+            for k in range(1, MEETS + 1)
+        )
+    )
+    met = (
+        across.select("root", F.col("name").alias("b"), F.col("n").alias("nb"), before.alias("before"))
+        .select("root", "b", "nb", F.inline("before"))
+        .where(f"ra <> root AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
+        .groupBy("root", "a", "b")
+        .agg(F.count("*").alias("met"), F.min("na").alias("na"), F.min("nb").alias("nb"))
+        .where(f"met >= greatest(1, ({_met_at_least(percent)}) / 2)")
+    )
+    most = F.row_number().over(Window.partitionBy("root").orderBy(F.desc("met"), "a", "b"))
+    return met.select("a", "b", most.alias("k")).where(f"k <= {MEETS}").select("a", "b")
+
+
+def _tied_up(
+    across: DataFrame, tied: DataFrame, sets: DataFrame, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """``across`` and ``tied`` after as many rounds of comparing neighbours as make pairs few."""
+    before, turn = float("inf"), 0
+    across = kept(across)
+    while True:
+        pairs, rows = _crossing(across)
+        if pairs <= PAIRS * rows or pairs > HELPED * before:
+            return across, tied
+        before, turn = pairs, turn + 1
+        known = across.join(sets.select("name"), "name", "left_semi")
+        found = _links(kept(_next_to(known, turn, percent)), sets, percent)
+        tied = kept(components(tied.select(F.col("name").alias("a"), F.col("root").alias("b")).union(found)))
+        across = kept(_across(across, tied))
+
+
 def groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row, and ``name``, the hash of its set.
 
@@ -325,41 +402,39 @@ def groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         .select("run", "name", "n")
     )
     met = common.select("name", "n", before.alias("a"), F.lag("n").over(meeting).alias("na"))
-    near = kept(
+    close = kept(
         met.where(f"a <> name AND 100 * na >= {percent} * n")
         .groupBy("a", F.col("name").alias("b"))
         .agg(F.count("*").alias("met"), F.min("na").alias("na"), F.min("n").alias("nb"))
-        # neighbours that met at few of their first runs are left to the second step
+        # neighbours that met at few of their first runs are left to the last step
         .where(f"met >= greatest(1, ({_met_at_least(percent)}) / 2)")
-        # one neighbour a set, the one met most, is enough to tie a group together
-        .groupBy("b")
-        .agg(F.max_by("a", F.struct("met", "a")).alias("a"))
-        .select("a", "b")
-    )
-    links = kept(_links(near, documents, levels, percent))
-    tied = kept(components(links))
-    own = (
-        common.select("run", "name", "n")
-        .distinct()
-        .join(tied, "name", "left")
-        .select("run", "name", "n", F.coalesce("root", "name").alias("root"))
     )
-    mixed_runs = own.groupBy("run").agg(F.min("root").alias("x"), F.max("root").alias("y"))
-    across = kept(own.join(mixed_runs.where("x <> y").select("run"), "run", "left_semi"))
-    one, two = across.alias("p"), across.alias("q")
+    names = kept(_ends(close))
+    sets = kept(_fetched(documents, names, levels))
+    # one neighbour a set, the one met most, is enough to tie a group together
+    near = close.groupBy("b").agg(F.max_by("a", F.struct("met", "a")).alias("a")).select("a", "b")
+    tied = kept(components(_links(kept(near), sets, percent)))
+    across, tied = _tied_up(_across(common.distinct(), tied), tied, sets, percent)
+    left = across.join(across.groupBy("name").agg(F.count("*").alias("r")), "name")
+    one, two = left.alias("p"), left.alias("q")
+    least = _met_at_least(percent).replace("na", "p.n").replace("nb", "q.n")
     crossing = (
-        one.join(two, F.expr("p.run = q.run"))
-        .where("p.root <> q.root AND (p.n < q.n OR (p.n = q.n AND p.name < q.name))")
-        .where(f"100 * p.n >= {percent} * q.n")
+        one.join(
+            two,
+            F.expr(
+                "p.run = q.run AND p.root <> q.root AND (p.n < q.n OR (p.n = q.n AND p.name < q.name))"
+                f" AND 100 * p.n >= {percent} * q.n AND least(p.r, q.r) >= {least}"
+            ),
+        )
         .groupBy(F.col("p.name").alias("a"), F.col("q.name").alias("b"))
         .agg(F.count("*").alias("met"), F.min("p.n").alias("na"), F.min("q.n").alias("nb"))
     )
-    hopeful = kept(
-        crossing.where(f"met >= {_met_at_least(percent)}")
-        .select("a", "b")
-        .join(near, ["a", "b"], "left_anti")
-    )
-    every = links.union(_links(hopeful, documents, levels, percent))
+    hopeful = kept(crossing.where(f"met >= {_met_at_least(percent)}").select("a", "b"))
+    more = kept(_ends(hopeful).join(names, "name", "left_anti"))
+    if more.take(1):
+        sets = kept(sets.union(_fetched(documents, more, levels)))
+    stars = tied.select(F.col("name").alias("a"), F.col("root").alias("b"))
+    every = stars.union(_links(hopeful, sets, percent))
     roots = components(every)
     named = rows.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
     smallest = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
