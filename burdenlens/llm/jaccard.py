@@ -10,9 +10,9 @@ meet there. Equal sets are one set from the start.
    the overlap that is needed. Links make components; a group of near copies is one component after
    this, without all its pairs.
 2. While runs that join different components would still give many more pairs than there are rows,
-   components are dealt anew in a random order of each round, and each is compared with the ones next
-   to it that it meets most. In a group of near copies most pairs link, so a round leaves a fraction of
-   its components; the rounds end when they no longer help.
+   sets are put in a random order of each round, and each component is compared with the ones next to
+   its sets that it meets most. In a group of near copies most pairs link, so a round leaves a fraction
+   of its components; the rounds end when they no longer help.
 3. Runs that then join different components give the pairs across them, counted: linked sets share
    at least the needed overlap less what can follow the first runs, and a set with fewer such runs
    left than that gives no pair. Pairs that meet as often are compared in the
@@ -39,9 +39,9 @@ BITS, FILTER_BITS = 20, 1 << 23
 BUCKETS = 1 << BITS
 #: Partners a trie holds at a time.
 TRIE = 256
-#: Pairs across components for each of their rows up to which all are formed at once, the share of them
-#: that a round may leave for another to follow, and the neighbours each component meets in a round.
-PAIRS, HELPED, MEETS = 2, 0.8, 3
+#: Pairs across components for each of their rows up to which all are formed at once, the share of pairs
+#: of components that a round may leave for another to follow, and what each component meets in a round.
+PAIRS, HELPED, MEETS = 2, 0.9, 6
 
 
 def needed(a: int, b: int, percent: int = PERCENT) -> int:
@@ -335,18 +335,20 @@ def _across(rows: DataFrame, tied: DataFrame) -> DataFrame:
     return own.join(ends.where("x <> y").select("run"), "run", "left_semi")
 
 
-def _crossing(across: DataFrame) -> tuple[float, int]:
-    """Pairs of rows of a run and different components, and rows."""
+def _crossing(across: DataFrame) -> tuple[float, float, float]:
+    """Pairs of rows of a run and different components, rows, and pairs of components of a run."""
     of_root = across.groupBy("run", "root").agg(F.count("*").cast("double").alias("c"))
-    of_run = of_root.groupBy("run").agg(F.sum("c").alias("s"), F.sum(F.col("c") ** 2).alias("q"))
-    pairs, rows = of_run.agg(F.sum(F.expr("(s * s - q) / 2")), F.sum("s")).first()
-    return pairs or 0.0, int(rows or 0)
+    of_run = of_root.groupBy("run").agg(
+        F.sum("c").alias("s"), F.sum(F.col("c") ** 2).alias("q"), F.count("*").cast("double").alias("k")
+    )
+    sums = of_run.agg(F.sum(F.expr("(s * s - q) / 2")), F.sum("s"), F.sum(F.expr("k * (k - 1) / 2")))
+    return tuple(x or 0.0 for x in sums.first())
 
 
 def _next_to(across: DataFrame, turn: int, percent: int) -> DataFrame:
     """``a, b``: for each component a few pairs with others that lie next to it in this turn's order."""
-    place = [F.xxhash64("root", F.lit(turn)), F.col("root"), F.xxhash64("name", F.lit(turn)), F.col("name")]
-    meeting = Window.partitionBy("run").orderBy(*place)
+    meeting = Window.partitionBy("run").orderBy(F.xxhash64("name", F.lit(turn)), "name")
+    rows = F.count("*").over(Window.partitionBy("run"))
     before = F.array(
         *(
             F.struct(*(F.lag(c, k).over(meeting).alias(to) for c, to in (("name", "a"), ("n", "na"), ("root", "ra"))))
@@ -354,12 +356,12 @@ def _next_to(across: DataFrame, turn: int, percent: int) -> DataFrame:
         )
     )
     met = (
-        across.select("root", F.col("name").alias("b"), F.col("n").alias("nb"), before.alias("before"))
+        across.select("root", F.col("name").alias("b"), F.col("n").alias("nb"), before.alias("before"), rows.alias("rows"))
+        .where(f"rows > {MEETS}")  # runs of fewer sets give few pairs at the end
         .select("root", "b", "nb", F.inline("before"))
         .where(f"ra <> root AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
         .groupBy("root", "a", "b")
-        .agg(F.count("*").alias("met"), F.min("na").alias("na"), F.min("nb").alias("nb"))
-        .where(f"met >= greatest(1, ({_met_at_least(percent)}) / 2)")
+        .agg(F.count("*").alias("met"))
     )
     most = F.row_number().over(Window.partitionBy("root").orderBy(F.desc("met"), "a", "b"))
     return met.select("a", "b", most.alias("k")).where(f"k <= {MEETS}").select("a", "b")
@@ -372,10 +374,10 @@ def _tied_up(
     before, turn = float("inf"), 0
     across = kept(across)
     while True:
-        pairs, rows = _crossing(across)
-        if pairs <= PAIRS * rows or pairs > HELPED * before:
+        pairs, rows, components_left = _crossing(across)
+        if pairs <= PAIRS * rows or components_left > HELPED * before:
             return across, tied
-        before, turn = pairs, turn + 1
+        before, turn = components_left, turn + 1
         known = across.join(sets.select("name"), "name", "left_semi")
         found = _links(kept(_next_to(known, turn, percent)), sets, percent)
         tied = kept(components(tied.select(F.col("name").alias("a"), F.col("root").alias("b")).union(found)))
