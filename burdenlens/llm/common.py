@@ -24,17 +24,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def kept(frame: DataFrame) -> DataFrame:
-    """The frame, computed once into the shared folder of ``spark.checkpoint.dir``.
-
-    Lost executors do not repeat what came before. Only where no folder is set, as in local tests, a
-    temporary one is taken.
-    """
-    context = frame.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only in a local session without it."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-")
-        )
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def kept(frame: DataFrame) -> DataFrame:
+    """The frame, computed once into the shared folder; lost executors do not repeat what came before."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
 
 

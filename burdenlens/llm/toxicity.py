@@ -92,23 +92,39 @@ def _counts(rows: DataFrame) -> np.ndarray:
     return summed(parts, 2 * BUCKETS).reshape(2, BUCKETS)
 
 
-def _fit(rows: list[np.ndarray], label: np.ndarray, scale: np.ndarray, ridge: float):
-    """Logistic regression on rows of feature numbers, each scaled; (weights, constant)."""
-    sizes = np.array([len(r) for r in rows], np.int64)
-    column = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
-    value = scale[column].astype(np.float32)
-    wide = len(scale)
+#: Entries of the fit that one numpy step takes on.
+STEP = 1 << 20
+
+
+def _fit(column: np.ndarray, sizes: np.ndarray, label: np.ndarray, scale: np.ndarray, ridge: float):
+    """Logistic regression on rows of feature numbers, each scaled; (weights, constant).
+
+    ``column`` holds the numbers of all rows on end, ``sizes`` how many each row has. Products are made
+    a step at a time, so nothing but these two grows with the rows.
+    """
+    ends = np.cumsum(sizes)
+    scale = scale.astype(np.float32)
+    wide, steps = len(scale), range(0, len(column), STEP)
+
+    def owners(start: int) -> np.ndarray:
+        stop = min(start + STEP, len(column))
+        return np.searchsorted(ends, np.arange(start, stop), "right")
 
     # the rarer class weighs more, by the root of its rarity
     share = min(max(label.mean(), 1e-9), 1 - 1e-9) if len(label) else 0.5
     weight = np.where(label == 1, (0.5 / share) ** 0.5, (0.5 / (1 - share)) ** 0.5)
 
     def times(w):
-        return np.bincount(row, value * w[column], len(rows))
+        out, own = np.zeros(len(sizes)), scale * w
+        for start in steps:
+            out += np.bincount(owners(start), own[column[start : start + STEP]], len(sizes))
+        return out
 
     def back(v):
-        return np.bincount(column, value * v[row], wide)
+        out = np.zeros(wide)
+        for start in steps:
+            out += np.bincount(column[start : start + STEP], v[owners(start)], wide)
+        return scale * out
 
     w, constant = np.zeros(wide), 0.0
     for _ in range(12):  # Newton steps, each solved by conjugate gradients
@@ -184,10 +200,14 @@ def train(
         bound = int(-(2**63) + 2**64 * fit_rows / total.sum())
         few = marked.where(F.xxhash64("doc_id") < bound)
     sample = texts.join(F.broadcast(few), "doc_id").select("label", "text")
+    del counts, share, seen, expected, spread, certain
     table = arrow(sample, reduce, "label int, ids array<int>").toArrow()
     label = table["label"].to_numpy().astype(float)
-    bound_ids = [np.asarray(x, np.int32) for x in table["ids"].to_numpy()] if len(table) else []
-    fitted, constant = _fit(bound_ids, label, ratio[picked], ridge)
+    ids = table["ids"].combine_chunks()
+    sizes = np.diff(ids.offsets.to_numpy()).astype(np.int64)
+    column = ids.flatten().to_numpy()
+    del table
+    fitted, constant = _fit(column, sizes, label, ratio[picked], ridge)
     weights[picked] = fitted * ratio[picked]
     return Model(weights, constant)
 
