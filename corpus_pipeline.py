@@ -8,12 +8,14 @@ benchmark item go; what is left is encoded, decoded and handed on with its ids.
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burdenlens.llm import bpe, decontaminate, jaccard, lines, toxicity
-from burdenlens.llm.common import kept
+from burdenlens.llm.common import shared_folder
 from burdenlens.llm.queries import toxicity_model
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -67,8 +69,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to the documents; what each keeps is stored in the shared folder."""
+    """Applies all stages to the documents.
+
+    What each stage keeps is written as Parquet to the shared folder and read again, so a lost executor
+    does not take a run back beyond the stage it is in. Repeated rows stay rows, and an empty table gives
+    an empty one.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = kept(stage(spark, docs, sf_dir))
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs
