@@ -264,49 +264,92 @@ def _codes(padded: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return number, pairs.astype(np.uint64)
 
 
-def _unit(stream: np.ndarray, train: np.ndarray, depth: int, limit: int = 1 << 14):
+def _merged(taught: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers of both arrays in order, and how often each is in the first; sorts both."""
+    taught.sort()
+    other.sort()
+    first = np.flatnonzero(np.append(True, taught[1:] != taught[:-1])[: len(taught)])
+    often = np.diff(np.append(first, len(taught)))
+    seen = taught[first]
+    every = np.concatenate([seen, other[np.append(True, other[1:] != other[:-1])[: len(other)]]])
+    every.sort()
+    every = every[np.append(True, every[1:] != every[:-1])[: len(every)]]
+    count = np.zeros(len(every), np.int32)
+    count[np.searchsorted(every, seen)] = often
+    return every, count
+
+
+def _located(code: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The place of each number of ``code`` in the sorted ``codes``."""
+    order = np.argsort(code)
+    place = np.empty(len(code), np.int32)
+    place[order] = np.searchsorted(codes, code[order])
+    return place
+
+
+def _unit(
+    stream: np.ndarray, train: np.ndarray, depth: int, limit: int = 1 << 14, placed: bool = True
+):
     """The distinct grams of a unit as ``key`` (context but its oldest sign, and next sign) and
-    ``old`` (that oldest sign), their counts in training texts, and the gram at each place.
+    ``old`` (that oldest sign), their counts in training texts, and the gram at each place (in steps;
+    none unless ``placed``).
 
     Up to ``limit`` kinds of pairs of signs, four numbers of pairs and the next sign fit 64 bits."""
     padded = np.concatenate([np.full(8, END, np.uint8), stream])
     number, pairs = _codes(padded, depth)
-    short = len(pairs) <= limit
     learned = np.repeat(train, np.diff(np.flatnonzero(stream == END), prepend=-1))
+    steps = range(0, len(stream), STEP)
+    if len(pairs) > limit:
+        return _wide_unit(padded, learned, depth, steps)
+
+    def coded(start: int) -> np.ndarray:
+        context, sign = _grams(padded[start : start + STEP + 8], depth)
+        code = number[context >> np.uint64(48)]
+        for n in (32, 16, 0):
+            code <<= np.uint64(14)
+            code |= number[(context >> np.uint64(n)) & np.uint64(0xFFFF)]
+        code <<= np.uint64(8)
+        code |= sign
+        return code
+
+    taught, other = np.empty(learned.sum(), np.uint64), np.empty((~learned).sum(), np.uint64)
+    t = o = 0
+    for start in steps:
+        code, own = coded(start), learned[start : start + STEP]
+        some = int(own.sum())
+        taught[t : t + some], other[o : o + len(own) - some] = code[own], code[~own]
+        t, o = t + some, o + len(own) - some
+    codes, count = _merged(taught, other)
+    del taught, other, learned
+    places = [_located(coded(start), codes) for start in steps] if placed else []
+    context = np.zeros(len(codes), np.uint64)
+    for n in (50, 36, 22, 8):
+        context <<= np.uint64(16)
+        context |= pairs[(codes >> np.uint64(n)) & np.uint64((1 << 14) - 1)]
+    old = context.astype(np.uint8)
+    context &= ~np.uint64(255)
+    context |= codes & np.uint64(255)
+    return context, old, count, places
+
+
+def _wide_unit(padded: np.ndarray, learned: np.ndarray, depth: int, steps: range):
+    """As ``_unit``, for any kinds of pairs of signs."""
     parts, places = [], []
-    for start in range(0, len(stream), STEP):
+    for start in steps:
         context, sign = _grams(padded[start : start + STEP + 8], depth)
-        if short:
-            code = number[context >> np.uint64(48)]
-            for n in (32, 16, 0):
-                code <<= np.uint64(14)
-                code |= number[(context >> np.uint64(n)) & np.uint64(0xFFFF)]
-            *own, inverse = _ranked((code << np.uint64(8)) | sign)
-        else:
-            key = (context & ~np.uint64(255)) | sign
-            *own, inverse = _distinct(key, (context & np.uint64(255)).astype(np.int64))
+        key = (context & ~np.uint64(255)) | sign
+        *own, inverse = _distinct(key, (context & np.uint64(255)).astype(np.int64))
         times = inverse[learned[start : start + STEP]]
         parts.append((*own, np.bincount(times, minlength=len(own[0])).astype(np.int32)))
         places.append(inverse)
-        del context, sign, inverse, times
     sizes = np.cumsum([0, *(len(p[0]) for p in parts)])
     *own, count = (np.concatenate(c) for c in zip(*parts, strict=True))
-    del parts, learned
+    del parts
     if len(places) > 1:
-        if short:
-            *own, inverse = _ranked(own[0])
-        else:
-            *own, inverse = _distinct(own[0], own[1].astype(np.int64))
+        *own, inverse = _distinct(own[0], own[1].astype(np.int64))
         count = np.bincount(inverse, count, len(own[0])).astype(np.int32)
         places = [inverse[a:][p] for a, p in zip(sizes, places, strict=False)]
-    if not short:
-        return *own, count, places
-    context = np.zeros(len(own[0]), np.uint64)
-    for n in (50, 36, 22, 8):
-        context <<= np.uint64(16)
-        context |= pairs[(own[0] >> np.uint64(n)) & np.uint64((1 << 14) - 1)]
-    key = (context & ~np.uint64(255)) | (own[0] & np.uint64(255))
-    return key, (context & np.uint64(255)).astype(np.uint8), count, places
+    return *own, count, places
 
 
 def _dealt(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -329,7 +372,7 @@ def _numbers(data: bytes, kind: type) -> np.ndarray:
 
 
 def _packed(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 6).compress(data, asbytes=True)
 
 
 def _unpacked(data: bytes) -> bytes:
@@ -341,15 +384,14 @@ def _asked(units: DataFrame, depth: int, buckets: int) -> DataFrame:
     """``unit, bucket, grams``: the distinct grams of each unit with their counts, by bucket."""
 
     def asks(row: dict) -> pa.RecordBatch:
-        key, old, count = _unit(*_opened(row), depth)[:3]
+        key, old, count, _ = _unit(*_opened(row), depth, placed=False)
         order, first = _dealt(key, buckets)
         some = np.flatnonzero(np.diff(first))
         blobs = []
         for a, b in zip(first[some], first[some + 1], strict=True):
             own = order[a:b]
             context = (key[own] & ~np.uint64(255)) | old[own]
-            grams = _planes(np.diff(context, prepend=np.uint64(0)))
-            grams += key[own].astype(np.uint8).tobytes()
+            grams = _planes(context) + key[own].astype(np.uint8).tobytes()
             blobs.append(_packed(grams + _planes(count[own].astype(np.uint32))))
         columns = [
             pa.array(np.full(len(some), row["unit"]), pa.int64()),
@@ -430,7 +472,7 @@ def _answered(asked: DataFrame, tree, depth: int, least: int) -> DataFrame:
         for blob in table.column("grams"):
             data = _unpacked(blob.as_py())
             n = len(data) // 13
-            context = np.cumsum(_numbers(data[: 8 * n], np.uint64), dtype=np.uint64)
+            context = _numbers(data[: 8 * n], np.uint64)
             sign = np.frombuffer(data, np.uint8, n, 8 * n)
             keys.append((context & ~np.uint64(255)) | sign)
             olds.append(context.astype(np.uint8))
