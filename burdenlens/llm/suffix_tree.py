@@ -13,13 +13,14 @@ all tasks. Longer ones never meet in one place. Texts are put together to units
 unit sends its distinct grams (longest context and next sign, with their counts in the training texts) to
 the bucket of the last three signs of the context. A bucket adds up the counts of all units, tests its
 contexts length by length against their suffixes and answers every unit with the chances of its grams;
-with these the unit scores its texts. Buckets grow in number with the corpus. The base score of words needs the count of
-each word of each text: common words (a share of 1e-6 of all tokens at least, so a million at most) go to
-all tasks, all others are joined.
+with these the unit scores its texts. Buckets grow in number with the corpus. The base score of words needs
+the count of each word of each text, which units ask of further buckets in the same way, each of its
+words once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,10 +42,6 @@ SHORT = 2
 UNIT, STEP, SPREAD = 8 << 20, 1 << 19, 1 << 19
 #: Nats that a context must save over all its occurrences, for each kind of sign seen after it.
 EVIDENCE = 2
-#: Share of all tokens from which on a word's count goes to every task.
-COMMON = 1e-6
-#: Words a task counts before it hands them on.
-HELD = 1 << 20
 #: The sign of the end, and of what is before the beginning; no word holds it.
 END = 10
 
@@ -294,7 +291,8 @@ def _unit(
     ``old`` (that oldest sign), their counts in training texts, and the gram at each place (in steps;
     none unless ``placed``).
 
-    Up to ``limit`` kinds of pairs of signs, four numbers of pairs and the next sign fit 64 bits."""
+    Up to ``limit`` kinds of pairs of signs, four numbers of pairs and the next sign fit 64 bits. Grams
+    with the same last two signs are in order of the next sign, which puts equal chances together."""
     padded = np.concatenate([np.full(8, END, np.uint8), stream])
     number, pairs = _codes(padded, depth)
     learned = np.repeat(train, np.diff(np.flatnonzero(stream == END), prepend=-1))
@@ -305,11 +303,11 @@ def _unit(
     def coded(start: int) -> np.ndarray:
         context, sign = _grams(padded[start : start + STEP + 8], depth)
         code = number[context >> np.uint64(48)]
+        code <<= np.uint64(8)
+        code |= sign
         for n in (32, 16, 0):
             code <<= np.uint64(14)
             code |= number[(context >> np.uint64(n)) & np.uint64(0xFFFF)]
-        code <<= np.uint64(8)
-        code |= sign
         return code
 
     taught, other = np.empty(learned.sum(), np.uint64), np.empty((~learned).sum(), np.uint64)
@@ -323,12 +321,12 @@ def _unit(
     del taught, other, learned
     places = [_located(coded(start), codes) for start in steps] if placed else []
     context = np.zeros(len(codes), np.uint64)
-    for n in (50, 36, 22, 8):
+    for n in (50, 28, 14, 0):
         context <<= np.uint64(16)
         context |= pairs[(codes >> np.uint64(n)) & np.uint64((1 << 14) - 1)]
     old = context.astype(np.uint8)
     context &= ~np.uint64(255)
-    context |= codes & np.uint64(255)
+    context |= (codes >> np.uint64(42)) & np.uint64(255)
     return context, old, count, places
 
 
@@ -380,11 +378,45 @@ def _unpacked(data: bytes) -> bytes:
     return pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b""
 
 
-def _asked(units: DataFrame, depth: int, buckets: int) -> DataFrame:
-    """``unit, bucket, grams``: the distinct grams of each unit with their counts, by bucket."""
+def _unit_words(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a unit, with 0 for the end of each text, and the text of each."""
+    ends = np.flatnonzero(stream == END) + 1
+    every, texts, start = [], [], 0
+    while start < len(ends):
+        begun = ends[start - 1] if start else 0
+        stop = max(int(np.searchsorted(ends, begun + STEP, "right")), start + 1)
+        bounds = np.append(0, ends[start:stop] - begun)
+        own, first = words(stream[begun : ends[stop - 1]], bounds)
+        rows = np.arange(start, stop)
+        every += [own, np.zeros(len(rows), np.uint64)]
+        texts += [np.repeat(rows, np.diff(first)), rows]
+        start = stop
+    return np.concatenate(every), np.concatenate(texts)
+
+
+def _dealt_words(word: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the words of each bucket begin among sorted ones."""
+    bucket = ((word >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    return np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+
+
+def _asked(units: DataFrame, depth: int, buckets: int, word_buckets: int) -> DataFrame:
+    """``unit, bucket, grams``: the distinct grams of each unit with their counts, by bucket; words
+    and their counts by further buckets."""
 
     def asks(row: dict) -> pa.RecordBatch:
-        key, old, count, _ = _unit(*_opened(row), depth, placed=False)
+        stream, learned = _opened(row)
+        word, text = _unit_words(stream)
+        own = learned[text]
+        word, count = _merged(word[own], word[~own])
+        first = _dealt_words(word, word_buckets)
+        places = np.flatnonzero(np.diff(first))
+        asked_words = [
+            _packed(_planes(np.diff(word[a:b], prepend=np.uint64(0))) + _planes(count[a:b]))
+            for a, b in zip(first[places], first[places + 1], strict=True)
+        ]
+        del word, text, own, count
+        key, old, count, _ = _unit(stream, learned, depth, placed=False)
         order, first = _dealt(key, buckets)
         some = np.flatnonzero(np.diff(first))
         blobs = []
@@ -394,9 +426,9 @@ def _asked(units: DataFrame, depth: int, buckets: int) -> DataFrame:
             grams = _planes(context) + key[own].astype(np.uint8).tobytes()
             blobs.append(_packed(grams + _planes(count[own].astype(np.uint32))))
         columns = [
-            pa.array(np.full(len(some), row["unit"]), pa.int64()),
-            pa.array(some, pa.int32()),
-            pa.array(blobs, pa.binary()),
+            pa.array(np.full(len(some) + len(places), row["unit"]), pa.int64()),
+            pa.array(np.append(some, buckets + places), pa.int32()),
+            pa.array(blobs + asked_words, pa.binary()),
         ]
         return pa.RecordBatch.from_arrays(columns, ["unit", "bucket", "grams"])
 
@@ -464,10 +496,34 @@ def chances(
     return found
 
 
-def _answered(asked: DataFrame, tree, depth: int, least: int) -> DataFrame:
-    """``unit, bucket, found``: log10 of the chances of the grams that each unit asked for."""
+def _answered(asked: DataFrame, tree, depth: int, least: int, buckets: int) -> DataFrame:
+    """``unit, bucket, found``: log10 of the chances of the grams that each unit asked for.
+
+    For words it is their counts in all units, after the sum of the bucket's counts and the number of
+    its words with a count, which are told to one unit only.
+    """
+    names = ["unit", "bucket", "found"]
+
+    def counted(table: pa.Table) -> pa.Table:
+        parts, counts = [], []
+        for blob in table.column("grams"):
+            data = _unpacked(blob.as_py())
+            n = len(data) // 12
+            parts.append(np.cumsum(_numbers(data[: 8 * n], np.uint64), dtype=np.uint64))
+            counts.append(_numbers(data[8 * n :], np.int32))
+        sizes = np.cumsum([0, *map(len, parts)])
+        word, place = np.unique(np.concatenate(parts), return_inverse=True)
+        count = np.bincount(place, np.concatenate(counts), len(word)).astype(np.int64)
+        told, blobs = np.array([count.sum(), (count > 0).sum()]), []
+        for a, b in zip(sizes, sizes[1:], strict=False):
+            blobs.append(_packed(_planes(np.concatenate([told, count[place[a:b]]]))))
+            told = np.zeros(2, np.int64)
+        columns = [table.column("unit"), table.column("bucket"), pa.array(blobs, pa.binary())]
+        return pa.Table.from_arrays(columns, names)
 
     def run(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() >= buckets:
+            return counted(table)
         keys, olds, counts = [], [], []
         for blob in table.column("grams"):
             data = _unpacked(blob.as_py())
@@ -484,22 +540,44 @@ def _answered(asked: DataFrame, tree, depth: int, least: int) -> DataFrame:
         found = (chances(key, old, count, tree.value, depth, least) / np.log(10)).astype(np.float32)
         blobs = [_packed(found[place[a:b]].tobytes()) for a, b in zip(sizes, sizes[1:], strict=False)]
         columns = [table.column("unit"), table.column("bucket"), pa.array(blobs, pa.binary())]
-        return pa.Table.from_arrays(columns, ["unit", "bucket", "found"])
+        return pa.Table.from_arrays(columns, names)
 
     return asked.groupBy("bucket").applyInArrow(run, "unit long, bucket int, found binary")
 
 
 def _scored(units: DataFrame, answered: DataFrame, depth: int, buckets: int) -> DataFrame:
-    """``row, score`` of every text of the units."""
+    """``row, n, known, base, score`` of every text of the units; ``base`` is before its divisor.
+
+    One more row a unit, without ``row``, has in ``n`` and ``known`` what word buckets told it.
+    """
+    names = ["row", "n", "known", "base", "score"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         (unit,) = left.to_pylist()
         stream, learned = _opened(unit)
+        number = np.asarray(right.column("bucket"))
+        order = np.argsort(number)
+        blobs, of_words = right.column("found"), number[order] >= buckets
+        told, counts = np.zeros(2, np.int64), []
+        for k in order[of_words].tolist():
+            values = _numbers(_unpacked(blobs[k].as_py()), np.int64)
+            told += values[:2]
+            counts.append(values[2:])
+        count = np.concatenate(counts)
+        word, text = _unit_words(stream)
+        c = count[_located(word, np.unique(word))]
+        rows = int(text[-1]) + 1
+        n, known = np.bincount(text, minlength=rows), np.bincount(text[c > 0], minlength=rows)
+        base = np.bincount(text, np.log10(c + 0.5), rows)
+        del word, text, c, count, counts
+
         key, _, _, places = _unit(stream, learned, depth)
-        order, _ = _dealt(key, buckets)
-        blobs = right.sort_by("bucket").column("found")
+        dealt, _ = _dealt(key, buckets)
         found = np.empty(len(key), np.float32)
-        found[order] = np.concatenate([np.frombuffer(_unpacked(b.as_py()), np.float32) for b in blobs])
+        del key
+        found[dealt] = np.concatenate(
+            [np.frombuffer(_unpacked(blobs[k].as_py()), np.float32) for k in order[~of_words].tolist()]
+        )
         sums, total = np.zeros(len(stream) + 1), 0.0
         for k, place in enumerate(places):
             own = sums[k * STEP + 1 : k * STEP + 1 + len(place)]
@@ -508,39 +586,17 @@ def _scored(units: DataFrame, answered: DataFrame, depth: int, buckets: int) ->
             total = own[-1]
         ends = np.flatnonzero(stream == END) + 1
         score = sums[ends] - sums[np.append(0, ends[:-1])]
-        columns = [pa.array(unit["unit"] + np.arange(len(ends)), pa.int64()), pa.array(score)]
-        return pa.Table.from_arrays(columns, ["row", "score"])
+        columns = [
+            pa.array([*range(unit["unit"], unit["unit"] + rows), None], pa.int64()),
+            pa.array(np.append(n, told[0]), pa.int64()),
+            pa.array(np.append(known, told[1]), pa.int64()),
+            pa.array(np.append(base, 0.0)),
+            pa.array(np.append(score, 0.0)),
+        ]
+        return pa.Table.from_arrays(columns, names)
 
     pairs = units.groupBy("unit").cogroup(answered.groupBy("unit"))
-    return pairs.applyInArrow(run, "row long, score double")
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """``word, c`` over the rows to train on; ``word`` is a hash, and 0 the end of a text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-        def out():
-            columns = [pa.array(word.view(np.int64), pa.int64()), pa.array(count, pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, ["word", "c"])
-
-        for piece in pieces(batches, "text"):
-            rows = _train_rows(piece)
-            own, first = words(*utf8(rows.column("text")))
-            found, times = np.unique(own, return_counts=True)
-            ends = np.array([rows.num_rows], np.int64)
-            every = np.concatenate([word, found, np.zeros(1, np.uint64)])
-            times = np.concatenate([count, times, ends])
-            word, place = np.unique(every, return_inverse=True)
-            count = np.bincount(place, times, len(word)).astype(np.int64)
-            if len(word) > HELD:
-                yield out()
-                word, count = word[:0], count[:0]
-        yield out()
-
-    parts = arrow(texts, run, "word long, c long")
-    return parts.groupBy("word").agg(F.sum("c").alias("c")).where("c > 0")
+    return pairs.applyInArrow(run, "row long, n long, known long, base double, score double")
 
 
 def scores(documents: DataFrame, train, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
@@ -555,18 +611,9 @@ def scores(documents: DataFrame, train, depth: int = DEPTH, least: int = LEAST)
     kind = dict(documents.dtypes)["doc_id"]
     texts = documents.select("doc_id", train.alias("train"), "text")
     tree = grow(texts.select("train", "text"), min(depth, SHORT), least)
-    counts = kept(word_counts(texts.select("train", "text")))
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    bound = max(total * COMMON, 1)
-    table = counts.where(F.col("c") >= bound).toArrow()  # at most 1 / COMMON rows
-    order = np.argsort(table["word"].to_numpy().view(np.uint64))
-    common = table["word"].to_numpy().view(np.uint64)[order], table["c"].to_numpy()[order]
     context = documents.sparkSession.sparkContext
-    shared = context.broadcast(common)
-    divisor = total + 0.5 * (distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, times = shared.value
         number = begun = TaskContext.get().partitionId() << 36
         streams, learned = [], []
 
@@ -580,31 +627,11 @@ def scores(documents: DataFrame, train, depth: int = DEPTH, least: int = LEAST)
 
         for piece in pieces(batches, "text"):
             data, bounds = utf8(piece.column("text"))
-            own, first = words(data, bounds)
             rows = piece.num_rows
-            text = np.concatenate([np.repeat(np.arange(rows), np.diff(first)), np.arange(rows)])
-            own = np.concatenate([own, np.zeros(rows, np.uint64)])  # and the ends
-            place = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
-            hit = known[place] == own if len(known) else np.zeros(len(own), bool)
-            c = times[place[hit]]
-            base = np.bincount(text[hit], np.log10((c + 0.5) / divisor), rows)
-            some = np.bincount(text[hit], minlength=rows)
-            order = np.lexsort((own[~hit], text[~hit]))
-            rare, where = own[~hit][order], text[~hit][order]
-            new = np.ones(len(rare), bool)
-            new[1:] = (rare[1:] != rare[:-1]) | (where[1:] != where[:-1])
-            at = np.flatnonzero(new)
-            often = np.diff(np.append(at, len(rare)))
-            lists = np.searchsorted(where[at], np.arange(rows + 1)).astype(np.int32)
             columns = [
                 pa.array(number + np.arange(rows), pa.int64()),
                 piece.column("doc_id"),
                 piece.column("train"),
-                pa.array(np.bincount(text, minlength=rows), pa.int64()),
-                pa.array(some, pa.int64()),
-                pa.array(base, pa.float64()),
-                pa.ListArray.from_arrays(lists, pa.array(rare[at].view(np.int64), pa.int64())),
-                pa.ListArray.from_arrays(lists, pa.array(often, pa.int32())),
                 pa.nulls(rows, pa.int64()),
                 pa.nulls(rows, pa.binary()),
                 pa.nulls(rows, pa.binary()),
@@ -620,8 +647,7 @@ def scores(documents: DataFrame, train, depth: int = DEPTH, least: int = LEAST)
             yield unit()
 
     schema = (
-        f"row long, doc_id {kind}, train boolean, n long, known long, base double,"
-        " rare array<long>, times array<int>, unit long, stream binary, learned binary"
+        f"row long, doc_id {kind}, train boolean, unit long, stream binary, learned binary"
     )
     fields = to_arrow_schema(texts.sparkSession.createDataFrame([], schema).schema)
     names = fields.names
@@ -629,27 +655,18 @@ def scores(documents: DataFrame, train, depth: int = DEPTH, least: int = LEAST)
     found = made.where("unit IS NULL").drop("unit", "stream", "learned")
     units = made.where("unit IS NOT NULL").select("unit", "stream", "learned")
     buckets = int(min(max(tree.total // SPREAD, 16), 1 << 16))
-    asked = _asked(units, depth, buckets)
-    scored = _scored(units, _answered(asked, context.broadcast(tree), depth, least), depth, buckets)
-    rare = found.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select(
-        "row", F.col("w.rare").alias("word"), F.col("w.times").alias("t")
-    )
-    uncommon = counts.where(F.col("c") < bound)
-    c = F.coalesce("c", F.lit(0))
-    summed_up = (
-        rare.join(uncommon, "word", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.col("t") * F.log10((c + 0.5) / F.lit(divisor))).alias("more_base"),
-            F.sum(F.when(c > 0, F.col("t")).otherwise(0)).alias("more_known"),
-        )
-    )
-    return found.drop("rare", "times").join(scored, "row").join(summed_up, "row", "left").select(
+    asked = _asked(units, depth, buckets, max(buckets // 16, 4))
+    answered = _answered(asked, context.broadcast(tree), depth, least, buckets)
+    scored = kept(_scored(units, answered, depth, buckets))
+    told = scored.where("row IS NULL").agg(F.sum("n"), F.sum("known")).first()
+    total, distinct = (x or 0 for x in told)
+    divisor = math.log10(total + 0.5 * (distinct + 1))
+    return found.join(scored, "row").select(
         "doc_id",
         "train",
         F.col("n").alias("n_tokens"),
-        (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        F.col("known").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
+        (F.col("base") - F.col("n") * F.lit(divisor)).alias("base_score"),
         "score",
     )
