@@ -39,7 +39,7 @@ DEPTH, LEAST, DIVERGENCE = 8, 2, 0.005
 #: Length of the contexts that all tasks have.
 SHORT = 2
 #: Signs of a unit of texts, of one numpy step, and of the corpus for each bucket.
-UNIT, STEP, SPREAD = 8 << 20, 1 << 19, 1 << 19
+UNIT, STEP, SPREAD = 8 << 20, 1 << 19, 4 << 20
 #: Nats that a context must save over all its occurrences, for each kind of sign seen after it.
 EVIDENCE = 2
 #: The sign of the end, and of what is before the beginning; no word holds it.
@@ -143,8 +143,10 @@ def grow(
     texts: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE
 ) -> Tree:
     """The tree of the rows of ``text, train`` whose ``train`` is true, in arrays: for short contexts."""
-    plain = Tree(np.arange(256, dtype=np.int32), 1, [])
-    single = _count_next(texts, plain)[1]
+    every = np.zeros((2, 256), np.int32)
+    every[1] = np.arange(1, 257)
+    pairs = _count_next(texts, Tree(np.arange(256, dtype=np.int32), 1, [every]))
+    single = pairs.sum(0)
     seen = np.flatnonzero(single)
     code = np.full(256, len(seen), np.int32)
     code[seen] = np.arange(len(seen))
@@ -174,7 +176,11 @@ def grow(
         shorter = tree.forward[-1][parent[before], sign] if length else np.ones(len(sign), np.int64)
         parent = np.concatenate([[0], shorter]).astype(np.int64)
         tree.forward.append(step)
-        counts = _count_next(texts, tree)
+        if length:
+            counts = _count_next(texts, tree)
+        else:
+            counts = np.zeros((len(sign) + 1, width), np.int64)
+            counts[1:, : len(seen)] = pairs[1 + seen[sign]][:, seen]
         above = state[-1][parent]  # the nearest retained suffix
         keep, smooth = _tested(counts, np.concatenate(chances), above, divergence)
         numbered = above.copy()
@@ -646,16 +652,14 @@ def scores(documents: DataFrame, train, depth: int = DEPTH, least: int = LEAST)
         if streams:
             yield unit()
 
-    schema = (
-        f"row long, doc_id {kind}, train boolean, unit long, stream binary, learned binary"
-    )
+    schema = f"row long, doc_id {kind}, train boolean, unit long, stream binary, learned binary"
     fields = to_arrow_schema(texts.sparkSession.createDataFrame([], schema).schema)
     names = fields.names
     made = kept(arrow(texts, run, schema))
     found = made.where("unit IS NULL").drop("unit", "stream", "learned")
     units = made.where("unit IS NOT NULL").select("unit", "stream", "learned")
-    buckets = int(min(max(tree.total // SPREAD, 16), 1 << 16))
-    asked = _asked(units, depth, buckets, max(buckets // 16, 4))
+    buckets = max(tree.total // SPREAD, 16)
+    asked = _asked(units, depth, buckets, max(buckets // 4, 4))
     answered = _answered(asked, context.broadcast(tree), depth, least, buckets)
     scored = kept(_scored(units, answered, depth, buckets))
     told = scored.where("row IS NULL").agg(F.sum("n"), F.sum("known")).first()
