@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from burdenlens.schema import SCORING_SCHEMA, canonical_calls
+from burdenlens.workspace import stored
 
 
 def read_calls(spark: SparkSession, path: str) -> DataFrame:
@@ -42,13 +45,23 @@ def read_calls_table(spark: SparkSession, name: str) -> DataFrame:
     return canonical_calls(spark.table(name))
 
 
-def write_calls_table(calls: DataFrame, name: str, path: str, buckets: int) -> None:
+#: Calls of one bucket, about: a task sorts them, and another groups them when they are read.
+BUCKET_ROWS = 1 << 20
+
+
+def write_calls_table(
+    calls: DataFrame, name: str, path: str, buckets: int, bucket_rows: int = BUCKET_ROWS
+) -> None:
     """Store a call table in the catalog, laid out for repeated analyses: rows of a gene and sample are
     in one of so many buckets, sorted.
 
     Rankings, burdens and frequencies group by gene and sample first, and find rows where they need
-    them. A gene with a third of all calls is spread over all buckets by its samples.
+    them. A gene with a third of all calls is spread over all buckets by its samples. ``buckets`` is the
+    least number: a table with more than ``bucket_rows`` calls for each has more of them, so that no task
+    grows with the table. The calls are stored once before, and counted there.
     """
+    calls = stored(calls, "calls")
+    buckets = max(buckets, math.ceil(calls.count() / bucket_rows))
     dealt = calls.repartition(buckets, "gene_symbol", "sample_id")  # one file a bucket
     writer = dealt.write.mode("overwrite").bucketBy(buckets, "gene_symbol", "sample_id")
     writer.sortBy("gene_symbol", "sample_id").option("path", path).saveAsTable(name)
