@@ -4,7 +4,11 @@ Sets are ordered globally: rare runs first, by the count of a run's bucket over
 hash. Two sets that link share a run among the first ``n - ceil(0.75 n) + 1`` of either, so candidates
 meet there. Equal sets are one set from the start.
 
-1. Of the sets that hold such a run, neighbours by size are candidates. Candidates are compared by a
+1. A run counts for a set where a partner of fitting size could still share all it needs from there on.
+   Runs that the same sets hold are one run from then on, with each set's first place among them. Of the
+   sets that hold it, neighbours by size are candidates. A set's mark has the parity of its runs in each of
+   ``MARK`` cells; marks differ in no more cells than sets differ in runs, so pairs whose marks differ
+   more than linked sets can are left out. Candidates are compared by a
    trie: a set's partners are stored in it in global order, the set traverses it, partners that begin
    alike share the overlap counted so far, and a subtree is left as soon as what remains cannot reach
    the overlap that is needed. Links make components; a group of near copies is one component after
@@ -13,10 +17,9 @@ meet there. Equal sets are one set from the start.
    sets are put in a random order of each round, and each component is compared with the ones next to
    its sets that it meets most. In a group of near copies most pairs link, so a round leaves a fraction
    of its components; the rounds end when they no longer help.
-3. Runs that then join different components give the pairs across them, counted: linked sets share
-   at least the needed overlap less what can follow the first runs, and a set with fewer such runs
-   left than that gives no pair. Pairs that meet as often are compared in the
-   same way. What shares a component already needs no comparison, so every link is found or implied.
+3. Runs that then join different components give the pairs across them, as far as places, sizes and
+   marks allow a link, which are compared in the same way. What shares a component already needs no
+   comparison, so every link is found or implied.
 
 Pairs carry ids and sizes; the sets themselves are fetched once, for candidates only.
 """
@@ -39,6 +42,10 @@ BITS, FILTER_BITS = 20, 1 << 23
 BUCKETS = 1 << BITS
 #: Partners a trie holds at a time.
 TRIE = 256
+#: Bits of the mark of a set.
+MARK = 1 << 10
+#: Edges of components for each task, and the least number of tasks.
+EDGES, TASKS = 1 << 17, 8
 #: Pairs across components for each of their rows up to which all are formed at once, the share of pairs
 #: of components that a round may leave for another to follow, and what each component meets in a round.
 PAIRS, HELPED, MEETS = 2, 0.9, 6
@@ -62,16 +69,29 @@ def _names(flat: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(size > 0, names.view(np.int64), 0)
 
 
+def _marks(flat: np.ndarray, first: np.ndarray) -> pa.Array:
+    """For each set the parity of the number of its runs in each of ``MARK`` cells, as bits."""
+    words = [np.zeros(0, np.int64)]
+    for start in range(0, len(first) - 1, 1024):
+        bounds = first[start : start + 1025]
+        text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        cell = (flat[bounds[0] : bounds[-1]] & np.uint64(MARK - 1)).astype(np.int64)
+        odd = np.bincount(text * MARK + cell, minlength=(len(bounds) - 1) * MARK) & 1
+        words.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+    bounds = pa.array(np.arange(len(first)) * (MARK // 64), pa.int32())
+    return pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(words)))
+
+
 # ---------------------------------------------------------------- scans
 
 
 def _described(documents: DataFrame) -> DataFrame:
-    """One row for each text (doc_id, n, name) and, for each task, its counts of runs by bucket."""
+    """One row for each text (doc_id, n, name, mark) and, for each task, its counts of runs by bucket."""
     kind = dict(documents.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
-        names = ["doc_id", "n", "name", "block", "counts"]
+        names = ["doc_id", "n", "name", "mark", "block", "counts"]
         key = pa.int64()
         for piece in pieces(batches, "text"):
             flat, first = _sets(piece)
@@ -82,6 +102,7 @@ def _described(documents: DataFrame) -> DataFrame:
                     piece.column("doc_id"),
                     pa.array(np.diff(first), pa.int32()),
                     pa.array(_names(flat, first), pa.int64()),
+                    _marks(flat, first),
                     pa.nulls(rows, pa.int32()),
                     pa.nulls(rows, pa.binary()),
                 ],
@@ -95,12 +116,13 @@ def _described(documents: DataFrame) -> DataFrame:
                     pa.nulls(rows, key),
                     pa.nulls(rows, pa.int32()),
                     pa.nulls(rows, pa.int64()),
+                    pa.nulls(rows, pa.list_(pa.int64())),
                     *blocks.columns,
                 ],
                 names,
             )
 
-    schema = f"doc_id {kind}, n int, name long, block int, counts binary"
+    schema = f"doc_id {kind}, n int, name long, mark array<long>, block int, counts binary"
     return arrow(documents.select("doc_id", "text"), run, schema)
 
 
@@ -127,7 +149,8 @@ def _in_order(flat: np.ndarray, first: np.ndarray, levels: np.ndarray) -> np.nda
 
 
 def _heads(documents: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
-    """``run, name, n``: the first runs of every set, once in a task."""
+    """``run, at, name``: the first runs of every set, once in a task; ``at`` is the size of the set
+    (upper half) and the place of the run in it."""
     shared = documents.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,17 +166,44 @@ def _heads(documents: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
             head = np.where(fresh, size - -(-size * percent // 100) + 1, 0)
             ordered = _in_order(flat, first, shared.value)
             text = np.repeat(np.arange(len(size)), head)
-            place = np.arange(len(text)) - (np.cumsum(head) - head)[text] + first[:-1][text]
+            place = np.arange(len(text)) - (np.cumsum(head) - head)[text]
+            at = (size.astype(np.int64) << 32)[text] | place
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ordered[place].view(np.int64), pa.int64()),
+                    pa.array(ordered[place + first[:-1][text]].view(np.int64), pa.int64()),
+                    pa.array(at, pa.int64()),
                     pa.array(names[text], pa.int64()),
-                    pa.array(size[text], pa.int32()),
                 ],
-                ["run", "name", "n"],
+                ["run", "at", "name"],
             )
 
-    return arrow(documents.select("text"), run, "run long, name long, n int")
+    return arrow(documents.select("text"), run, "run long, at long, name long")
+
+
+def _shared(heads: DataFrame, percent: int) -> DataFrame:
+    """``run, name, n, most, runs``: the first runs that sets which may link have in common.
+
+    Linked sets have all their common runs from the first one on, so from there on each has at least as
+    many as they need; ``most`` is the size up to which a partner needs no more. A run counts only
+    where the next smaller or the next larger set has a fitting size. Runs of the same sets are put
+    together as one, ``runs`` is their number; ``run`` is a hash of these sets (sets that fall together
+    by chance only add candidates).
+    """
+    order = Window.partitionBy("run").orderBy("at", "name")
+    once = heads.withColumn("a", F.lag("name").over(order)).where("a IS NULL OR a <> name")
+    size = F.shiftright("at", 32)
+    placed = once.select("run", "name", size.alias("n"), F.col("at").bitwiseAND((1 << 32) - 1).alias("place"),
+        F.lag(size).over(order).alias("smaller"), F.lead(size).over(order).alias("larger"),
+    ).withColumn("most", F.expr(f"({100 + percent} * (n - place)) div {percent} - n"))
+    fitting = placed.where(f"100 * smaller >= {percent} * n OR larger <= most").select("run", "name", "n", "most")
+    sets = Window.partitionBy("run")
+    same = fitting.select(
+        "name", "n", "most",
+        F.bit_xor(F.xxhash64("name")).over(sets).alias("run"), F.count("*").over(sets).alias("sets"),
+    )
+    return same.where("sets > 1").groupBy("run", "name").agg(
+        F.first("n").cast("int").alias("n"), F.max("most").alias("most"), F.count("*").alias("runs")
+    )
 
 
 def _fetched(documents: DataFrame, names: DataFrame, levels: np.ndarray) -> DataFrame:
@@ -247,6 +297,7 @@ def linked(sets: list[bytes], probe: bytes, percent: int) -> list[int]:
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``a, b`` of the candidate pairs that link, by the sets that ``_fetched`` gives."""
+    sets = sets.join(_ends(pairs), "name", "left_semi")
     full = pairs.join(sets.select(F.col("name").alias("a"), F.col("runs").alias("ra")), "a").join(
         sets.select(F.col("name").alias("b"), F.col("runs").alias("rb")), "b"
     )
@@ -287,12 +338,12 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             both = tied
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        joined = both.join(least, "u")
+        joined = both.join(least, "u").coalesce(tasks)
         if larger:
             out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
             out = joined.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        return out.where("u <> v").distinct()
+        return out.where("u <> v").distinct().coalesce(tasks)
 
     def state(tied: DataFrame) -> tuple:
         return tuple(tied.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
@@ -303,6 +354,7 @@ def components(edges: DataFrame) -> DataFrame:
         .distinct()
     )
     now = state(tied)
+    tasks = max(now[0] // EDGES, TASKS)  # few edges need few files
     while True:
         tied = kept(star(star(tied, True), False))
         before, now = now, state(tied)
@@ -312,14 +364,17 @@ def components(edges: DataFrame) -> DataFrame:
     return ends.union(tied.select("v", "v").distinct())
 
 
-def _met_at_least(percent: int) -> str:
-    """SQL: first runs that linked sets of ``na`` and ``nb`` runs share at least.
+def _may_link(percent: int, na: str = "p.n", a: str = "p.mark", nb: str = "q.n", b: str = "q.mark") -> str:
+    """SQL: whether marks differ in no more cells than linked sets of these sizes differ in runs."""
+    differ = " + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(MARK // 64))
+    return f"{differ} <= {na} + {nb} - 2 * ceil({percent} * ({na} + {nb}) / {100 + percent})"
 
-    They share the needed overlap, of which no more can lie after the first runs of either set than
-    there are runs.
-    """
-    after = f"greatest(ceil({percent} * na / 100), ceil({percent} * nb / 100)) - 1"
-    return f"ceil({percent} * (na + nb) / {100 + percent}) - ({after})"
+
+def _possible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` of sets with marks that may link."""
+    one, two = marks.alias("p"), marks.alias("q")
+    both = pairs.join(one, F.col("a") == F.col("p.name")).join(two, F.col("b") == F.col("q.name"))
+    return both.where(_may_link(percent)).select(*pairs.columns)
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -327,12 +382,11 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _across(rows: DataFrame, tied: DataFrame) -> DataFrame:
-    """``run, name, n, root`` of the runs that join different components."""
-    own = rows.select("run", "name", "n").join(tied, "name", "left").select(
-        "run", "name", "n", F.coalesce("root", "name").alias("root")
-    )
-    ends = own.groupBy("run").agg(F.min("root").alias("x"), F.max("root").alias("y"))
-    return own.join(ends.where("x <> y").select("run"), "run", "left_semi")
+    """``run, name, n, most, runs, root`` of the runs that join different components."""
+    own = rows.drop("root").join(tied, "name", "left").withColumn("root", F.coalesce("root", "name"))
+    of_run = Window.partitionBy("run")
+    ends = own.withColumns({"x": F.min("root").over(of_run), "y": F.max("root").over(of_run)})
+    return ends.where("x <> y").drop("x", "y")
 
 
 def _crossing(across: DataFrame) -> tuple[float, float, float]:
@@ -345,32 +399,37 @@ def _crossing(across: DataFrame) -> tuple[float, float, float]:
     return tuple(x or 0.0 for x in sums.first())
 
 
-def _next_to(across: DataFrame, turn: int, percent: int) -> DataFrame:
-    """``a, b``: for each component a few pairs with others that lie next to it in this turn's order."""
-    meeting = Window.partitionBy("run").orderBy(F.xxhash64("name", F.lit(turn)), "name")
+def _next_to(across: DataFrame, turn: int, marks: DataFrame, percent: int, each: int = MEETS) -> DataFrame:
+    """``a, b``: for each component a few pairs that may link with others that lie next to it.
+
+    Each run has an order of its own in each turn, so a set meets other neighbours at every run.
+    """
+    meeting = Window.partitionBy("run").orderBy(F.xxhash64("name", "run", F.lit(turn)), "name")
     rows = F.count("*").over(Window.partitionBy("run"))
+    named = {"name": "a", "n": "na", "most": "ma", "root": "ra", "mark": "other"}
     before = F.array(
-        *(
-            F.struct(*(F.lag(c, k).over(meeting).alias(to) for c, to in (("name", "a"), ("n", "na"), ("root", "ra"))))
-            for k in range(1, MEETS + 1)
-        )
+        *(F.struct(*(F.lag(c, k).over(meeting).alias(to) for c, to in named.items())) for k in range(1, MEETS + 1))
     )
+    own = ["root", "n", "most", "runs", "mark"]
     met = (
-        across.select("root", F.col("name").alias("b"), F.col("n").alias("nb"), before.alias("before"), rows.alias("rows"))
+        across.join(marks.select("name", "mark"), "name")
+        .select(*own, F.col("name").alias("b"), before.alias("before"), rows.alias("rows"))
         .where(f"rows > {MEETS}")  # runs of fewer sets give few pairs at the end
-        .select("root", "b", "nb", F.inline("before"))
-        .where(f"ra <> root AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
+        .select(*own, "b", F.inline("before"))
+        .where(f"ra <> root AND 100 * least(na, n) >= {percent} * greatest(na, n) AND na <= most AND n <= ma")
+        .where(_may_link(percent, "na", "other", "n", "mark"))
         .groupBy("root", "a", "b")
-        .agg(F.count("*").alias("met"))
+        .agg(F.sum("runs").alias("met"))
     )
     most = F.row_number().over(Window.partitionBy("root").orderBy(F.desc("met"), "a", "b"))
-    return met.select("a", "b", most.alias("k")).where(f"k <= {MEETS}").select("a", "b")
+    return met.select("a", "b", most.alias("k")).where(f"k <= {each}").select("a", "b")
 
 
 def _tied_up(
-    across: DataFrame, tied: DataFrame, sets: DataFrame, percent: int
+    across: DataFrame, tied: DataFrame, sets: DataFrame, marks: DataFrame, percent: int
 ) -> tuple[DataFrame, DataFrame]:
-    """``across`` and ``tied`` after as many rounds of comparing neighbours as make pairs few."""
+    """``across`` and ``tied`` after as many rounds of comparing neighbours as make pairs few; ``marks``
+    are those of ``sets``."""
     before, turn = float("inf"), 0
     across = kept(across)
     while True:
@@ -378,8 +437,7 @@ def _tied_up(
         if pairs <= PAIRS * rows or components_left > HELPED * before:
             return across, tied
         before, turn = components_left, turn + 1
-        known = across.join(sets.select("name"), "name", "left_semi")
-        found = _links(kept(_next_to(known, turn, percent)), sets, percent)
+        found = _links(kept(_next_to(across, turn, marks, percent)), sets, percent)
         tied = kept(components(tied.select(F.col("name").alias("a"), F.col("root").alias("b")).union(found)))
         across = kept(_across(across, tied))
 
@@ -395,46 +453,40 @@ def groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = kept(_described(documents))
     rows = found.where("block IS NULL").select("doc_id", "n", "name")
     levels = _levels(summed(found.where("block IS NOT NULL").select("block", "counts"), BUCKETS))
-    heads = _heads(documents, levels, percent)
+    common = kept(_shared(_heads(documents, levels, percent), percent))
+    one_each = found.where("block IS NULL").groupBy("name").agg(F.first("n").alias("n"), F.first("mark").alias("mark"))
+    marks = kept(one_each.join(common.select("name"), "name", "left_semi"))
     meeting = Window.partitionBy("run").orderBy("n", "name")
-    before, after = F.lag("name").over(meeting), F.lead("name").over(meeting)
-    common = kept(
-        heads.select("run", "name", "n", before.alias("a"), after.alias("c"))
-        .where("a <> name OR c <> name")
-        .select("run", "name", "n")
-    )
-    met = common.select("name", "n", before.alias("a"), F.lag("n").over(meeting).alias("na"))
-    close = kept(
-        met.where(f"a <> name AND 100 * na >= {percent} * n")
+    before = {c: F.lag(c).over(meeting).alias(to) for c, to in (("name", "a"), ("n", "na"), ("most", "ma"))}
+    met = common.select("name", "n", "most", "runs", *before.values())
+    close = _possible(
+        met.where(f"100 * na >= {percent} * n AND na <= most AND n <= ma")
         .groupBy("a", F.col("name").alias("b"))
-        .agg(F.count("*").alias("met"), F.min("na").alias("na"), F.min("n").alias("nb"))
-        # neighbours that met at few of their first runs are left to the last step
-        .where(f"met >= greatest(1, ({_met_at_least(percent)}) / 2)")
+        .agg(F.sum("runs").alias("met")),
+        marks,
+        percent,
     )
-    names = kept(_ends(close))
-    sets = kept(_fetched(documents, names, levels))
-    # one neighbour a set, the one met most, is enough to tie a group together
+    # a neighbour by size and one by chance, those met most, are enough to tie a group together
     near = close.groupBy("b").agg(F.max_by("a", F.struct("met", "a")).alias("a")).select("a", "b")
-    tied = kept(components(_links(kept(near), sets, percent)))
-    across, tied = _tied_up(_across(common.distinct(), tied), tied, sets, percent)
-    left = across.join(across.groupBy("name").agg(F.count("*").alias("r")), "name")
-    one, two = left.alias("p"), left.alias("q")
-    least = _met_at_least(percent).replace("na", "p.n").replace("nb", "q.n")
-    crossing = (
-        one.join(
-            two,
-            F.expr(
-                "p.run = q.run AND p.root <> q.root AND (p.n < q.n OR (p.n = q.n AND p.name < q.name))"
-                f" AND 100 * p.n >= {percent} * q.n AND least(p.r, q.r) >= {least}"
-            ),
-        )
-        .groupBy(F.col("p.name").alias("a"), F.col("q.name").alias("b"))
-        .agg(F.count("*").alias("met"), F.min("p.n").alias("na"), F.min("q.n").alias("nb"))
+    chance = _next_to(common.withColumn("root", F.col("name")), 0, marks, percent, 1)
+    first = kept(near.union(chance))
+    names = kept(_ends(first))
+    sets = kept(_fetched(documents, names, levels))
+    tied = kept(components(_links(first, sets, percent)))
+    known = marks.join(names, "name", "left_semi")
+    across, tied = _tied_up(_across(common, tied), tied, sets, known, percent)
+    left = across.join(marks.select("name", "mark"), "name")
+    crossing = left.alias("p").join(
+        left.alias("q"),
+        F.expr(
+            "p.run = q.run AND p.root <> q.root AND (p.n < q.n OR (p.n = q.n AND p.name < q.name))"
+            f" AND 100 * p.n >= {percent} * q.n AND q.n <= p.most AND p.n <= q.most AND {_may_link(percent)}"
+        ),
     )
-    hopeful = kept(crossing.where(f"met >= {_met_at_least(percent)}").select("a", "b"))
+    hopeful = kept(crossing.select(F.col("p.name").alias("a"), F.col("q.name").alias("b")).distinct())
     more = kept(_ends(hopeful).join(names, "name", "left_anti"))
     if more.take(1):
-        sets = kept(sets.union(_fetched(documents, more, levels)))
+        sets = sets.union(kept(_fetched(documents, more, levels)))
     stars = tied.select(F.col("name").alias("a"), F.col("root").alias("b"))
     every = stars.union(_links(hopeful, sets, percent))
     roots = components(every)
