@@ -47,8 +47,9 @@ MARK = 1 << 10
 #: Edges of components for each task, and the least number of tasks.
 EDGES, TASKS = 1 << 17, 8
 #: Pairs across components for each of their rows up to which all are formed at once, the share of pairs
-#: of components that a round may leave for another to follow, and what each component meets in a round.
-PAIRS, HELPED, MEETS = 2, 0.9, 6
+#: of components that a round may leave for another to follow, and what each component meets in a round and
+#: is compared with.
+PAIRS, HELPED, MEETS, COMPARED = 2, 0.9, 6, 2
 
 
 def needed(a: int, b: int, percent: int = PERCENT) -> int:
@@ -399,22 +400,22 @@ def _crossing(across: DataFrame) -> tuple[float, float, float]:
     return tuple(x or 0.0 for x in sums.first())
 
 
-def _next_to(across: DataFrame, turn: int, marks: DataFrame, percent: int, each: int = MEETS) -> DataFrame:
+def _next_to(across: DataFrame, turn: int, marks: DataFrame, percent: int, each: int = COMPARED) -> DataFrame:
     """``a, b``: for each component a few pairs that may link with others that lie next to it.
 
     Each run has an order of its own in each turn, so a set meets other neighbours at every run.
     """
     meeting = Window.partitionBy("run").orderBy(F.xxhash64("name", "run", F.lit(turn)), "name")
-    rows = F.count("*").over(Window.partitionBy("run"))
+    # runs of fewer sets give few pairs at the end
+    crowded = across.withColumn("sets", F.count("*").over(Window.partitionBy("run"))).where(f"sets > {MEETS}")
     named = {"name": "a", "n": "na", "most": "ma", "root": "ra", "mark": "other"}
     before = F.array(
         *(F.struct(*(F.lag(c, k).over(meeting).alias(to) for c, to in named.items())) for k in range(1, MEETS + 1))
     )
     own = ["root", "n", "most", "runs", "mark"]
     met = (
-        across.join(marks.select("name", "mark"), "name")
-        .select(*own, F.col("name").alias("b"), before.alias("before"), rows.alias("rows"))
-        .where(f"rows > {MEETS}")  # runs of fewer sets give few pairs at the end
+        crowded.join(marks.select("name", "mark"), "name")
+        .select(*own, F.col("name").alias("b"), before.alias("before"))
         .select(*own, "b", F.inline("before"))
         .where(f"ra <> root AND 100 * least(na, n) >= {percent} * greatest(na, n) AND na <= most AND n <= ma")
         .where(_may_link(percent, "na", "other", "n", "mark"))
