@@ -46,10 +46,11 @@ TRIE = 256
 MARK = 1 << 10
 #: Edges of components for each task, and the least number of tasks.
 EDGES, TASKS = 1 << 17, 8
-#: Pairs across components for each of their rows up to which all are formed at once, the share of pairs
+#: Pairs across components for each of their rows up to which all are formed at once (inside a join that
+#: leaves out most by their marks), the share of pairs
 #: of components that a round may leave for another to follow, and what each component meets in a round and
 #: is compared with.
-PAIRS, HELPED, MEETS, COMPARED = 2, 0.9, 6, 2
+PAIRS, HELPED, MEETS, COMPARED = 32, 0.9, 6, 2
 
 
 def needed(a: int, b: int, percent: int = PERCENT) -> int:
