@@ -8,7 +8,9 @@ meet there. Equal sets are one set from the start.
    Runs that the same sets hold are one run from then on, with each set's first place among them. Of the
    sets that hold it, neighbours by size are candidates. A set's mark has the parity of its runs in each of
    ``MARK`` cells; marks differ in no more cells than sets differ in runs, so pairs whose marks differ
-   more than linked sets can are left out. Candidates are compared by a
+   more than linked sets can are left out. Marks say little of sets of many runs, which have a wide mark
+   besides; it is looked at for the pairs that are left, before their sets are fetched. Candidates are
+   compared by a
    trie: a set's partners are stored in it in global order, the set traverses it, partners that begin
    alike share the overlap counted so far, and a subtree is left as soon as what remains cannot reach
    the overlap that is needed. Links make components; a group of near copies is one component after
@@ -42,9 +44,9 @@ BITS, FILTER_BITS = 20, 1 << 23
 BUCKETS = 1 << BITS
 #: Partners a trie holds at a time.
 TRIE = 256
-#: Bits of the mark of a set.
-MARK = 1 << 10
-#: Edges of components for each task, and the least number of tasks.
+#: Bits of the mark of a set, and of the wide mark that sets of ``LARGE`` runs have beside it.
+MARK, WIDE, LARGE = 1 << 10, 1 << 13, 1 << 10
+#: Edges of components for each task, and the least number of tasks of more than one.
 EDGES, TASKS = 1 << 17, 8
 #: Pairs across components for each of their rows up to which all are formed at once (inside a join that
 #: leaves out most by their marks), the share of pairs
@@ -71,29 +73,40 @@ def _names(flat: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(size > 0, names.view(np.int64), 0)
 
 
-def _marks(flat: np.ndarray, first: np.ndarray) -> pa.Array:
-    """For each set the parity of the number of its runs in each of ``MARK`` cells, as bits."""
-    words = [np.zeros(0, np.int64)]
-    for start in range(0, len(first) - 1, 1024):
-        bounds = first[start : start + 1025]
+def _marks(flat: np.ndarray, first: np.ndarray, cells: int = MARK) -> pa.Array:
+    """For each set the parity of the number of its runs in each of ``cells``, as bits."""
+    words, some = [np.zeros(0, np.int64)], (1 << 20) // cells
+    for start in range(0, len(first) - 1, some):
+        bounds = first[start : start + some + 1]
         text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        cell = (flat[bounds[0] : bounds[-1]] & np.uint64(MARK - 1)).astype(np.int64)
-        odd = np.bincount(text * MARK + cell, minlength=(len(bounds) - 1) * MARK) & 1
+        cell = (flat[bounds[0] : bounds[-1]] & np.uint64(cells - 1)).astype(np.int64)
+        odd = np.bincount(text * cells + cell, minlength=(len(bounds) - 1) * cells) & 1
         words.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-    bounds = pa.array(np.arange(len(first)) * (MARK // 64), pa.int32())
+    bounds = pa.array(np.arange(len(first)) * (cells // 64), pa.int32())
     return pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(words)))
 
 
+def _wide_marks(flat: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The marks of ``WIDE`` cells of the large sets, null for the others."""
+    size = np.diff(first)
+    large = size >= LARGE
+    bounds = np.append(0, np.cumsum(size[large]))
+    place = np.where(large, np.cumsum(large) - 1, 0)
+    wide = _marks(flat[np.repeat(large, size)], bounds, WIDE)
+    return wide.take(pa.array(place, pa.int64(), mask=~large))
+
+
 # ---------------------------------------------------------------- scans
 
 
 def _described(documents: DataFrame) -> DataFrame:
-    """One row for each text (doc_id, n, name, mark) and, for each task, its counts of runs by bucket."""
+    """One row for each text (doc_id, n, name, mark, wide) and, for each task, its counts of runs by
+    bucket."""
     kind = dict(documents.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
-        names = ["doc_id", "n", "name", "mark", "block", "counts"]
+        names = ["doc_id", "n", "name", "mark", "wide", "block", "counts"]
         key = pa.int64()
         for piece in pieces(batches, "text"):
             flat, first = _sets(piece)
@@ -105,6 +118,7 @@ def _described(documents: DataFrame) -> DataFrame:
                     pa.array(np.diff(first), pa.int32()),
                     pa.array(_names(flat, first), pa.int64()),
                     _marks(flat, first),
+                    _wide_marks(flat, first),
                     pa.nulls(rows, pa.int32()),
                     pa.nulls(rows, pa.binary()),
                 ],
@@ -119,12 +133,13 @@ def _described(documents: DataFrame) -> DataFrame:
                     pa.nulls(rows, pa.int32()),
                     pa.nulls(rows, pa.int64()),
                     pa.nulls(rows, pa.list_(pa.int64())),
+                    pa.nulls(rows, pa.list_(pa.int64())),
                     *blocks.columns,
                 ],
                 names,
             )
 
-    schema = f"doc_id {kind}, n int, name long, mark array<long>, block int, counts binary"
+    schema = f"doc_id {kind}, n int, name long, mark array<long>, wide array<long>, block int, counts binary"
     return arrow(documents.select("doc_id", "text"), run, schema)
 
 
@@ -325,10 +340,35 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 # ---------------------------------------------------------------- components
 
 
+def _forest(tied: DataFrame) -> DataFrame:
+    """``u > v`` rows: the names that the edges of a task connect, tied to the smallest of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[int, int] = {}
+
+        def top(name: int) -> int:
+            while (up := above.setdefault(name, name)) != name:
+                above[name] = name = above[up]
+            return name
+
+        for batch in batches:
+            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                u, v = top(u), top(v)
+                above[max(u, v)] = min(u, v)
+        ends = [(name, top(name)) for name in above]
+        ends = [x for x in ends if x[0] != x[1]]
+        for start in range(0, len(ends), 1 << 16):
+            u, v = zip(*ends[start : start + (1 << 16)], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return arrow(tied, run, "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``name, root``: the smallest name each name of an edge reaches.
 
-    Alternating stars: every name's larger neighbours, then all its smaller ones, are tied to the
+    Each task ties up its ``EDGES``, which is all where they fit one. Of more tasks, alternating stars:
+    every name's larger neighbours, then all its smaller ones, are tied to the
     smallest name next to it, until each is tied to its root. The number of rounds grows with the
     logarithm of the longest chain.
     """
@@ -356,8 +396,10 @@ def components(edges: DataFrame) -> DataFrame:
         .distinct()
     )
     now = state(tied)
-    tasks = max(now[0] // EDGES, TASKS)  # few edges need few files
-    while True:
+    whole = now[0] <= EDGES
+    tasks = 1 if whole else max(now[0] // EDGES, TASKS)  # few edges need few files
+    tied = kept(_forest(tied.coalesce(tasks)))
+    while not whole:
         tied = kept(star(star(tied, True), False))
         before, now = now, state(tied)
         if now == before:
@@ -369,7 +411,12 @@ def components(edges: DataFrame) -> DataFrame:
 def _may_link(percent: int, na: str = "p.n", a: str = "p.mark", nb: str = "q.n", b: str = "q.mark") -> str:
     """SQL: whether marks differ in no more cells than linked sets of these sizes differ in runs."""
     differ = " + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(MARK // 64))
-    return f"{differ} <= {na} + {nb} - 2 * ceil({percent} * ({na} + {nb}) / {100 + percent})"
+    return f"{differ} <= {_most_apart(percent, na, nb)}"
+
+
+def _most_apart(percent: int, na: str, nb: str) -> str:
+    """SQL: in how many runs linked sets of these sizes may differ."""
+    return f"{na} + {nb} - 2 * ceil({percent} * ({na} + {nb}) / {100 + percent})"
 
 
 def _possible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
@@ -379,6 +426,17 @@ def _possible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     return both.where(_may_link(percent)).select(*pairs.columns)
 
 
+def _plausible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose wide marks, where both sets are large, allow a link."""
+    wide = marks.where("wide IS NOT NULL")
+    for side in ("a", "b"):
+        own = wide.select(F.col("name").alias(side), F.col("n").alias(f"n{side}"), F.col("wide").alias(f"w{side}"))
+        pairs = pairs.join(own, side, "left")
+    differ = "aggregate(zip_with(wa, wb, (x, y) -> bit_count(x ^ y)), 0, (s, c) -> s + c)"
+    may = f"wa IS NULL OR wb IS NULL OR {differ} <= {_most_apart(percent, 'na', 'nb')}"
+    return pairs.where(may).select("a", "b")
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
 
@@ -456,7 +514,8 @@ def groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = found.where("block IS NULL").select("doc_id", "n", "name")
     levels = _levels(summed(found.where("block IS NOT NULL").select("block", "counts"), BUCKETS))
     common = kept(_shared(_heads(documents, levels, percent), percent))
-    one_each = found.where("block IS NULL").groupBy("name").agg(F.first("n").alias("n"), F.first("mark").alias("mark"))
+    of_set = [F.first(c).alias(c) for c in ("n", "mark", "wide")]
+    one_each = found.where("block IS NULL").groupBy("name").agg(*of_set)
     marks = kept(one_each.join(common.select("name"), "name", "left_semi"))
     meeting = Window.partitionBy("run").orderBy("n", "name")
     before = {c: F.lag(c).over(meeting).alias(to) for c, to in (("name", "a"), ("n", "na"), ("most", "ma"))}
@@ -471,7 +530,7 @@ def groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     # a neighbour by size and one by chance, those met most, are enough to tie a group together
     near = close.groupBy("b").agg(F.max_by("a", F.struct("met", "a")).alias("a")).select("a", "b")
     chance = _next_to(common.withColumn("root", F.col("name")), 0, marks, percent, 1)
-    first = kept(near.union(chance))
+    first = kept(_plausible(near.union(chance), marks, percent))
     names = kept(_ends(first))
     sets = kept(_fetched(documents, names, levels))
     tied = kept(components(_links(first, sets, percent)))
@@ -485,7 +544,8 @@ def groups(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
             f" AND 100 * p.n >= {percent} * q.n AND q.n <= p.most AND p.n <= q.most AND {_may_link(percent)}"
         ),
     )
-    hopeful = kept(crossing.select(F.col("p.name").alias("a"), F.col("q.name").alias("b")).distinct())
+    pairs = crossing.select(F.col("p.name").alias("a"), F.col("q.name").alias("b")).distinct()
+    hopeful = kept(_plausible(pairs, marks, percent))
     more = kept(_ends(hopeful).join(names, "name", "left_anti"))
     if more.take(1):
         sets = sets.union(kept(_fetched(documents, more, levels)))
