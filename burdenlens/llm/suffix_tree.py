@@ -9,8 +9,8 @@ counts smoothed by that of its parent, down to the root, which gives every byte
 scored by the longest retained suffix of what precedes it.
 
 The contexts of up to two signs, of which there are 65,793 at most, are counted in arrays and sent to
-all tasks. Longer ones never meet in one place. Texts are put together to units of ``UNIT`` signs. Each
-unit sends its distinct grams (longest context and next sign, with their counts in the training texts) to
+all tasks. Longer ones never meet in one place. Texts are put together to units of ``UNIT`` signs, with
+their ids, and dealt once; no copy of them is stored besides. Each unit sends its distinct grams (longest context and next sign, with their counts in the training texts) to
 the bucket of the last three signs of the context. A bucket adds up the counts of all units, tests its
 contexts length by length against their suffixes and answers every unit with the chances of its grams;
 with these the unit scores its texts. Buckets grow in number with the corpus. The base score of words needs
@@ -28,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.taskcontext import TaskContext
 
 from burdenlens.llm.common import arrow, blocks_of, kept, pieces, summed, utf8
@@ -36,10 +35,14 @@ from burdenlens.llm.shingles import LOWER, words
 
 #: Longest context (8 at most), least count of a context, least divergence in nats.
 DEPTH, LEAST, DIVERGENCE = 8, 2, 0.005
+#: Multiplier of hashes.
+ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Length of the contexts that all tasks have.
 SHORT = 2
 #: Signs of a unit of texts, of one numpy step, and of the corpus for each bucket.
-UNIT, STEP, SPREAD = 8 << 20, 1 << 19, 4 << 20
+UNIT, STEP, SPREAD = 10 << 20, 1 << 19, 4 << 20
+#: Of the compression of what units send and get.
+LEVEL = 6
 #: Nats that a context must save over all its occurrences, for each kind of sign seen after it.
 EVIDENCE = 2
 #: The sign of the end, and of what is before the beginning; no word holds it.
@@ -282,14 +285,70 @@ def _merged(taught: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return every, count
 
 
-def _located(code: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """The place of each number of ``code`` in the sorted ``codes``."""
-    order = np.argsort(code)
-    place = np.empty(len(code), np.int32)
-    place[order] = np.searchsorted(codes, code[order])
+def _slots(code: np.ndarray, level: int, bits: int) -> np.ndarray:
+    mixed = (code ^ (code >> np.uint64(29 + level % 16))) * (ODD + np.uint64(2 * level))
+    mixed >>= np.uint64(64 - bits)
+    return mixed.astype(np.intp)
+
+
+def _tables(codes: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """Hash tables of the places of distinct numbers; those that lose their slot are in the next table."""
+    tables, left = [], np.arange(len(codes), dtype=np.int32)
+    while len(left):
+        bits = len(left).bit_length() + 1
+        table = np.zeros(1 << bits, np.int32)
+        slots = _slots(codes[left], len(tables), bits)
+        table[slots] = left
+        left = left[table[slots] != left]
+        tables.append((table, bits))
+    return tables
+
+
+def _located(code: np.ndarray, codes: np.ndarray, tables: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """The place of each number of ``code`` among the distinct ``codes``, all of which it is one of."""
+    place, left = np.zeros(len(code), np.int32), None
+    for level, (table, bits) in enumerate(tables):
+        own = code if left is None else code[left]
+        found = table[_slots(own, level, bits)]
+        if left is None:
+            place = found
+        else:
+            place[left] = found
+        wrong = np.flatnonzero(codes[found] != own)
+        left = wrong if left is None else left[wrong]
     return place
 
 
+def _newest_first(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Eight signs before each place, the newest first, end signs before the beginning of its text."""
+    before = padded[at[:, None] - 1 - np.arange(8)]
+    before[np.logical_or.accumulate(before == END, axis=1)] = END
+    return before
+
+
+def _coded(padded: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The grams of all but the first eight places as numbers, each pair of neighbours numbered once."""
+    pair = padded[1:].astype(np.uint16) << np.uint16(8)
+    pair |= padded[:-1]
+    pairs, count = number[pair], len(padded) - 8  # of places 1 and up with the one before
+    code = pairs[6 : 6 + count] << np.uint64(8)
+    code |= padded[8:]
+    for back in (3, 5, 7):
+        code <<= np.uint64(14)
+        code |= pairs[7 - back : 7 - back + count]
+    # where a text begins less than eight signs before, what is before it counts as ends
+    begun = np.flatnonzero(padded[:-1] == END)
+    at = np.unique(begun[:, None] + np.arange(1, 8))
+    at = at[(at >= 8) & (at < len(padded))]
+    before = _newest_first(padded, at).astype(np.uint16)
+    own = number[(before[:, ::2] << np.uint16(8)) | before[:, 1::2]]
+    edge = (own[:, 0] << np.uint64(8)) | padded[at]
+    for k in (1, 2, 3):
+        edge = (edge << np.uint64(14)) | own[:, k]
+    code[at - 8] = edge
+    return code
+
+
 def _unit(
     stream: np.ndarray, train: np.ndarray, depth: int, limit: int = 1 << 14, placed: bool = True
 ):
@@ -307,6 +366,8 @@ def _unit(
         return _wide_unit(padded, learned, depth, steps)
 
     def coded(start: int) -> np.ndarray:
+        if depth == 8:
+            return _coded(padded[start : start + STEP + 8], number)
         context, sign = _grams(padded[start : start + STEP + 8], depth)
         code = number[context >> np.uint64(48)]
         code <<= np.uint64(8)
@@ -325,7 +386,9 @@ def _unit(
         t, o = t + some, o + len(own) - some
     codes, count = _merged(taught, other)
     del taught, other, learned
-    places = [_located(coded(start), codes) for start in steps] if placed else []
+    tables = _tables(codes) if placed else []
+    places = [_located(coded(start), codes, tables) for start in steps] if placed else []
+    del tables
     context = np.zeros(len(codes), np.uint64)
     for n in (50, 28, 14, 0):
         context <<= np.uint64(16)
@@ -375,8 +438,50 @@ def _numbers(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def _written(context: np.ndarray, sign: np.ndarray, count: np.ndarray) -> bytes:
+    """Grams and their counts; of each gram only the signs from the first one on that differs from the
+    gram before it, place by place."""
+    signs_ = np.empty((9, len(context)), np.uint8)
+    newest = context.byteswap().view(np.uint8).reshape(-1, 8).T
+    signs_[:2], signs_[2], signs_[3:] = newest[:2], sign, newest[2:]
+    told = np.zeros(signs_.shape, bool)
+    told[:, :1] = True
+    np.logical_or.accumulate(signs_[:, 1:] != signs_[:, :-1], axis=0, out=told[:, 1:])
+    often = count.astype(np.uint32)
+    parts = [len(context).to_bytes(8, "little"), told.sum(0, dtype=np.uint8).tobytes(), _planes(often)]
+    return b"".join([*parts, *(own[some].tobytes() for own, some in zip(signs_, told, strict=True))])
+
+
+def _read(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts, signs and counts that were written."""
+    n = int.from_bytes(data[:8], "little")
+    told = np.frombuffer(data, np.uint8, n, 8)
+    count, start = _numbers(data[8 + n : 8 + 5 * n], np.uint32), 8 + 5 * n
+    signs_ = np.empty((n, 9), np.uint8)
+    for k in range(9):
+        some = told >= 9 - k
+        size = int(some.sum())
+        signs_[:, k] = np.frombuffer(data, np.uint8, size, start)[np.cumsum(some) - 1]
+        start += size
+    newest = np.ascontiguousarray(signs_[:, [0, 1, 3, 4, 5, 6, 7, 8]])
+    return newest.view(np.uint64).ravel().byteswap(), signs_[:, 2], count
+
+
+def _runs(values: np.ndarray) -> bytes:
+    """Floats of which equal neighbours are told once."""
+    new = np.append(True, values[1:] != values[:-1])[: len(values)]
+    return len(values).to_bytes(8, "little") + np.packbits(new).tobytes() + values[new].tobytes()
+
+
+def _values(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    bits = (n + 7) // 8
+    new = np.unpackbits(np.frombuffer(data, np.uint8, bits, 8), count=n)
+    return np.frombuffer(data, np.float32, offset=8 + bits)[np.cumsum(new, dtype=np.int64) - 1]
+
+
 def _packed(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 6).compress(data, asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", LEVEL).compress(data, asbytes=True)
 
 
 def _unpacked(data: bytes) -> bytes:
@@ -429,8 +534,7 @@ def _asked(units: DataFrame, depth: int, buckets: int, word_buckets: int) -> Dat
         for a, b in zip(first[some], first[some + 1], strict=True):
             own = order[a:b]
             context = (key[own] & ~np.uint64(255)) | old[own]
-            grams = _planes(context) + key[own].astype(np.uint8).tobytes()
-            blobs.append(_packed(grams + _planes(count[own].astype(np.uint32))))
+            blobs.append(_packed(_written(context, key[own].astype(np.uint8), count[own])))
         columns = [
             pa.array(np.full(len(some) + len(places), row["unit"]), pa.int64()),
             pa.array(np.append(some, buckets + places), pa.int32()),
@@ -448,7 +552,7 @@ def _asked(units: DataFrame, depth: int, buckets: int, word_buckets: int) -> Dat
 
 def _opened(row: dict) -> tuple[np.ndarray, np.ndarray]:
     stream = np.frombuffer(_unpacked(row["stream"]), np.uint8)
-    return stream, np.frombuffer(row["learned"], np.uint8).astype(bool)
+    return stream, np.array(row["learned"], object) == True  # noqa: E712, null is not learned from
 
 
 def chances(
@@ -532,35 +636,34 @@ def _answered(asked: DataFrame, tree, depth: int, least: int, buckets: int) -> D
             return counted(table)
         keys, olds, counts = [], [], []
         for blob in table.column("grams"):
-            data = _unpacked(blob.as_py())
-            n = len(data) // 13
-            context = _numbers(data[: 8 * n], np.uint64)
-            sign = np.frombuffer(data, np.uint8, n, 8 * n)
+            context, sign, count = _read(_unpacked(blob.as_py()))
             keys.append((context & ~np.uint64(255)) | sign)
             olds.append(context.astype(np.uint8))
-            counts.append(_numbers(data[9 * n :], np.uint32))
+            counts.append(count)
         sizes = np.cumsum([0, *map(len, keys)])
         key, old, place = _distinct(np.concatenate(keys), np.concatenate(olds).astype(np.int64))
         count = np.bincount(place, np.concatenate(counts), len(key))
         del keys, olds, counts
         found = (chances(key, old, count, tree.value, depth, least) / np.log(10)).astype(np.float32)
-        blobs = [_packed(found[place[a:b]].tobytes()) for a, b in zip(sizes, sizes[1:], strict=False)]
+        blobs = [_packed(_runs(found[place[a:b]])) for a, b in zip(sizes, sizes[1:], strict=False)]
         columns = [table.column("unit"), table.column("bucket"), pa.array(blobs, pa.binary())]
         return pa.Table.from_arrays(columns, names)
 
     return asked.groupBy("bucket").applyInArrow(run, "unit long, bucket int, found binary")
 
 
-def _scored(units: DataFrame, answered: DataFrame, depth: int, buckets: int) -> DataFrame:
-    """``row, n, known, base, score`` of every text of the units; ``base`` is before its divisor.
+def _scored(units: DataFrame, answered: DataFrame, depth: int, buckets: int, kind: str) -> DataFrame:
+    """``text, doc_id, train, n, known, base, score`` of every text of the units, of ids of a ``kind``;
+    ``base`` is before its divisor.
 
-    One more row a unit, without ``row``, has in ``n`` and ``known`` what word buckets told it.
+    One more row a unit, without ``text``, has in ``n`` and ``known`` what word buckets told it.
     """
-    names = ["row", "n", "known", "base", "score"]
+    names = ["text", "doc_id", "train", "n", "known", "base", "score"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        (unit,) = left.to_pylist()
+        (unit,) = left.select(["stream", "learned"]).to_pylist()
         stream, learned = _opened(unit)
+        ids, train = (left.column(c).combine_chunks().flatten() for c in ("ids", "learned"))
         number = np.asarray(right.column("bucket"))
         order = np.argsort(number)
         blobs, of_words = right.column("found"), number[order] >= buckets
@@ -571,18 +674,19 @@ def _scored(units: DataFrame, answered: DataFrame, depth: int, buckets: int) ->
             counts.append(values[2:])
         count = np.concatenate(counts)
         word, text = _unit_words(stream)
-        c = count[_located(word, np.unique(word))]
+        every = np.unique(word)
+        c = count[_located(word, every, _tables(every))]
         rows = int(text[-1]) + 1
         n, known = np.bincount(text, minlength=rows), np.bincount(text[c > 0], minlength=rows)
         base = np.bincount(text, np.log10(c + 0.5), rows)
-        del word, text, c, count, counts
+        del word, every, text, c, count, counts
 
         key, _, _, places = _unit(stream, learned, depth)
         dealt, _ = _dealt(key, buckets)
         found = np.empty(len(key), np.float32)
         del key
         found[dealt] = np.concatenate(
-            [np.frombuffer(_unpacked(blobs[k].as_py()), np.float32) for k in order[~of_words].tolist()]
+            [_values(_unpacked(blobs[k].as_py())) for k in order[~of_words].tolist()]
         )
         sums, total = np.zeros(len(stream) + 1), 0.0
         for k, place in enumerate(places):
@@ -593,7 +697,9 @@ def _scored(units: DataFrame, answered: DataFrame, depth: int, buckets: int) ->
         ends = np.flatnonzero(stream == END) + 1
         score = sums[ends] - sums[np.append(0, ends[:-1])]
         columns = [
-            pa.array([*range(unit["unit"], unit["unit"] + rows), None], pa.int64()),
+            pa.array([*range(rows), None], pa.int32()),
+            pa.concat_arrays([ids, pa.nulls(1, ids.type)]),
+            pa.concat_arrays([train, pa.nulls(1, train.type)]),
             pa.array(np.append(n, told[0]), pa.int64()),
             pa.array(np.append(known, told[1]), pa.int64()),
             pa.array(np.append(base, 0.0)),
@@ -602,7 +708,8 @@ def _scored(units: DataFrame, answered: DataFrame, depth: int, buckets: int) ->
         return pa.Table.from_arrays(columns, names)
 
     pairs = units.groupBy("unit").cogroup(answered.groupBy("unit"))
-    return pairs.applyInArrow(run, "row long, n long, known long, base double, score double")
+    numbers = "n long, known long, base double, score double"
+    return pairs.applyInArrow(run, f"text int, doc_id {kind}, train boolean, {numbers}")
 
 
 def scores(documents: DataFrame, train, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
@@ -620,52 +727,36 @@ def scores(documents: DataFrame, train, depth: int = DEPTH, least: int = LEAST)
     context = documents.sparkSession.sparkContext
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = begun = TaskContext.get().partitionId() << 36
-        streams, learned = [], []
+        number = TaskContext.get().partitionId() << 36
+        streams, ids, learned = [], [], []
 
         def unit():
-            none = pa.nulls(1)
-            stream = _packed(np.concatenate(streams).tobytes())
-            own = np.concatenate(learned).astype(np.uint8).tobytes()
-            filled = {"unit": begun, "stream": stream, "learned": own}
-            columns = [pa.array([filled[f.name]], f.type) if f.name in filled else none.cast(f.type) for f in fields]
-            return pa.RecordBatch.from_arrays(columns, names)
+            columns = [pa.array([number], pa.int64()), pa.array([_packed(np.concatenate(streams).tobytes())], pa.binary())]
+            for own in map(pa.concat_arrays, (ids, learned)):
+                columns.append(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own))
+            return pa.RecordBatch.from_arrays(columns, ["unit", "stream", "ids", "learned"])
 
         for piece in pieces(batches, "text"):
-            data, bounds = utf8(piece.column("text"))
-            rows = piece.num_rows
-            columns = [
-                pa.array(number + np.arange(rows), pa.int64()),
-                piece.column("doc_id"),
-                piece.column("train"),
-                pa.nulls(rows, pa.int64()),
-                pa.nulls(rows, pa.binary()),
-                pa.nulls(rows, pa.binary()),
-            ]
-            number += rows
-            yield pa.RecordBatch.from_arrays(columns, names)
-            streams.append(signs(data, bounds)[0][1:])
-            learned.append(np.asarray(piece.column("train").fill_null(False).to_pylist(), bool))
+            streams.append(signs(*utf8(piece.column("text")))[0][1:])
+            ids.append(piece.column("doc_id"))
+            learned.append(piece.column("train"))
             if sum(map(len, streams)) >= UNIT:
                 yield unit()
-                begun, streams, learned = number, [], []
+                number, streams, ids, learned = number + 1, [], [], []
         if streams:
             yield unit()
 
-    schema = f"row long, doc_id {kind}, train boolean, unit long, stream binary, learned binary"
-    fields = to_arrow_schema(texts.sparkSession.createDataFrame([], schema).schema)
-    names = fields.names
-    made = kept(arrow(texts, run, schema))
-    found = made.where("unit IS NULL").drop("unit", "stream", "learned")
-    units = made.where("unit IS NOT NULL").select("unit", "stream", "learned")
+    schema = f"unit long, stream binary, ids array<{kind}>, learned array<boolean>"
+    # dealt once: what asks and what is scored read the same shuffle
+    units = arrow(texts, run, schema).repartition("unit")
     buckets = max(tree.total // SPREAD, 16)
     asked = _asked(units, depth, buckets, max(buckets // 4, 4))
     answered = _answered(asked, context.broadcast(tree), depth, least, buckets)
-    scored = kept(_scored(units, answered, depth, buckets))
-    told = scored.where("row IS NULL").agg(F.sum("n"), F.sum("known")).first()
+    scored = kept(_scored(units, answered, depth, buckets, kind))
+    told = scored.where("text IS NULL").agg(F.sum("n"), F.sum("known")).first()
     total, distinct = (x or 0 for x in told)
     divisor = math.log10(total + 0.5 * (distinct + 1))
-    return found.join(scored, "row").select(
+    return scored.where("text IS NOT NULL").select(
         "doc_id",
         "train",
         F.col("n").alias("n_tokens"),
