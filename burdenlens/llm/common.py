@@ -17,7 +17,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BREAKS = "\t\n\x0b\x0c\r"
 
 #: Bytes of text that one numpy step takes on at a time; longer texts are taken alone.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,12 @@ def arrow(frame: DataFrame, run: Callable, schema: str) -> DataFrame:
                         archive.write(full, os.path.relpath(full, os.path.dirname(package)))
         context.addPyFile(path)
         context._burdenlens_sent = True
-    return frame.mapInArrow(run, schema)
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds nothing
+
+    return frame.mapInArrow(lean, schema)
 
 
 def added(frame: DataFrame, field: str) -> str:

@@ -110,7 +110,7 @@ def _described(documents: DataFrame) -> DataFrame:
         key = pa.int64()
         for piece in pieces(batches, "text"):
             flat, first = _sets(piece)
-            counts += np.bincount(_bucket(flat), minlength=BUCKETS)
+            np.add.at(counts, _bucket(flat).astype(np.intp), 1)
             rows, key = piece.num_rows, piece.column("doc_id").type
             yield pa.RecordBatch.from_arrays(
                 [
